@@ -95,7 +95,7 @@ def rules() -> dict[str, Column]:
         "word_length": vote(length, good=length.between(3, 11), bad=(length < 2) | (length > 20)),
         "stop_words": vote(stop, good=stop > 0.08, bad=stop < 0.01),
         "dup_lines": vote(dup, good=dup < 0.1, bad=dup > 0.3),
-        "repeats": vote(repeats, good=repeats < 0.1, bad=repeats > 0.3),
+        "repeats": vote(repeats, good=repeats < 0.1, bad=repeats > 0.45),
         "line_ends": vote(ended, good=ended > 0.6, bad=ended < 0.1),
     }
 
