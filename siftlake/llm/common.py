@@ -26,9 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of a job when it ends: what outlives a job here is in the shared folder."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` with its lineage cut in the shared folder, for rows that are small beside the input."""
     shared_dir(df.sparkSession)
+    tidy(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -36,6 +42,7 @@ class Staged:
     """Parquet tables in the shared folder that one run of an operator writes, reads again and may drop."""
 
     def __init__(self, spark: SparkSession, name: str):
+        tidy(spark)
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/siftlake-{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:

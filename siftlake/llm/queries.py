@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mih, mix_cube, ngram_join, quality_rules, secret_scan
+from . import mih, mix_cube, ngram_join, quality_rules, secret_scan, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,12 +31,16 @@ def op8_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mih.neighbours(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.deduplicated(table(spark, sf_dir, "documents")))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.joined(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op3_mix_sources, op7_secret_scan, op8_multi_index_hashing, op10_ngram_join)
+    f.__name__: f for f in (op2_quality_rules, op3_mix_sources, op7_secret_scan, op8_multi_index_hashing, op9_suffix_dedup, op10_ngram_join)
 }
 
 ORACLE_SQL: dict[str, str] = {}
