@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, line_dedup, mih, mix_cube, ngram_join, quality_rules, secret_scan, suffix_dedup
+from . import cotraining, line_dedup, mih, mix_cube, ngram_join, quality_rules, secret_scan, sentencepiece_lattice, suffix_dedup, token_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_lattice.encoded(table(spark, sf_dir, "documents")).withColumn("n_tokens", F.size("ids"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "line_dedup.*", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.counted(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "quality.*")
 
@@ -49,7 +57,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op3_mix_sources, op4_line_dedup, op6_quality_classifier, op7_secret_scan, op8_multi_index_hashing, op9_suffix_dedup, op10_ngram_join)
+    f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_mix_sources, op4_line_dedup, op5_token_counts, op6_quality_classifier, op7_secret_scan, op8_multi_index_hashing, op9_suffix_dedup, op10_ngram_join)
 }
 
 ORACLE_SQL: dict[str, str] = {}

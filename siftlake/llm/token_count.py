@@ -5,6 +5,9 @@ programming carries only the best score to there and its number of pieces. Ties
 piece that starts first stays, and a character without a piece of its own scores 10 below the least piece and counts its
 UTF-8 bytes if the model falls back to bytes (1 if not). Scores are summed in double precision within a word.
 
+A model file of BPE kind holds merge ranks as scores, and its own tokenizer joins pairs by rank instead of maximising
+their sum. For such a file the counts by that rule are returned beside, in `n_merged`; they equal the tokenizer's.
+
 Words repeat, so each Python worker keeps the counts of words it has seen, at most `_KEPT` of them, then starts afresh;
 that changes nothing but time.
 
@@ -13,18 +16,21 @@ Defined cases: a null or empty text counts 0; each row is counted by itself; an
 
 from __future__ import annotations
 
+import heapq
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocabulary as v
 from .common import by_batch
 
-_KEPT = 400_000
+_KEPT = 1_000_000
 _workers: dict = {}
 
 
 class Counter(dict):
-    """Word -> number of pieces; a missing word is counted and kept."""
+    """Word -> pieces by Viterbi * 2 ** 32 + pieces by merges, so that sums give both; a missing word is counted and kept."""
 
     def __init__(self, vocab: v.Vocabulary):
         import ahocorasick
@@ -34,12 +40,16 @@ class Counter(dict):
         for piece, _, score in vocab.pieces:
             self.matches.add_word(piece, (len(piece), score))
         self.matches.make_automaton()
-        self.single = {p for p, _, _ in vocab.pieces if len(p) == 1}
-        self.unknown, self.by_bytes = vocab.unknown_score, bool(vocab.bytes_from)
+        self.scores = {p: s for p, _, s in vocab.pieces}
+        self.unknown, self.by_bytes, self.merges = vocab.unknown_score, bool(vocab.bytes_from), vocab.merges
 
-    def __missing__(self, word: str) -> int:
+    def cost(self, char: str) -> int:
+        """Pieces of a character that has none of its own."""
+        return len(char.encode()) if self.by_bytes else 1
+
+    def viterbi(self, word: str) -> int:
         n = len(word)
-        best, count = [0.0] + [None] * n, [0] * (n + 1)
+        best, count = [0.0] * (n + 1), [0] * (n + 1)
         ends: list[list] = [[] for _ in range(n)]
         for end, match in self.matches.iter(word):
             ends[end].append(match)
@@ -49,28 +59,52 @@ class Counter(dict):
                 total = best[end + 1 - length] + score
                 if top is None or total > top:
                     top, pieces = total, count[end + 1 - length] + 1
-            if word[end] not in self.single:
+            if word[end] not in self.scores:
                 total = best[end] + self.unknown
                 if top is None or total > top:
-                    top, pieces = total, count[end] + (len(word[end].encode()) if self.by_bytes else 1)
+                    top, pieces = total, count[end] + self.cost(word[end])
             best[end + 1], count[end + 1] = top, pieces
+        return count[n]
+
+    def merged(self, word: str) -> int:
+        """Pieces by the BPE rule: the best-scored neighbouring pair joins first, of equal ones the leftmost."""
+        parts, get = list(word), self.scores.get
+        heap = [(-s, k) for k in range(len(parts) - 1) if (s := get(parts[k] + parts[k + 1])) is not None]
+        heapq.heapify(heap)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        while heap:
+            s, k = heapq.heappop(heap)
+            if parts[k] is None or (j := after[k]) >= len(parts) or get(parts[k] + parts[j]) != -s:
+                continue  # one of the two has joined another meanwhile
+            parts[k], parts[j] = parts[k] + parts[j], None
+            after[k] = after[j]
+            if after[k] < len(parts):
+                before[after[k]] = k
+            for x in (before[k], k):
+                if x >= 0 and after[x] < len(parts) and (s := get(parts[x] + parts[after[x]])) is not None:
+                    heapq.heappush(heap, (-s, x))
+        return sum(1 if p in self.scores else sum(map(self.cost, p)) for p in parts if p is not None)
+
+    def __missing__(self, word: str) -> int:
         if len(self) >= _KEPT:
             self.clear()
-        self[word] = count[n]
-        return count[n]
+        self[word] = found = (self.viterbi(word) << 32) + (self.merged(word) if self.merges else 0)
+        return found
 
 
 def counted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str = v.MODEL) -> DataFrame:
-    """(id, n_tokens) of every row."""
+    """(id, n_tokens, n_merged) of every row; n_merged is null if the model isn't BPE."""
     vocab = v.load(model)
+    key = uuid.uuid4().hex  # a worker outlives a query
     sent = docs.sparkSession.sparkContext.broadcast(vocab)  # the vocabulary, of a fixed size
 
     def run(x: dict) -> dict:
-        if (counter := _workers.get(sent.id)) is None:
+        if (counter := _workers.get(key)) is None:
             _workers.clear()
-            counter = _workers[sent.id] = Counter(sent.value)
-        prefix = sent.value.dummy_prefix
-        return {"id": x["id"], "n_tokens": [sum(map(counter.__getitem__, v.words(t, prefix))) for t in x["text"]]}
+            counter = _workers[key] = Counter(sent.value)
+        prefix, merges = sent.value.dummy_prefix, sent.value.merges
+        found = [sum(map(counter.__getitem__, v.words(t, prefix))) for t in x["text"]]
+        return {"id": x["id"], "n_tokens": [f >> 32 for f in found], "n_merged": [f & 0xFFFFFFFF if merges else None for f in found]}
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return by_batch(rows, f"id {dict(docs.dtypes)[id_col]}, n_tokens long", run).withColumnRenamed("id", id_col)
+    return by_batch(rows, f"id {dict(docs.dtypes)[id_col]}, n_tokens long, n_merged long", run).withColumnRenamed("id", id_col)

@@ -24,6 +24,7 @@ class Vocabulary:
     bytes_from: dict[int, int] = field(hash=False)  # byte -> id, empty without byte fallback
     dummy_prefix: bool = True
     longest: int = 16
+    merges: bool = False  # the file's own kind is BPE
 
     @property
     def unknown_score(self) -> float:
@@ -45,7 +46,7 @@ def load(path: str = MODEL) -> Vocabulary:
     if bad := [p for p, _, _ in pieces if SPACE in p.lstrip(SPACE)]:
         raise ValueError(f"pieces hold a space after another character: {bad[:3]}")
     found = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
-    return Vocabulary(pieces, tuple(p.piece for p in model.pieces), next(i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN), found if model.trainer_spec.byte_fallback else {}, n.add_dummy_prefix, max(len(p) for p, _, _ in pieces))
+    return Vocabulary(pieces, tuple(p.piece for p in model.pieces), next(i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN), found if model.trainer_spec.byte_fallback else {}, n.add_dummy_prefix, max(len(p) for p, _, _ in pieces), model.trainer_spec.model_type == 2)
 
 
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
