@@ -1,6 +1,459 @@
-"""Registry of the library's queries and of the SQL that gives the same rows."""
+"""Registry of the library's queries on the driver's tables, and of the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import exprs as e
+from .operators import audit, dedup, guards, metrics, runs, splits
+from .operators.checkpoints import checkpointed
+from .operators.components import connected_components
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name, with the SQL of the same rows."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as records: id, path_rank, sha, near, label, source, lang, n_chars."""
+    label = F.when(F.col("quality").isNotNull(), F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string")))
+    docs = table(spark, d, "documents").select("doc_id", e.sha256_hex(F.col("text")).alias("sha"), e.near_key(F.col("text")).alias("near"), "source", "lang", "n_chars")
+    return docs.join(table(spark, d, "labels"), "doc_id", "left").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("path_rank"), "sha", "near", label.alias("label"), "source", "lang", "n_chars")
+
+
+RECORDS = r"""WITH records AS (
+ SELECT d.doc_id AS id, sha256(text) AS sha, source, lang, n_chars,
+  array_to_string(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9 \t\n\r]', ' ', 'g'), '[ \t\n\r]+'), lambda x: x <> '')[1:5], ' ') AS near,
+  CASE WHEN quality IS NOT NULL THEN 'q' || quality || 't' || toxic END AS label
+ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+conflicts AS (SELECT near, count(*) AS members, count(DISTINCT label) AS labels FROM records GROUP BY near HAVING count(DISTINCT label) > 1),
+reasoned AS (SELECT r.*, CASE WHEN label IS NULL THEN 'LABEL_UNRESOLVED' WHEN c.near IS NOT NULL THEN 'LABEL_CONFLICT_GROUP' ELSE '' END AS label_reason, c.near IS NOT NULL AS conflict
+ FROM records r LEFT JOIN conflicts c ON r.near = c.near),
+reps AS (SELECT sha, min(id) AS representative FROM reasoned WHERE label_reason = '' GROUP BY sha),
+clean AS (SELECT r.*, p.representative, CASE WHEN label_reason = '' AND id <> p.representative THEN 'EXACT_DUPLICATE' ELSE label_reason END AS reason FROM reasoned r LEFT JOIN reps p ON r.sha = p.sha)
+"""
+
+
+def near_groups(spark, d) -> DataFrame:
+    return records(spark, d).withColumnRenamed("near", "group")
+
+
+@query(RECORDS + "SELECT sha, count(*) AS members, min(id) AS first FROM records GROUP BY sha HAVING count(*) > 1")
+def exact_dup_groups(spark, d):
+    return records(spark, d).groupBy("sha").agg(F.count("*").alias("members"), F.min("id").alias("first")).filter("members > 1")
+
+
+@query(RECORDS + "SELECT id, CASE WHEN n > 1 THEN 'x' || k END AS \"group\" FROM records r JOIN (SELECT sha, count(*) AS n, row_number() OVER (ORDER BY sha) - 1 AS k FROM records GROUP BY sha) g ON r.sha = g.sha")
+def ranked_group_ids(spark, d):
+    rows = records(spark, d).select("id", "sha")
+    return rows.join(dedup.ranked_keys(rows, "sha", "x", least=2).select("sha", "group"), "sha").select("id", "group")
+
+
+@query(RECORDS + ", first AS (SELECT sha, min(id) AS a FROM records GROUP BY sha), classes AS (SELECT near, sha, min(id) AS id FROM records GROUP BY near, sha), nf AS (SELECT near, min(id) AS a FROM classes GROUP BY near), p AS (SELECT a, id AS b, 'exact' AS kind FROM records JOIN first USING (sha) WHERE id <> a UNION ALL SELECT a, id, 'near' FROM classes JOIN nf USING (near) WHERE id <> a) SELECT a, b, kind, CASE WHEN x.label IS NULL OR y.label IS NULL THEN 'UNRESOLVED_LABEL' WHEN x.label = y.label THEN 'SAME_LABEL' ELSE 'LABEL_CONFLICT' END AS relation FROM p JOIN records x ON x.id = a JOIN records y ON y.id = b")
+def duplicate_pairs(spark, d):
+    return dedup.duplicate_pairs(records(spark, d))
+
+
+@query(RECORDS + "SELECT id, representative FROM records JOIN (SELECT sha, min(id) AS representative FROM records GROUP BY sha) USING (sha)")
+def exact_representatives(spark, d):
+    return dedup.representatives(records(spark, d)).select("id", "representative")
+
+
+@query(RECORDS + "SELECT id, reason, representative FROM clean")
+def clean_manifest(spark, d):
+    return dedup.curated(records(spark, d)).select("id", "reason", "representative")
+
+
+@query(RECORDS + "SELECT source, reason, count(*) AS n FROM clean GROUP BY source, reason")
+def clean_manifest_summary(spark, d):
+    return dedup.curated(records(spark, d)).groupBy("source", "reason").agg(F.count("*").alias("n"))
+
+
+@query(RECORDS + "SELECT source, reason, count(*) AS n, count(DISTINCT sha) AS contents FROM clean GROUP BY GROUPING SETS ((source, reason), (source), ())")
+def dedup_summary_rollup(spark, d):
+    return dedup.curated(records(spark, d)).rollup("source", "reason").agg(F.count("*").alias("n"), F.count_distinct("sha").alias("contents"))
+
+
+@query(RECORDS + ", f AS (SELECT sha, min(id) AS a FROM records GROUP BY sha), s AS (SELECT near, count(*) AS m FROM records GROUP BY near) SELECT id, CASE WHEN conflict AND label IS NULL THEN 'REVIEW_LABEL_CONFLICT' WHEN conflict THEN 'EXCLUDE_LABEL_CONFLICT' WHEN id <> a THEN 'DROP_EXACT_DUPLICATE' WHEN m > 1 THEN 'KEEP_GROUPED' ELSE 'KEEP' END AS action FROM reasoned JOIN f USING (sha) JOIN s USING (near)")
+def dedup_action(spark, d):
+    return dedup.dedup_actions(records(spark, d))
+
+
+@query(RECORDS + "SELECT near, members, labels FROM conflicts")
+def label_conflict_groups(spark, d):
+    return dedup.label_conflicts(records(spark, d))
+
+
+HASHES = "WITH h AS (SELECT vec_id, list_reduce(list_transform(range(1, len(embedding)), lambda i: CASE WHEN embedding[i] > embedding[i + 1] THEN 1::BIGINT ELSE 0::BIGINT END), lambda t, b: t * 2 + b) AS h FROM embeddings)"
+
+
+@query(HASHES + ", p AS (SELECT bit_count(xor(a.h, b.h))::INT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id) SELECT k::INT AS distance, count(p.distance)::BIGINT AS pairs FROM range(9) t(k) LEFT JOIN p ON p.distance = k GROUP BY k")
+def hamming_histogram(spark, d):
+    return dedup.hamming_histogram(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), e.difference_bits(F.col("embedding")).alias("hash")))
+
+
+@query(HASHES + "SELECT vec_id, h AS hash FROM h")
+def difference_hash(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", e.difference_bits(F.col("embedding")).alias("hash"))
+
+
+@query(RECORDS.replace("WITH ", "WITH RECURSIVE ", 1) + ", keys AS (SELECT id, 's' || sha AS k FROM records UNION ALL SELECT id, 'n' || near FROM records), edges AS (SELECT DISTINCT a.id AS u, m.m AS v FROM keys a JOIN (SELECT k, min(id) AS m FROM keys GROUP BY k) m USING (k)), both_ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges), reach(u, v) AS (SELECT id, id FROM records UNION SELECT r.u, b.v FROM reach r JOIN both_ways b ON r.v = b.u) SELECT u AS id, min(v) AS component FROM reach GROUP BY u")
+def leakage_components(spark, d):
+    rows = records(spark, d)
+    keys = rows.select("id", F.concat(F.lit("s"), "sha").alias("k")).unionAll(rows.select("id", F.concat(F.lit("n"), "near")))
+    edges = keys.join(keys.groupBy("k").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1"), "k").select("id", "least")
+    found = connected_components(edges, "id", "least", checkpointed)
+    return rows.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+@query(RECORDS + ", a AS (SELECT sha, count(*) AS same FROM records GROUP BY sha), g AS (SELECT near, count(DISTINCT sha) AS c, count(DISTINCT source) AS s FROM records GROUP BY near) SELECT id, concat_ws(';', CASE WHEN same > 1 THEN 'exact_duplicate' END, CASE WHEN c > 1 THEN 'near_duplicate' END, CASE WHEN s > 1 THEN 'cross_dataset' END) AS flags FROM records JOIN a USING (sha) JOIN g USING (near)")
+def leakage_flags(spark, d):
+    return audit.leakage_flags(records(spark, d))
+
+
+@query(RECORDS + "SELECT members, count(*) AS groups FROM (SELECT near, count(*) AS members FROM records GROUP BY near) GROUP BY members")
+def group_size_histogram(spark, d):
+    return audit.group_sizes(records(spark, d), "near")
+
+
+@query(RECORDS + ", g AS (SELECT near, count(*) AS n, count(DISTINCT source) AS s, count(DISTINCT label) AS l FROM records GROUP BY near) SELECT count(*) AS groups, count(*) FILTER (n > 1) AS multi, count(*) FILTER (s > 1) AS spanning, max(n) AS largest, count(*) FILTER (l > 1) AS mixed, count(*) FILTER (s = 1 AND n > 1) AS within_one FROM g")
+def group_summary(spark, d):
+    return audit.group_summary(records(spark, d), "near", "source", "label")
+
+
+def _shortcut(feature: str) -> str:
+    return f"{RECORDS}, c AS (SELECT {feature} AS f, lang, count(*) AS n FROM records GROUP BY 1, 2), b AS (SELECT f, max(n) AS best, sum(n) AS n FROM c GROUP BY f), m AS (SELECT sum(n) AS m FROM c GROUP BY lang) SELECT sum(best)::DOUBLE / sum(n)::DOUBLE AS bound, (SELECT max(m) FROM m)::DOUBLE / sum(n)::DOUBLE AS baseline, sum(n)::BIGINT AS n FROM b"
+
+
+@query(_shortcut("source"))
+def shortcut_source(spark, d):
+    return audit.shortcut_bound(records(spark, d), F.col("source"), "lang")
+
+
+@query(_shortcut("n_chars // 500"))
+def shortcut_size(spark, d):
+    return audit.shortcut_bound(records(spark, d), F.expr("n_chars div 500"), "lang")
+
+
+@query("SELECT source, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'es') AS es, count(*) FILTER (lang = 'fr') AS fr FROM documents GROUP BY source")
+def class_source_crosstab(spark, d):
+    return audit.crosstab(table(spark, d, "documents"), "source", "lang", ["de", "en", "es", "fr"])
+
+
+@query("WITH c AS (SELECT lang, n_chars // 100 AS value, count(*) AS n, min(doc_id) AS seen FROM documents GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, seen) AS rank FROM c) SELECT lang, value, n, rank::INT AS rank FROM r WHERE rank <= 4")
+def top4_size_by_class(spark, d):
+    return audit.most_common(table(spark, d, "documents"), "lang", F.expr("n_chars div 100"), 4, "doc_id")
+
+
+@query("SELECT n_chars // 1000 AS size, min(source) AS source, count(*) AS n FROM documents GROUP BY 1 HAVING count(DISTINCT source) = 1")
+def single_source_classes(spark, d):
+    return audit.single_source(table(spark, d, "documents").withColumn("size", F.expr("n_chars div 1000")), "size", "source")
+
+
+@query("WITH t AS (SELECT source, lang, count(*) AS n, sum(n_chars) AS size FROM documents GROUP BY 1, 2) SELECT source, sum(n)::BIGINT AS records, sum(size)::BIGINT AS total_size, string_agg(lang || '=' || n, '; ' ORDER BY lang || '=' || n) AS histogram FROM t GROUP BY source")
+def inventory(spark, d):
+    return audit.inventory(table(spark, d, "documents"), ["source"], size=F.col("n_chars"), tag="lang")
+
+
+@query(r"SELECT page_id, array_to_string(list_filter(['blog', 'en', 'example net'], lambda t: contains(regexp_replace(lower(url), '[_\-.]+', ' ', 'g'), t)), ',') AS tokens FROM pages")
+def filename_tokens(spark, d):
+    return table(spark, d, "pages").select("page_id", F.array_join(e.name_tokens(F.col("url"), ["blog", "en", "example net"]), ",").alias("tokens"))
+
+
+@query(r"WITH t AS (SELECT starts_with(url, 'https') AS secure, len(list_filter(['blog', 'wiki'], lambda t: contains(regexp_replace(lower(url), '[_\-.]+', ' ', 'g'), t))) > 0 AS hit FROM pages) SELECT secure, count(*) AS records, count(*) FILTER (hit) AS with_token, round(100.0 * count(*) FILTER (hit) / count(*), 1)::DOUBLE AS percent FROM t GROUP BY secure")
+def token_leakage(spark, d):
+    pages = table(spark, d, "pages").withColumn("secure", F.startswith("url", F.lit("https")))
+    return audit.token_leakage(pages, "secure", e.name_tokens(F.col("url"), ["blog", "wiki"])).withColumn("percent", F.col("percent").cast("double"))
+
+
+STRATA = RECORDS + ", c AS (SELECT near, source, count(*) AS n FROM records GROUP BY near, source), l AS (SELECT near, min(label) AS label FROM records GROUP BY near), w AS (SELECT near, source, row_number() OVER (PARTITION BY near ORDER BY n DESC, source) AS k FROM c), strata AS (SELECT near AS \"group\", coalesce(label, '') || '|' || source AS stratum FROM w JOIN l USING (near) WHERE k = 1)"
+
+
+@query(STRATA + ' SELECT "group", stratum FROM strata')
+def majority_source_stratum(spark, d):
+    return splits.strata(near_groups(spark, d))
+
+
+@query("WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), p AS (SELECT lang, part, n, n * ratio AS x FROM n, (VALUES (0, 0.7::DOUBLE), (1, 0.15::DOUBLE), (2, 0.15::DOUBLE)) v(part, ratio)), q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY x - floor(x) DESC, part) AS k, n - sum(floor(x)) OVER (PARTITION BY lang) AS spare FROM p) SELECT lang, part, (floor(x) + CASE WHEN k <= spare THEN 1 ELSE 0 END)::BIGINT AS quota FROM q")
+def largest_remainder_quota(spark, d):
+    counts = table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    return splits.largest_remainder(counts, "lang", [0.7, 0.15, 0.15])
+
+
+@query("WITH r AS (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY sha256('42:' || c_custkey), c_custkey) AS k, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer) SELECT c_custkey, c_nationkey, CASE WHEN k <= round_even(n * 0.7::DOUBLE, 0) THEN 'train' WHEN k <= round_even(n * 0.7::DOUBLE, 0) + round_even(n * 0.15::DOUBLE, 0) THEN 'val' ELSE 'test' END AS split FROM r")
+def hash_split(spark, d):
+    return splits.hash_split(table(spark, d, "customer"), "c_custkey", "c_nationkey")
+
+
+@query("SELECT c_custkey, c_nationkey FROM customer ORDER BY sha256('42:' || c_custkey), c_custkey LIMIT 50")
+def hash_sample(spark, d):
+    return splits.hash_sample(table(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_custkey", 50)
+
+
+@query()
+def greedy_group_assignment(spark, d):
+    return splits.assigned_groups(near_groups(spark, d), [0.8, 0.2])
+
+
+def _folds(spark, d) -> DataFrame:
+    rows = near_groups(spark, d)
+    return rows.join(splits.assigned_groups(rows, [0.2] * 5), "group").withColumn("fold", F.col("part") + 1)
+
+
+@query()
+def fold_report(spark, d):
+    return splits.fold_report(_folds(spark, d))
+
+
+@query(RECORDS + "SELECT near AS \"group\", 0::BIGINT AS parts FROM records WHERE false")
+def straddling_groups(spark, d):
+    return splits.straddling(_folds(spark, d))
+
+
+@query("SELECT c_custkey, c_custkey % 5 + 1 AS fold, c_custkey % 5 + 1 = 1 AS validation FROM customer")
+def fold_members(spark, d):
+    fold = F.col("c_custkey") % 5 + 1
+    return table(spark, d, "customer").select("c_custkey", fold.alias("fold"), (fold == 1).alias("validation"))
+
+
+@query("SELECT doc_id AS id, item_id AS item FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(list_filter(string_split_regex(b.text, '[ \\t\\n\\r]+'), lambda x: x <> '')) > 9")
+def isolation_guard(spark, d):
+    docs, passages = table(spark, d, "documents"), table(spark, d, "benchmark")
+    return guards.contaminated(docs.select(F.col("doc_id").alias("id"), "text"), passages.select(F.col("item_id").alias("id"), "text"))
+
+
+@query(RECORDS + "SELECT 'reason_without_label' AS rule, count(*) FILTER (reason = '' AND label IS NULL) AS violations FROM clean UNION ALL SELECT 'representative_missing', count(*) FILTER (reason = 'EXACT_DUPLICATE' AND representative IS NULL) FROM clean UNION ALL SELECT 'self_representative', count(*) FILTER (reason = 'EXACT_DUPLICATE' AND representative = id) FROM clean UNION ALL SELECT 'unique_id', count(*) FROM (SELECT id FROM clean GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'unique_included_content', count(*) FROM (SELECT sha FROM clean WHERE reason = '' GROUP BY sha HAVING count(*) > 1)")
+def constraint_suite(spark, d):
+    rows = dedup.curated(records(spark, d))
+    one = guards.row_rules(rows, {
+        "reason_without_label": (F.col("reason") == "") & F.col("label").isNull(),
+        "representative_missing": (F.col("reason") == "EXACT_DUPLICATE") & F.col("representative").isNull(),
+        "self_representative": (F.col("reason") == "EXACT_DUPLICATE") & (F.col("representative") == F.col("id")),
+    })
+    return one.unionAll(guards.key_rules(rows, {"unique_id": ["id"]})).unionAll(guards.key_rules(rows.filter("reason = ''"), {"unique_included_content": ["sha"]}))
+
+
+@query("SELECT 'orders_of_unknown_customers' AS rule, count(*) AS violations FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer) UNION ALL SELECT 'customers_that_are_suppliers', count(*) FROM (SELECT c_custkey FROM customer INTERSECT SELECT s_suppkey FROM supplier)")
+def set_guards(spark, d):
+    orders, customer, supplier = (table(spark, d, t) for t in ("orders", "customer", "supplier"))
+    unknown = orders.select("o_custkey").distinct().join(customer, F.col("o_custkey") == F.col("c_custkey"), "left_anti")
+    shared = customer.select(F.col("c_custkey").alias("k")), supplier.select(F.col("s_suppkey").alias("k"))
+    return unknown.agg(F.lit("orders_of_unknown_customers").alias("rule"), F.count("*").alias("violations")).unionAll(guards.shared_rules({"customers_that_are_suppliers": (*shared, "k")}))
+
+
+def predictions(spark, d) -> DataFrame:
+    """Predictions from embeddings by rational arithmetic: class scores 1 + |x| over the first ten components, shares as probabilities."""
+    scores = F.transform(F.slice("embedding", 1, 10), lambda x: (F.floor(F.abs(x) * 1024) + 1).cast("long"))
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.pmod("label", F.lit(10)).alias("target"), scores.alias("s"))
+    best = F.array_max("s")
+    total = F.aggregate("s", F.lit(0).cast("long"), lambda t, x: t + x)
+    return rows.select("id", "target", (F.array_position("s", best) - 1).cast("int").alias("predicted"), (best / total).alias("confidence"), F.transform("s", lambda x: x / total).alias("probs"))
+
+
+PREDICTIONS = "WITH s AS (SELECT vec_id AS id, (label % 10)::INT AS target, list_transform(embedding[1:10], lambda x: (floor(abs(x::DOUBLE) * 1024) + 1)::BIGINT) AS s FROM embeddings), p AS (SELECT id, target, (list_position(s, list_max(s)) - 1)::INT AS predicted, list_max(s)::DOUBLE / list_sum(s)::DOUBLE AS confidence, list_transform(s, lambda x: x::DOUBLE / list_sum(s)::DOUBLE) AS probs FROM s), cells AS (SELECT t.k::INT AS target, q.k::INT AS predicted, count(p.id)::BIGINT AS n FROM range(10) t(k) CROSS JOIN range(10) q(k) LEFT JOIN p ON p.target = t.k AND p.predicted = q.k GROUP BY 1, 2), m AS (SELECT a.target, a.support, a.hits, g.guesses FROM (SELECT target, sum(n) AS support, sum(n) FILTER (target = predicted) AS hits FROM cells GROUP BY target) a JOIN (SELECT predicted, sum(n) AS guesses FROM cells GROUP BY predicted) g ON a.target = g.predicted), cm AS (SELECT target, CASE WHEN guesses = 0 THEN 0 ELSE hits::DOUBLE / guesses::DOUBLE END AS precision, CASE WHEN support = 0 THEN 0 ELSE hits::DOUBLE / support::DOUBLE END AS recall, CASE WHEN support + guesses = 0 THEN 0 ELSE (2 * hits)::DOUBLE / (support + guesses)::DOUBLE END AS f1, support::BIGINT AS support, hits::BIGINT AS hits FROM m) "
+
+
+@query(PREDICTIONS + "SELECT target, predicted, n FROM cells")
+def confusion_long(spark, d):
+    return metrics.confusion(predictions(spark, d), 10)
+
+
+@query(PREDICTIONS + "SELECT target, " + ", ".join(f"sum(n) FILTER (predicted = {i})::BIGINT AS p{i}" for i in range(10)) + " FROM cells GROUP BY target")
+def confusion_wide(spark, d):
+    return metrics.confusion_wide(predictions(spark, d), 10)
+
+
+@query(PREDICTIONS + "SELECT target, predicted, coalesce(n::DOUBLE / nullif(sum(n) OVER (PARTITION BY target), 0)::DOUBLE, 0) AS share FROM cells")
+def confusion_normalised(spark, d):
+    return metrics.confusion_normalised(predictions(spark, d), 10)
+
+
+@query(PREDICTIONS + "SELECT * FROM cm")
+def class_metrics(spark, d):
+    return metrics.class_metrics(predictions(spark, d), 10)
+
+
+@query(PREDICTIONS + "SELECT sum(hits)::DOUBLE / sum(support)::DOUBLE AS accuracy, round(sum(precision) / 10, 9) AS macro_precision, round(sum(recall) / 10, 9) AS macro_recall, round(sum(f1) / 10, 9) AS macro_f1, round(sum(f1 * support) / sum(support), 9) AS weighted_f1, sum(support)::BIGINT AS n FROM cm")
+def summary_metrics(spark, d):
+    out = metrics.summary_metrics(predictions(spark, d), 10)
+    return out.select("accuracy", *(F.round(c, 9).alias(c) for c in ("macro_precision", "macro_recall", "macro_f1", "weighted_f1")), "n")
+
+
+BINS = PREDICTIONS + ", b AS (SELECT k::INT AS bin, (k / 10)::FLOAT AS lo, ((k + 1) / 10)::FLOAT AS hi FROM range(10) t(k)), bins AS (SELECT bin, count(p.id)::BIGINT AS n, coalesce(avg((target = predicted)::INT), 0) AS accuracy, coalesce(avg(confidence), 0) AS mean_confidence FROM b LEFT JOIN p ON (confidence::FLOAT > lo OR bin = 0) AND confidence::FLOAT <= hi GROUP BY bin) "
+
+
+@query(BINS + "SELECT bin, n, round(accuracy, 9) AS accuracy, round(mean_confidence, 9) AS mean_confidence FROM bins")
+def calibration_bins(spark, d):
+    return metrics.calibration_bins(predictions(spark, d)).select("bin", "n", F.round("accuracy", 9).alias("accuracy"), F.round("mean_confidence", 9).alias("mean_confidence"))
+
+
+@query(BINS + "SELECT round((SELECT sum(n * abs(accuracy - mean_confidence)) / sum(n) FROM bins), 9) AS ece, round(avg(confidence), 9) AS mean_all, round(avg(confidence) FILTER (target = predicted), 9) AS mean_right, round(avg(confidence) FILTER (target <> predicted), 9) AS mean_wrong FROM p")
+def ece(spark, d):
+    out = metrics.calibration_error(predictions(spark, d))
+    return out.select(*(F.round(c, 9).alias(c) for c in out.columns))
+
+
+@query(PREDICTIONS + "SELECT round(avg(-ln(probs[target + 1])), 9) AS loss, avg((target = predicted)::INT::DOUBLE) AS accuracy FROM p")
+def cross_entropy(spark, d):
+    return metrics.cross_entropy(predictions(spark, d)).select(F.round("loss", 9).alias("loss"), "accuracy")
+
+
+@query(PREDICTIONS + ", u AS (SELECT id, unnest(range(10))::INT AS c, unnest(probs) AS p FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p DESC, c)::INT AS rank FROM u) SELECT id, rank, c, p FROM r WHERE rank <= 3")
+def ranked_topk(spark, d):
+    return metrics.ranked(predictions(spark, d), 3)
+
+
+@query(PREDICTIONS + "SELECT id, target, predicted, confidence FROM p WHERE target <> predicted")
+def misclassified(spark, d):
+    return predictions(spark, d).filter("target <> predicted").select("id", "target", "predicted", "confidence")
+
+
+RISK = PREDICTIONS + ", r AS (SELECT id, predicted, CASE WHEN least(confidence * 2, 1) < 0.5 THEN 'LOW' WHEN least(confidence * 2, 1) <= 0.8 THEN 'MODERATE' ELSE 'HIGH' END AS risk FROM p) "
+
+
+@query(RISK + "SELECT risk, count(*) AS n FROM r GROUP BY risk")
+def risk_levels(spark, d):
+    return predictions(spark, d).groupBy(e.risk_level(F.least(F.col("confidence") * 2, F.lit(1.0))).alias("risk")).agg(F.count("*").alias("n"))
+
+
+@query(RISK + "SELECT id, CASE WHEN risk = 'LOW' THEN 'retake' WHEN predicted = 0 THEN 'monitor' WHEN risk = 'HIGH' THEN 'treat' ELSE 'inspect' END AS advice FROM r")
+def risk_recommendation(spark, d):
+    return predictions(spark, d).select("id", e.advice(e.risk_level(F.least(F.col("confidence") * 2, F.lit(1.0))), F.col("predicted") == 0).alias("advice"))
+
+
+@query("WITH s AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: exp(x::DOUBLE - list_max(embedding[1:4])::DOUBLE)) AS e FROM embeddings) SELECT vec_id, round(e[1] / list_sum(e), 6) AS p0, round(e[2] / list_sum(e), 6) AS p1 FROM s")
+def softmax(spark, d):
+    p = e.softmax(F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")))
+    return table(spark, d, "embeddings").select("vec_id", F.round(p[0], 6).alias("p0"), F.round(p[1], 6).alias("p1"))
+
+
+HISTORY = "WITH h AS (SELECT user_id, event_id, value, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM events), i AS (SELECT *, before IS NULL OR value > before AS improved, greatest(value, coalesce(before, value)) AS best FROM h) "
+
+
+@query(HISTORY + "SELECT user_id, event_id, value, improved, best FROM i")
+def running_best(spark, d):
+    return runs.running_best(table(spark, d, "events"), "user_id", "event_id", "value")
+
+
+@query(HISTORY + ", w AS (SELECT *, step - max(step) FILTER (improved) OVER (PARTITION BY user_id ORDER BY event_id) AS waited FROM i) SELECT user_id, min(step) FILTER (waited >= 8)::INT AS stop_at, max(best) AS best FROM w GROUP BY user_id")
+def early_stop(spark, d):
+    return runs.early_stop(table(spark, d, "events"), "user_id", "event_id", "value", 8)
+
+
+EPOCHS = "WITH g AS (SELECT user_id, event_id, event_type, row_number() OVER w AS global_epoch, coalesce(lag(event_type) OVER w <> event_type, false) AS boundary FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) "
+
+
+@query(EPOCHS + "SELECT user_id, event_id, event_type, global_epoch::INT AS global_epoch, boundary FROM g")
+def global_epoch(spark, d):
+    return runs.global_epochs(table(spark, d, "events"), "user_id", "event_type", "event_id")
+
+
+@query(EPOCHS + "SELECT user_id, global_epoch::INT AS global_epoch FROM g WHERE boundary")
+def stage_boundaries(spark, d):
+    return runs.global_epochs(table(spark, d, "events"), "user_id", "event_type", "event_id").filter("boundary").select("user_id", "global_epoch")
+
+
+BEST = "WITH r AS (SELECT event_type, first(event_id ORDER BY value DESC, event_id) AS best_step, max(value) AS best, last(value ORDER BY event_id) AS last, count(*) AS steps FROM events GROUP BY event_type) "
+
+
+@query(BEST + "SELECT * FROM r")
+def best_run(spark, d):
+    return runs.best_runs(table(spark, d, "events"), "event_type", "event_id", "value")
+
+
+@query(BEST + "SELECT event_type, round_even(best, 4) AS best, round_even(round_even(best, 4) - (SELECT round_even(best, 4) FROM r WHERE event_type = 'view'), 4) AS delta FROM r")
+def baseline_delta(spark, d):
+    return runs.baseline_delta(runs.best_runs(table(spark, d, "events"), "event_type", "event_id", "value"), "event_type", "view")
+
+
+MATRIX = "WITH m AS (SELECT n_name AS model, f.k::INT AS fold, a.arm, format('{}_fold{:02d}_{}', n_name, f.k, a.arm) AS experiment_id FROM nation, range(1, 11) f(k), (VALUES ('real'), ('augmented')) a(arm)) "
+
+
+def _matrix(spark, d) -> DataFrame:
+    return runs.experiment_matrix(table(spark, d, "nation").select(F.col("n_name").alias("model")), 10, ["real", "augmented"])
+
+
+@query(MATRIX + "SELECT * FROM m")
+def experiment_matrix(spark, d):
+    return _matrix(spark, d)
+
+
+@query(MATRIX + ", r AS (SELECT format('{}_fold{:02d}_real', n_name, n_regionkey + 1) AS experiment_id, 'COMPLETED' AS status, n_nationkey % 2 = 0 AS artifacts FROM nation) SELECT m.experiment_id, model, fold, arm, CASE WHEN status IS NULL THEN 'PENDING' WHEN status = 'COMPLETED' AND NOT artifacts THEN 'FAILED' ELSE status END AS status FROM m LEFT JOIN r USING (experiment_id)")
+def matrix_status(spark, d):
+    done = table(spark, d, "nation").select(e.experiment_id(F.col("n_name"), F.col("n_regionkey") + 1, F.lit("real")).alias("experiment_id"), F.lit("COMPLETED").alias("status"), (F.col("n_nationkey") % 2 == 0).alias("artifacts"))
+    return runs.with_status(_matrix(spark, d), done)
+
+
+@query("SELECT t.event_type, count(e.event_id)::BIGINT AS n FROM (VALUES ('click'), ('view'), ('purchase'), ('never')) t(event_type) LEFT JOIN events e USING (event_type) GROUP BY 1")
+def zero_filled_distribution(spark, d):
+    dim = spark.createDataFrame([("click",), ("view",), ("purchase",), ("never",)], "event_type string")
+    return runs.zero_filled(table(spark, d, "events"), dim, "event_type")
+
+
+def _sessions(spark, d) -> DataFrame:
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("session"), F.col("event_type").alias("kind"), "value", "ts")
+
+
+@query("SELECT user_id AS session, count(*) AS n, round(avg(value), 9) AS mean_value, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY user_id")
+def session_stats(spark, d):
+    return runs.session_stats(_sessions(spark, d)).withColumn("mean_value", F.round("mean_value", 9))
+
+
+@query("SELECT event_id AS id, user_id AS session, event_type AS kind, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
+def session_recent(spark, d):
+    return runs.recent(_sessions(spark, d), 20).select("id", "session", "kind", "value")
+
+
+@query("WITH c AS (SELECT lang, count(*) AS real FROM documents GROUP BY lang) SELECT lang, real, least(greatest(max(real) OVER () - real, 0), floor(real * 0.5::DOUBLE))::BIGINT AS synthetic FROM c")
+def synthetic_plan(spark, d):
+    return runs.synthetic_plan(table(spark, d, "documents"), "lang")
+
+
+@query("SELECT doc_id AS id, lang AS label, (doc_id % 5)::INT AS fold, source, sha256(text) AS \"group\", false AS synthetic FROM documents UNION ALL SELECT page_id, 'page', -1, 'gan', page_id::VARCHAR, true FROM pages")
+def augmented_union(spark, d):
+    real = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), (F.col("doc_id") % 5).cast("int").alias("fold"), "source", e.sha256_hex(F.col("text")).alias("group"))
+    return runs.augmented(real, table(spark, d, "pages").select(F.col("page_id").alias("id"), F.lit("page").alias("label")))
+
+
+@query("SELECT page_id, 'web-' || left(sha256(url), 12) AS record_id FROM pages")
+def image_ids(spark, d):
+    return table(spark, d, "pages").select("page_id", e.record_id(F.lit("web"), F.col("url")).alias("record_id"))
+
+
+@query("SELECT n_nationkey, sha256('key=' || n_nationkey || chr(10) || 'name=' || n_name || chr(10) || 'region=' || n_regionkey) AS config FROM nation")
+def config_hash(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", e.config_hash(name=F.col("n_name"), region=F.col("n_regionkey"), key=F.col("n_nationkey")).alias("config"))
+
+
+@query("SELECT n_nationkey, dense_rank() OVER (ORDER BY n_name)::INT - 1 AS label FROM nation")
+def class_index(spark, d):
+    rows = table(spark, d, "nation")
+    return rows.join(dedup.ranked_keys(rows, "n_name", "").select("n_name", F.col("group").cast("int").alias("label")), "n_name").select("n_nationkey", "label")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 100 <= 5 THEN 'head' ELSE 'full' END AS stage FROM events")
+def training_stage(spark, d):
+    return table(spark, d, "events").select("event_id", e.pipeline_stage(F.col("event_id") % 100, 5).alias("stage"))
+
+
+@query("SELECT page_id, regexp_replace(url, '^https?://', '') AS place, CASE WHEN starts_with(url, 'https://') THEN substr(url, 9) ELSE url END AS relative, length(url) || 'x' || length(html) AS size FROM pages")
+def page_paths(spark, d):
+    return table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("place"), e.relative_path(F.col("url"), "https://").alias("relative"), e.size_bucket(F.length("url"), F.length("html")).alias("size"))
