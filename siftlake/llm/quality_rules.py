@@ -107,7 +107,9 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple
     vote makes a document doubtful", and keeps a bad vote no likelier in the good class than in the bad one, which fixes
     which class is which. Counts are smoothed by one right and one wrong vote.
     """
-    k = len(patterns[0][0]) if patterns else 0
+    if not patterns:
+        return 0.9, [], []
+    k = len(patterns[0][0])
     votes, n = np.array([p for p, _ in patterns], float).reshape(-1, k), np.array([c for _, c in patterns], float)
     good, prior, on_good, on_bad = 0.97 * 0.25 ** (votes < 0).sum(1), 0.9, np.full(k, 0.9), np.full(k, 0.5)
     for _ in range(rounds):
