@@ -1,0 +1,142 @@
+"""Operators of the library on small fixtures with hand-computed results."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from siftlake.functions import exprs as e
+from siftlake.operators import audit, dedup, guards, images, metrics, runs, splits
+from siftlake.operators.checkpoints import checkpointed
+from siftlake.operators.components import connected_components
+from siftlake.sources import readers
+from siftlake.streaming import sessions
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+def test_risk_edges(spark):
+    for value, want in ((0.0, "LOW"), (0.4999, "LOW"), (0.5, "MODERATE"), (0.8, "MODERATE"), (0.81, "HIGH"), (1.0, "HIGH")):
+        assert one(spark, e.risk_level(F.lit(value))) == want
+    for bad in (-0.1, 1.1, float("nan")):
+        with pytest.raises(PySparkException):
+            one(spark, e.risk_level(F.lit(bad)))
+
+
+def test_hashes_and_names(spark):
+    assert one(spark, e.hamming_hex(F.lit("ffffffffffffffff"), F.lit("0000000000000001"))) == 63
+    with pytest.raises(PySparkException):
+        one(spark, e.hamming_hex(F.lit("ff"), F.lit("0")))
+    assert one(spark, e.name_tokens(F.lit("Red_Spot-01.JPG"), ["red spot", "blue"], F.lit("Spot"))) == ["red spot", "<Spot>"]
+    assert one(spark, e.train_only(F.lit("data/train/fold1/x"))) and not one(spark, e.train_only(F.lit("data/train/test/x")))
+    assert one(spark, e.is_improvement("val_loss", F.lit(1.0), F.lit(1.0))) is False and one(spark, e.is_improvement("f1", F.lit(1.0), F.lit(None).cast("double")))
+    assert one(spark, e.experiment_id(F.lit("m"), F.lit(3), F.lit("real"))) == "m_fold03_real"
+
+
+def test_metrics_by_hand(spark):
+    rows = spark.createDataFrame([(1, 0, 0, 0.9), (2, 0, 1, 0.6), (3, 1, 1, 0.6), (4, 2, 1, 0.0)], "id long, target int, predicted int, confidence double")
+    got = {r["target"]: r for r in metrics.class_metrics(rows, 4).collect()}
+    assert (got[1]["precision"], got[1]["recall"], got[1]["support"]) == (pytest.approx(1 / 3), 1.0, 1)
+    assert (got[3]["f1"], got[3]["support"], got[2]["recall"]) == (0.0, 0, 0.0)
+    assert metrics.summary_metrics(rows, 4).first()["macro_f1"] == pytest.approx((2 / 3 + 0.5) / 4)
+    bins = {r["bin"]: r["n"] for r in metrics.calibration_bins(rows).collect()}
+    assert bins == {0: 1, 1: 0, 2: 0, 3: 0, 4: 0, 5: 2, 6: 0, 7: 0, 8: 1, 9: 0}
+    with pytest.raises(PySparkException):
+        metrics.confusion(rows, 2).collect()
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(1, 40)] + [(100, 101), (101, 100), (7, 7), (200, 200), (None, 3)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b", checkpointed).collect()}
+    assert {got[k] for k in range(1, 41)} == {1} and got[101] == 100 and got[200] == 200
+
+
+def test_hamming_bands_find_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**62, 20)
+    hashes = [int(b) ^ sum(1 << int(k) for k in rng.choice(63, rng.integers(0, 12), replace=False)) for b in base for _ in range(6)]
+    want = [0] * 9
+    for i, a in enumerate(hashes):
+        for b in hashes[:i]:
+            if (d := (a ^ b).bit_count()) <= 8:
+                want[d] += 1
+    got = dedup.hamming_histogram(spark.createDataFrame(list(enumerate(hashes)), "id long, hash long")).orderBy("distance").collect()
+    assert [r["pairs"] for r in got] == want
+
+
+def test_quota_and_groups(spark):
+    counts = spark.createDataFrame([("a", 10), ("b", 1), ("c", 0)], "k string, n long")
+    got = {}
+    for r in splits.largest_remainder(counts, "k", [0.7, 0.15, 0.15]).collect():
+        got.setdefault(r["k"], {})[r["part"]] = r["quota"]
+    assert got == {"a": {0: 7, 1: 2, 2: 1}, "b": {0: 1, 1: 0, 2: 0}, "c": {0: 0, 1: 0, 2: 0}}
+    rows = spark.createDataFrame([(f"g{k % 30}", "s", "l") for k in range(200)], "group string, source string, label string")
+    parts = rows.join(splits.assigned_groups(rows, [0.8, 0.2]), "group")
+    assert splits.straddling(parts).count() == 0 and parts.count() == 200
+    assert abs(parts.filter("part = 1").count() - 40) <= 7
+    assert sorted(splits.assigned_groups(rows, [0.8, 0.2]).collect()) == sorted(splits.assigned_groups(rows.repartition(7), [0.8, 0.2]).collect())
+
+
+def test_guards(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, None)], "id long, label string")
+    found = guards.row_rules(rows, {"no_label": F.col("label").isNull()}).unionAll(guards.key_rules(rows, {"unique": ["id"]}))
+    with pytest.raises(guards.Violation, match="no_label"):
+        guards.enforce(found)
+    assert guards.enforce(guards.row_rules(rows, {"fine": F.col("id") < 0})) == {"fine": 0}
+
+
+def test_early_stop(spark):
+    values = [1.0, 2.0, 2.0, 1.5, 3.0, 1.0, 1.0, 1.0]
+    history = spark.createDataFrame([("r", k, v) for k, v in enumerate(values)], "run string, step int, f1 double")
+    assert tuple(runs.early_stop(history, "run", "step", "f1", 3).first()) == ("r", 8, 3.0)
+    assert runs.early_stop(history, "run", "step", "f1", 4).first()["stop_at"] is None
+    assert runs.best_runs(history, "run", "step", "f1").first()["best_step"] == 4
+
+
+def test_empty_tables(spark):
+    empty = spark.createDataFrame([], "id long, path_rank long, sha string, near string, label string, source string")
+    assert dedup.curated(empty).count() == 0 and dedup.duplicate_pairs(empty).count() == 0 and audit.leakage_flags(empty).count() == 0
+    assert dedup.ranked_keys(empty, "sha", "x").count() == 0
+
+
+def test_images(spark):
+    grey = [np.full((16, 18), 200, np.uint8), np.tile(np.arange(18, dtype=np.uint8)[::-1] * 10, (16, 1))]
+    rows = spark.createDataFrame([(k, g.shape[1], g.shape[0], bytearray(g.tobytes())) for k, g in enumerate(grey)], "id long, width int, height int, pixels binary")
+    assert {r["id"]: r["dhash"] for r in images.difference_hashes(rows).collect()} == {0: "0" * 16, 1: "f" * 16}
+    flags = {r["id"]: (r["dark"], r["blurry"]) for r in images.quality(rows).collect()}
+    assert flags[0] == (False, True)
+
+
+def test_sources(spark, tmp_path):
+    for name in ("train/a/1.JPG", "valid/b/2.png", "train/a/readme.txt", "stray.zip"):
+        (tmp_path / "set" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "set" / name).write_bytes(b"x")
+    rows = readers.discovered(spark, {"k": (str(tmp_path / "set"), "split_class_folders")}).collect()
+    assert {(r["original_class"], r["original_split"], r["relative"]) for r in rows} == {("a", "train", "train/a/1.JPG"), ("b", "valid", "valid/b/2.png")}
+    assert {one(spark, readers.file_kind(F.lit(n))) for n in ("a.zip", "README.md", "x.bin", ".DS_Store")} == {"archive", "documentation", "unexpected", "ignored"}
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
+    table = spark.createDataFrame([(1, "a"), (2, "")], schema)
+    readers.write_table(table.coalesce(1), str(tmp_path / "m"))
+    assert sorted(map(tuple, readers.manifest(spark, str(tmp_path / "m"), schema).collect())) == [(1, "a"), (2, "")]
+    with pytest.raises(PySparkException):
+        readers.write_table(table, str(tmp_path / "m"))
+    with pytest.raises(ValueError, match="header"):
+        readers.manifest(spark, str(tmp_path / "m"), T.StructType(schema.fields[::-1]))
+    assert readers.content_digest(table, "k").first() == readers.content_digest(table.repartition(3), "k").first()
+
+
+def test_streaming_equals_batch(spark, tmp_path):
+    events = spark.createDataFrame([(1, "view", 2.0), (1, "error", 4.0), (2, "view", 1.0)], "session long, kind string, value double")
+    events.write.parquet(str(tmp_path / "in"))
+    stream = sessions.event_stream(spark, str(tmp_path / "in"), "session long, kind string, value double")
+    q = sessions.running_stats(stream).writeStream.format("memory").queryName("stats").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(spark.table("stats").collect()) == sorted(runs.session_stats(events).collect())
+    sessions.to_table(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    sessions.to_table(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
