@@ -2,12 +2,13 @@
 
 1. Texts with one shingle set form a class; from here on a class stands for its documents, so copies cost one row.
 2. Every class gives the prefix of its set under one order of shingles: frequent ones last, then by hash. Two sets that
-   are similar enough share a shingle of their prefixes. Frequent shingles are those that over `heavy` prefixes by plain
-   hash order hold; a set of at most 2 ** 20 of them is sent to the tasks (the bound rises with the data to keep that).
-3. Classes that share a prefix shingle meet in tiles of one shingle and one band of sizes (a band spans the size ratio
-   that the threshold allows, so partners lie in one band or the next). Shingles that many classes still share - groups
-   of near copies - link each class to the smallest one first, and only classes that are then in different components
-   meet pairwise.
+   are similar enough share a shingle of their prefixes. Frequent shingles are those that over `heavy` sets hold among
+   the first of their hash order; a set of at most 2 ** 20 of them is sent to the tasks (the bound rises with the data
+   to keep that). Which shingles count as frequent changes the work, never the result.
+3. Classes that share a prefix shingle meet. First, `stars` times, each class meets one other of the shingle's classes,
+   which gathers groups of near copies into components in linear work. Then those still in different components meet
+   pairwise, in tiles of one shingle and one band of sizes (a band spans the size ratio that the threshold allows, so
+   partners lie in one band or the next).
 4. Each pair's bitmap signatures bound the overlap from above: a set bit of one that the other lacks is a shingle less.
 5. What passes is intersected exactly on the sorted arrays, and links become components.
 
@@ -32,6 +33,10 @@ from .common import Staged, by_batch, checkpointed
 from .hashing import shingles
 
 
+#: So many prefix lengths of each set are counted to find the frequent shingles.
+COUNTED = 3
+
+
 def key_of(found: np.ndarray) -> bytes | None:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
 
@@ -49,20 +54,22 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(id, th, key, size, prefix, sig) of every row (id, text)."""
+    """(id, th, key, size, prefix, more, sig) of every row (id, text); more: the shingles after the prefix that are counted too."""
 
     def run(x: dict) -> dict:
-        out = {"id": x["id"], "th": x["th"], "key": [], "size": [], "prefix": [], "sig": []}
+        out = {"id": x["id"], "th": x["th"], "key": [], "size": [], "prefix": [], "more": [], "sig": []}
         for text in x["text"]:
             s = shingles(text, n)
             out["key"].append(key_of(s))
             out["size"].append(len(s))
-            out["prefix"].append(s[: prefix_length(len(s), num, den)].view(np.int64) if len(s) else [])
+            p = prefix_length(len(s), num, den) if len(s) else 0
+            out["prefix"].append(s[:p].view(np.int64))
+            out["more"].append(s[p : COUNTED * p].view(np.int64))
             out["sig"].append(signature(s))
         return out
 
     kind = dict(docs.dtypes)["id"]
-    return by_batch(docs.select("id", F.xxhash64("text").alias("th"), "text"), f"id {kind}, th long, key binary, size long, prefix array<long>, sig array<long>", run, binary=("text",))
+    return by_batch(docs.select("id", F.xxhash64("text").alias("th"), "text"), f"id {kind}, th long, key binary, size long, prefix array<long>, more array<long>, sig array<long>", run, binary=("text",))
 
 
 def reordered(docs: DataFrame, heavy, n: int, num: int, den: int) -> DataFrame:
@@ -122,19 +129,19 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, staged: Stag
     return staged.write(by_batch(both.select("a", "b", "x", "y"), "a long, b long, linked boolean", check), f"{name}-tested")
 
 
-def linked_classes(docs: DataFrame, *, id_col: str, text_col: str, n: int, num: int, den: int, heavy: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members (id, key, size), classes (cid, key, size) and tested links (a, b) between classes."""
+def linked_classes(docs: DataFrame, *, id_col: str, text_col: str, n: int, num: int, den: int, heavy: int, stars: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (id, key, size), classes (cid, key, size) and the components (node, component) of linked classes."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     staged = Staged(spark, "ngrams")
     rows = staged.write(sketches(docs, n, num, den), "sketches")
-    members = rows.select("id", "key", "size")
+    members = staged.write(rows.select("id", "key", "size"), "members")
     classes = rows.filter("size > 0").groupBy("key").agg(*(F.min_by(c, "th").alias(c) for c in ("th", "size", "prefix", "sig")))
     classes = staged.write(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-
-    counts = classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    total = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    total = rows.agg(F.sum(F.size("prefix") + F.size("more"))).first()[0] or 0
+    counts = rows.select(F.explode(F.concat("prefix", "more")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     often = [r["token"] for r in counts.filter(F.col("n") > max(heavy, total >> 20)).select("token").collect()]  # 2 ** 20 at most
+    staged.drop("sketches")
     if often:
         sent = spark.sparkContext.broadcast(np.sort(np.array(often, np.int64).view(np.uint64)))
         changed = staged.write(reordered(docs, sent, n, num, den).groupBy("key").agg(F.first("prefix").alias("prefix")), "changed")
@@ -144,45 +151,51 @@ def linked_classes(docs: DataFrame, *, id_col: str, text_col: str, n: int, num:
         )
     else:
         tokens = classes.select("cid", "size", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("cid").alias("least")).filter("n > 1")
+    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
     met = staged.write(tokens.join(shared, "token"), "met")
 
-    band = lambda size: F.floor(F.log(size.cast("double")) / math.log(den / num) + 1e-9)
-    def tiles(rows: DataFrame, extra: Column) -> DataFrame:
-        left = rows.select("token", band(F.col("size")).alias("band"), *(F.col(c).alias(f"a_{c}") for c in rows.columns if c != "token"))
-        right = rows.select("token", F.explode(F.array(band(F.col("size")) - 1, band(F.col("size")))).alias("band"), *(F.col(c).alias(f"b_{c}") for c in rows.columns if c != "token"))
-        right = right.withColumn("own", band(F.col("b_size")) == F.col("band"))
-        met = left.join(right, ["token", "band"]).filter((~F.col("own") | (F.col("a_cid") < F.col("b_cid"))) & fits(F.col("a_size"), F.col("b_size"), num, den) & extra)
-        return met.select(F.least("a_cid", "b_cid").alias("a"), F.greatest("a_cid", "b_cid").alias("b")).distinct()
-
-    few = tiles(met.filter(F.col("n") <= heavy).select("token", "cid", "size"), F.lit(True))
-    sizes = classes.select(F.col("cid").alias("least"), F.col("size").alias("least_size"))
-    star = met.filter((F.col("n") > heavy) & (F.col("cid") > F.col("least"))).select(F.col("least"), "cid", "size").distinct().join(sizes, "least")
-    star = star.filter(fits(F.col("size"), F.col("least_size"), num, den)).select(F.col("least").alias("a"), F.col("cid").alias("b"))
-    pairs = staged.write(bounded(few.unionByName(star).distinct(), classes, num, den), "pairs")
-    tested = verified(pairs, docs, classes, staged, "first", n, num, den)
-    links = tested.filter("linked").select("a", "b")
-
-    many = met.filter(F.col("n") > heavy).select("token", "cid", "size")
-    found = connected_components(links, "a", "b", checkpointed)
-    many = many.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    mixed = many.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
-    rest = tiles(many.join(mixed, "token", "left_semi").select("token", "cid", "size", "component"), F.col("a_component") != F.col("b_component"))
-    rest = staged.write(bounded(rest.join(tested, ["a", "b"], "left_anti"), classes, num, den), "rest")
-    if not rest.isEmpty():
-        links = links.unionAll(verified(rest, docs, classes, staged, "second", n, num, den).filter("linked").select("a", "b"))
-    return members, classes.select("cid", "key", "size"), links
-
-
-def joined(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100, heavy: int = 64) -> DataFrame:
-    """(id, n_shingles, component_id, n_links) of every row; n_links counts tested links of its class to other texts."""
-    members, classes, links = linked_classes(docs, id_col=id_col, text_col=text_col, n=n, num=num, den=den, heavy=heavy)
-    found = connected_components(links, "a", "b", checkpointed)
-    degree = links.select(F.col("a").alias("cid")).unionAll(links.select("b")).groupBy("cid").agg(F.count("*").alias("n_links"))
-    by_class = classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").join(degree, "cid", "left").select("key", F.coalesce("component", "cid").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    none = "a long, b long, linked boolean"
+    tested, found = spark.createDataFrame([], none), spark.createDataFrame([], "node long, component long")
+    for turn in range(stars + 1):  # the last one is pairwise
+        placed = met.join(found, F.col("cid") == F.col("node"), "left").select("token", "cid", "size", F.coalesce("component", "cid").alias("component"))
+        groups = placed.groupBy("token").agg(
+            F.min("component").alias("lo"), F.max("component").alias("hi"), F.mode("component").alias("main"),
+            F.min_by(F.struct("cid", "size", "component"), F.xxhash64("cid", F.lit(turn))).alias("pivot"),
+        ).filter("lo <> hi")
+        if turn < stars:
+            pairs = placed.join(groups.select("token", "pivot"), "token").filter((F.col("component") != F.col("pivot.component")) & fits(F.col("size"), F.col("pivot.size"), num, den))
+            pairs = pairs.select(F.least("cid", "pivot.cid").alias("a"), F.greatest("cid", "pivot.cid").alias("b")).distinct()
+        else:
+            pairs = tiles(placed.join(groups.select("token", "main"), "token"), num, den)
+        if turn:
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = staged.write(bounded(pairs, classes, num, den), f"pairs-{turn}")
+        if pairs.isEmpty():
+            continue
+        tested = tested.unionAll(verified(pairs, docs, classes, staged, f"turn-{turn}", n, num, den))
+        found = connected_components(tested.filter("linked"), "a", "b", checkpointed)
+    return members, classes.select("cid", "key", "size"), found
+
+
+def tiles(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) in different components that meet in a tile of one shingle and one band of sizes; rows (token, cid, size, component, main).
+
+    Of any such pair one at least is outside the shingle's main component, so the other members of that meet only these.
+    """
+    band = F.floor(F.log(F.col("size").cast("double")) / math.log(den / num) + 1e-9)
+    left = rows.filter("component <> main").select("token", F.explode(F.array(band - 1, band, band + 1)).alias("band"), *(F.col(c).alias(f"a_{c}") for c in ("cid", "size", "component")))
+    right = rows.select("token", band.alias("band"), *(F.col(c).alias(f"b_{c}") for c in ("cid", "size", "component")))
+    met = left.join(right, ["token", "band"]).filter((F.col("a_component") != F.col("b_component")) & fits(F.col("a_size"), F.col("b_size"), num, den))
+    return met.select(F.least("a_cid", "b_cid").alias("a"), F.greatest("a_cid", "b_cid").alias("b")).distinct()
+
+
+def joined(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100, heavy: int = 64, stars: int = 2) -> DataFrame:
+    """(id, n_shingles, component_id) of every row."""
+    members, classes, found = linked_classes(docs, id_col=id_col, text_col=text_col, n=n, num=num, den=den, heavy=heavy, stars=stars)
+    by_class = classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("key", F.coalesce("component", "cid").alias("component"))
     placed = members.join(by_class, "key", "left")
     least = placed.filter("component is not null").groupBy("component").agg(F.min("id").alias("component_id"))
     return placed.join(least, "component", "left").select(
         F.col("id").alias(id_col), F.col("size").alias("n_shingles"),
-        F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
     )
