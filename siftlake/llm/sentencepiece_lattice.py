@@ -6,7 +6,7 @@ grouped by word and folded by a higher-order aggregate that carries the best sco
 position (Viterbi). Edges are folded by end, then start, and only a better score replaces one, so ties go to the earliest
 start, as in the tokenizer. A character that is no piece gets an edge 10 below the least piece, and becomes its bytes.
 
-Words keep their partition from their deduplication to the fold, so edges are never shuffled. Documents get their ids
+Words are dealt by a 128-bit key before they are cut, and keep that partition to the fold, so edges are never shuffled. Documents get their ids
 back in blocks of rows: a block's distinct words are joined to the encoded ones and meet its documents in one co-group.
 The `hot` words that the most blocks hold are sent to every task instead, which more than halves that join; their number
 is fixed. Blocks are counted off along the scan, so the input must read alike each time (tables do).
@@ -26,6 +26,7 @@ from .common import Staged, by_batch, pa_schema
 
 BLOCK = 4096
 HOT = 1 << 17
+PAGE = 256
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -40,52 +41,85 @@ def word_column(text: str, dummy_prefix: bool) -> Column:
     return F.when(F.length(text) > 0, F.regexp_extract_all(whole, F.lit(f"({v.SPACE}+[^{v.SPACE}]*|[^{v.SPACE}]+)"), 1))
 
 
-def viterbi(edges: Column) -> Column:
-    """Pieces along the best path; edges (end, start, piece, score) cover every end from 1 on. -start - 1 stands for an unknown character."""
-    first = F.struct(F.array(F.lit(0.0)).alias("best"), F.array(F.lit(-1)).alias("source"), F.array(F.lit(-1)).alias("piece"))
+def viterbi(edges: Column, longest: int) -> Column:
+    """Pieces along the best path; edges (end, start, piece, score) cover every end from 1 on. -c - 1 stands for an unknown character of code point c.
+
+    The fold carries the best scores of the last `longest` positions alone, and links back in pages of PAGE positions, so
+    that a step copies a page at most and a word's cost grows with its length, not with its square.
+    """
+    link_type = "struct<source:int,piece:int>"
+    none = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
+    first = F.struct(F.lit(0).alias("at"), F.array(F.lit(0.0)).alias("best"), none(link_type).alias("page"), none(f"array<{link_type}>").alias("pages"))
+
+    def state(at: Column, best: Column, page: Column, pages: Column) -> Column:
+        return F.struct(at.alias("at"), best.alias("best"), page.alias("page"), pages.alias("pages"))
 
     def step(s: Column, e: Column) -> Column:
-        total = F.get(s["best"], e["start"]) + e["score"]
-        put = lambda name, value: F.concat(F.slice(s[name], 1, e["end"]), F.array(value)).alias(name)
-        better = (F.size(s["best"]) == e["end"]) | (total > F.get(s["best"], e["end"]))
-        return F.when(better, F.struct(put("best", total), put("source", e["start"]), put("piece", e["piece"]))).otherwise(s)
+        at, best, page, pages = s["at"], s["best"], s["page"], s["pages"]
+        total = F.get(best, e["start"] - at + F.size(best) - 1) + e["score"]
+        link = F.array(F.struct(e["start"].alias("source"), e["piece"].alias("piece")))
+        full, from_ = F.size(page) == PAGE, F.greatest(F.lit(1), F.size(best) - longest + 1)
+        grown = state(at + 1, F.concat(F.slice(best, from_, longest), F.array(total)), F.when(full, link).otherwise(F.concat(page, link)), F.when(full, F.concat(pages, F.array(page))).otherwise(pages))
+        swapped = state(at, F.concat(F.slice(best, 1, F.size(best) - 1), F.array(total)), F.concat(F.slice(page, 1, F.size(page) - 1), link), pages)
+        return F.when(e["end"] > at, grown).when(total > F.element_at(best, -1), swapped).otherwise(s)
 
     def walk(s: Column) -> Column:
-        begin = F.struct((F.size(s["best"]) - 1).alias("at"), F.expr("array(-1)").alias("out"))
-        back = lambda t, _: F.when(t["at"] == 0, t).otherwise(F.struct(F.get(s["source"], t["at"]).alias("at"), F.concat(F.array(F.get(s["piece"], t["at"])), t["out"]).alias("out")))
-        path = F.aggregate(s["source"], begin, back)["out"]
-        return F.slice(path, 1, F.size(path) - 1)
+        def back(t: Column, x: Column) -> Column:
+            link = F.get(F.get(x["pages"], F.floor((t["at"] - 1) / PAGE).cast("int")), (t["at"] - 1) % PAGE)
+            full, own = F.size(t["page"]) == PAGE, F.array(link["piece"])
+            more = F.struct(
+                link["source"].alias("at"), F.when(full, own).otherwise(F.concat(own, t["page"])).alias("page"),
+                F.when(full, F.concat(F.array(t["page"]), t["pages"])).otherwise(t["pages"]).alias("pages"),
+            )
+            return F.when(t["at"] == 0, t).otherwise(more)
+
+        def walked(x: Column) -> Column:
+            begin = F.struct(x["at"].alias("at"), none("int").alias("page"), none("array<int>").alias("pages"))
+            return F.aggregate(F.sequence(F.lit(1), x["at"]), begin, lambda t, _: back(t, x), lambda t: F.flatten(F.concat(F.array(t["page"]), t["pages"])))
+
+        kept = F.array(F.struct(s["at"].alias("at"), F.concat(s["pages"], F.array(s["page"])).alias("pages")))  # bound once for the walk
+        return F.get(F.transform(kept, walked), 0)
 
     return F.aggregate(F.array_sort(edges), first, step, walk)
 
 
+def substrings(word: Column, longest: int) -> Column:
+    """Array of (start, long, piece, whole): substrings of `longest` characters at most; only the first one holds the whole word, so that long words aren't copied."""
+
+    def cut(chars: Column) -> Column:
+        n = F.size(chars)
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda at: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - at)), lambda k: F.struct(
+            at.alias("start"), k.alias("long"), F.array_join(F.slice(chars, at + 1, k), "").alias("piece"), F.when((at == 0) & (k == 1), word).alias("whole"),
+        )))
+
+    return F.flatten(F.flatten(F.transform(F.array(F.split(word, "")), cut)))
+
+
+def utf8(code: Column) -> Column:
+    """The bytes of a code point."""
+    tail = lambda k: F.shiftright(code, 6 * k).bitwiseAND(63) + 128
+    head = lambda k, mark: F.shiftright(code, 6 * k) + mark
+    return (
+        F.when(code < 0x80, F.array(code)).when(code < 0x800, F.array(head(1, 0xC0), tail(0))).when(code < 0x10000, F.array(head(2, 0xE0), tail(1), tail(0)))
+        .otherwise(F.array(head(3, 0xF0), tail(2), tail(1), tail(0)))
+    )
+
+
 def encoded_words(words: DataFrame, vocab: v.Vocabulary) -> DataFrame:
-    """(word, n, ids) of distinct words (word, n)."""
+    """(word, n, ids) of distinct words (word, n). Edges travel under a 128-bit key of their word."""
     spark = words.sparkSession
     table = spark.createDataFrame([(p, i, float(s)) for p, i, s in vocab.pieces], "piece string, id int, score double")
-    n = F.length("word")
-    cut = words.withColumn("start", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("long", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocab.longest), n - F.col("start")))))
-    cut = cut.withColumn("piece", F.substr("word", F.col("start") + 1, F.col("long")))
+    key = ["w1", "w2"]
+    keyed = words.withColumns({"w1": F.xxhash64("word"), "w2": F.xxhash64(F.lit("second"), "word")}).repartition(*key)
+    cut = keyed.select(*key, "n", F.inline(substrings(F.col("word"), vocab.longest)))
     joined = cut.join(F.broadcast(table), "piece", "left").filter("id is not null or long = 1")
     edge = F.struct(
         (F.col("start") + F.col("long")).alias("end"), F.col("start").alias("start"),
-        F.coalesce("id", -F.col("start") - 1).alias("piece"), F.coalesce("score", F.lit(vocab.unknown_score)).alias("score"),
+        F.coalesce("id", -F.ascii("piece") - 1).alias("piece"), F.coalesce("score", F.lit(vocab.unknown_score)).alias("score"),
     )
-    path = joined.groupBy("word").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges")).select("word", "n", viterbi(F.col("edges")).alias("path"))
-    if vocab.bytes_from:
-        base = vocab.bytes_from[0]  # the bytes' ids follow each other
-
-        def spell(x: Column) -> Column:
-            code = F.hex(F.encode(F.substr(F.col("word"), -x, F.lit(1)), "UTF-8"))
-            byte = lambda k: F.conv(F.substr(code, 2 * k + 1, F.lit(2)), 16, 10).cast("int") + base
-            return F.transform(F.sequence(F.lit(0), (F.length(code) / 2 - 1).cast("int")), byte)
-
-    else:
-
-        def spell(x: Column) -> Column:
-            return F.array(F.lit(vocab.unknown))
-
-    return path.select("word", "n", F.flatten(F.transform("path", lambda x: F.when(x >= 0, F.array(x)).otherwise(spell(x)))).alias("ids"))
+    path = joined.groupBy(*key).agg(F.max("whole").alias("word"), F.first("n").alias("n"), F.collect_list(edge).alias("edges")).select("word", "n", viterbi(F.col("edges"), vocab.longest).alias("path"))
+    spelt = (lambda x: F.transform(utf8(-x - 1), lambda b: b + vocab.bytes_from[0])) if vocab.bytes_from else (lambda x: F.array(F.lit(vocab.unknown)))  # the bytes' ids follow each other
+    return path.select("word", "n", F.flatten(F.transform("path", lambda x: F.when(x >= 0, F.array(x)).otherwise(spelt(x)))).alias("ids"))
 
 
 def encoded(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str = v.MODEL) -> DataFrame:

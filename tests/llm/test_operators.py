@@ -66,15 +66,14 @@ def test_empty_table(spark, labels, name):
 # 1 and 5 ---------------------------------------------------------------------------------------------------------
 
 
-def best_path(word: str, vocab) -> list[int]:
-    """Plain dynamic programming: best score, ties to the earliest start of the last piece."""
-    by = {p: (i, s) for p, i, s in vocab.pieces}
+def best_path(word: str, vocab, by: dict, unknown: float) -> list[int]:
+    """Plain dynamic programming: best score, ties to the earliest start of the last piece. by: piece -> (id, score)."""
     best, back = [0.0], [None]
     for end in range(1, len(word) + 1):
         top = None
         for start in range(max(0, end - vocab.longest), end):
             if (m := by.get(word[start:end])) or end - start == 1:
-                i, s = m or (None, vocab.unknown_score)
+                i, s = m or (None, unknown)
                 if top is None or best[start] + s > top[0]:
                     top = (best[start] + s, start, i)
         best.append(top[0])
@@ -92,14 +91,15 @@ def test_lattice_equals_plain_viterbi_and_round_trips(spark, docs, odd):
     rows = docs.select("doc_id", "text").unionByName(odd.select((F.col("doc_id") + 10**6).alias("doc_id"), "text")).dropDuplicates(["doc_id"])
     got = {r["doc_id"]: r["ids"] for r in sentencepiece_lattice.encoded(rows).collect()}
     counts = {r["doc_id"]: r["n_tokens"] for r in token_count.counted(rows).collect()}
-    known: dict = {}
+    by, known = {p: (i, s) for p, i, s in vocab.pieces}, {}
+    unknown = vocab.unknown_score
     for r in rows.collect():
         if r["text"] is None:
             assert got[r["doc_id"]] is None and counts[r["doc_id"]] == 0
             continue
         want = []
         for w in vocabulary.words(r["text"], vocab.dummy_prefix):
-            want += known.setdefault(w, None) or known.__setitem__(w, best_path(w, vocab)) or known[w]
+            want += known.setdefault(w, None) or known.__setitem__(w, best_path(w, vocab, by, unknown)) or known[w]
         assert got[r["doc_id"]] == want and counts[r["doc_id"]] == len(want)
     back = sentencepiece_lattice.decoded(sentencepiece_lattice.encoded(rows)).join(rows.withColumnRenamed("text", "was"), "doc_id")
     assert back.filter(~F.col("text").eqNullSafe(F.col("was"))).count() == 0
