@@ -1,11 +1,13 @@
 """Line dedup (operator 4): pairwise alignment.
 
-Lines of `min_words` words or more are hashed. The earliest document that holds a line is its owner, and every later
-holder is paired with it, the pairs of rare lines being those that find a document's real source; a document has at most
-as many pairs as it has shared lines, so no group of holders is ever paired with itself, and no cap on holders is needed:
-a line that thousands share costs one pair each. A pair's lines are aligned by patience diff (lines that are unique in
-both, the longest increasing run of them, and so on between these), and the aligned blocks of `min_words` words or more
-are deleted from the later document. An owner's line is never deleted through its own pairs, so each text stays once.
+A document's runs are its shortest stretches of consecutive lines that reach `min_words` words, forward from each line and
+back from each line; two documents that share a block of so many words share a run, and such runs cover the whole block.
+Every later holder of a run is paired with its earliest holder, and the pair's lines are aligned by patience diff (lines
+that are unique in both, the longest increasing run of them, and so on between these); the aligned blocks of `min_words`
+words or more are deleted from the later document. What runs with an earlier holder cover is all that any pair could
+delete, so a document whose covered lines are gone is done. The runs that still cover a line are paired with all their
+earlier holders, one of each sequence of lines, so the result is that of all pairs, whatever a run's frequency. An owner's line is
+never deleted through its own pairs, so each text stays once.
 
 Documents are ordered by id, nulls last, then by a hash of the text.
 
@@ -23,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import Staged, by_batch
+from .common import Staged, by_batch, mixed
+from .hashing import powers
 
 
 def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -87,20 +90,65 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return by_batch(docs.select("doc", "text"), f"doc {kind}, lines array<long>, words array<int>", run, binary=("text",))
 
 
+def runs_of(lines: list[int], words: list[int], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end): the shortest runs of `least` words, forward from each line and back from each line."""
+    n = len(lines)
+    total = np.concatenate([[0], np.cumsum(np.array(words, np.int64))]).astype(np.int64)
+    start = np.arange(n)
+    ahead = np.searchsorted(total, total[:n] + max(least, 1), "left")
+    end = np.arange(1, n + 1)
+    behind = np.searchsorted(total, total[1:] - max(least, 1), "right") - 1
+    start, end = np.concatenate([start[ahead <= n], behind[behind >= 0]]), np.concatenate([ahead[ahead <= n], end[behind >= 0]])
+    start, end = np.unique(np.column_stack([start, end]), axis=0).T
+    up, down = powers(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(mixed(np.array(lines, np.int64).view(np.uint64)) * up[:n], out=sums[1:])
+    return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)).view(np.int64), start, end
+
+
+def open_runs(lines: list[int], words: list[int], held: list[int], gone: list[int] | None, least: int) -> list[int]:
+    """Those runs of `held` that cover a line which isn't in `gone`."""
+    kept = np.ones(len(lines) + 1, np.int64)
+    kept[gone or []] = 0
+    kept = np.concatenate([[0], np.cumsum(kept)])
+    h, start, end = runs_of(lines, words, least)
+    return np.unique(h[(kept[end] > kept[start]) & np.isin(h, np.array(held, np.int64))]).tolist()
+
+
 def deletions(docs: DataFrame, min_words: int) -> DataFrame:
     """(doc, gone[]): the places of the lines to delete from docs (doc, text)."""
-    staged = Staged(docs.sparkSession, "lines")
+    staged, kind = Staged(docs.sparkSession, "lines"), docs.schema["doc"].dataType.simpleString()
     own = staged.write(lines_of(docs.filter("text is not null")).dropDuplicates(["doc"]), "lines")
-    each = own.select("doc", F.explode(F.array_distinct(F.transform(F.filter(F.arrays_zip("lines", "words"), lambda z: z["words"] >= min_words), lambda z: z["lines"]))).alias("line"))
-    shared = each.groupBy("line").agg(F.min("doc").alias("owner"), F.count("*").alias("holders")).filter("holders > 1").drop("holders")
-    pairs = staged.write(each.join(shared, "line").filter("doc <> owner").select("owner", "doc").distinct(), "pairs")
-    both = pairs.join(own, "doc").join(own.select(F.col("doc").alias("owner"), F.col("lines").alias("first")), "owner").select("doc", "lines", "words", "first")
 
-    def run(x: dict) -> dict:
+    def cut(x: dict) -> dict:
+        return {"doc": x["doc"], "runs": [np.unique(runs_of(a, w, min_words)[0]).tolist() for a, w in zip(x["lines"], x["words"], strict=True)]}
+
+    each = staged.write(by_batch(own, f"doc {kind}, runs array<long>", cut).select("doc", F.explode("runs").alias("run")), "runs")
+    shared = each.groupBy("run").agg(F.min("doc").alias("owner"), F.count("*").alias("holders")).filter("holders > 1").drop("holders")
+    links = staged.write(each.join(shared, "run").filter("doc <> owner"), "links")
+
+    def align(x: dict) -> dict:
         return {"doc": x["doc"], "gone": [deleted_lines(a, b, w, min_words) for a, b, w in zip(x["first"], x["lines"], x["words"], strict=True)]}
 
-    found = by_batch(both, f"doc {docs.schema['doc'].dataType.simpleString()}, gone array<int>", run)
-    return found.filter(F.size("gone") > 0).groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
+    def gone(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(own, "doc").join(own.select(F.col("doc").alias("owner"), F.col("lines").alias("first")), "owner").select("doc", "lines", "words", "first")
+        return by_batch(both, f"doc {kind}, gone array<int>", align).filter(F.size("gone") > 0)
+
+    def merged(found: DataFrame) -> DataFrame:
+        return found.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
+
+    pairs = links.select("owner", "doc").distinct()
+    found = staged.write(merged(gone(pairs)), "found")
+
+    def rest(x: dict) -> dict:
+        return {"doc": x["doc"], "runs": [open_runs(*z, min_words) for z in zip(x["lines"], x["words"], x["held"], x["gone"], strict=True)]}
+
+    held = links.groupBy("doc").agg(F.collect_list("run").alias("held")).join(own, "doc").join(found, "doc", "left")
+    left = staged.write(by_batch(held.select("doc", "lines", "words", "held", "gone"), f"doc {kind}, runs array<long>", rest).select("doc", F.explode("runs").alias("run")), "left")
+    first = own.groupBy(F.xxhash64("lines").alias("c1"), F.xxhash64(F.lit("second"), "lines").alias("c2")).agg(F.min("doc").alias("doc")).select("doc")
+    holders = each.join(left.select("run").distinct(), "run", "left_semi").join(first, "doc", "left_semi").select("run", F.col("doc").alias("owner"))
+    more = left.join(holders, "run").filter("owner < doc").select("owner", "doc").distinct().join(pairs, ["owner", "doc"], "left_anti")
+    return merged(found.unionByName(gone(staged.write(more, "more"))))
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:

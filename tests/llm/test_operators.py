@@ -200,6 +200,32 @@ def test_line_dedup_deletes_from_the_later_document(spark):
     assert got[7]["text"] == "short\nlines" and got[2]["line_dedup"]["gone"] == [0, 1, 2]
 
 
+def line_rows(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    return {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(rows).collect()}
+
+
+def test_line_dedup_aligns_later_holders_and_blocks_of_short_lines(spark):
+    one, two = "first long line of many words", "second long line of many words"
+    assert line_rows(spark, [f"{two}\n{one}", f"{one}\n{two}", f"{one}\n{two}"])[3] == ""
+    got = line_rows(spark, [f"own\n{one}", f"a b\n{one}\nc d\nown two", f"own three\na b\n{one}\nc d"])
+    assert got[2] == "a b\nc d\nown two" and got[3] == "own three"
+    verse = "\n".join(f"verse {k}" for k in range(6))
+    assert line_rows(spark, [f"own one\n{verse}", f"{verse}\nown two"])[2] == "own two"
+
+
+def test_line_dedup_equals_all_pairs(spark):
+    rng = random.Random(5)
+    lines = ["", "a", "b c", "d e f", "one line of five words", "other line of six whole words", "g h"]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    ids = [[lines.index(x) for x in t.split("\n")] for t in texts]
+    got = line_rows(spark, texts)
+    for k, b in enumerate(ids):
+        words = [len(lines[x].split()) for x in b]
+        gone = {y for a in ids[:k] for y in line_dedup.deleted_lines(a, b, words, 5)}
+        assert got[k + 1] == "\n".join(lines[x] for y, x in enumerate(b) if y not in gone)
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------
 
 
