@@ -3,7 +3,8 @@
 A document's runs are its shortest stretches of consecutive lines that reach `min_words` words, forward from each line and
 back from each line; two documents that share a block of so many words share a run, and such runs cover the whole block.
 Every later holder of a run is paired with its earliest holder, and the pair's lines are aligned by patience diff (lines
-that are unique in both, the longest increasing run of them, and so on between these); the aligned blocks of `min_words`
+that are unique in both, the longest increasing run of them, and so on between these, and the longest common run where no
+line is unique in both); the aligned blocks of `min_words`
 words or more are deleted from the later document. What runs with an earlier holder cover is all that any pair could
 delete, so a document whose covered lines are gone is done. The runs that still cover a line are paired with all their
 earlier holders, one of each sequence of lines, so the result is that of all pairs, whatever a run's frequency. An owner's line is
@@ -12,7 +13,8 @@ never deleted through its own pairs, so each text stays once.
 Documents are ordered by id, nulls last, then by a hash of the text.
 
 Defined cases: a null text has no lines and stays null; rows that repeat both id and text are one document and get one
-result each; lines within one document are never deduplicated against each other; texts of one line are aligned like any
+result each; lines within one document are never deduplicated against each other, and an
+alignment matches a line once, so of a passage that stands twice in the later document one copy goes for each alignment's match; texts of one line are aligned like any
 other; an empty table gives an empty result; extra columns are ignored. A line is compared without its surrounding white space.
 """
 
@@ -29,8 +31,34 @@ from .common import Staged, by_batch, mixed
 from .hashing import powers
 
 
-def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Patience diff: index pairs of equal lines, rising in both."""
+def longest_run(a: list[int], b: list[int], words: list[int]) -> tuple[int, int, int]:
+    """(i, j, n): the run of n equal lines of a and b that has the most words, the earliest of several; n is 0 without one."""
+    places: dict[int, list[int]] = {}
+    for j, h in enumerate(b):
+        places.setdefault(h, []).append(j)
+    at = {h: np.array(js) for h, js in places.items()}
+    total = np.concatenate([[0], np.cumsum(words)])
+    size, best, most = np.zeros(len(b) + 1, np.int64), (0, 0, 0), -1
+    for i, h in enumerate(a):
+        old, size = size, np.zeros(len(b) + 1, np.int64)
+        if (js := at.get(h)) is None:
+            continue
+        size[js + 1] = long = old[js] + 1
+        weight = total[js + 1] - total[js + 1 - long]
+        k = int(np.argmax(weight))
+        if weight[k] > most:
+            n, most = int(long[k]), int(weight[k])
+            best = (i + 1 - n, int(js[k]) + 1 - n, n)
+    return best
+
+
+def aligned(a: list[int], b: list[int], words: list[int] | None = None, least: int = 1) -> list[tuple[int, int]]:
+    """Patience diff: index pairs of equal lines, rising in both.
+
+    In a gap without lines that are unique in both, the common run of the most words (of b; lines, where no words are given)
+    is aligned, and what lies before and behind it becomes a gap, until no run of `least` words is left.
+    """
+    words = words or [1] * len(b)
     out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         i, i2, j, j2 = todo.pop()
@@ -56,6 +84,10 @@ def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         while n >= 0:
             run.append(both[n])
             n = back[n]
+        if not run:
+            p, q, n = longest_run(a[i:i2], b[j:j2], words[j:j2])
+            if n and sum(words[j + q : j + q + n]) >= least:
+                run = [(i + p + k, j + q + k) for k in reversed(range(n))]
         edges = [(i - 1, j - 1), *run[::-1], (i2, j2)]
         if run:
             out.extend(run)
@@ -66,7 +98,7 @@ def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 def deleted_lines(a: list[int], b: list[int], words: list[int], least: int) -> list[int]:
     """Lines of b, the later document, in aligned blocks of `least` words."""
     out, block = [], []
-    for p, q in [*aligned(a, b), (-9, -9)]:
+    for p, q in [*aligned(a, b, words, least), (-9, -9)]:
         if block and (p, q) != (block[-1][0] + 1, block[-1][1] + 1):
             if sum(words[y] for _, y in block) >= least:
                 out.extend(y for _, y in block)

@@ -200,6 +200,16 @@ def test_line_dedup_deletes_from_the_later_document(spark):
     assert got[7]["text"] == "short\nlines" and got[2]["line_dedup"]["gone"] == [0, 1, 2]
 
 
+def test_alignment_of_repeated_passages():
+    passage = list(range(10, 20))
+    a, b = [1, *passage, 2], [3, *passage, 4, *passage, 5]
+    assert line_dedup.aligned(a, b) == [(k, k) for k in range(1, 11)]
+    assert line_dedup.deleted_lines(a, b, [3] * len(b), 5) == list(range(1, 11))
+    twice = [1, *passage, 2, *passage, 6]
+    assert line_dedup.deleted_lines(twice, b, [3] * len(b), 5) == [*range(1, 11), *range(12, 22)]
+    assert line_dedup.deleted_lines([1, 7, 7, 8, 7], [7, 8, 7, 7, 2], [9, 2, 2, 2, 9], 5) == [0, 1, 2]
+
+
 def line_rows(spark, texts):
     rows = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
     return {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(rows).collect()}
