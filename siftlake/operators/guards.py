@@ -41,15 +41,25 @@ def enforce(violations: DataFrame) -> dict[str, int]:
 def contaminated(docs: DataFrame, passages: DataFrame, words: int = 8) -> DataFrame:
     """(id, item): records that hold a whole held-out passage; both have (id, text).
 
-    A passage's first `words` words are its probe: records join on their shingles of so many words, and what joins is
-    checked for the whole passage. Shorter passages are their own probe of their length.
+    The first and the last word of a passage can be cut in the record, so its probe is the `words` words from the second on, or
+    all words between the first and the last where these are fewer: records join on their shingles of each probe length, and what joins is
+    checked for the whole passage. Passages of one or two words have no probe; their distinct texts are sought in every record.
+    A passage without words is held by no record.
     """
     split = lambda c: F.filter(F.split(c, "[ \\t\\n\\r]+"), lambda x: x != "")
-    own = passages.select(F.col("id").alias("item"), F.col("text").alias("passage"), split(F.col("text")).alias("w")).filter(F.size("w") > words + 1)
-    # the first and the last word can be cut in the record, so the probe starts at the second word
-    probe = own.select("item", "passage", F.array_join(F.slice("w", 2, words), " ").alias("probe"))
-    parts = docs.select("id", F.col("text"), split(F.col("text")).alias("w"))
-    shingle = F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.array_join(F.slice("w", i, words), " "))
-    grams = parts.filter(F.size("w") >= words).select("id", F.explode(F.array_distinct(shingle)).alias("probe"))
-    hits = grams.join(probe.select("item", "probe"), "probe").select("id", "item").distinct()
-    return hits.join(docs.select("id", "text"), "id").join(own.select("item", "passage"), "item").filter(F.contains("text", "passage")).select("id", "item")
+    own = passages.select(F.col("id").alias("item"), F.col("text").alias("passage"), split(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    long = F.least(F.lit(words), F.size("w") - 2)
+    probe = own.filter(F.size("w") > 2).select("item", "passage", F.array_join(F.slice("w", 2, long), " ").alias("probe"), long.alias("long"))
+    lengths = sorted(r["long"] for r in probe.select("long").distinct().collect())  # from 1 to `words`
+    found = []
+    if lengths:
+        parts = docs.select("id", split(F.col("text")).alias("w")).filter(F.size("w") >= lengths[0])
+        shingle = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
+        each = F.flatten(F.array(*(F.when(F.size("w") >= n, shingle(n)).otherwise(F.expr("cast(array() as array<string>)")) for n in lengths)))
+        grams = parts.select("id", F.explode(F.array_distinct(each)).alias("probe"))
+        hits = grams.join(probe.select("item", "probe"), "probe").select("id", "item").distinct()
+        found.append(hits.join(docs.select("id", "text"), "id").join(own.select("item", "passage"), "item").filter(F.contains("text", "passage")).select("id", "item"))
+    brief = own.filter(F.size("w") <= 2).select("item", "passage")
+    held = docs.select("id", "text").join(F.broadcast(brief.select("passage").distinct()), F.contains("text", "passage")).select("id", "passage")
+    found.append(held.join(brief, "passage").select("id", "item").distinct())
+    return reduce(DataFrame.unionAll, found)

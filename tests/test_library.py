@@ -90,6 +90,16 @@ def test_guards(spark):
     assert guards.enforce(guards.row_rules(rows, {"fine": F.col("id") < 0})) == {"fine": 0}
 
 
+def test_passages_of_any_length_are_found(spark):
+    whole = "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12"
+    items = {n: " ".join(whole.split()[:n]) for n in range(1, 14)} | {20: "", 21: None, 22: "zz  yy xx", 23: "w0 w1"}
+    texts = {1: f"before x{whole}y after", 2: "w0 w1 w2", 3: "nothing", 4: None, 5: "", 6: "a w1 w2 w3 w4 w5 w6 w7 b", 7: "zz yy xx", 8: "zz  yy xx"}
+    docs, passages = (spark.createDataFrame(list(x.items()), "id long, text string") for x in (texts, items))
+    want = sorted((d, i) for d, t in texts.items() for i, p in items.items() if t and p and p in t)
+    assert sorted(map(tuple, guards.contaminated(docs, passages).collect())) == want and (2, 3) in want and (1, 9) in want
+    assert sorted(map(tuple, guards.contaminated(docs, passages, 3).collect())) == want
+
+
 def test_early_stop(spark):
     values = [1.0, 2.0, 2.0, 1.5, 3.0, 1.0, 1.0, 1.0]
     history = spark.createDataFrame([("r", k, v) for k, v in enumerate(values)], "run string, step int, f1 double")
