@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_lattice.encoded(table(spark, sf_dir, "documents")).withColumn("n_tokens", F.size("ids"))
+    return sentencepiece_lattice.round_trip(table(spark, sf_dir, "documents")).withColumn("n_tokens", F.size("ids"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

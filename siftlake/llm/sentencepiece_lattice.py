@@ -12,11 +12,15 @@ The `hot` words that the most blocks hold are sent to every task instead, which
 is fixed. Blocks are counted off along the scan, so the input must read alike each time (tables do).
 
 Defined cases: a null text has null ids, an empty one none; each row is encoded by itself; an empty table gives an empty
-result; extra columns are ignored. Scores are summed in double precision within a word.
+result; extra columns are ignored. A space travels as U+2581, as in the tokenizer, so a literal U+2581 in a text is decoded
+to a space; every other text comes back exactly. Scores are summed in double precision within a word.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,8 +126,8 @@ def encoded_words(words: DataFrame, vocab: v.Vocabulary) -> DataFrame:
     return path.select("word", "n", F.flatten(F.transform("path", lambda x: F.when(x >= 0, F.array(x)).otherwise(spelt(x)))).alias("ids"))
 
 
-def encoded(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str = v.MODEL) -> DataFrame:
-    """(id, ids) of every row."""
+def encoded(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str = v.MODEL, keep_text: bool = False) -> DataFrame:
+    """(id, ids) of every row, and its text if `keep_text`."""
     spark, vocab = docs.sparkSession, v.load(model)
     staged = Staged(spark, "pieces")
     rows = blocks(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
@@ -136,7 +140,8 @@ def encoded(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rest = words.join(F.broadcast(rare), "word", "left_anti") if hot else words
     local = held.join(rest.select("word", "ids"), "word").select("block", "word", "ids")
     kind = dict(docs.dtypes)[id_col]
-    target = pa_schema(spark, f"id {kind}, ids array<int>")
+    schema = f"id {kind}, ids array<int>" + (", text string" if keep_text else "")
+    target = pa_schema(spark, schema)
 
     def meet(key, texts: pa.Table, own: pa.Table) -> pa.Table:
         prefix, common = sent.value
@@ -147,22 +152,49 @@ def encoded(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             for w in v.words(text, prefix):
                 ids.extend(common.get(w) or known[w])
             out.append(None if text is None else ids)
-        return pa.Table.from_arrays([texts.column("id").cast(target.field("id").type), pa.array(out, target.field("ids").type)], schema=target)
+        columns = [texts.column("id").cast(target.field("id").type), pa.array(out, target.field("ids").type)]
+        return pa.Table.from_arrays([*columns, *([texts.column("text").cast(target.field("text").type)] if keep_text else [])], schema=target)
 
-    return rows.groupBy("block").cogroup(local.groupBy("block")).applyInArrow(meet, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    out = rows.groupBy("block").cogroup(local.groupBy("block")).applyInArrow(meet, schema).withColumnRenamed("id", id_col)
+    return out.withColumnRenamed("text", text_col) if keep_text else out
 
 
-def decoded(rows: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", model: str = v.MODEL) -> DataFrame:
-    """(id, text) of rows of piece ids; null ids give a null text, ids outside the vocabulary raise."""
-    vocab = v.load(model)
+def decoder(vocab: v.Vocabulary) -> Callable[[list[int] | None], str | None]:
     byte_of = {i: b for b, i in vocab.bytes_from.items()}
     pieces = [bytes([byte_of[i]]) if i in byte_of else p.replace(v.SPACE, " ").encode() for i, p in enumerate(vocab.all_pieces)]
-    sent = rows.sparkSession.sparkContext.broadcast((pieces, vocab.dummy_prefix))
+    prefix = vocab.dummy_prefix
+
+    def text_of(ids: list[int] | None) -> str | None:
+        if ids is None:
+            return None
+        t = b"".join(pieces[i] for i in ids).decode("utf-8", "replace")
+        return t[1:] if prefix and t[:1] == " " else t
+
+    return text_of
+
+
+def decoded(rows: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", model: str = v.MODEL) -> DataFrame:
+    """(id, text) of rows of piece ids; null ids give a null text, ids outside the vocabulary raise. A literal U+2581 comes back as a space."""
+    text_of = decoder(v.load(model))
 
     def run(x: dict) -> dict:
-        pieces, prefix = sent.value
-        texts = [None if ids is None else b"".join(pieces[i] for i in ids).decode("utf-8", "replace") for ids in x["ids"]]
-        return {"id": x["id"], "text": [t[1:] if t and prefix and t[0] == " " else t for t in texts]}
+        return {"id": x["id"], "text": [text_of(ids) for ids in x["ids"]]}
 
     kind = dict(rows.dtypes)[id_col]
     return by_batch(rows.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")), f"id {kind}, text string", run).withColumnRenamed("id", id_col)
+
+
+def round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str = v.MODEL) -> DataFrame:
+    """(id, ids, decoded_sha256, same_text): every row encoded and decoded again; same_text is false where the text doesn't come back."""
+    text_of = decoder(v.load(model))
+
+    def run(x: dict) -> dict:
+        back = [text_of(ids) for ids in x["ids"]]
+        return {
+            "id": x["id"], "ids": x["ids"], "decoded_sha256": [None if t is None else hashlib.sha256(t.encode()).hexdigest() for t in back],
+            "same_text": [t == was for t, was in zip(back, x["text"], strict=True)],
+        }
+
+    rows = encoded(docs, id_col=id_col, text_col=text_col, model=model, keep_text=True)
+    kind = dict(rows.dtypes)[id_col]
+    return by_batch(rows.select(F.col(id_col).alias("id"), "ids", F.col(text_col).alias("text")), f"id {kind}, ids array<int>, decoded_sha256 string, same_text boolean", run).withColumnRenamed("id", id_col)

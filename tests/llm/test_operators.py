@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftlake.llm import cotraining, line_dedup, mih, mix_cube, ngram_join, quality_rules, secret_scan, sentencepiece_lattice, suffix_dedup, token_count, vocabulary
+from siftlake.llm import cotraining, line_dedup, mih, mix_cube, ngram_join, quality_rules, queries, secret_scan, sentencepiece_lattice, suffix_dedup, token_count, vocabulary
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, label string, key string"
@@ -105,6 +105,19 @@ def test_lattice_equals_plain_viterbi_and_round_trips(spark, docs, odd):
     assert back.filter(~F.col("text").eqNullSafe(F.col("was"))).count() == 0
 
 
+def test_lattice_query_decodes_all_documents(spark, docs):
+    sha = {r["doc_id"]: hashlib.sha256(r["text"].encode()).hexdigest() for r in docs.collect() if r["text"] is not None}
+    got = queries.op1_sentencepiece(spark, SF).collect()
+    assert len(got) == docs.count() and all(r["same_text"] and r["decoded_sha256"] == sha.get(r["doc_id"]) and (r["ids"] is None or r["n_tokens"] == len(r["ids"])) for r in got)
+
+
+def test_literal_space_mark_is_decoded_to_a_space(spark):
+    rows = spark.createDataFrame([(1, "a\u2581b c"), (2, "a b c"), (3, None), (4, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in sentencepiece_lattice.round_trip(rows).collect()}
+    assert [got[k]["same_text"] for k in (1, 2, 3, 4)] == [False, True, True, True]
+    assert got[1]["decoded_sha256"] == got[2]["decoded_sha256"] == hashlib.sha256(b"a b c").hexdigest() and got[3]["decoded_sha256"] is None
+
+
 def test_counts_by_merges_equal_the_tokenizer(spark, docs):
     import sentencepiece
 
