@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,46 +17,73 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(found)
-        return found
+    """The folder that driver and executors share: spark.checkpoint.dir, the checkpoint folder set by the caller, or one in the warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/siftlake-checkpoints"
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siftlake-"))
-    return spark.sparkContext.getCheckpointDir()
+        spark.sparkContext.setCheckpointDir(found)
+    return found
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of a job when it ends: what outlives a job here is in the shared folder."""
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+@contextmanager
+def configured(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """The session with these settings; the caller's come back at the end."""
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, value in settings.items():
+        spark.conf.set(k, value)
+    try:
+        yield
+    finally:
+        for k, value in old.items():
+            spark.conf.unset(k) if value is None else spark.conf.set(k, value)
+
+
+#: Shuffle files of a job that has ended go: what outlives a job here is a whole written table, read by later jobs.
+CLEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` with its lineage cut in the shared folder, for rows that are small beside the input."""
     shared_dir(df.sparkSession)
-    tidy(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with configured(df.sparkSession, CLEAN):
+        return df.checkpoint(eager=True)
+
+
+_written: list[Staged] = []
 
 
 class Staged:
-    """Parquet tables in the shared folder that one run of an operator writes, reads again and may drop."""
+    """Parquet tables in the shared folder that one run of an operator writes, reads again and may drop. `release` removes what is left of all runs."""
 
     def __init__(self, spark: SparkSession, name: str):
-        tidy(spark)
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/siftlake-{name}-{uuid.uuid4().hex}"
+        _written.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        with configured(self.spark, CLEAN):
+            df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
+    def drop(self, name: str = "") -> None:
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Removes the written tables of all runs so far: call it when their results have been read or saved."""
+    while _written:
+        _written.pop().drop()
+
+
+def same_each_read(df: DataFrame, staged: Staged) -> DataFrame:
+    """`df` if it is a plain scan of files, whose partitions hold the same rows in the same order each time; else a written copy of it."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = [re.sub(r"^[\s:+\-]*", "", line).split(" ")[0] for line in plan.splitlines() if line.strip()]
+    plain = bool(df.inputFiles()) and all(re.fullmatch(r"Project|Filter|Relation.*", n) for n in nodes) and not re.search(r"rand\(|uuid\(|monotonically", plan)
+    return df if plain else staged.write(df, "input")
+
+
 def by_batch(df: DataFrame, schema: str, f: Callable[[dict[str, list]], dict[str, list] | None], binary: tuple[str, ...] = ()) -> DataFrame:
     """mapInArrow with plain Python lists: `f` gets the columns of a batch and returns those of `schema`. Columns in `binary` come as UTF-8 bytes.
 

@@ -1,59 +1,92 @@
 """SentencePiece encoding and decoding (operator 1): a relational lattice.
 
-Words (see `vocabulary`) repeat, so the lattice is built once for each distinct word: its substrings of bounded length are
-exploded, equi-joined to the piece table (a broadcast of a fixed size), and the matches - edges of the lattice - are
-grouped by word and folded by a higher-order aggregate that carries the best score, its source and its piece for every
-position (Viterbi). Edges are folded by end, then start, and only a better score replaces one, so ties go to the earliest
-start, as in the tokenizer. A character that is no piece gets an edge 10 below the least piece, and becomes its bytes.
-
-Words are dealt by a 128-bit key before they are cut, and keep that partition to the fold, so edges are never shuffled. Documents get their ids
-back in blocks of rows: a block's distinct words are joined to the encoded ones and meet its documents in one co-group.
-The `hot` words that the most blocks hold are sent to every task instead, which more than halves that join; their number
-is fixed. Blocks are counted off along the scan, so the input must read alike each time (tables do).
+Words (see `vocabulary`) repeat, so the lattice is built once for each distinct word: for every end in a word its
+substrings of bounded length are exploded, longest first, equi-joined to the piece table (a broadcast of a fixed size), and
+the matches - edges of the lattice - are grouped by word and folded by a higher-order aggregate that carries the best
+score, its source and its piece for every position (Viterbi). How far back an end can reach is looked up by its last
+`TAIL` characters, so that few substrings are made that are no pieces. Edges are folded by end, then start, and only a
+better score replaces one, so ties go to the earliest start, as in the tokenizer; scores are summed in single precision, as
+there, but within a word. A character that is no piece gets an edge 10 below the least piece, and becomes its bytes.
+
+Words keep their partition from the distinct to the fold, so edges are never shuffled. Words over `LONG` characters are cut
+into overlapping parts first, so that no row holds all substrings of one, and fold with links back in pages.
+
+Documents get their ids in chunks of about CHUNK bytes of text along each partition of the input: a chunk gives its
+distinct words once, and then its documents as numbers of words, which meet the encoded words in a co-group. The `HOT`
+words of the most chunks are sent to every task instead, which halves that meeting; their number is fixed. A chunk must
+hold the same rows in both reads: a scan of files does; anything else is written to the shared folder first.
 
 Defined cases: a null text has null ids, an empty one none; each row is encoded by itself; an empty table gives an empty
 result; extra columns are ignored. A space travels as U+2581, as in the tokenizer, so a literal U+2581 in a text is decoded
-to a space; every other text comes back exactly. Scores are summed in double precision within a word.
+to a space; every other text comes back exactly.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocabulary as v
-from .common import Staged, by_batch, pa_schema
+from .common import Staged, by_batch, configured, pa_schema, same_each_read
 
-BLOCK = 4096
-HOT = 1 << 17
+CHUNK = 16 << 20
+HOT = 1 << 16
+TAIL = 3
+LONG = 64
 PAGE = 256
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """(block, id, text): rows counted off in runs of BLOCK along each partition."""
-    at = F.monotonically_increasing_id()
-    return docs.withColumn("block", F.shiftright(at, 33) * (1 << 20) + F.floor(at.bitwiseAND((1 << 33) - 1) / BLOCK))
+def none(kind: str) -> Column:
+    return F.expr(f"cast(array() as array<{kind}>)")
+
+
+def with_last(a: Column, x: Column) -> Column:
+    return F.flatten(F.array(a, F.array(x)))
+
 
+def viterbi(edges: Column) -> Column:
+    """Pieces along the best path; edges (pos = end << 8 | start, piece, score) cover every end from 1 on. -c - 1 stands for an unknown character of code point c.
 
-def word_column(text: str, dummy_prefix: bool) -> Column:
-    """The words of a text, as `vocabulary.words` gives them."""
-    whole = F.concat(F.lit(v.SPACE if dummy_prefix else ""), F.replace(F.col(text), F.lit(" "), F.lit(v.SPACE)))
-    return F.when(F.length(text) > 0, F.regexp_extract_all(whole, F.lit(f"({v.SPACE}+[^{v.SPACE}]*|[^{v.SPACE}]+)"), 1))
+    The fold carries the settled positions and the best edge so far into the one at hand.
+    """
+    best = lambda score, start, piece: F.struct(score.alias("score"), start.alias("start"), piece.alias("piece"))
+    state = lambda done, top, end: F.struct(done.alias("done"), top.alias("top"), end.alias("end"))
+    zero = best(F.lit(0.0).cast("float"), F.lit(0), F.lit(0))
+    first = state(F.expr("cast(array() as array<struct<score:float,start:int,piece:int>>)"), zero, F.lit(0))
+
+    def step(s: Column, e: Column) -> Column:
+        start = e["pos"].bitwiseAND(255)
+        total = F.when(start == s["end"], s["top"]["score"]).otherwise(F.get(s["done"], start)["score"]) + e["score"]
+        end = F.shiftright(e["pos"], 8)
+        taken = best(total, start, e["piece"])
+        return F.when(end != s["end"], state(with_last(s["done"], s["top"]), taken, end)).when(total > s["top"]["score"], state(s["done"], taken, end)).otherwise(s)
 
+    def walk(s: Column) -> Column:
+        begin = F.struct(s["top"]["start"].alias("at"), F.array(s["top"]["piece"]).alias("ids"))
 
-def viterbi(edges: Column, longest: int) -> Column:
-    """Pieces along the best path; edges (end, start, piece, score) cover every end from 1 on. -c - 1 stands for an unknown character of code point c.
+        def back(t: Column, k: Column) -> Column:
+            link = F.get(s["done"], k)
+            return F.when(t["at"] == k, F.struct(link["start"].alias("at"), with_last(t["ids"], link["piece"]).alias("ids"))).otherwise(t)
+
+        return F.aggregate(F.sequence(s["end"] - 1, F.lit(0), F.lit(-1)), begin, lambda t, k: F.when(k > 0, back(t, k)).otherwise(t), lambda t: F.reverse(t["ids"]))
+
+    return F.aggregate(F.array_sort(edges), first, step, walk)
+
+
+def paged_viterbi(edges: Column, longest: int) -> Column:
+    """`viterbi` for long words, edges (end, start, piece, score).
 
     The fold carries the best scores of the last `longest` positions alone, and links back in pages of PAGE positions, so
     that a step copies a page at most and a word's cost grows with its length, not with its square.
     """
     link_type = "struct<source:int,piece:int>"
-    none = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
-    first = F.struct(F.lit(0).alias("at"), F.array(F.lit(0.0)).alias("best"), none(link_type).alias("page"), none(f"array<{link_type}>").alias("pages"))
+    first = F.struct(F.lit(0).alias("at"), F.array(F.lit(0.0).cast("float")).alias("best"), none(link_type).alias("page"), none(f"array<{link_type}>").alias("pages"))
 
     def state(at: Column, best: Column, page: Column, pages: Column) -> Column:
         return F.struct(at.alias("at"), best.alias("best"), page.alias("page"), pages.alias("pages"))
@@ -87,18 +120,6 @@ def viterbi(edges: Column, longest: int) -> Column:
     return F.aggregate(F.array_sort(edges), first, step, walk)
 
 
-def substrings(word: Column, longest: int) -> Column:
-    """Array of (start, long, piece, whole): substrings of `longest` characters at most; only the first one holds the whole word, so that long words aren't copied."""
-
-    def cut(chars: Column) -> Column:
-        n = F.size(chars)
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda at: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - at)), lambda k: F.struct(
-            at.alias("start"), k.alias("long"), F.array_join(F.slice(chars, at + 1, k), "").alias("piece"), F.when((at == 0) & (k == 1), word).alias("whole"),
-        )))
-
-    return F.flatten(F.flatten(F.transform(F.array(F.split(word, "")), cut)))
-
-
 def utf8(code: Column) -> Column:
     """The bytes of a code point."""
     tail = lambda k: F.shiftright(code, 6 * k).bitwiseAND(63) + 128
@@ -109,76 +130,234 @@ def utf8(code: Column) -> Column:
     )
 
 
-def encoded_words(words: DataFrame, vocab: v.Vocabulary) -> DataFrame:
-    """(word, n, ids) of distinct words (word, n). Edges travel under a 128-bit key of their word."""
-    spark = words.sparkSession
-    table = spark.createDataFrame([(p, i, float(s)) for p, i, s in vocab.pieces], "piece string, id int, score double")
-    key = ["w1", "w2"]
-    keyed = words.withColumns({"w1": F.xxhash64("word"), "w2": F.xxhash64(F.lit("second"), "word")}).repartition(*key)
-    cut = keyed.select(*key, "n", F.inline(substrings(F.col("word"), vocab.longest)))
-    joined = cut.join(F.broadcast(table), "piece", "left").filter("id is not null or long = 1")
-    edge = F.struct(
-        (F.col("start") + F.col("long")).alias("end"), F.col("start").alias("start"),
-        F.coalesce("id", -F.ascii("piece") - 1).alias("piece"), F.coalesce("score", F.lit(vocab.unknown_score)).alias("score"),
-    )
-    path = joined.groupBy(*key).agg(F.max("whole").alias("word"), F.first("n").alias("n"), F.collect_list(edge).alias("edges")).select("word", "n", viterbi(F.col("edges"), vocab.longest).alias("path"))
-    spelt = (lambda x: F.transform(utf8(-x - 1), lambda b: b + vocab.bytes_from[0])) if vocab.bytes_from else (lambda x: F.array(F.lit(vocab.unknown)))  # the bytes' ids follow each other
-    return path.select("word", "n", F.flatten(F.transform("path", lambda x: F.when(x >= 0, F.array(x)).otherwise(spelt(x)))).alias("ids"))
-
-
-def encoded(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str = v.MODEL, keep_text: bool = False) -> DataFrame:
-    """(id, ids) of every row, and its text if `keep_text`."""
-    spark, vocab = docs.sparkSession, v.load(model)
+def spelt(path: Column, vocab: v.Vocabulary) -> Column:
+    """Ids of a path: an unknown character becomes its bytes, whose ids follow each other, or the unknown piece."""
+    unknown = (lambda x: F.transform(utf8(-x - 1), lambda b: b + vocab.bytes_from[0])) if vocab.bytes_from else (lambda x: F.array(F.lit(vocab.unknown)))
+    return F.when(F.exists(path, lambda x: x < 0), F.flatten(F.transform(path, lambda x: F.when(x >= 0, F.array(x)).otherwise(unknown(x))))).otherwise(path)
+
+
+def matches(parts: DataFrame, vocab: v.Vocabulary, *keys: str) -> DataFrame:
+    """(keys, last, long, id, score) of the substrings of parts (keys, part, skip) that end after `skip` characters and are pieces, or are single characters; `last` is their end in the part."""
+    spark = parts.sparkSession
+    reach: dict[str, int] = {}
+    for piece, _, _ in vocab.pieces:
+        for k in range(1, min(TAIL, len(piece)) + 1):
+            reach[piece[-k:]] = max(reach.get(piece[-k:], 0), len(piece))
+    tails = spark.createDataFrame(list(reach.items()), "tail string, reach int")  # bounded by the vocabulary, as is the next
+    table = spark.createDataFrame([(p, i, float(s)) for p, i, s in vocab.pieces], "piece string, id int, score float")
+    ends = parts.select(*keys, "part", F.explode(F.sequence(F.col("skip") + 1, F.length("part"))).alias("last"))
+    tail = F.substring("part", F.greatest(F.col("last") - TAIL, F.lit(0)) + 1, F.least(F.col("last"), F.lit(TAIL)))
+    ends = ends.join(F.broadcast(tails), tail == F.col("tail"), "left")  # a tail of no piece leaves only what is shorter
+    cut = ends.select(*keys, "part", "last", F.explode(F.sequence(F.least(F.coalesce("reach", F.lit(max(1, TAIL - 1))), F.col("last")), F.lit(1), F.lit(-1))).alias("long"))
+    cut = cut.select(*keys, "last", "long", F.substring("part", F.col("last") - F.col("long") + 1, F.col("long")).alias("piece"))
+    found = cut.join(F.broadcast(table), "piece", "left").filter("id is not null or long = 1")
+    return found.select(*keys, "last", "long", F.coalesce("id", -F.ascii("piece") - 1).alias("id"), F.coalesce("score", F.lit(vocab.unknown_score).cast("float")).alias("score"))
+
+
+def short_words(words: DataFrame, vocab: v.Vocabulary) -> DataFrame:
+    """(word, n, ids) of distinct words (word, n) of LONG characters at most."""
+    rows = matches(words.sortWithinPartitions("word").select("word", "n", F.col("word").alias("part"), F.lit(0).alias("skip")), vocab, "word", "n")
+    edge = F.struct((F.shiftleft("last", 8) + F.col("last") - F.col("long")).alias("pos"), F.col("id").alias("piece"), "score")
+    path = rows.groupBy("word").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges")).select("word", "n", viterbi(F.col("edges")).alias("path"))
+    return path.select("word", "n", spelt(F.col("path"), vocab).alias("ids"))
+
+
+def long_words(words: DataFrame, vocab: v.Vocabulary) -> DataFrame:
+    """(word, n, ids) of distinct words (word, n) over LONG characters: their edges travel under a 128-bit key."""
+    key, back = ["w1", "w2"], vocab.longest - 1
+    keyed = words.withColumns({"w1": F.xxhash64("word"), "w2": F.xxhash64(F.lit("second"), "word")})
+    begins = keyed.select("*", F.explode(F.sequence(F.lit(0), F.length("word") - 1, F.lit(PAGE))).alias("at"))
+    skip = F.least(F.col("at"), F.lit(back))
+    parts = begins.select(*key, "at", skip.alias("skip"), F.substring("word", F.col("at") - skip + 1, skip + PAGE).alias("part"))
+    rows = matches(parts.select(*key, (F.col("at") - F.col("skip")).alias("base"), "skip", "part").repartition(*key), vocab, *key, "base")
+    end = F.col("base") + F.col("last")
+    edge = F.struct(end.alias("end"), (end - F.col("long")).alias("start"), F.col("id").alias("piece"), "score")
+    path = rows.groupBy(*key).agg(F.collect_list(edge).alias("edges")).select(*key, paged_viterbi(F.col("edges"), vocab.longest).alias("path"))
+    return keyed.join(path, key).select("word", "n", spelt(F.col("path"), vocab).alias("ids"))
+
+
+def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Runs of rows of about CHUNK bytes along a partition, with the chunk's number; a longer text is a chunk's last."""
+    number, size = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        lengths = np.diff(np.frombuffer(batch.column(1).cast(pa.large_string()).buffers()[1], np.int64)[batch.column(1).offset :][: batch.num_rows + 1]) if batch.num_rows else []
+        begin = 0
+        for k, n in enumerate(lengths):
+            size += int(n)
+            if size >= CHUNK or k + 1 == batch.num_rows:
+                yield number, batch.slice(begin, k + 1 - begin)
+                begin = k + 1
+                if size >= CHUNK:
+                    number, size = number + 1, 0
+
+
+def chunk_runs(parts: list[pa.Array], cutter: v.Cutter) -> list[str]:
+    """The distinct runs of a chunk's texts, sorted."""
+    found: set[str] = set()
+    for part in parts:
+        for text in part:
+            found.update(cutter.runs(text.as_py()))
+    return sorted(found)
+
+
+def words_of(runs: list[str], cutter: v.Cutter) -> tuple[dict[str, int], list[int], list[int]]:
+    """The numbers of the words of `runs` in the order of their first use; and for the runs one after the other, their words' numbers and how many these are."""
+    numbers: dict[str, int] = {}
+    flat, sizes = [], []
+    for x in runs:
+        own = cutter.cut(x)
+        sizes.append(len(own))
+        flat.extend([numbers.setdefault(w, len(numbers)) for w in own])
+    return numbers, flat, sizes
+
+
+def by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    last, parts = None, []
+    for chunk, part in chunked(batches):
+        if parts and chunk != last:
+            yield last, parts
+            parts = []
+        last = chunk
+        parts.append(part)
+    if parts:
+        yield last, parts
+
+
+def chunk_words(rows: DataFrame, vocab: v.Vocabulary) -> DataFrame:
+    """(chunk, words): the distinct words of each chunk of rows (id, text), in the order of `words_of`."""
+    sent = rows.sparkSession.sparkContext.broadcast(vocab)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = v.Cutter(sent.value)
+        for chunk, parts in by_chunk(batches):
+            words = list(words_of(chunk_runs([p.column(1) for p in parts], cutter), cutter)[0])
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([words], pa.list_(pa.string()))], names=["chunk", "words"])
+
+    return rows.mapInArrow(run, "chunk long, words array<string>")
+
+
+def numbered(rows: DataFrame, vocab: v.Vocabulary, hot: list[str], digests: bool) -> DataFrame:
+    """(chunk, id, words, digest) of each row: its words as int32 bytes, numbers of hot words from 0 up, of the chunk's words from -1 down; the text's SHA-256 if `digests`."""
+    sent = rows.sparkSession.sparkContext.broadcast((vocab, hot))
+    kind = dict(rows.dtypes)["id"]
+    schema = f"chunk long, id {kind}, words binary, digest binary"
+    target = pa_schema(rows.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, hot = sent.value
+        cutter, hot = v.Cutter(vocab), {w: k for k, w in enumerate(hot)}
+        for chunk, parts in by_chunk(batches):
+            runs = chunk_runs([p.column(1) for p in parts], cutter)
+            numbers, flat, sizes = words_of(runs, cutter)
+            told = np.array([hot.get(w, -n - 1) for w, n in numbers.items()], np.int32)[np.array(flat, np.int64)] if flat else np.zeros(0, np.int32)
+            spans, number = spans_of(np.array(sizes, np.int64)), {x: k for k, x in enumerate(runs)}
+            for part in parts:
+                step = max(1, int(part.num_rows * (4 << 20) / max(part.nbytes, 1)))
+                for at in range(0, part.num_rows, step):
+                    some, out, digest = part.slice(at, step), [], []
+                    for text in some.column(1).to_pylist():
+                        own = cutter.runs(text)
+                        out.append(None if text is None else gathered(told, spans, np.fromiter(map(number.__getitem__, own), np.int64, len(own)))[0].tobytes())
+                        digest.append(hashlib.sha256(text.encode()).digest() if digests and text is not None else None)
+                    columns = [pa.array([chunk] * some.num_rows, pa.int64()), some.column(0).cast(target.field("id").type), pa.array(out, target.field("words").type), pa.array(digest, target.field("digest").type)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=target)
+
+    return rows.mapInArrow(run, schema)
+
+
+def gathered(flat: np.ndarray, spans: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches flat[begin : begin + size] of spans[at] (begin, size), joined, and their sizes."""
+    begin, size = spans[at, 0], spans[at, 1]
+    where = np.arange(int(size.sum())) + np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) if len(size) else begin, size)
+    return flat[where], size
+
+
+def spans_of(sizes: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.cumsum(sizes) - sizes, sizes]).astype(np.int64)
+
+
+def encoded(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str = v.MODEL) -> DataFrame:
+    """(id, ids) of every row."""
+    return _encoded(docs, id_col, text_col, v.load(model), check=False).select(id_col, "ids")
+
+
+def _encoded(docs: DataFrame, id_col: str, text_col: str, vocab: v.Vocabulary, *, check: bool) -> DataFrame:
+    """(id, ids), and if `check` (id, ids, decoded_sha256, same_text): the ids decoded again where they are made."""
+    spark = docs.sparkSession
     staged = Staged(spark, "pieces")
-    rows = blocks(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    held = rows.select("block", F.explode(F.array_distinct(word_column("text", vocab.dummy_prefix))).alias("word")).distinct()
-    held = staged.write(held, "held")
-    words = staged.write(encoded_words(held.groupBy("word").agg(F.count("*").alias("n")), vocab), "words")
-    hot = {r["word"]: r["ids"] for r in words.filter("n > 1").orderBy(F.desc("n"), "word").limit(HOT).select("word", "ids").collect()}
-    sent = spark.sparkContext.broadcast((vocab.dummy_prefix, hot))  # HOT words at most
-    rare = words.filter("n > 1").orderBy(F.desc("n"), "word").limit(HOT).select("word") if hot else None
-    rest = words.join(F.broadcast(rare), "word", "left_anti") if hot else words
-    local = held.join(rest.select("word", "ids"), "word").select("block", "word", "ids")
+    rows = same_each_read(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), staged)
+    held = staged.write(chunk_words(rows, vocab), "held")
+    each = held.select(F.explode("words").alias("word"))
+    counted = lambda which: each.filter(which).groupBy("word").agg(F.count("*").alias("n"))
+    with configured(spark, {"spark.sql.execution.useObjectHashAggregateExec": "false"}):  # a word's edges come together, so they are grouped as they come
+        short = staged.write(short_words(counted(F.length("word") <= LONG), vocab), "short")
+        long = staged.write(long_words(counted(F.length("word") > LONG), vocab), "long")
+    words = short.unionByName(long)
+    top = [(r["word"], r["ids"]) for r in short.filter("n > 1").orderBy(F.desc("n"), "word").limit(HOT).select("word", "ids").collect()]  # HOT words of LONG characters at most
+    hot = spark.createDataFrame([(w,) for w, _ in top], "word string")
+    wanted = held.select("chunk", F.posexplode("words").alias("k", "word")).join(F.broadcast(hot), "word", "left_anti")
+    answers = staged.write(wanted.join(words.join(F.broadcast(hot), "word", "left_anti").select("word", "ids"), "word").select("chunk", "k", "ids"), "answers")
+    for name in ("held", "short", "long"):
+        staged.drop(name)
+    sizes = np.array([len(ids) for _, ids in top], np.int64)
+    sent = spark.sparkContext.broadcast((np.array([i for _, ids in top for i in ids], np.int32), spans_of(sizes), Decoder(vocab) if check else None))
     kind = dict(docs.dtypes)[id_col]
-    schema = f"id {kind}, ids array<int>" + (", text string" if keep_text else "")
+    schema = f"id {kind}, ids array<int>" + (", decoded_sha256 string, same_text boolean" if check else "")
     target = pa_schema(spark, schema)
 
     def meet(key, texts: pa.Table, own: pa.Table) -> pa.Table:
-        prefix, common = sent.value
-        known = dict(zip(own.column("word").to_pylist(), own.column("ids").to_pylist(), strict=True))
-        out = []
-        for text in texts.column("text").to_pylist():
-            ids: list[int] = []
-            for w in v.words(text, prefix):
-                ids.extend(common.get(w) or known[w])
-            out.append(None if text is None else ids)
-        columns = [texts.column("id").cast(target.field("id").type), pa.array(out, target.field("ids").type)]
-        return pa.Table.from_arrays([*columns, *([texts.column("text").cast(target.field("text").type)] if keep_text else [])], schema=target)
-
-    out = rows.groupBy("block").cogroup(local.groupBy("block")).applyInArrow(meet, schema).withColumnRenamed("id", id_col)
-    return out.withColumnRenamed("text", text_col) if keep_text else out
-
-
-def decoder(vocab: v.Vocabulary) -> Callable[[list[int] | None], str | None]:
-    byte_of = {i: b for b, i in vocab.bytes_from.items()}
-    pieces = [bytes([byte_of[i]]) if i in byte_of else p.replace(v.SPACE, " ").encode() for i, p in enumerate(vocab.all_pieces)]
-    prefix = vocab.dummy_prefix
-
-    def text_of(ids: list[int] | None) -> str | None:
-        if ids is None:
-            return None
-        t = b"".join(pieces[i] for i in ids).decode("utf-8", "replace")
-        return t[1:] if prefix and t[:1] == " " else t
-
-    return text_of
+        flat, spans, decode = sent.value
+        ids = own.column("ids").combine_chunks() if own.num_rows else pa.array([], pa.list_(pa.int32()))
+        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+        k, rare = own.column("k").to_numpy(), np.asarray(ids.flatten(), np.int32)
+        own_spans = np.zeros((int(k.max()) + 1 if len(k) else 0, 2), np.int64)
+        own_spans[k] = spans_of(np.asarray(ids.value_lengths(), np.int64)) + [[len(flat), 0]]
+        both, base = np.concatenate([flat, rare]), len(spans)
+        table = np.concatenate([spans, own_spans])
+        out: dict[str, list] = {name: [] for name in target.names[1:]}
+        for words, digest in zip(texts.column("words"), texts.column("digest"), strict=True):
+            words = words.as_py()
+            if words is None:
+                for name, x in out.items():
+                    x.append(True if name == "same_text" else None)
+                continue
+            n = np.frombuffer(words, np.int32).astype(np.int64)
+            got, size = gathered(both, table, np.where(n >= 0, n, base - n - 1))
+            if len(size) and not size.min():
+                raise ValueError("a chunk's words differ between two reads of the input")
+            out["ids"].append(got)
+            if decode:
+                text = decode.text(got).encode()
+                sha = hashlib.sha256(text)
+                out["decoded_sha256"].append(sha.hexdigest())
+                out["same_text"].append(sha.digest() == digest.as_py())
+        return pa.Table.from_arrays([texts.column("id").cast(target.field("id").type), *(pa.array(x, target.field(name).type) for name, x in out.items())], schema=target)
+
+    told = numbered(rows, vocab, [w for w, _ in top], check)
+    return told.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(meet, schema).withColumnRenamed("id", id_col)
+
+
+class Decoder:
+    """Text of piece ids; ids outside the vocabulary raise."""
+
+    def __init__(self, vocab: v.Vocabulary):
+        byte_of = {i: b for b, i in vocab.bytes_from.items()}
+        pieces = [bytes([byte_of[i]]) if i in byte_of else p.replace(v.SPACE, " ").encode() for i, p in enumerate(vocab.all_pieces)]
+        self.pool, self.spans, self.prefix = np.frombuffer(b"".join(pieces), np.uint8), spans_of(np.array([len(p) for p in pieces], np.int64)), vocab.dummy_prefix
+
+    def text(self, ids: np.ndarray) -> str:
+        if len(ids) and ids.min() < 0:
+            raise IndexError("a piece id below 0")
+        t = gathered(self.pool, self.spans, ids)[0].tobytes().decode("utf-8", "replace")
+        return t[1:] if self.prefix and t[:1] == " " else t
 
 
 def decoded(rows: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", model: str = v.MODEL) -> DataFrame:
     """(id, text) of rows of piece ids; null ids give a null text, ids outside the vocabulary raise. A literal U+2581 comes back as a space."""
-    text_of = decoder(v.load(model))
+    decoder = Decoder(v.load(model))
 
     def run(x: dict) -> dict:
-        return {"id": x["id"], "text": [text_of(ids) for ids in x["ids"]]}
+        return {"id": x["id"], "text": [None if ids is None else decoder.text(np.array(ids, np.int64)) for ids in x["ids"]]}
 
     kind = dict(rows.dtypes)[id_col]
     return by_batch(rows.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")), f"id {kind}, text string", run).withColumnRenamed("id", id_col)
@@ -186,15 +365,4 @@ def decoded(rows: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", mo
 
 def round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str = v.MODEL) -> DataFrame:
     """(id, ids, decoded_sha256, same_text): every row encoded and decoded again; same_text is false where the text doesn't come back."""
-    text_of = decoder(v.load(model))
-
-    def run(x: dict) -> dict:
-        back = [text_of(ids) for ids in x["ids"]]
-        return {
-            "id": x["id"], "ids": x["ids"], "decoded_sha256": [None if t is None else hashlib.sha256(t.encode()).hexdigest() for t in back],
-            "same_text": [t == was for t, was in zip(back, x["text"], strict=True)],
-        }
-
-    rows = encoded(docs, id_col=id_col, text_col=text_col, model=model, keep_text=True)
-    kind = dict(rows.dtypes)[id_col]
-    return by_batch(rows.select(F.col(id_col).alias("id"), "ids", F.col(text_col).alias("text")), f"id {kind}, ids array<int>, decoded_sha256 string, same_text boolean", run).withColumnRenamed("id", id_col)
+    return _encoded(docs, id_col, text_col, v.load(model), check=True)

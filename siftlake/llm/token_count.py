@@ -3,15 +3,17 @@
 An Aho-Corasick automaton over the unigram vocabulary lists all matches that end at each character of a word; dynamic
 programming carries only the best score to there and its number of pieces. Ties follow the tokenizer: of equal scores the
 piece that starts first stays, and a character without a piece of its own scores 10 below the least piece and counts its
-UTF-8 bytes if the model falls back to bytes (1 if not). Scores are summed in double precision within a word.
+UTF-8 bytes if the model falls back to bytes (1 if not). Scores are summed in single precision, as there, but within a
+word: a tokenizer that sums over the whole text can round another way where two ways score all but the same.
 
 A model file of BPE kind holds merge ranks as scores, and its own tokenizer joins pairs by rank instead of maximising
-their sum. For such a file the counts by that rule are returned beside, in `n_merged`; they equal the tokenizer's.
+their sum. `rule="merges"` counts by that rule, as that tokenizer does.
 
-Words repeat, so each Python worker keeps the counts of words it has seen, at most `_KEPT` of them, then starts afresh;
-that changes nothing but time.
+Words repeat, so each Python worker keeps the counts of runs and words it has seen, at most `_KEPT` of each, then starts
+afresh; that changes nothing but time.
 
-Defined cases: a null or empty text counts 0; each row is counted by itself; an empty table gives an empty result.
+Defined cases: a null or empty text counts 0; each row is counted by itself; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import heapq
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +33,9 @@ _workers: dict = {}
 
 
 class Counter(dict):
-    """Word -> pieces by Viterbi * 2 ** 32 + pieces by merges, so that sums give both; a missing word is counted and kept."""
+    """Word -> pieces by the rule; a missing word is counted and kept."""
 
-    def __init__(self, vocab: v.Vocabulary):
+    def __init__(self, vocab: v.Vocabulary, rule: str = "viterbi"):
         import ahocorasick
 
         super().__init__()
@@ -41,7 +44,10 @@ class Counter(dict):
             self.matches.add_word(piece, (len(piece), score))
         self.matches.make_automaton()
         self.scores = {p: s for p, _, s in vocab.pieces}
-        self.unknown, self.by_bytes, self.merges = vocab.unknown_score, bool(vocab.bytes_from), vocab.merges
+        self.unknown, self.by_bytes = vocab.unknown_score, bool(vocab.bytes_from)
+        #: Sums of whole numbers below 2 ** 24 are the same in any precision, so these need no rounding.
+        self.whole = int((1 << 23) / -self.unknown) if self.unknown < 0 and all(float(s).is_integer() for s in (*self.scores.values(), self.unknown)) else 0
+        self.count = {"viterbi": self.viterbi, "merges": self.merged}[rule]
 
     def cost(self, char: str) -> int:
         """Pieces of a character that has none of its own."""
@@ -49,18 +55,19 @@ class Counter(dict):
 
     def viterbi(self, word: str) -> int:
         n = len(word)
-        best, count = [0.0] * (n + 1), [0] * (n + 1)
+        kind = float if n < self.whole else np.float32
+        best, count, unknown = [kind(0)] * (n + 1), [0] * (n + 1), kind(self.unknown)
         ends: list[list] = [[] for _ in range(n)]
         for end, match in self.matches.iter(word):
             ends[end].append(match)
         for end, found in enumerate(ends):
             top, pieces = None, 0
             for length, score in found:  # longest, that is earliest start, first
-                total = best[end + 1 - length] + score
+                total = best[end + 1 - length] + kind(score)
                 if top is None or total > top:
                     top, pieces = total, count[end + 1 - length] + 1
             if word[end] not in self.scores:
-                total = best[end] + self.unknown
+                total = best[end] + unknown
                 if top is None or total > top:
                     top, pieces = total, count[end] + self.cost(word[end])
             best[end + 1], count[end + 1] = top, pieces
@@ -88,23 +95,40 @@ class Counter(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= _KEPT:
             self.clear()
-        self[word] = found = (self.viterbi(word) << 32) + (self.merged(word) if self.merges else 0)
+        self[word] = found = self.count(word)
         return found
 
 
-def counted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str = v.MODEL) -> DataFrame:
-    """(id, n_tokens, n_merged) of every row; n_merged is null if the model isn't BPE."""
+class Runs(dict):
+    """Run of a text -> pieces of its words."""
+
+    def __init__(self, vocab: v.Vocabulary, rule: str):
+        super().__init__()
+        self.cutter, self.words = v.Cutter(vocab), Counter(vocab, rule)
+
+    def __missing__(self, run: str) -> int:
+        if len(self) >= _KEPT:
+            self.clear()
+        words = self.cutter.cut(run)
+        self[run] = found = self.words[run] if len(words) == 1 else sum(map(self.words.__getitem__, words))
+        return found
+
+
+
+
+def counted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str = v.MODEL, rule: str = "viterbi") -> DataFrame:
+    """(id, n_tokens) of every row."""
     vocab = v.load(model)
+    if rule == "merges" and not vocab.merges:
+        raise ValueError("the model holds no merges")
     key = uuid.uuid4().hex  # a worker outlives a query
     sent = docs.sparkSession.sparkContext.broadcast(vocab)  # the vocabulary, of a fixed size
 
     def run(x: dict) -> dict:
         if (counter := _workers.get(key)) is None:
             _workers.clear()
-            counter = _workers[key] = Counter(sent.value)
-        prefix, merges = sent.value.dummy_prefix, sent.value.merges
-        found = [sum(map(counter.__getitem__, v.words(t, prefix))) for t in x["text"]]
-        return {"id": x["id"], "n_tokens": [f >> 32 for f in found], "n_merged": [f & 0xFFFFFFFF if merges else None for f in found]}
+            counter = _workers[key] = Runs(sent.value, rule)
+        return {"id": x["id"], "n_tokens": [sum(map(counter.__getitem__, counter.cutter.runs(t))) for t in x["text"]]}
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return by_batch(rows, f"id {dict(docs.dtypes)[id_col]}, n_tokens long, n_merged long", run).withColumnRenamed("id", id_col)
+    return by_batch(rows, f"id {dict(docs.dtypes)[id_col]}, n_tokens long", run).withColumnRenamed("id", id_col)

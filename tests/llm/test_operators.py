@@ -98,7 +98,7 @@ def test_lattice_equals_plain_viterbi_and_round_trips(spark, docs, odd):
             assert got[r["doc_id"]] is None and counts[r["doc_id"]] == 0
             continue
         want = []
-        for w in vocabulary.words(r["text"], vocab.dummy_prefix):
+        for w in re.findall("▁+[^▁]*|[^▁]+", "▁" + r["text"].replace(" ", "▁") if r["text"] else ""):
             want += known.setdefault(w, None) or known.__setitem__(w, best_path(w, vocab, by, unknown)) or known[w]
         assert got[r["doc_id"]] == want and counts[r["doc_id"]] == len(want)
     back = sentencepiece_lattice.decoded(sentencepiece_lattice.encoded(rows)).join(rows.withColumnRenamed("text", "was"), "doc_id")
@@ -123,8 +123,49 @@ def test_counts_by_merges_equal_the_tokenizer(spark, docs):
 
     own = sentencepiece.SentencePieceProcessor(model_file=vocabulary.MODEL)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    for r in token_count.counted(docs).collect():
-        assert r["n_merged"] == len(own.encode(texts[r["doc_id"]]))
+    for r in token_count.counted(docs, rule="merges").collect():
+        assert r["n_tokens"] == len(own.encode(texts[r["doc_id"]]))
+
+
+def unigram_model(path, pieces):
+    """A model file of unigram kind with these (piece, score), written by hand."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback = 1, True
+    m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces, m.normalizer_spec.escape_whitespaces = "identity", True, False, True
+    kinds = pb.ModelProto.SentencePiece
+    rows = [("<unk>", 0.0, kinds.UNKNOWN), ("<s>", 0.0, kinds.CONTROL), ("</s>", 0.0, kinds.CONTROL), *((f"<0x{b:02X}>", 0.0, kinds.BYTE) for b in range(256)), *((p, s, kinds.NORMAL) for p, s in pieces)]
+    for piece, score, kind in rows:
+        x = m.pieces.add()
+        x.piece, x.score, x.type = piece, score, kind
+    path.write_bytes(m.SerializeToString())
+    return str(path)
+
+
+def test_ids_and_counts_equal_a_unigram_tokenizer_with_ties(spark, tmp_path):
+    import sentencepiece
+
+    rng = np.random.default_rng(5)
+    pieces = {c: -float(rng.integers(20, 60)) / 8 for c in "▁abcdefgh.,"}
+    while len(pieces) < 400:  # few distinct scores, so that many segmentations tie
+        p = "".join(rng.choice(list("abcdefgh"), rng.integers(2, 7)))
+        pieces.setdefault(("▁" if rng.random() < 0.4 else "") + p, -float(rng.integers(20, 120)) / 8)
+    for p in (".,", "..", ",.", "▁▁", "▁▁▁"):
+        pieces[p] = -4.0
+    model = unigram_model(tmp_path / "own.model", pieces.items())
+    own = sentencepiece.SentencePieceProcessor(model_file=model)
+    texts = ["".join(rng.choice(list("abcdefgh   .,é\n"), rng.integers(0, 80))) for _ in range(300)] + ["a" * 300, "  a", "a  b ", "\u6f22 x", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {k: own.encode(t) for k, t in enumerate(texts)}
+    assert {r["doc_id"]: r["ids"] for r in sentencepiece_lattice.encoded(rows, model=model).collect()} == want
+    assert {r["doc_id"]: r["n_tokens"] for r in token_count.counted(rows, model=model).collect()} == {k: len(w) for k, w in want.items()}
+
+
+def test_encoding_of_an_unspaced_text_and_a_shuffled_input(spark):
+    rows = spark.createDataFrame([(1, "ab" * 100_000), (2, " " * 3000 + "x"), (3, "plain words"), (4, None)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in sentencepiece_lattice.round_trip(rows).collect()}
+    assert all(got[k]["same_text"] for k in (1, 2, 3)) and got[4]["ids"] is None
 
 
 # 2 ---------------------------------------------------------------------------------------------------------------
