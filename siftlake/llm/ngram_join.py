@@ -9,9 +9,14 @@
    which gathers groups of near copies into components in linear work. Then those still in different components meet
    pairwise, in tiles of one shingle and one band of sizes (a band spans the size ratio that the threshold allows, so
    partners lie in one band or the next).
-4. Each pair's bitmap signatures bound the overlap from above: a set bit of one that the other lacks is a shingle less.
+4. The meeting itself lets a pair through only if two upper bounds on the overlap allow a link: from the shingle's places
+   in the two prefixes (what stands before it can't be shared where it is the first that is), and from bitmap
+   signatures of 64 * WORDS bits (a set bit of one that the other lacks is a shingle less).
 5. What passes is intersected exactly on the sorted arrays, and links become components.
 
+A group of n unlinked classes with common shingles and a size in common is compared in n * n bit counts in step 3, though
+none of these pairs leaves it.
+
 The prefix and the band are exact bounds, so no link is lost; shingles are 64-bit hashes, a set's key is 128 bits.
 
 Defined cases: a null, empty or wordless text has 0 shingles and is its own component; rows with one set are linked,
@@ -29,12 +34,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import Staged, by_batch, checkpointed
+from .common import Staged, by_batch, checkpointed, same_each_read
 from .hashing import shingles
 
 
 #: So many prefix lengths of each set are counted to find the frequent shingles.
 COUNTED = 3
+#: Longs of a signature.
+WORDS = 8
 
 
 def key_of(found: np.ndarray) -> bytes | None:
@@ -46,18 +53,17 @@ def prefix_length(size: int, num: int, den: int) -> int:
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    """A bitmap of 64 to 16,384 bits, the least power of two that the set's size needs, as longs."""
-    bits = min(16384, max(64, 1 << (len(found) - 1).bit_length())) if len(found) else 64
-    out = np.zeros(bits, np.uint8)
-    out[(found >> np.uint64(20)) & np.uint64(bits - 1)] = 1
+    """A bitmap of 64 * WORDS bits, as longs."""
+    out = np.zeros(64 * WORDS, np.uint8)
+    out[(found >> np.uint64(40)) % np.uint64(64 * WORDS)] = 1
     return np.packbits(out, bitorder="little").view(np.int64)
 
 
 def sketches(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(id, th, key, size, prefix, more, sig) of every row (id, text); more: the shingles after the prefix that are counted too."""
+    """(id, row, key, size, prefix, more, sign) of every row (id, row, text); more: the shingles after the prefix that are counted too."""
 
     def run(x: dict) -> dict:
-        out = {"id": x["id"], "th": x["th"], "key": [], "size": [], "prefix": [], "more": [], "sig": []}
+        out = {"id": x["id"], "row": x["row"], "key": [], "size": [], "prefix": [], "more": [], "sign": []}
         for text in x["text"]:
             s = shingles(text, n)
             out["key"].append(key_of(s))
@@ -65,11 +71,11 @@ def sketches(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             p = prefix_length(len(s), num, den) if len(s) else 0
             out["prefix"].append(s[:p].view(np.int64))
             out["more"].append(s[p : COUNTED * p].view(np.int64))
-            out["sig"].append(signature(s))
+            out["sign"].append(signature(s))
         return out
 
     kind = dict(docs.dtypes)["id"]
-    return by_batch(docs.select("id", F.xxhash64("text").alias("th"), "text"), f"id {kind}, th long, key binary, size long, prefix array<long>, more array<long>, sig array<long>", run, binary=("text",))
+    return by_batch(docs.select("id", "row", "text"), f"id {kind}, row long, key binary, size long, prefix array<long>, more array<long>, sign array<long>", run, binary=("text",))
 
 
 def reordered(docs: DataFrame, heavy, n: int, num: int, den: int) -> DataFrame:
@@ -91,105 +97,103 @@ def reordered(docs: DataFrame, heavy, n: int, num: int, den: int) -> DataFrame:
     return by_batch(docs.select("text"), "key binary, prefix array<long>", run, binary=("text",))
 
 
-def fits(a: Column, b: Column, num: int, den: int) -> Column:
-    return den * F.least(a, b) >= num * F.greatest(a, b)
+def fits(a: str, b: str, num: int, den: int) -> Column:
+    """Whether rows a and b of one shingle (size, place, sign0, sign1, ...) may be linked, by their sizes, the places in their prefixes and their signatures."""
+    size = [F.col(f"{x}size") for x in (a, b)]
+    left = F.least(*(F.col(f"{x}size") - F.col(f"{x}place") for x in (a, b)))
+    lacks = lambda x, y: sum((F.bit_count(F.col(f"{x}sign{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}sign{k}")))) for k in range(WORDS)), F.lit(0))
+    enough = lambda most: den * most >= num * (size[0] + size[1] - most)
+    return (den * F.least(*size) >= num * F.greatest(*size)) & enough(left) & enough(size[0] - lacks(a, b)) & enough(size[1] - lacks(b, a))
 
 
-def bounded(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose signatures leave room for enough overlap."""
-    side = lambda x: classes.select(F.col("cid").alias(x), F.col("size").alias(f"{x}_size"), F.col("sig").alias(f"{x}_sig"))
-    folded = lambda s, other: F.when(F.size(s) > F.size(other), F.zip_with(F.slice(s, 1, F.size(other)), F.slice(s, F.size(other) + 1, F.size(other)), lambda x, y: x.bitwiseOR(y))).otherwise(s)
-    lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda t, v: t + v)
-    joined = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("x", folded(F.col("a_sig"), F.col("b_sig"))).withColumn("y", folded(F.col("b_sig"), F.col("a_sig")))
-    most = F.least(F.col("a_size") - lacks(F.col("x"), F.col("y")), F.col("b_size") - lacks(F.col("y"), F.col("x")))
-    return joined.withColumn("most", most).filter(den * F.col("most") >= num * (F.col("a_size") + F.col("b_size") - F.col("most"))).select("a", "b")
+def shingle_sets(wanted: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(cid, found): the sorted shingle set of each class of wanted (cid, row), from the whole text of one row of it."""
 
+    def run(x: dict) -> dict:
+        return {"cid": x["cid"], "found": [np.sort(shingles(t, n).view(np.int64)).tobytes() for t in x["text"]]}
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, staged: Staged, name: str, n: int, num: int, den: int) -> DataFrame:
-    """The pairs whose shingle sets, taken from the whole texts again, are similar enough."""
-    asked = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select("b")).distinct().join(classes.select("cid", "key", "th"), "cid")
-    texts = docs.select(F.xxhash64("text").alias("th"), "text").join(asked.select("th"), "th", "left_semi")
+    return by_batch(docs.select("row", "text").join(wanted, "row").select("cid", "text"), "cid long, found binary", run, binary=("text",))
 
-    def run(x: dict) -> dict:
-        sets = [shingles(t, n) for t in x["text"]]
-        return {"key": [key_of(s) for s in sets], "found": [s.view(np.int64) for s in sets]}
 
-    sets = by_batch(texts.select("text"), "key binary, found array<long>", run, binary=("text",))
-    sets = staged.write(asked.select("cid", "key").join(sets, "key").groupBy("cid").agg(F.first("found").alias("found")), f"{name}-sets")
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, linked) of pairs (a, b) by their sorted shingle sets."""
     both = pairs.join(sets.select(F.col("cid").alias("b"), F.col("found").alias("y")), "b").join(sets.select(F.col("cid").alias("a"), F.col("found").alias("x")), "a")
 
     def check(x: dict) -> dict:
         linked = []
         for p, q in zip(x["x"], x["y"], strict=True):
-            p, q = np.sort(np.array(p, np.int64)), np.sort(np.array(q, np.int64))
-            same = len(np.intersect1d(p, q, assume_unique=True))
+            p, q = np.frombuffer(p, np.int64), np.frombuffer(q, np.int64)
+            at = np.searchsorted(q, p)
+            at[at == len(q)] = 0
+            same = int((q[at] == p).sum())
             linked.append(den * same >= num * (len(p) + len(q) - same))
         return {"a": x["a"], "b": x["b"], "linked": linked}
 
-    return staged.write(by_batch(both.select("a", "b", "x", "y"), "a long, b long, linked boolean", check), f"{name}-tested")
+    return by_batch(both.select("a", "b", "x", "y"), "a long, b long, linked boolean", check)
 
 
 def linked_classes(docs: DataFrame, *, id_col: str, text_col: str, n: int, num: int, den: int, heavy: int, stars: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members (id, key, size), classes (cid, key, size) and the components (node, component) of linked classes."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    staged = Staged(spark, "ngrams")
+    spark, staged = docs.sparkSession, Staged(docs.sparkSession, "ngrams")
+    docs = same_each_read(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), staged).withColumn("row", F.monotonically_increasing_id())
     rows = staged.write(sketches(docs, n, num, den), "sketches")
     members = staged.write(rows.select("id", "key", "size"), "members")
-    classes = rows.filter("size > 0").groupBy("key").agg(*(F.min_by(c, "th").alias(c) for c in ("th", "size", "prefix", "sig")))
+    classes = rows.filter("size > 0").groupBy("key").agg(*(F.min_by(c, "row").alias(c) for c in ("size", "prefix", "more", "sign")), F.min("row").alias("row"))
     classes = staged.write(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    total = rows.agg(F.sum(F.size("prefix") + F.size("more"))).first()[0] or 0
-    counts = rows.select(F.explode(F.concat("prefix", "more")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    often = [r["token"] for r in counts.filter(F.col("n") > max(heavy, total >> 20)).select("token").collect()]  # 2 ** 20 at most
     staged.drop("sketches")
-    if often:
-        sent = spark.sparkContext.broadcast(np.sort(np.array(often, np.int64).view(np.uint64)))
+    total = classes.agg(F.sum(F.size("prefix") + F.size("more"))).first()[0] or 0
+    counts = classes.select(F.explode(F.concat("prefix", "more")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    often = counts.filter(F.col("n") > max(heavy, total >> 20)).select("token").toArrow().column(0).to_numpy()  # 2 ** 20 at most
+    held = ["cid", "size", *(F.get("sign", F.lit(k)).alias(f"sign{k}") for k in range(WORDS)), F.posexplode("prefix").alias("place", "token")]
+    short = classes.select("cid", "key", "size", "sign", "prefix")
+    if len(often):
+        sent = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
         changed = staged.write(reordered(docs, sent, n, num, den).groupBy("key").agg(F.first("prefix").alias("prefix")), "changed")
-        short = classes.select("cid", "key", "size", "prefix")
-        tokens = short.join(changed, "key", "left_anti").select("cid", "size", F.explode("prefix").alias("token")).unionAll(
-            short.drop("prefix").join(changed, "key").select("cid", "size", F.explode("prefix").alias("token"))
-        )
+        tokens = short.join(changed, "key", "left_anti").select(*held).unionAll(short.drop("prefix").join(changed, "key").select(*held))
     else:
-        tokens = classes.select("cid", "size", F.explode("prefix").alias("token"))
+        tokens = short.select(*held)
     shared = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
     met = staged.write(tokens.join(shared, "token"), "met")
+    sets = staged.write(shingle_sets(classes.select("cid", "row").join(met.select("cid").distinct(), "cid", "left_semi"), docs, n), "sets")
 
+    row = ["cid", "size", "component", "place", *(f"sign{k}" for k in range(WORDS))]
     none = "a long, b long, linked boolean"
     tested, found = spark.createDataFrame([], none), spark.createDataFrame([], "node long, component long")
     for turn in range(stars + 1):  # the last one is pairwise
-        placed = met.join(found, F.col("cid") == F.col("node"), "left").select("token", "cid", "size", F.coalesce("component", "cid").alias("component"))
+        placed = met.join(found, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid")).select("token", *row)
         groups = placed.groupBy("token").agg(
-            F.min("component").alias("lo"), F.max("component").alias("hi"), F.mode("component").alias("main"),
-            F.min_by(F.struct("cid", "size", "component"), F.xxhash64("cid", F.lit(turn))).alias("pivot"),
+            F.min("component").alias("lo"), F.max("component").alias("hi"), F.mode("component").alias("main"), F.min_by(F.struct(*row), F.xxhash64("cid", F.lit(turn))).alias("pivot"),
         ).filter("lo <> hi")
         if turn < stars:
-            pairs = placed.join(groups.select("token", "pivot"), "token").filter((F.col("component") != F.col("pivot.component")) & fits(F.col("size"), F.col("pivot.size"), num, den))
-            pairs = pairs.select(F.least("cid", "pivot.cid").alias("a"), F.greatest("cid", "pivot.cid").alias("b")).distinct()
+            pivots = groups.select("token", *(F.col(f"pivot.{c}").alias(f"b_{c}") for c in row))
+            left = placed.select("token", *(F.col(c).alias(f"a_{c}") for c in row))
+            pairs = left.join(pivots, (left["token"] == pivots["token"]) & (F.col("a_component") != F.col("b_component")) & fits("a_", "b_", num, den))
+            pairs = pairs.select(F.least("a_cid", "b_cid").alias("a"), F.greatest("a_cid", "b_cid").alias("b")).distinct()
         else:
-            pairs = tiles(placed.join(groups.select("token", "main"), "token"), num, den)
+            pairs = tiles(placed.join(groups.select("token", "main"), "token"), row, num, den)
         if turn:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = staged.write(bounded(pairs, classes, num, den), f"pairs-{turn}")
+        pairs = staged.write(pairs, f"pairs-{turn}")
         if pairs.isEmpty():
             continue
-        tested = tested.unionAll(verified(pairs, docs, classes, staged, f"turn-{turn}", n, num, den))
+        tested = tested.unionAll(staged.write(verified(pairs, sets, num, den), f"tested-{turn}"))
         found = connected_components(tested.filter("linked"), "a", "b", checkpointed)
     return members, classes.select("cid", "key", "size"), found
 
 
-def tiles(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) in different components that meet in a tile of one shingle and one band of sizes; rows (token, cid, size, component, main).
+def tiles(rows: DataFrame, row: list[str], num: int, den: int) -> DataFrame:
+    """Pairs (a, b) in different components that meet in a tile of one shingle and one band of sizes; rows (token, main, *row).
 
     Of any such pair one at least is outside the shingle's main component, so the other members of that meet only these.
     """
     band = F.floor(F.log(F.col("size").cast("double")) / math.log(den / num) + 1e-9)
-    left = rows.filter("component <> main").select("token", F.explode(F.array(band - 1, band, band + 1)).alias("band"), *(F.col(c).alias(f"a_{c}") for c in ("cid", "size", "component")))
-    right = rows.select("token", band.alias("band"), *(F.col(c).alias(f"b_{c}") for c in ("cid", "size", "component")))
-    met = left.join(right, ["token", "band"]).filter((F.col("a_component") != F.col("b_component")) & fits(F.col("a_size"), F.col("b_size"), num, den))
+    left = rows.filter("component <> main").select("token", F.explode(F.array(band - 1, band, band + 1)).alias("band"), *(F.col(c).alias(f"a_{c}") for c in row))
+    right = rows.select("token", band.alias("band"), *(F.col(c).alias(f"b_{c}") for c in row))
+    met = left.join(right, (left["token"] == right["token"]) & (left["band"] == right["band"]) & (F.col("a_component") != F.col("b_component")) & fits("a_", "b_", num, den))
     return met.select(F.least("a_cid", "b_cid").alias("a"), F.greatest("a_cid", "b_cid").alias("b")).distinct()
 
 
-def joined(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100, heavy: int = 64, stars: int = 2) -> DataFrame:
+def joined(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100, heavy: int = 16, stars: int = 2) -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
     members, classes, found = linked_classes(docs, id_col=id_col, text_col=text_col, n=n, num=num, den=den, heavy=heavy, stars=stars)
     by_class = classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("key", F.coalesce("component", "cid").alias("component"))
