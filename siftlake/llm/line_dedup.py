@@ -4,17 +4,19 @@ A document's runs are its shortest stretches of consecutive lines that reach `mi
 back from each line; two documents that share a block of so many words share a run, and such runs cover the whole block.
 Every later holder of a run is paired with its earliest holder, and the pair's lines are aligned by patience diff (lines
 that are unique in both, the longest increasing run of them, and so on between these, and the longest common run where no
-line is unique in both); the aligned blocks of `min_words`
-words or more are deleted from the later document. What runs with an earlier holder cover is all that any pair could
-delete, so a document whose covered lines are gone is done. The runs that still cover a line are paired with all their
-earlier holders, one of each sequence of lines, so the result is that of all pairs, whatever a run's frequency. An owner's line is
-never deleted through its own pairs, so each text stays once.
+line is unique in both); the aligned blocks of `min_words` words or more are deleted from the later document.
+
+What runs with an earlier holder cover is all that any pair could delete, so a document whose covered lines are gone is
+done. Of the runs that still cover a line (lines that stand in another order than in the earliest holder), the rare ones,
+with `rare` holders at most, are paired with all their earlier holders, one of each sequence of lines; of the others the
+run itself is the aligned block with its earliest holder, so that a frequent line makes no pairs. An owner's line is never
+deleted through its own pairs, so each text stays once.
 
 Documents are ordered by id, nulls last, then by a hash of the text.
 
 Defined cases: a null text has no lines and stays null; rows that repeat both id and text are one document and get one
 result each; lines within one document are never deduplicated against each other, and an
-alignment matches a line once, so of a passage that stands twice in the later document one copy goes for each alignment's match; texts of one line are aligned like any
+alignment matches a line once, so of a rare passage that stands twice in the later document one copy goes for each alignment's match; texts of one line are aligned like any
 other; an empty table gives an empty result; extra columns are ignored. A line is compared without its surrounding white space.
 """
 
@@ -138,16 +140,20 @@ def runs_of(lines: list[int], words: list[int], least: int) -> tuple[np.ndarray,
     return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)).view(np.int64), start, end
 
 
-def open_runs(lines: list[int], words: list[int], held: list[int], gone: list[int] | None, least: int) -> list[int]:
-    """Those runs of `held` that cover a line which isn't in `gone`."""
+def open_runs(lines: list[int], words: list[int], held: list[dict], gone: list[int] | None, least: int) -> tuple[list[int], list[int]]:
+    """Of the runs `held` (run, often) that cover a line which isn't in `gone`: the rare ones, and the lines that the others cover."""
     kept = np.ones(len(lines) + 1, np.int64)
     kept[gone or []] = 0
     kept = np.concatenate([[0], np.cumsum(kept)])
     h, start, end = runs_of(lines, words, least)
-    return np.unique(h[(kept[end] > kept[start]) & np.isin(h, np.array(held, np.int64))]).tolist()
+    often = np.array([x["run"] for x in held if x["often"]], np.int64)
+    rare = np.array([x["run"] for x in held if not x["often"]], np.int64)
+    is_open = kept[end] > kept[start]
+    covered = is_open & np.isin(h, often)
+    return np.unique(h[is_open & np.isin(h, rare)]).tolist(), sorted({k for i, j in zip(start[covered].tolist(), end[covered].tolist(), strict=True) for k in range(i, j)})
 
 
-def deletions(docs: DataFrame, min_words: int) -> DataFrame:
+def deletions(docs: DataFrame, min_words: int, rare: int) -> DataFrame:
     """(doc, gone[]): the places of the lines to delete from docs (doc, text)."""
     staged, kind = Staged(docs.sparkSession, "lines"), docs.schema["doc"].dataType.simpleString()
     own = staged.write(lines_of(docs.filter("text is not null")).dropDuplicates(["doc"]), "lines")
@@ -156,7 +162,7 @@ def deletions(docs: DataFrame, min_words: int) -> DataFrame:
         return {"doc": x["doc"], "runs": [np.unique(runs_of(a, w, min_words)[0]).tolist() for a, w in zip(x["lines"], x["words"], strict=True)]}
 
     each = staged.write(by_batch(own, f"doc {kind}, runs array<long>", cut).select("doc", F.explode("runs").alias("run")), "runs")
-    shared = each.groupBy("run").agg(F.min("doc").alias("owner"), F.count("*").alias("holders")).filter("holders > 1").drop("holders")
+    shared = each.groupBy("run").agg(F.min("doc").alias("owner"), F.count("*").alias("holders")).filter("holders > 1").withColumn("often", F.col("holders") > rare).drop("holders")
     links = staged.write(each.join(shared, "run").filter("doc <> owner"), "links")
 
     def align(x: dict) -> dict:
@@ -173,21 +179,24 @@ def deletions(docs: DataFrame, min_words: int) -> DataFrame:
     found = staged.write(merged(gone(pairs)), "found")
 
     def rest(x: dict) -> dict:
-        return {"doc": x["doc"], "runs": [open_runs(*z, min_words) for z in zip(x["lines"], x["words"], x["held"], x["gone"], strict=True)]}
+        found = [open_runs(*z, min_words) for z in zip(x["lines"], x["words"], x["held"], x["gone"], strict=True)]
+        return {"doc": x["doc"], "runs": [f[0] for f in found], "gone": [f[1] for f in found]}
 
-    held = links.groupBy("doc").agg(F.collect_list("run").alias("held")).join(own, "doc").join(found, "doc", "left")
-    left = staged.write(by_batch(held.select("doc", "lines", "words", "held", "gone"), f"doc {kind}, runs array<long>", rest).select("doc", F.explode("runs").alias("run")), "left")
+    held = links.groupBy("doc").agg(F.collect_list(F.struct("run", "often")).alias("held")).join(own, "doc").join(found, "doc", "left")
+    left = staged.write(by_batch(held.select("doc", "lines", "words", "held", "gone"), f"doc {kind}, runs array<long>, gone array<int>", rest), "left")
+    asked = left.select("doc", F.explode("runs").alias("run"))
     first = own.groupBy(F.xxhash64("lines").alias("c1"), F.xxhash64(F.lit("second"), "lines").alias("c2")).agg(F.min("doc").alias("doc")).select("doc")
-    holders = each.join(left.select("run").distinct(), "run", "left_semi").join(first, "doc", "left_semi").select("run", F.col("doc").alias("owner"))
-    more = left.join(holders, "run").filter("owner < doc").select("owner", "doc").distinct().join(pairs, ["owner", "doc"], "left_anti")
-    return merged(found.unionByName(gone(staged.write(more, "more"))))
+    holders = each.join(asked.select("run").distinct(), "run", "left_semi").join(first, "doc", "left_semi").select("run", F.col("doc").alias("owner"))
+    more = asked.join(holders, "run").filter("owner < doc").select("owner", "doc").distinct().join(pairs, ["owner", "doc"], "left_anti")
+    return merged(found.unionByName(left.select("doc", "gone").filter(F.size("gone") > 0)).unionByName(gone(staged.write(more, "more"))))
 
 
-def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
-    """Every row with all its columns, its text without the deleted lines, and the struct `line_dedup` (n_lines, n_deleted, gone[])."""
-    keyed = docs.withColumn("doc", F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t")))
-    found = deletions(keyed.select("doc", F.col(text_col).alias("text")), min_words)
-    joined = keyed.select("doc", F.struct(*docs.columns).alias("row")).join(found, "doc", "left")
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, rare: int = 8) -> DataFrame:
+    """Every row with all its columns, its text without the deleted lines, and the struct `line_dedup` (n_lines, n_deleted, gone[]), which takes the place of a column of that name."""
+    doc = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"))
+    keyed = docs.select(doc.alias("doc"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "line_dedup")).alias("row"))
+    found = deletions(keyed.select("doc", F.col(f"row.{text_col}").alias("text")), min_words, rare)
+    joined = keyed.join(found, "doc", "left")
 
     def run(x: dict) -> dict:
         out: dict = {"row": x["row"], "line_dedup": []}

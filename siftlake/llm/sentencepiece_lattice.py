@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 from . import vocabulary as v
 from .common import Staged, by_batch, configured, pa_schema, same_each_read
 
-CHUNK = 16 << 20
-HOT = 1 << 16
+CHUNK = 8 << 20
+HOT = 1 << 15
 TAIL = 3
 LONG = 64
 PAGE = 256
@@ -180,12 +181,11 @@ def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
     """Runs of rows of about CHUNK bytes along a partition, with the chunk's number; a longer text is a chunk's last."""
     number, size = TaskContext.get().partitionId() << 32, 0
     for batch in batches:
-        lengths = np.diff(np.frombuffer(batch.column(1).cast(pa.large_string()).buffers()[1], np.int64)[batch.column(1).offset :][: batch.num_rows + 1]) if batch.num_rows else []
         begin = 0
-        for k, n in enumerate(lengths):
-            size += int(n)
+        for k, n in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
+            size += n or 0
             if size >= CHUNK or k + 1 == batch.num_rows:
-                yield number, batch.slice(begin, k + 1 - begin)
+                yield number, pa.concat_batches([batch.slice(begin, k + 1 - begin)]) if begin or k + 1 < batch.num_rows else batch
                 begin = k + 1
                 if size >= CHUNK:
                     number, size = number + 1, 0
@@ -293,14 +293,14 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, vocab: v.Vocabulary, *
         short = staged.write(short_words(counted(F.length("word") <= LONG), vocab), "short")
         long = staged.write(long_words(counted(F.length("word") > LONG), vocab), "long")
     words = short.unionByName(long)
-    top = [(r["word"], r["ids"]) for r in short.filter("n > 1").orderBy(F.desc("n"), "word").limit(HOT).select("word", "ids").collect()]  # HOT words of LONG characters at most
-    hot = spark.createDataFrame([(w,) for w, _ in top], "word string")
+    top = short.filter("n > 1").orderBy(F.desc("n"), "word").limit(HOT).select("word", "ids").toArrow()  # HOT words of LONG characters at most
+    hot_ids, top = pa.concat_arrays(top.column("ids").chunks or [pa.array([], pa.list_(pa.int32()))]), top.column("word").to_pylist()
+    hot = spark.createDataFrame([(w,) for w in top], "word string")
     wanted = held.select("chunk", F.posexplode("words").alias("k", "word")).join(F.broadcast(hot), "word", "left_anti")
     answers = staged.write(wanted.join(words.join(F.broadcast(hot), "word", "left_anti").select("word", "ids"), "word").select("chunk", "k", "ids"), "answers")
     for name in ("held", "short", "long"):
         staged.drop(name)
-    sizes = np.array([len(ids) for _, ids in top], np.int64)
-    sent = spark.sparkContext.broadcast((np.array([i for _, ids in top for i in ids], np.int32), spans_of(sizes), Decoder(vocab) if check else None))
+    sent = spark.sparkContext.broadcast((np.asarray(hot_ids.flatten(), np.int32), spans_of(np.asarray(hot_ids.value_lengths(), np.int64)), Decoder(vocab) if check else None))
     kind = dict(docs.dtypes)[id_col]
     schema = f"id {kind}, ids array<int>" + (", decoded_sha256 string, same_text boolean" if check else "")
     target = pa_schema(spark, schema)
@@ -333,7 +333,7 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, vocab: v.Vocabulary, *
                 out["same_text"].append(sha.digest() == digest.as_py())
         return pa.Table.from_arrays([texts.column("id").cast(target.field("id").type), *(pa.array(x, target.field(name).type) for name, x in out.items())], schema=target)
 
-    told = numbered(rows, vocab, [w for w, _ in top], check)
+    told = numbered(rows, vocab, top, check)
     return told.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(meet, schema).withColumnRenamed("id", id_col)
 
 
