@@ -33,10 +33,10 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as records: id, path_rank, sha, near, label, source, lang, n_chars."""
+    """Documents as records: id, path_rank, sha, near, label, source, lang, n_chars. Written once, narrow: the queries read them in several branches."""
     label = F.when(F.col("quality").isNotNull(), F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string")))
     docs = table(spark, d, "documents").select("doc_id", e.sha256_hex(F.col("text")).alias("sha"), e.near_key(F.col("text")).alias("near"), "source", "lang", "n_chars")
-    return docs.join(table(spark, d, "labels"), "doc_id", "left").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("path_rank"), "sha", "near", label.alias("label"), "source", "lang", "n_chars")
+    return checkpointed(docs.join(table(spark, d, "labels"), "doc_id", "left").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("path_rank"), "sha", "near", label.alias("label"), "source", "lang", "n_chars"))
 
 
 RECORDS = r"""WITH records AS (
@@ -223,18 +223,90 @@ def fold_report(spark, d):
     return splits.fold_report(_folds(spark, d))
 
 
-@query(RECORDS + "SELECT near AS \"group\", 0::BIGINT AS parts FROM records WHERE false")
+@query("SELECT l_orderkey AS \"group\", count(DISTINCT l_returnflag) AS parts FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) > 1")
 def straddling_groups(spark, d):
-    return splits.straddling(_folds(spark, d))
+    return splits.straddling(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("group"), F.col("l_returnflag").alias("part")))
 
 
-@query("SELECT c_custkey, c_custkey % 5 + 1 AS fold, c_custkey % 5 + 1 = 1 AS validation FROM customer")
+@query("SELECT 'straddling_groups' AS rule, 0::BIGINT AS violations UNION ALL SELECT 'rows_without_fold', 0 UNION ALL SELECT 'folds', 5")
 def fold_members(spark, d):
-    fold = F.col("c_custkey") % 5 + 1
-    return table(spark, d, "customer").select("c_custkey", fold.alias("fold"), (fold == 1).alias("validation"))
+    """Each record's fold by whole groups: no group in two folds, no record without one, five folds in use."""
+    folds = checkpointed(_folds(spark, d).select("id", "group", "fold"))
+    rule = lambda name, rows: rows.agg(F.lit(name).alias("rule"), F.count("*").alias("violations"))
+    lost = records(spark, d).join(folds, "id", "left_anti")
+    return rule("straddling_groups", splits.straddling(folds, "fold")).unionAll(rule("rows_without_fold", lost)).unionAll(rule("folds", folds.select("fold").distinct()))
 
 
-@query("SELECT doc_id AS id, item_id AS item FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(list_filter(string_split_regex(b.text, '[ \\t\\n\\r]+'), lambda x: x <> '')) > 9")
+@query("SELECT l_returnflag AS \"group\", row_number() OVER (ORDER BY l_returnflag) - 1 AS rank FROM (SELECT DISTINCT l_returnflag FROM lineitem) UNION ALL SELECT k, row_number() OVER (ORDER BY k) - 1 FROM (SELECT DISTINCT l_orderkey || '/' || l_linenumber AS k FROM lineitem)")
+def ranked_many_keys(spark, d):
+    rows = table(spark, d, "lineitem")
+    many = dedup.ranked_keys(rows.select(F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("k")), "k", "")
+    few = dedup.ranked_keys(rows.select(F.col("l_returnflag").alias("k")), "k", "")
+    return few.unionAll(many).select(F.col("k").alias("group"), F.col("group").cast("long").alias("rank"))
+
+
+@query("SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def mapped_labels(spark, d):
+    nation, region = table(spark, d, "nation"), table(spark, d, "region")
+    mapping = guards.mapped(nation.select("n_nationkey", "n_name", F.col("n_regionkey").alias("r_regionkey")), region.select("r_regionkey", "r_name"), ["r_regionkey"])
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
+    return guards.mapped(rows, mapping.select("n_nationkey", "n_name", "r_name"), ["n_nationkey"]).select("c_custkey", "n_name", "r_name")
+
+
+@query("SELECT 'mapped_without_target' AS rule, count(*) FILTER (n_regionkey < 3 AND n_name < 'C') AS violations FROM nation UNION ALL SELECT 'target_without_mapped', count(*) FILTER (n_regionkey >= 3 AND n_name >= 'C') FROM nation UNION ALL SELECT 'key_twice', count(*) FROM (SELECT n_regionkey FROM nation GROUP BY n_regionkey HAVING count(*) > 1) UNION ALL SELECT 'unknown_target', count(*) FROM nation WHERE n_name >= 'C' AND n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey > 0)")
+def mapping_table_rules(spark, d):
+    rows = table(spark, d, "nation").select("n_regionkey", F.when(F.col("n_regionkey") < 3, "mapped").otherwise("excluded").alias("status"), F.when(F.col("n_name") >= "C", F.col("n_regionkey")).alias("target"))
+    return guards.mapping_rules(rows, ["n_regionkey"], "target", table(spark, d, "region").filter("r_regionkey > 0").select("r_regionkey"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 5 + 1 = 2 UNION SELECT l_orderkey FROM lineitem WHERE l_quantity > 45")
+def forbidden_for_fold(spark, d):
+    folds = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 5 + 1).alias("fold"))
+    return guards.forbidden_ids(folds, 2, table(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("id")))
+
+
+@query("SELECT c_custkey AS id, c_mktsegment AS label FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def missing_files(spark, d):
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("label"))
+    return guards.absent(rows, table(spark, d, "orders").select(F.col("o_custkey").alias("id")), "id").select("id", "label")
+
+
+@query(RECORDS + "SELECT 'label:' || label AS name, min(id) AS id FROM records WHERE label IS NOT NULL GROUP BY label UNION ALL SELECT 'source:' || source, min(id) FROM records WHERE source IS NOT NULL GROUP BY source")
+def representative_samples(spark, d):
+    return dedup.representative_samples(records(spark, d))
+
+
+@query(RECORDS + "SELECT r.id, concat_ws(';', CASE WHEN s.copies > 1 THEN 'exact' END, CASE WHEN g.shas > 1 THEN 'near' END, CASE WHEN g.sources > 1 THEN 'cross_source' END) AS flags FROM records r JOIN (SELECT sha, count(*) AS copies FROM records GROUP BY sha) s ON r.sha = s.sha JOIN (SELECT near, count(DISTINCT sha) AS shas, count(DISTINCT source) AS sources FROM records GROUP BY near) g ON r.near = g.near")
+def group_flags(spark, d):
+    return dedup.leakage_flags_of(records(spark, d))
+
+
+SPLIT = "split AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 < 7 THEN 'development' WHEN o_orderkey % 10 < 9 THEN 'final_test' END AS split FROM orders WHERE o_orderkey % 10 < 9)"
+
+
+def _split(spark, d) -> DataFrame:
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("label"), F.col("o_custkey").alias("group"), F.col("o_orderstatus").alias("source"))
+    part = F.when(F.col("id") % 10 < 7, "development").when(F.col("id") % 10 < 9, "final_test")
+    return splits.with_split(rows, rows.filter(F.col("id") % 10 < 9).select("id", part.alias("split")))
+
+
+@query("WITH " + SPLIT + " SELECT o_orderkey AS id, coalesce(split, '') AS split FROM orders LEFT JOIN split ON o_orderkey = id")
+def split_of_all(spark, d):
+    return _split(spark, d).select("id", "split")
+
+
+@query("WITH " + SPLIT + ", r AS (SELECT o_custkey AS g, o_orderpriority AS label, o_orderstatus AS source, coalesce(split, '') AS split FROM orders LEFT JOIN split ON o_orderkey = id) SELECT 'all' AS measure, '' AS value, split, count(*) AS rows, count(DISTINCT g) AS groups FROM r GROUP BY split UNION ALL SELECT 'label', label, split, count(*), count(DISTINCT g) FROM r GROUP BY label, split UNION ALL SELECT 'source', source, split, count(*), count(DISTINCT g) FROM r GROUP BY source, split")
+def split_summary(spark, d):
+    return splits.split_summary(_split(spark, d), ["label", "source"])
+
+
+@query("WITH " + SPLIT + ", r AS (SELECT o_orderkey AS id, o_orderpriority AS label, coalesce(split, '') AS split FROM orders LEFT JOIN split ON o_orderkey = id), l AS (SELECT DISTINCT o_orderpriority AS label FROM orders WHERE o_orderpriority >= '2') SELECT 'empty' AS rule, CASE WHEN count(*) = 0 THEN 1 ELSE 0 END::BIGINT AS violations FROM r UNION ALL SELECT 'unknown_split', count(*) FILTER (split NOT IN ('development', 'final_test')) FROM r UNION ALL SELECT 'unknown_label', count(*) FROM r WHERE label NOT IN (SELECT label FROM l) UNION ALL SELECT 'id_twice', count(*) FROM (SELECT id FROM r GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'label_missing_in_split', count(*) FROM (SELECT label, s FROM l, (VALUES ('development'), ('final_test')) t(s) EXCEPT SELECT label, split FROM r)")
+def manifest_rules(spark, d):
+    rows = _split(spark, d)
+    return splits.manifest_rules(rows, ["development", "final_test"], rows.filter("label >= '2'").select("label"))
+
+
+@query("SELECT doc_id AS id, item_id AS item FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def isolation_guard(spark, d):
     docs, passages = table(spark, d, "documents"), table(spark, d, "benchmark")
     return guards.contaminated(docs.select(F.col("doc_id").alias("id"), "text"), passages.select(F.col("item_id").alias("id"), "text"))

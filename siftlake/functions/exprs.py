@@ -20,8 +20,8 @@ def record_id(source: Column, path: Column) -> Column:
 
 def near_key(text: Column, words: int = 5) -> Column:
     """The first words of a text, lower-cased and without punctuation: the role of a perceptual hash for text."""
-    parts = F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9 \\t\\n\\r]", " "), "[ \\t\\n\\r]+"), lambda x: x != "")
-    return F.array_join(F.slice(parts, 1, words), " ")
+    head = F.regexp_extract(F.lower(text), f"^(?:[^a-z0-9]*[a-z0-9]+){{0,{words}}}", 0)  # reads no further than these words
+    return F.array_join(F.regexp_extract_all(head, F.lit("[a-z0-9]+"), 0), " ")
 
 
 def difference_bits(vector: Column) -> Column:

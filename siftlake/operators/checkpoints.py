@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder in spark.checkpoint.dir; to a folder of our own only where that is unset."""
+    """`df` written to the shared folder: spark.checkpoint.dir, the checkpoint folder set by the caller, or one in the warehouse, which executors share too."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftlake-"))
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/siftlake-checkpoints")
     return df.checkpoint(eager=True)

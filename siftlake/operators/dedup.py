@@ -11,18 +11,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exprs as e
+from .checkpoints import checkpointed
 
 
 def ranked_keys(rows: DataFrame, key: str, prefix: str, least: int = 1) -> DataFrame:
     """(key, group): `prefix` and the 0-based rank of each distinct key; groups under `least` members are null.
 
-    Distinct keys are range-partitioned and numbered by partition offsets, so that no task sees them all.
+    Distinct keys are range-partitioned and numbered by partition offsets, so that no task sees them all. The partitioned
+    keys are written once: offsets and ranks must come from the same ranges, and a range partitioning that is made anew
+    samples its bounds anew.
     """
     keys = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("members"))
-    part = keys.repartitionByRange(F.col(key)).withColumn("part", F.spark_partition_id())
+    part = checkpointed(keys.repartitionByRange(F.col(key)).withColumn("part", F.spark_partition_id()))
     counts = part.groupBy("part").agg(F.count("*").alias("n"))
     offsets = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = part.join(F.broadcast(offsets.select("part", "before")), "part")
+    own = part.join(F.broadcast(offsets.select("part", "before")), "part")  # a row for each partition
     rank = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
     return own.select(key, F.when(F.col("members") >= least, F.concat(F.lit(prefix), rank.cast("string"))).alias("group"), "members")
 
@@ -87,3 +90,17 @@ def hamming_histogram(hashes: DataFrame, most: int = 8, bits: int = 63) -> DataF
     counted = near.select("distance", (F.col("n_a") * F.col("n_b")).alias("pairs")).unionAll(own).groupBy("distance").agg(F.sum("pairs").alias("pairs"))
     dim = hashes.sparkSession.range(most + 1).select(F.col("id").cast("int").alias("distance"))
     return dim.join(counted, "distance", "left").select("distance", F.coalesce("pairs", F.lit(0)).cast("long").alias("pairs"))
+
+
+def leakage_flags_of(rows: DataFrame) -> DataFrame:
+    """(id, flags): the flags of each row's group, `;`-joined in this order: exact (its content stands twice), near (one near key, more contents), cross_source."""
+    shas = rows.groupBy("sha").agg(F.count("*").alias("copies"))
+    near = rows.groupBy("near").agg((F.min("sha") < F.max("sha")).alias("is_near"), (F.min("source") < F.max("source")).alias("is_cross"))
+    flags = F.concat_ws(";", F.when(F.col("copies") > 1, "exact"), F.when(F.col("is_near"), "near"), F.when(F.col("is_cross"), "cross_source"))
+    return rows.select("id", "sha", "near").join(shas, "sha").join(near, "near").select("id", flags.alias("flags"))
+
+
+def representative_samples(rows: DataFrame) -> DataFrame:
+    """(name, id): the first row by id of each label, then of each source (F07). Grouped minima, so hot values are combined early."""
+    first = lambda c: rows.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min("id").alias("id")).select(F.concat_ws(":", F.lit(c), F.col(c)).alias("name"), "id")
+    return first("label").unionAll(first("source"))

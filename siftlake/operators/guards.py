@@ -63,3 +63,35 @@ def contaminated(docs: DataFrame, passages: DataFrame, words: int = 8) -> DataFr
     held = docs.select("id", "text").join(F.broadcast(brief.select("passage").distinct()), F.contains("text", "passage")).select("id", "passage")
     found.append(held.join(brief, "passage").select("id", "item").distinct())
     return reduce(DataFrame.unionAll, found)
+
+
+def mapped(rows: DataFrame, mapping: DataFrame, keys: list[str], most: int = 1_000_000) -> DataFrame:
+    """Rows with the columns of their mapping row (J01). Raises Violation if a row's keys aren't in the mapping, or stand there twice.
+
+    The mapping is broadcast if it has `most` rows at most, which is checked; a larger one is joined by shuffle.
+    """
+    missing = rows.select(*keys).distinct().join(mapping.select(*keys), keys, "left_anti")
+    enforce(key_rules(mapping, {"mapping_key_twice": keys}).unionAll(missing.agg(F.lit("unmapped_keys").alias("rule"), F.count("*").alias("violations"))))
+    small = mapping.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(mapping) if small else mapping, keys)
+
+
+def mapping_rules(mapping: DataFrame, keys: list[str], target: str, classes: DataFrame) -> DataFrame:
+    """(rule, violations) of a mapping table (keys, status, target): unique keys, a target exactly where the status is `mapped`, and one of the declared classes."""
+    rules = {
+        "mapped_without_target": (F.col("status") == "mapped") & F.col(target).isNull(),
+        "target_without_mapped": (F.col("status") != "mapped") & F.col(target).isNotNull(),
+    }
+    unknown = mapping.filter(F.col(target).isNotNull()).join(classes.select(F.col(classes.columns[0]).alias(target)), target, "left_anti")
+    own = row_rules(mapping, rules).unionAll(key_rules(mapping, {"key_twice": keys}))
+    return own.unionAll(unknown.agg(F.lit("unknown_target").alias("rule"), F.count("*").alias("violations")))
+
+
+def forbidden_ids(folds: DataFrame, fold: int, held_out: DataFrame) -> DataFrame:
+    """(id): what may not be used to make rows for a fold: its validation rows and the held-out ones."""
+    return folds.filter(F.col("fold") == fold).select("id").union(held_out.select("id")).distinct()
+
+
+def absent(rows: DataFrame, listing: DataFrame, key: str) -> DataFrame:
+    """Rows whose key isn't in a listing of files (F06, S11's projection on the listing's side)."""
+    return rows.join(listing.select(key).distinct(), key, "left_anti")

@@ -79,3 +79,27 @@ def fold_report(folds: DataFrame) -> DataFrame:
 def straddling(rows: DataFrame, part: str = "part") -> DataFrame:
     """Groups that lie in more than one part: none in a valid split."""
     return rows.groupBy("group").agg(F.count_distinct(part).alias("parts")).filter("parts > 1")
+
+
+def with_split(rows: DataFrame, assigned: DataFrame, key: str = "id") -> DataFrame:
+    """All rows with the split that they were assigned, '' where none was."""
+    return rows.join(assigned.select(key, "split"), key, "left").withColumn("split", F.coalesce("split", F.lit("")))
+
+
+def split_summary(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(measure, value, split, rows, groups): rows and groups of each split in all and by each column of `by` (A10). Rows (group, split, ...)."""
+    sets = [("all", F.lit("")), *((c, F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in by)]
+    each = rows.select("group", "split", F.explode(F.array(*(F.struct(F.lit(name).alias("measure"), value.alias("value")) for name, value in sets))).alias("m"))
+    return each.groupBy("m.measure", "m.value", "split").agg(F.count("*").alias("rows"), F.count_distinct("group").alias("groups"))
+
+
+def manifest_rules(rows: DataFrame, splits: list[str], labels: DataFrame) -> DataFrame:
+    """(rule, violations) of a split manifest (id, label, split): not empty, splits known, labels declared, ids unique, every label in every split."""
+    whole = rows.agg((F.count("*") == 0).cast("long").alias("empty"), F.count_if(~F.coalesce(F.col("split").isin(splits), F.lit(False))).alias("unknown_split"))
+    one = whole.select(F.inline(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(n).alias("violations")) for n in ("empty", "unknown_split")))))
+    named = labels.select(F.col(labels.columns[0]).alias("label")).distinct()
+    unknown = rows.join(named, "label", "left_anti").agg(F.lit("unknown_label").alias("rule"), F.count("*").alias("violations"))
+    twice = rows.groupBy("id").agg(F.count("*").alias("n")).agg(F.lit("id_twice").alias("rule"), F.count_if(F.col("n") > 1).alias("violations"))
+    wanted = named.select("label", F.explode(F.array(*map(F.lit, splits))).alias("split"))
+    gaps = wanted.join(rows.select("label", "split").distinct(), ["label", "split"], "left_anti").agg(F.lit("label_missing_in_split").alias("rule"), F.count("*").alias("violations"))
+    return one.unionAll(unknown).unionAll(twice).unionAll(gaps)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from siftlake.functions import exprs as e
 from siftlake.operators import audit, dedup, guards, images, metrics, runs, splits
@@ -150,3 +151,33 @@ def test_streaming_equals_batch(spark, tmp_path):
     sessions.to_table(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     sessions.to_table(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_ranks_of_many_keys_are_dense(spark):
+    n = 300_000
+    rows = spark.range(n).select(F.sha2(F.col("id").cast("string"), 256).alias("k"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        got = dedup.ranked_keys(rows, "k", "").select("k", F.col("group").cast("long").alias("rank"))
+        want = rows.select("k", (F.row_number().over(Window.orderBy("k")) - 1).alias("want"))
+        assert got.join(want, "k").filter("rank = want").count() == n == got.count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_mapping_raises_on_rows_without_one(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, class string")
+    mapping = spark.createDataFrame([("a", "x")], "class string, label string")
+    with pytest.raises(guards.Violation):
+        guards.mapped(rows, mapping, ["class"])
+    assert guards.mapped(rows.filter("id = 1"), mapping, ["class"]).collect()[0]["label"] == "x"
+    with pytest.raises(guards.Violation):
+        guards.mapped(rows.filter("id = 1"), mapping.unionAll(mapping), ["class"])
+
+
+def test_first_words_read_as_before(spark):
+    texts = ["One, two-three FOUR\nfive six", "  .. a", "", None, "éa bÉc d1\t2", "a  b c d e f g"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    old = F.array_join(F.slice(F.filter(F.split(F.regexp_replace(F.lower("t"), "[^a-z0-9 \\t\\n\\r]", " "), "[ \\t\\n\\r]+"), lambda x: x != ""), 1, 5), " ")
+    assert rows.filter(~e.near_key(F.col("t")).eqNullSafe(old)).count() == 0
