@@ -157,7 +157,8 @@ def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, na
         return None
     small = docs.sparkSession.createDataFrame([(i,) for i in y_of], f"id {dict(docs.dtypes)[id_col]}")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).cast("string").alias(f"name_{k}") for k, c in enumerate(name_cols)))
-    rows = rows.join(F.broadcast(small), "id").dropDuplicates(["id"])
+    whole = F.struct(*(c for c in rows.columns if c != "id"))
+    rows = rows.join(F.broadcast(small), "id").groupBy("id").agg(F.min_by(whole, F.xxhash64(whole)).alias("r")).select("id", "r.*")  # of rows that repeat an id the one of least hash
 
     def run(x: dict) -> dict:
         names = [x[k] for k in x if k.startswith("name_")]
@@ -172,7 +173,7 @@ def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, na
 
 
 def scored(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", name_cols: tuple[str, ...] = ("source", "lang"), label_id: str = "doc_id", label_col: str = "quality", labelled: int = 6000, unlabelled: int = 6000, keep_from: float = 0.5) -> DataFrame:
-    """Every row with all its columns and the struct `quality` (p_text, p_meta, p_good, kept)."""
+    """Every row with all its columns and the struct `quality` (p_text, p_meta, p_good, kept), which takes the place of a column of that name."""
     spark = docs.sparkSession
     model = fitted(docs, labels.select(F.col(label_id).alias("id"), F.col(label_col).alias("y")), id_col=id_col, text_col=text_col, name_cols=name_cols, labelled=labelled, unlabelled=unlabelled)
     sent = spark.sparkContext.broadcast(model)  # two vectors of a fixed width
@@ -186,6 +187,6 @@ def scored(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
             p = sent.value.score(np.stack([text_view(t) for t in texts]), np.stack([meta_view(t, *(None if r[c] is None else str(r[c]) for c in name_cols)) for t, r in zip(texts, x["row"], strict=True)]))
         return {"row": x["row"], "quality": [{"p_text": float(a), "p_meta": float(b), "p_good": float(c), "kept": bool(c >= keep_from)} for a, b, c in zip(*p, strict=True)]}
 
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "quality")).alias("row"))
     kind = rows.schema["row"].dataType.simpleString()
     return by_batch(rows, f"row {kind}, quality struct<p_text:double,p_meta:double,p_good:double,kept:boolean>", run).select("row.*", "quality")

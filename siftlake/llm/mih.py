@@ -12,7 +12,7 @@ at most `k` rows a query. A query that finds fewer than `k` within the radius is
 
 Defined cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take
 no part; a null id takes no part; rows that repeat an id are separate candidates of a query, but none is a candidate of a
-query with its own id; ties go to the smaller id; an empty table gives an empty result.
+query with its own id, and of queries that repeat an id the vector of least hash is asked; ties go to the smaller id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -84,8 +84,6 @@ def searched(rows: DataFrame, queries: DataFrame, model, *, k: int, radius: int
         if not part:
             return out
         last = part[-1]["id"]
-        if len(part) == block:  # rows that repeat the last id come along
-            part = [r for r in part if r["id"] != last] + queries.filter(F.col("id") == last).limit(block).collect()
         ids, vectors = np.array([r["id"] for r in part]), np.array([r["v"] for r in part])
         sent = spark.sparkContext.broadcast((ids, vectors, encode(vectors, mean, turn)))
 
@@ -121,7 +119,8 @@ def neighbours(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id"
     if common is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = common["dim"]
-    rows, asked = rows.filter(F.size("v") == dim), asked.filter(F.size("v") == dim)
+    rows = rows.filter(F.size("v") == dim)
+    asked = asked.filter(F.size("v") == dim).groupBy("id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
     fitted = np.array([r["v"] for r in rows.orderBy(F.xxhash64("v"), "id").limit(sample).select("v").collect()])
     mean, turn = learn(fitted, rotations, min(axes, dim, len(fitted)))
     model = (mean, turn, dim)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import vocabulary as v
 from .common import Staged, by_batch, configured, pa_schema, same_each_read
 
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 HOT = 1 << 15
 TAIL = 3
 LONG = 64
@@ -252,7 +252,7 @@ def numbered(rows: DataFrame, vocab: v.Vocabulary, hot: list[str], digests: bool
             told = np.array([hot.get(w, -n - 1) for w, n in numbers.items()], np.int32)[np.array(flat, np.int64)] if flat else np.zeros(0, np.int32)
             spans, number = spans_of(np.array(sizes, np.int64)), {x: k for k, x in enumerate(runs)}
             for part in parts:
-                step = max(1, int(part.num_rows * (4 << 20) / max(part.nbytes, 1)))
+                step = max(1, int(part.num_rows * (1 << 20) / max(part.nbytes, 1)))
                 for at in range(0, part.num_rows, step):
                     some, out, digest = part.slice(at, step), [], []
                     for text in some.column(1).to_pylist():
@@ -289,7 +289,8 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, vocab: v.Vocabulary, *
     held = staged.write(chunk_words(rows, vocab), "held")
     each = held.select(F.explode("words").alias("word"))
     counted = lambda which: each.filter(which).groupBy("word").agg(F.count("*").alias("n"))
-    with configured(spark, {"spark.sql.execution.useObjectHashAggregateExec": "false"}):  # a word's edges come together, so they are grouped as they come
+    # A word's edges come together, so they are grouped as they come; and a partition of words grows some hundredfold when it is cut, which its size doesn't tell.
+    with configured(spark, {"spark.sql.execution.useObjectHashAggregateExec": "false", "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
         short = staged.write(short_words(counted(F.length("word") <= LONG), vocab), "short")
         long = staged.write(long_words(counted(F.length("word") > LONG), vocab), "long")
     words = short.unionByName(long)

@@ -188,7 +188,7 @@ def covered(docs: DataFrame, length: int, key: int, batches: int) -> DataFrame:
 
     mixed_keys = classes.groupBy("key").agg(F.count("*").alias("hulls"), F.min("n").alias("least")).filter("hulls > 1 and least = 1").select("key")
     want = classes.join(mixed_keys, "key", "left_semi").groupBy("t1").agg(F.collect_list(F.struct("key", "hull", "n")).alias("want"))
-    single = keyed(docs.filter(F.octet_length("text") >= length)).select("t1", "t2", "text").dropDuplicates(["t1"])
+    single = keyed(docs.filter(F.octet_length("text") >= length)).select("t1", "t2", "text").dropDuplicates(["t1", "t2"])
     texts = staged.write(single.join(want, "t1"), "texts")
     rows = staged.write(edge_chunks(texts, length, key), "chunks")
     cores = rows.groupBy("key", "core").agg(F.count("*").alias("n")).filter("n > 1").drop("n")

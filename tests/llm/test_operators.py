@@ -429,3 +429,26 @@ def test_ngram_join_equals_brute_force(spark, n, num):
     rows = list(enumerate(texts))
     got = ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n=n, num=num, heavy=3).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, n, num, 100)
+
+
+def test_columns_of_the_results_names_are_replaced(spark, docs, labels):
+    some = docs.withColumns({"doc": F.lit("own"), "row": F.lit(1), "quality": F.lit(7), "line_dedup": F.lit("x")})
+    lines = line_dedup.deduplicated(some)
+    assert lines.columns.count("line_dedup") == 1 and {r["doc"] for r in lines.select("doc").distinct().collect()} == {"own"}
+    scores = cotraining.scored(some, labels)
+    assert scores.columns.count("quality") == 1 and scores.filter("quality.p_good between 0 and 1").count() == docs.count()
+
+
+def test_rare_and_frequent_runs_delete_the_same_lines(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, f"{b}\n{a}")] + [(k, f"{a}\nown line {k}\n{b}") for k in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for rare in (2, 8, 100):
+        got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(docs, rare=rare).select("doc_id", "text").collect()}
+        assert got[1] == rows[0][1] and all(got[k] == f"own line {k}" for k in range(3, 40)), rare
+
+
+def test_rare_limit_at_100_pairs_every_holder(spark):
+    docs = spark.createDataFrame([(1, "p q r s t u"), (2, "v w x y z a"), (3, "v w x y z a\nmid\np q r s t u"), (4, "v w x y z a\nmid\np q r s t u")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(docs).select("doc_id", "text").collect()}
+    assert got[1] == "p q r s t u" and got[2] == "v w x y z a" and got[3] == "mid"
