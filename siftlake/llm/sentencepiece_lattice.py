@@ -41,6 +41,7 @@ HOT = 1 << 15
 TAIL = 3
 LONG = 64
 PAGE = 256
+LINKS = 64
 
 
 def none(kind: str) -> Column:
@@ -83,7 +84,7 @@ def viterbi(edges: Column) -> Column:
 def paged_viterbi(edges: Column, longest: int) -> Column:
     """`viterbi` for long words, edges (end, start, piece, score).
 
-    The fold carries the best scores of the last `longest` positions alone, and links back in pages of PAGE positions, so
+    The fold carries the best scores of the last `longest` positions alone, and links back in pages of LINKS positions, so
     that a step copies a page at most and a word's cost grows with its length, not with its square.
     """
     link_type = "struct<source:int,piece:int>"
@@ -96,15 +97,15 @@ def paged_viterbi(edges: Column, longest: int) -> Column:
         at, best, page, pages = s["at"], s["best"], s["page"], s["pages"]
         total = F.get(best, e["start"] - at + F.size(best) - 1) + e["score"]
         link = F.array(F.struct(e["start"].alias("source"), e["piece"].alias("piece")))
-        full, from_ = F.size(page) == PAGE, F.greatest(F.lit(1), F.size(best) - longest + 1)
+        full, from_ = F.size(page) == LINKS, F.greatest(F.lit(1), F.size(best) - longest + 1)
         grown = state(at + 1, F.concat(F.slice(best, from_, longest), F.array(total)), F.when(full, link).otherwise(F.concat(page, link)), F.when(full, F.concat(pages, F.array(page))).otherwise(pages))
         swapped = state(at, F.concat(F.slice(best, 1, F.size(best) - 1), F.array(total)), F.concat(F.slice(page, 1, F.size(page) - 1), link), pages)
         return F.when(e["end"] > at, grown).when(total > F.element_at(best, -1), swapped).otherwise(s)
 
     def walk(s: Column) -> Column:
         def back(t: Column, x: Column) -> Column:
-            link = F.get(F.get(x["pages"], F.floor((t["at"] - 1) / PAGE).cast("int")), (t["at"] - 1) % PAGE)
-            full, own = F.size(t["page"]) == PAGE, F.array(link["piece"])
+            link = F.get(F.get(x["pages"], F.floor((t["at"] - 1) / LINKS).cast("int")), (t["at"] - 1) % LINKS)
+            full, own = F.size(t["page"]) == LINKS, F.array(link["piece"])
             more = F.struct(
                 link["source"].alias("at"), F.when(full, own).otherwise(F.concat(own, t["page"])).alias("page"),
                 F.when(full, F.concat(F.array(t["page"]), t["pages"])).otherwise(t["pages"]).alias("pages"),
