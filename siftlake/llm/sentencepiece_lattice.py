@@ -8,7 +8,8 @@ score, its source and its piece for every position (Viterbi). How far back an en
 better score replaces one, so ties go to the earliest start, as in the tokenizer; scores are summed in single precision, as
 there, but within a word. A character that is no piece gets an edge 10 below the least piece, and becomes its bytes.
 
-Words keep their partition from the distinct to the fold, so edges are never shuffled. Words over `LONG` characters are cut
+Words are dealt by a 128-bit key and keep their partition to the fold, so edges are never shuffled, and carry the key in the
+place of the word. Words over `LONG` characters are cut
 into overlapping parts first, so that no row holds all substrings of one, and fold with links back in pages.
 
 Documents get their ids in chunks of about CHUNK bytes of text along each partition of the input: a chunk gives its
@@ -48,37 +49,29 @@ def none(kind: str) -> Column:
     return F.expr(f"cast(array() as array<{kind}>)")
 
 
-def with_last(a: Column, x: Column) -> Column:
-    return F.flatten(F.array(a, F.array(x)))
-
-
 def viterbi(edges: Column) -> Column:
-    """Pieces along the best path; edges (pos = end << 8 | start, piece, score) cover every end from 1 on. -c - 1 stands for an unknown character of code point c.
+    """Pieces along the best path; edges (end, start, score, piece) cover every end from 1 on. -c - 1 stands for an unknown character of code point c.
 
-    The fold carries the settled positions and the best edge so far into the one at hand.
+    The fold carries the best edge into each position so far, the last one still open: an end's first edge is put behind
+    it, a better one takes its place.
     """
-    best = lambda score, start, piece: F.struct(score.alias("score"), start.alias("start"), piece.alias("piece"))
-    state = lambda done, top, end: F.struct(done.alias("done"), top.alias("top"), end.alias("end"))
-    zero = best(F.lit(0.0).cast("float"), F.lit(0), F.lit(0))
-    first = state(F.expr("cast(array() as array<struct<score:float,start:int,piece:int>>)"), zero, F.lit(0))
+    link = lambda score, start, piece: F.array(F.struct(score.alias("score"), start.alias("start"), piece.alias("piece")))
 
-    def step(s: Column, e: Column) -> Column:
-        start = e["pos"].bitwiseAND(255)
-        total = F.when(start == s["end"], s["top"]["score"]).otherwise(F.get(s["done"], start)["score"]) + e["score"]
-        end = F.shiftright(e["pos"], 8)
-        taken = best(total, start, e["piece"])
-        return F.when(end != s["end"], state(with_last(s["done"], s["top"]), taken, end)).when(total > s["top"]["score"], state(s["done"], taken, end)).otherwise(s)
+    def step(done: Column, e: Column) -> Column:
+        total = F.get(done, e["start"])["score"] + e["score"]
+        new = link(total, e["start"], e["piece"])
+        return F.when(e["end"] == F.size(done), F.concat(done, new)).when(total > F.get(done, e["end"])["score"], F.concat(F.slice(done, 1, e["end"]), new)).otherwise(done)
 
-    def walk(s: Column) -> Column:
-        begin = F.struct(s["top"]["start"].alias("at"), F.array(s["top"]["piece"]).alias("ids"))
+    def walk(done: Column) -> Column:
+        begin = F.struct((F.size(done) - 1).alias("at"), none("int").alias("ids"))
 
-        def back(t: Column, k: Column) -> Column:
-            link = F.get(s["done"], k)
-            return F.when(t["at"] == k, F.struct(link["start"].alias("at"), with_last(t["ids"], link["piece"]).alias("ids"))).otherwise(t)
+        def back(t: Column, _: Column) -> Column:
+            last = F.get(done, t["at"])
+            return F.when(t["at"] > 0, F.struct(last["start"].alias("at"), F.concat(F.array(last["piece"]), t["ids"]).alias("ids"))).otherwise(t)
 
-        return F.aggregate(F.sequence(s["end"] - 1, F.lit(0), F.lit(-1)), begin, lambda t, k: F.when(k > 0, back(t, k)).otherwise(t), lambda t: F.reverse(t["ids"]))
+        return F.aggregate(done, begin, back, lambda t: t["ids"])
 
-    return F.aggregate(F.array_sort(edges), first, step, walk)
+    return F.aggregate(F.sort_array(edges), link(F.lit(0.0).cast("float"), F.lit(0), F.lit(0)), step, walk)
 
 
 def paged_viterbi(edges: Column, longest: int) -> Column:
@@ -156,26 +149,31 @@ def matches(parts: DataFrame, vocab: v.Vocabulary, *keys: str) -> DataFrame:
     return found.select(*keys, "last", "long", F.coalesce("id", -F.ascii("piece") - 1).alias("id"), F.coalesce("score", F.lit(vocab.unknown_score).cast("float")).alias("score"))
 
 
+def keyed(words: DataFrame) -> DataFrame:
+    """Words with the 128-bit key that their edges travel under."""
+    return words.withColumns({"w1": F.xxhash64("word"), "w2": F.xxhash64(F.lit("second"), "word")})
+
+
 def short_words(words: DataFrame, vocab: v.Vocabulary) -> DataFrame:
     """(word, n, ids) of distinct words (word, n) of LONG characters at most."""
-    rows = matches(words.sortWithinPartitions("word").select("word", "n", F.col("word").alias("part"), F.lit(0).alias("skip")), vocab, "word", "n")
-    edge = F.struct((F.shiftleft("last", 8) + F.col("last") - F.col("long")).alias("pos"), F.col("id").alias("piece"), "score")
-    path = rows.groupBy("word").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges")).select("word", "n", viterbi(F.col("edges")).alias("path"))
-    return path.select("word", "n", spelt(F.col("path"), vocab).alias("ids"))
+    key = ["w1", "w2"]
+    parts = keyed(words).repartition(*key).sortWithinPartitions(*key).select(*key, F.col("word").alias("part"), F.lit(0).alias("skip"))
+    edge = F.struct(F.col("last").alias("end"), (F.col("last") - F.col("long")).alias("start"), "score", F.col("id").alias("piece"))
+    path = matches(parts, vocab, *key).groupBy(*key).agg(F.collect_list(edge).alias("edges")).select(*key, viterbi(F.col("edges")).alias("path"))
+    return keyed(words).hint("merge").join(path, key).select("word", "n", spelt(F.col("path"), vocab).alias("ids"))
 
 
 def long_words(words: DataFrame, vocab: v.Vocabulary) -> DataFrame:
-    """(word, n, ids) of distinct words (word, n) over LONG characters: their edges travel under a 128-bit key."""
+    """(word, n, ids) of distinct words (word, n) over LONG characters."""
     key, back = ["w1", "w2"], vocab.longest - 1
-    keyed = words.withColumns({"w1": F.xxhash64("word"), "w2": F.xxhash64(F.lit("second"), "word")})
-    begins = keyed.select("*", F.explode(F.sequence(F.lit(0), F.length("word") - 1, F.lit(PAGE))).alias("at"))
+    begins = keyed(words).select("*", F.explode(F.sequence(F.lit(0), F.length("word") - 1, F.lit(PAGE))).alias("at"))
     skip = F.least(F.col("at"), F.lit(back))
     parts = begins.select(*key, "at", skip.alias("skip"), F.substring("word", F.col("at") - skip + 1, skip + PAGE).alias("part"))
     rows = matches(parts.select(*key, (F.col("at") - F.col("skip")).alias("base"), "skip", "part").repartition(*key), vocab, *key, "base")
     end = F.col("base") + F.col("last")
     edge = F.struct(end.alias("end"), (end - F.col("long")).alias("start"), F.col("id").alias("piece"), "score")
     path = rows.groupBy(*key).agg(F.collect_list(edge).alias("edges")).select(*key, paged_viterbi(F.col("edges"), vocab.longest).alias("path"))
-    return keyed.join(path, key).select("word", "n", spelt(F.col("path"), vocab).alias("ids"))
+    return keyed(words).hint("merge").join(path, key).select("word", "n", spelt(F.col("path"), vocab).alias("ids"))
 
 
 def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -289,18 +287,18 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, vocab: v.Vocabulary, *
     rows = same_each_read(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), staged)
     held = staged.write(chunk_words(rows, vocab), "held")
     each = held.select(F.explode("words").alias("word"))
-    counted = lambda which: each.filter(which).groupBy("word").agg(F.count("*").alias("n"))
+    counted = staged.write(each.groupBy("word").agg(F.count("*").alias("n")), "words")
     # A word's edges come together, so they are grouped as they come; and a partition of words grows some hundredfold when it is cut, which its size doesn't tell.
     with configured(spark, {"spark.sql.execution.useObjectHashAggregateExec": "false", "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
-        short = staged.write(short_words(counted(F.length("word") <= LONG), vocab), "short")
-        long = staged.write(long_words(counted(F.length("word") > LONG), vocab), "long")
+        short = staged.write(short_words(counted.filter(F.length("word") <= LONG), vocab), "short")
+        long = staged.write(long_words(counted.filter(F.length("word") > LONG), vocab), "long")
     words = short.unionByName(long)
     top = short.filter("n > 1").orderBy(F.desc("n"), "word").limit(HOT).select("word", "ids").toArrow()  # HOT words of LONG characters at most
     hot_ids, top = pa.concat_arrays(top.column("ids").chunks or [pa.array([], pa.list_(pa.int32()))]), top.column("word").to_pylist()
     hot = spark.createDataFrame([(w,) for w in top], "word string")
     wanted = held.select("chunk", F.posexplode("words").alias("k", "word")).join(F.broadcast(hot), "word", "left_anti")
     answers = staged.write(wanted.join(words.join(F.broadcast(hot), "word", "left_anti").select("word", "ids"), "word").select("chunk", "k", "ids"), "answers")
-    for name in ("held", "short", "long"):
+    for name in ("held", "words", "short", "long"):
         staged.drop(name)
     sent = spark.sparkContext.broadcast((np.asarray(hot_ids.flatten(), np.int32), spans_of(np.asarray(hot_ids.value_lengths(), np.int64)), Decoder(vocab) if check else None))
     kind = dict(docs.dtypes)[id_col]
