@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, filter_audit, line_dedup, mih, mix_cube, ngram_join, quality_rules, secret_scan, sentencepiece_lattice, source_divergence, suffix_dedup, token_count
+from . import cotraining, filter_audit, line_dedup, mih, mix_cube, ngram_join, quality_rules, secret_scan, sentencepiece_lattice, source_divergence, suffix_dedup, token_count, toxicity_pu
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,11 +64,15 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_pu.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sentencepiece, op2_quality_rules, op3_mix_sources, op4_line_dedup, op5_token_counts, op6_quality_classifier, op7_secret_scan, op8_multi_index_hashing,
-        op9_suffix_dedup, op10_ngram_join, op11_filter_audit, op12_source_divergence,
+        op9_suffix_dedup, op10_ngram_join, op11_filter_audit, op12_source_divergence, op13_toxicity,
     )
 }
 
