@@ -33,17 +33,31 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as records: id, path_rank, sha, near, label, source, lang, n_chars. Written once, narrow: the queries read them in several branches."""
-    label = F.when(F.col("quality").isNotNull(), F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string")))
-    docs = table(spark, d, "documents").select("doc_id", e.sha256_hex(F.col("text")).alias("sha"), e.near_key(F.col("text")).alias("near"), "source", "lang", "n_chars")
-    return checkpointed(docs.join(table(spark, d, "labels"), "doc_id", "left").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("path_rank"), "sha", "near", label.alias("label"), "source", "lang", "n_chars"))
-
+    """Documents as records: id, path_rank, sha, near, label, source, lang, n_chars. Written once, narrow: the queries read them in several branches.
 
-RECORDS = r"""WITH records AS (
- SELECT d.doc_id AS id, sha256(text) AS sha, source, lang, n_chars,
-  array_to_string(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9 \t\n\r]', ' ', 'g'), '[ \t\n\r]+'), lambda x: x <> '')[1:5], ' ') AS near,
+    `near` names the group of near texts by their fingerprints; a text without words is near its exact copies alone.
+    """
+    label = F.when(F.col("quality").isNotNull(), F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string")))
+    docs = table(spark, d, "documents")
+    prints = dedup.fingerprints(docs.select(F.col("doc_id").alias("id"), "text"), "id")
+    rows = docs.select(F.col("doc_id").alias("id"), e.sha256_hex(F.col("text")).alias("sha"), "source", "lang", "n_chars").join(prints, "id", "left")
+    rows = checkpointed(rows.join(table(spark, d, "labels").withColumnRenamed("doc_id", "id"), "id", "left").select("id", "sha", "fingerprint", label.alias("label"), "source", "lang", "n_chars"))
+    near = F.coalesce(F.concat(F.lit("n"), F.coalesce("near", "fingerprint").cast("string")), "sha")
+    classes = dedup.near_classes(rows.filter("fingerprint is not null"))
+    return checkpointed(rows.join(classes, "fingerprint", "left").select("id", F.col("id").alias("path_rank"), "sha", near.alias("near"), "label", "source", "lang", "n_chars"))
+
+
+_PRINT = " + ".join(f"CASE WHEN 2 * sum((h >> {b}) & 1) > count(*) THEN {1 << b} ELSE 0 END" for b in range(dedup.BITS))
+RECORDS = rf"""WITH RECURSIVE words AS (SELECT DISTINCT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS w FROM documents),
+prints AS (SELECT doc_id, ({_PRINT})::BIGINT AS fp FROM (SELECT doc_id, ('0x' || substr(md5(w), 1, 15))::BIGINT AS h FROM words) GROUP BY doc_id),
+fps AS (SELECT DISTINCT fp FROM prints),
+close AS (SELECT a.fp AS u, b.fp AS v FROM fps a JOIN fps b ON bit_count(xor(a.fp, b.fp)) <= 2),
+near_reach(u, v) AS (SELECT fp, fp FROM fps UNION SELECT r.u, c.v FROM near_reach r JOIN close c ON r.v = c.u),
+near_of AS (SELECT u AS fp, min(v) AS near FROM near_reach GROUP BY u),
+records AS (
+ SELECT d.doc_id AS id, sha256(text) AS sha, source, lang, n_chars, coalesce('n' || near, sha256(text)) AS near,
   CASE WHEN quality IS NOT NULL THEN 'q' || quality || 't' || toxic END AS label
- FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN prints p ON p.doc_id = d.doc_id LEFT JOIN near_of USING (fp)),
 conflicts AS (SELECT near, count(*) AS members, count(DISTINCT label) AS labels FROM records GROUP BY near HAVING count(DISTINCT label) > 1),
 reasoned AS (SELECT r.*, CASE WHEN label IS NULL THEN 'LABEL_UNRESOLVED' WHEN c.near IS NOT NULL THEN 'LABEL_CONFLICT_GROUP' ELSE '' END AS label_reason, c.near IS NOT NULL AS conflict
  FROM records r LEFT JOIN conflicts c ON r.near = c.near),
@@ -102,6 +116,12 @@ def label_conflict_groups(spark, d):
     return dedup.label_conflicts(records(spark, d))
 
 
+@query("SELECT o_custkey AS customer, count(*) AS members, count(DISTINCT o_orderpriority) AS labels FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderpriority) > 1")
+def label_conflicts_by_customer(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("customer"), F.col("o_orderpriority").alias("label"))
+    return dedup.label_conflicts(rows, "customer")
+
+
 HASHES = "WITH h AS (SELECT vec_id, list_reduce(list_transform(range(1, len(embedding)), lambda i: CASE WHEN embedding[i] > embedding[i + 1] THEN 1::BIGINT ELSE 0::BIGINT END), lambda t, b: t * 2 + b) AS h FROM embeddings)"
 
 
@@ -115,7 +135,7 @@ def difference_hash(spark, d):
     return table(spark, d, "embeddings").select("vec_id", e.difference_bits(F.col("embedding")).alias("hash"))
 
 
-@query(RECORDS.replace("WITH ", "WITH RECURSIVE ", 1) + ", keys AS (SELECT id, 's' || sha AS k FROM records UNION ALL SELECT id, 'n' || near FROM records), edges AS (SELECT DISTINCT a.id AS u, m.m AS v FROM keys a JOIN (SELECT k, min(id) AS m FROM keys GROUP BY k) m USING (k)), both_ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges), reach(u, v) AS (SELECT id, id FROM records UNION SELECT r.u, b.v FROM reach r JOIN both_ways b ON r.v = b.u) SELECT u AS id, min(v) AS component FROM reach GROUP BY u")
+@query(RECORDS + ", keys AS (SELECT id, 's' || sha AS k FROM records UNION ALL SELECT id, 'n' || near FROM records), edges AS (SELECT DISTINCT a.id AS u, m.m AS v FROM keys a JOIN (SELECT k, min(id) AS m FROM keys GROUP BY k) m USING (k)), both_ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges), reach(u, v) AS (SELECT id, id FROM records UNION SELECT r.u, b.v FROM reach r JOIN both_ways b ON r.v = b.u) SELECT u AS id, min(v) AS component FROM reach GROUP BY u")
 def leakage_components(spark, d):
     rows = records(spark, d)
     keys = rows.select("id", F.concat(F.lit("s"), "sha").alias("k")).unionAll(rows.select("id", F.concat(F.lit("n"), "near")))

@@ -18,10 +18,14 @@ def record_id(source: Column, path: Column) -> Column:
     return F.concat_ws("-", source, F.substring(F.sha2(path.cast("binary"), 256), 1, 12))
 
 
-def near_key(text: Column, words: int = 5) -> Column:
-    """The first words of a text, lower-cased and without punctuation: the role of a perceptual hash for text."""
-    head = F.regexp_extract(F.lower(text), f"^(?:[^a-z0-9]*[a-z0-9]+){{0,{words}}}", 0)  # reads no further than these words
-    return F.array_join(F.regexp_extract_all(head, F.lit("[a-z0-9]+"), 0), " ")
+def text_words(text: Column) -> Column:
+    """The distinct words of a whole text, lower-cased; a word is a run of letters and digits of any script."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda x: x != ""))
+
+
+def word_bits(word: Column) -> Column:
+    """60 bits of a word's MD5 as a BIGINT."""
+    return F.conv(F.substring(F.md5(word.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def difference_bits(vector: Column) -> Column:

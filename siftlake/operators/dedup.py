@@ -6,12 +6,43 @@ unresolved) and `source`. Groups may be of any size: nothing pairs the members o
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exprs as e
 from .checkpoints import checkpointed
+from .components import connected_components
+
+#: Bits of a text's fingerprint.
+BITS = 60
+
+
+def fingerprints(texts: DataFrame, key: str) -> DataFrame:
+    """(key, fingerprint) of rows (key, text): a bit is set where most of the distinct words of the whole text have it in their hash (the role of a perceptual hash for text).
+
+    Texts without words get no row. Words are counted where they are read, a row a text is shuffled; equal keys must have equal texts.
+    """
+    words = texts.select(key, F.explode(e.text_words(F.col("text"))).alias("word")).select(key, e.word_bits(F.col("word")).alias("bits"))
+    votes = words.groupBy(key).agg(F.count("*").alias("n"), *(F.sum(F.shiftrightunsigned("bits", b).bitwiseAND(1)).alias(f"b{b}") for b in range(BITS)))
+    bits = (F.when(2 * F.col(f"b{b}") > F.col("n"), F.lit(1 << b).cast("long")).otherwise(F.lit(0).cast("long")) for b in range(BITS))
+    return votes.select(key, reduce(Column.bitwiseOR, bits).alias("fingerprint"))
+
+
+def near_classes(prints: DataFrame) -> DataFrame:
+    """(fingerprint, near) of the fingerprints that another one is near, directly or through others: `near` is the least of them. Two are near if they differ in two bits at most.
+
+    No pairs are made: each fingerprint names itself and its 60 neighbours at one bit, and two are near exactly if they name one value in
+    common, so a value is named by 61 at most, however many rows share a fingerprint.
+    """
+    own = prints.select("fingerprint").distinct()
+    flips = F.array(F.col("fingerprint"), *(F.col("fingerprint").bitwiseXOR(F.lit(1 << b).cast("long")) for b in range(BITS)))
+    named = own.select("fingerprint", F.explode(flips).alias("named"))
+    stars = named.groupBy("named").agg(F.collect_set("fingerprint").alias("who")).filter(F.size("who") > 1)  # 61 at most
+    edges = stars.select(F.array_min("who").alias("least"), F.explode("who").alias("fingerprint")).filter("least <> fingerprint").distinct()
+    return connected_components(edges, "fingerprint", "least", checkpointed).select(F.col("node").alias("fingerprint"), F.col("component").alias("near"))
 
 
 def ranked_keys(rows: DataFrame, key: str, prefix: str, least: int = 1) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
@@ -176,8 +179,32 @@ def test_mapping_raises_on_rows_without_one(spark):
         guards.mapped(rows.filter("id = 1"), mapping.unionAll(mapping), ["class"])
 
 
-def test_first_words_read_as_before(spark):
-    texts = ["One, two-three FOUR\nfive six", "  .. a", "", None, "éa bÉc d1\t2", "a  b c d e f g"]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string")
-    old = F.array_join(F.slice(F.filter(F.split(F.regexp_replace(F.lower("t"), "[^a-z0-9 \\t\\n\\r]", " "), "[ \\t\\n\\r]+"), lambda x: x != ""), 1, 5), " ")
-    assert rows.filter(~e.near_key(F.col("t")).eqNullSafe(old)).count() == 0
+def brute_fingerprint(text):
+    words = {w for w in re.findall(r"[^\W_]+", (text or "").lower())}
+    hashes = [int(hashlib.md5(w.encode()).hexdigest()[:15], 16) for w in words]
+    return sum(1 << b for b in range(60) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else None
+
+
+def test_fingerprints_cover_whole_texts(spark):
+    """Texts under one licence line differ, a changed late word matters, scripts beyond Latin have words, texts without words have none."""
+    licence = "permission is hereby granted free of charge to any person"
+    texts = [f"{licence} " + " ".join(f"{x}{k}" for k in range(40)) for x in "ab"] + ["日本 語", "日本 文", "Ünï Côdé 12", "ünï, CÔDÉ; 12 12", "# !", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r["id"]: r["fingerprint"] for r in dedup.fingerprints(rows, "id").collect()}
+    assert got == {i: f for i, t in enumerate(texts) if (f := brute_fingerprint(t)) is not None} and len(got) == 6
+    assert (got[0] ^ got[1]).bit_count() > 2 and got[2] != got[3] and got[4] == got[5]
+
+
+def test_near_classes_are_the_components_at_two_bits(spark):
+    rng = np.random.default_rng(8)
+    prints = {int(b) for b in rng.integers(0, 2**60, 30)}
+    for base in list(prints):  # chains of one or two bits, and neighbours at three
+        for _ in range(4):
+            base ^= sum(1 << int(k) for k in rng.choice(60, rng.integers(1, 4), replace=False))
+            prints.add(base)
+    group = {p: p for p in prints}
+    for _ in prints:
+        group = {p: min(group[q] for q in prints if (p ^ q).bit_count() <= 2) for p in prints}
+    got = {r["fingerprint"]: r["near"] for r in dedup.near_classes(spark.createDataFrame([(p,) for p in prints] * 3, "fingerprint long").repartition(3)).collect()}
+    assert {p: got.get(p, p) for p in prints} == group and 1 < len(set(group.values())) < len(prints)
+    assert dedup.near_classes(spark.createDataFrame([], "fingerprint long")).count() == 0
