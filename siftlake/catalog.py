@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import exprs as e
-from .operators import audit, dedup, guards, metrics, runs, splits
+from .operators import audit, dedup, guards, isolation, metrics, runs, splits
 from .operators.checkpoints import checkpointed
 from .operators.components import connected_components
 
@@ -326,6 +326,36 @@ def manifest_rules(spark, d):
     return splits.manifest_rules(rows, ["development", "final_test"], rows.filter("label >= '2'").select("label"))
 
 
+ISOLATION = """WITH o AS (SELECT o_orderkey::VARCHAR AS id, o_custkey::VARCHAR AS grp, (o_orderkey % 5 + 1)::INT AS fold, o_orderpriority = '1-URGENT' AS synthetic, o_orderkey, o_custkey,
+ CASE WHEN o_orderpriority = '1-URGENT' THEN 'data/gan/fold_0' || (CASE WHEN o_orderstatus = 'P' THEN 3 ELSE 2 END) || '/train/' ELSE 'data/' || CASE WHEN o_orderkey % 101 = 0 THEN 'gan/' ELSE 'raw/' END END || o_orderkey AS path FROM orders),
+t AS (SELECT * FROM o WHERE (fold <> 2 OR o_custkey % 7 = 0) AND o_orderkey % 11 <> 0), v AS (SELECT * FROM o WHERE (fold = 2 OR o_custkey % 13 = 0) AND o_orderkey % 11 <> 0), x AS (SELECT id FROM o WHERE o_orderkey % 11 = 0 OR o_orderkey % 97 = 0),
+f AS (SELECT 'train_manifest_name' AS rule, NULL AS key WHERE false UNION ALL SELECT 'final_test_as_manifest', 'm/fold_02/fold_02_train_gan.csv m/final_test.csv' UNION ALL SELECT 'validation_manifest_name', 'm/final_test.csv'
+ UNION ALL (SELECT 'ids_in_train_and_validation', id FROM t INTERSECT SELECT 'ids_in_train_and_validation', id FROM v) UNION ALL (SELECT 'ids_in_train_and_test', id FROM t INTERSECT SELECT 'ids_in_train_and_test', id FROM x) UNION ALL (SELECT 'ids_in_validation_and_test', id FROM v INTERSECT SELECT 'ids_in_validation_and_test', id FROM x)
+ UNION ALL SELECT 'train_rows_of_the_fold', id FROM t WHERE NOT synthetic AND fold = 2 UNION ALL SELECT 'validation_rows_of_other_folds', id FROM v WHERE fold <> 2
+ UNION ALL SELECT 'synthetic_outside_its_folder', id FROM t WHERE synthetic AND path NOT LIKE 'data/gan/fold_02/train/%' UNION ALL SELECT DISTINCT 'synthetic_ids_held_out', id FROM t WHERE synthetic AND id IN (SELECT id FROM v UNION SELECT id FROM x)
+ UNION ALL SELECT 'validation_rows_synthetic', id FROM v WHERE synthetic OR path LIKE '%/gan/%' UNION ALL SELECT 'real_rows_in_generated_folder', id FROM t WHERE NOT synthetic AND path LIKE '%/gan/%'
+ UNION ALL (SELECT 'groups_in_train_and_validation', grp FROM t WHERE NOT synthetic INTERSECT SELECT 'groups_in_train_and_validation', grp FROM v)) """
+
+
+def _isolated(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as training, validation and test rows of fold 2 that break most rules."""
+    o, made = F.col("o_orderkey"), F.col("o_orderpriority") == "1-URGENT"
+    place = F.when(made, F.concat(F.lit("data/gan/fold_0"), F.when(F.col("o_orderstatus") == "P", "3").otherwise("2"), F.lit("/train/"))).otherwise(F.when(o % 101 == 0, "data/gan/").otherwise("data/raw/"))
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", o.alias("id"), F.col("o_custkey").alias("group"), (o % 5 + 1).cast("int").alias("fold"), F.concat(place, o.cast("string")).alias("path"), made.alias("synthetic"))
+    known = o % 11 != 0
+    return rows.filter(((F.col("fold") != 2) | (F.col("o_custkey") % 7 == 0)) & known), rows.filter(((F.col("fold") == 2) | (F.col("o_custkey") % 13 == 0)) & known), rows.filter(~known | (o % 97 == 0))
+
+
+@query(ISOLATION + ", n AS (SELECT unnest(['" + "', '".join([*isolation.manifest_rules(1, "with_gan", "", ""), *isolation.KEY_RULES, *isolation.ROW_RULES]) + "']) AS rule) SELECT n.rule, count(f.rule) AS violations, min(key) AS specimen FROM n LEFT JOIN f USING (rule) GROUP BY n.rule")
+def isolation_suite(spark, d):
+    return isolation.isolation_suite(*_isolated(spark, d), fold=2, arm="with_gan", train_path="m/fold_02/fold_02_train_gan.csv", validation_path="m/final_test.csv")
+
+
+@query(ISOLATION + "SELECT 'train_rows' AS measure, count(*) AS value FROM t UNION ALL SELECT 'train_real', count(*) FILTER (NOT synthetic) FROM t UNION ALL SELECT 'train_synthetic', count(*) FILTER (synthetic) FROM t UNION ALL SELECT 'validation_rows', count(*) FROM v UNION ALL SELECT 'final_test_ids', count(DISTINCT id) FROM x")
+def isolation_counts(spark, d):
+    return isolation.isolation_counts(*_isolated(spark, d), fold=2, arm="with_gan")
+
+
 @query("SELECT doc_id AS id, item_id AS item FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def isolation_guard(spark, d):
     docs, passages = table(spark, d, "documents"), table(spark, d, "benchmark")
