@@ -17,8 +17,8 @@ from pyspark.sql.window import Window
 
 from .common import Staged
 
-#: Maximal runs of letters A-Z, a-z and characters beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between terms, which are maximal runs of letters A-Z, a-z and characters beyond ASCII.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -29,7 +29,8 @@ DEALT = 16
 def terms(text: Column) -> Column:
     """The terms of a text in order, A-Z lower-cased and no other letter."""
     ascii_only = F.octet_length(text) == F.length(text)
-    return F.regexp_extract_all(F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower())), F.lit(TERM), F.lit(0))
+    found = F.split(F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower())), BETWEEN)
+    return F.array_remove(found, "")
 
 
 def counts(docs: DataFrame) -> DataFrame:
