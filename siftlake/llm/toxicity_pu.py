@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import Staged, by_batch
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")  # runs of A-Z, a-z and characters beyond ASCII
 STEMS = range(4, 10)
 LEVELS = (1, 2, 4)
 LONGEST = 40  # letters of a word that is a feature itself; longer ones count by their stems
@@ -77,19 +77,33 @@ def candidate_features(docs: DataFrame, toxic: DataFrame, *, positives: int, can
 
 
 def looked_up(docs: DataFrame, known: list[tuple[str, int]]) -> DataFrame:
-    """(doc_id, ids): the candidates that each document has, by their place in the list."""
-    place: dict[str, list[tuple[int, int]]] = {}
-    for k, (base, level) in enumerate(known):
-        place.setdefault(base, []).append((level, k))
-
-    def found(batch: dict[str, list]) -> dict[str, list]:
-        out = []
-        for text in batch["text"]:
-            each = ((place[base], n) for base, n in bases(text).items() if base in place)
-            out.append(sorted(k for levels, n in each for level, k in levels if n >= level))
-        return {"doc_id": batch["doc_id"], "ids": out}
+    """(doc_id, ids): the candidates that each document has, by their place in the list.
 
-    return by_batch(docs.select("doc_id", "text"), f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>", found)
+    A word's stem is in every document that the word or a longer stem is in, so it is more frequent and a candidate if they are: the
+    search of a word ends at its first stem that isn't one.
+    """
+    levels: dict[str, list[tuple[int, int]]] = {}
+    for k, (base, level) in enumerate(known):
+        levels.setdefault(base, []).append((level, k))
+    stems, words = {b[:-1]: x for b, x in levels.items() if b[-1] == "*"}, {b: x for b, x in levels.items() if b[-1] != "*"}
+
+    def ids(text: str | None) -> list[int]:
+        count: Counter[str] = Counter()
+        for word, n in Counter(LETTERS.findall((text or "").lower())).items():
+            for k in STEMS:
+                if k >= len(word):
+                    if word in words:
+                        count[word] += n
+                    break
+                if (stem := word[:k]) not in stems:
+                    break
+                count[stem + "*"] += n
+            else:
+                if word in words:
+                    count[word] += n
+        return sorted(k for base, n in count.items() for level, k in levels[base] if n >= level)
+
+    return by_batch(docs.select("doc_id", "text"), f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>", lambda b: {"doc_id": b["doc_id"], "ids": list(map(ids, b["text"]))})
 
 
 def frequencies(features: DataFrame, n: int) -> np.ndarray:
@@ -120,6 +134,20 @@ def margins(theta: np.ndarray, lists: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return theta[-1] + np.bincount(row, theta[ids], minlength=len(lists)), row, ids
 
 
+def selected(place: np.ndarray):
+    """For mapInArrow: lists of candidates as lists of the model's features, those that it lacks left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, ids = flat(b.column("ids"))
+            ids = place[ids]
+            used = ids >= 0
+            ends = np.append(0, np.cumsum(np.bincount(row[used], minlength=b.num_rows)))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids[used], pa.int32()))], names=["ids"])
+
+    return run
+
+
 def sums(patterns: DataFrame, theta: np.ndarray) -> np.ndarray:
     """Over all patterns (ids, n, p): rows for weights n and p, each the sum of sigmoid times features, then of the sigmoid, then of the loss as 0."""
     width = len(theta) + 1
@@ -184,7 +212,7 @@ def scored(
         place[use] = np.arange(len(use))
 
         def kept(rows: DataFrame, n: int, p: int) -> DataFrame:
-            return by_batch(rows.select("ids"), "ids array<int>", lambda b: {"ids": [sorted(int(place[k]) for k in ids if place[k] >= 0) for ids in b["ids"]]}).groupBy("ids").agg((F.count("*") * n).alias("n"), (F.count("*") * p).alias("p"))
+            return rows.select("ids").mapInArrow(selected(place), "ids array<int>").groupBy("ids").agg((F.count("*") * n).alias("n"), (F.count("*") * p).alias("p"))
 
         both = kept(found, 1, 0).unionAll(kept(confirmed, 0, 1)).groupBy("ids").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
         means = np.append(in_positives[use] / n_positives, 1.0)
