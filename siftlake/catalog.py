@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .functions import exprs as e
 from .operators import audit, dedup, guards, isolation, metrics, runs, splits
-from .operators.checkpoints import checkpointed
+from .operators.checkpoints import checkpointed, shared_dir
 from .operators.components import connected_components
+from .sources import outputs, probes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -315,6 +317,28 @@ def split_of_all(spark, d):
     return _split(spark, d).select("id", "split")
 
 
+@query("WITH " + SPLIT + " SELECT row_number() OVER (ORDER BY CASE split WHEN 'development' THEN 0 WHEN 'final_test' THEN 1 ELSE 2 END, o_orderpriority, o_orderkey) AS row, o_orderkey AS id, o_orderpriority AS label, coalesce(split, '') AS split FROM orders LEFT JOIN split ON o_orderkey = id")
+def published_split(spark, d):
+    """The split manifest, published in order with its digests, verified and read back with the place of each row over all files."""
+    path = f"{shared_dir(spark).rstrip('/')}/siftlake-published-{uuid.uuid4().hex}"
+    rows = _split(spark, d).select("id", "label", "split")
+    outputs.publish(rows, path, [F.array_position(F.array(F.lit("development"), F.lit("final_test"), F.lit("")), F.col("split")), "label", "id"])
+    outputs.verified(spark, path, rows.schema)
+    back = outputs.numbered(outputs.placed(spark, path, rows.schema))
+    return back.select(F.col("row").cast("long").alias("row"), "id", "label", F.coalesce("split", F.lit("")).alias("split"))
+
+
+@query("WITH l AS (SELECT o_orderkey::VARCHAR AS filepath, o_custkey AS file_size FROM orders), m AS (SELECT o_orderkey::VARCHAR AS filepath, o_custkey + (o_orderkey % 3 = 0)::INT AS file_size, CASE WHEN o_orderkey % 5 = 0 THEN 'pending' WHEN o_orderkey % 7 = 0 THEN 'corrupt' ELSE 'ok' END AS status FROM orders WHERE o_orderkey % 11 <> 0 UNION ALL SELECT 'c' || c_custkey, 1, 'ok' FROM customer) SELECT coalesce(l.filepath, m.filepath) AS filepath, l.file_size, CASE WHEN l.filepath IS NULL THEN 'gone' WHEN l.file_size = m.file_size AND status <> 'pending' THEN 'reuse' ELSE 'read' END AS plan FROM l FULL JOIN m USING (filepath)")
+def probe_plan(spark, d):
+    o = F.col("o_orderkey")
+    orders = table(spark, d, "orders")
+    listed = orders.select(o.cast("string").alias("filepath"), F.col("o_custkey").alias("file_size"))
+    status = F.when(o % 5 == 0, "pending").when(o % 7 == 0, "corrupt").otherwise("ok")
+    old = orders.filter(o % 11 != 0).select(o.cast("string").alias("filepath"), (F.col("o_custkey") + (o % 3 == 0).cast("int")).alias("file_size"), status.alias("status"))
+    gone = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("filepath"), F.lit(1).cast("long").alias("file_size"), F.lit("ok").alias("status"))
+    return probes.planned(listed, old.unionByName(gone))
+
+
 @query("WITH " + SPLIT + ", r AS (SELECT o_custkey AS g, o_orderpriority AS label, o_orderstatus AS source, coalesce(split, '') AS split FROM orders LEFT JOIN split ON o_orderkey = id) SELECT 'all' AS measure, '' AS value, split, count(*) AS rows, count(DISTINCT g) AS groups FROM r GROUP BY split UNION ALL SELECT 'label', label, split, count(*), count(DISTINCT g) FROM r GROUP BY label, split UNION ALL SELECT 'source', source, split, count(*), count(DISTINCT g) FROM r GROUP BY source, split")
 def split_summary(spark, d):
     return splits.split_summary(_split(spark, d), ["label", "source"])
