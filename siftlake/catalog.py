@@ -13,6 +13,7 @@ from .operators import audit, dedup, guards, isolation, metrics, runs, splits
 from .operators.checkpoints import checkpointed, shared_dir
 from .operators.components import connected_components
 from .sources import outputs, probes
+from .streaming import run_states as states
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -548,6 +549,32 @@ def matrix_status(spark, d):
     return runs.with_status(_matrix(spark, d), done)
 
 
+RUN_EVENTS = "WITH e AS (SELECT 'u' || user_id AS run, event_id AS seq, CASE event_type WHEN 'signup' THEN 'start' WHEN 'view' THEN 'resume' WHEN 'click' THEN 'artifact' WHEN 'purchase' THEN 'complete' ELSE CASE WHEN event_id % 3 = 0 THEN 'interrupt' ELSE 'fail' END END AS kind, 'c' || event_id % 2 AS config, CASE WHEN event_type = 'click' THEN ['config', 'history', 'metrics', 'confusion', 'best', 'latest', 'summary'][event_id // 2 % 7 + 1] END AS artifact FROM events), c AS (SELECT run, config, min(seq) FILTER (kind = 'start') AS first, count(DISTINCT artifact) AS files, max(seq) FILTER (kind <> 'artifact') AS last_seq, arg_max(kind, seq) FILTER (kind <> 'artifact') AS last, row_number() OVER (PARTITION BY run ORDER BY min(seq) FILTER (kind = 'start') NULLS LAST, config) AS k, count(*) OVER (PARTITION BY run) AS configs FROM e GROUP BY run, config) SELECT run, CASE WHEN first IS NULL THEN 'PENDING' WHEN last = 'complete' THEN CASE WHEN files = 7 THEN 'COMPLETED' ELSE 'FAILED' END WHEN last = 'fail' THEN 'FAILED' WHEN last = 'interrupt' THEN 'INTERRUPTED' ELSE 'RUNNING' END AS status, CASE WHEN first IS NOT NULL THEN config END AS config, CASE WHEN first IS NOT NULL THEN last_seq END AS last_seq, CASE WHEN first IS NULL THEN 0 ELSE files END::INT AS artifacts, (configs - (first IS NOT NULL)::INT)::INT AS refused FROM c WHERE k = 1"
+
+
+def _run_events(rows: DataFrame) -> DataFrame:
+    """Events of users in the role of events of runs, each with one of two configs."""
+    kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "view", "resume").when(F.col("event_type") == "click", "artifact").when(F.col("event_type") == "purchase", "complete")
+    kind = kind.otherwise(F.when(F.col("event_id") % 3 == 0, "interrupt").otherwise("fail"))
+    file = F.when(F.col("event_type") == "click", F.get(F.array(*map(F.lit, states.ARTIFACTS)), (F.expr("event_id div 2") % 7).cast("int")))
+    return rows.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("run"), F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("c"), (F.col("event_id") % 2).cast("string")).alias("config"), file.alias("artifact"))
+
+
+@query(RUN_EVENTS)
+def run_states_batch(spark, d):
+    return states.batch_states(_run_events(table(spark, d, "events")))
+
+
+@query(RUN_EVENTS)
+def run_states_stream(spark, d):
+    """The same from a stream of files dealt from the table, one a batch, so that events come late; the updates are written and read again."""
+    root = f"{shared_dir(spark).rstrip('/')}/siftlake-runs-{uuid.uuid4().hex}"
+    _run_events(table(spark, d, "events")).repartition(3, F.xxhash64("seq")).write.parquet(f"{root}/events")
+    stream = spark.readStream.schema(states.EVENT).option("maxFilesPerTrigger", 1).parquet(f"{root}/events")
+    states.write_states(states.run_states(stream), f"{root}/updates", f"{root}/checkpoint").awaitTermination()
+    return states.current_states(spark, f"{root}/updates")
+
+
 @query("SELECT t.event_type, count(e.event_id)::BIGINT AS n FROM (VALUES ('click'), ('view'), ('purchase'), ('never')) t(event_type) LEFT JOIN events e USING (event_type) GROUP BY 1")
 def zero_filled_distribution(spark, d):
     dim = spark.createDataFrame([("click",), ("view",), ("purchase",), ("never",)], "event_type string")
