@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import exprs as e
-from .operators import audit, dedup, guards, isolation, metrics, runs, splits
+from .operators import audit, dedup, guards, isolation, metrics, reports, runs, splits
 from .operators.checkpoints import checkpointed, shared_dir
 from .operators.components import connected_components
 from .sources import outputs, probes
@@ -109,6 +109,38 @@ def dedup_summary_rollup(spark, d):
     return dedup.curated(records(spark, d)).rollup("source", "reason").agg(F.count("*").alias("n"), F.count_distinct("sha").alias("contents"))
 
 
+def _parts(section: str, measure: str, part: str, where: str = "true") -> str:
+    return f" UNION ALL SELECT '{section}', '{measure}', {part}, count(*) FROM clean WHERE {where} GROUP BY ALL"
+
+
+SUMMARY = (
+    RECORDS + ", s AS (SELECT sha, count(*) AS n, min(source) < max(source) AS sources FROM clean GROUP BY sha), g AS (SELECT near, count(*) AS n, min(sha) < max(sha) AS contents, min(source) < max(source) AS sources, coalesce(min(label) < max(label), false) AS labels, count(*) FILTER (reason = '') AS kept FROM clean GROUP BY near) "
+    "SELECT 'raw' AS section, 'total' AS measure, '' AS part, count(*)::BIGINT AS value FROM clean UNION ALL SELECT 'raw', 'corrupt', '', count(*) FILTER (sha IS NULL) FROM clean UNION ALL SELECT 'excluded', 'total', '', count(*) FILTER (reason <> '') FROM clean UNION ALL SELECT 'clean', 'total', '', count(*) FILTER (reason = '') FROM clean UNION ALL SELECT 'unresolved', 'awaiting_label', '', count(*) FILTER (label IS NULL) FROM clean"
+    + _parts("raw", "per_source", "source") + _parts("raw", "per_label", "label", "label IS NOT NULL") + _parts("excluded", "by_reason", "reason", "reason <> ''") + _parts("excluded", "by_source_and_reason", "source || '|' || reason", "reason <> ''")
+    + _parts("clean", "per_source", "source", "reason = ''") + _parts("clean", "per_label", "label", "reason = ''") + _parts("clean", "per_source_and_label", "source || '|' || label", "reason = ''")
+    + " UNION ALL SELECT 'duplicates', 'exact_groups', '', count(*) FILTER (n > 1) FROM s UNION ALL SELECT 'duplicates', 'exact_groups_across_sources', '', count(*) FILTER (sources) FROM s UNION ALL SELECT 'duplicates', 'near_groups', '', count(*) FILTER (contents) FROM g UNION ALL SELECT 'duplicates', 'near_groups_across_sources', '', count(*) FILTER (contents AND sources) FROM g"
+    " UNION ALL SELECT 'duplicates', 'conflicting_groups', '', count(*) FILTER (labels) FROM g UNION ALL SELECT 'duplicates', 'records_in_conflicting_groups', '', coalesce(sum(n) FILTER (labels), 0)::BIGINT FROM g UNION ALL SELECT 'clean', 'groups', '', count(*) FILTER (kept > 0) FROM g UNION ALL SELECT 'clean', 'groups_of_several', '', count(*) FILTER (kept > 1) FROM g UNION ALL SELECT 'clean', 'largest_group', '', max(kept) FROM g"
+)
+
+
+@query(SUMMARY)
+def dedup_summary(spark, d):
+    return reports.dedup_summary(dedup.curated(records(spark, d)))
+
+
+@query(RECORDS + ", i AS (SELECT *, n_chars // 500 AS size FROM clean WHERE reason = ''), g AS (SELECT near, count(*) AS n, min(source) < max(source) AS across, bool_or(id % 10 = 0) AS specimens FROM i GROUP BY near), t AS (SELECT max(n) AS n FROM (SELECT count(*) AS n FROM i GROUP BY label)), z AS (SELECT sum(n) AS n FROM (SELECT max(n) AS n FROM (SELECT size, count(*) AS n FROM i GROUP BY size, label) GROUP BY size)), o AS (SELECT sum(n) AS n FROM (SELECT max(n) AS n FROM (SELECT source, count(*) AS n FROM i GROUP BY source, label) GROUP BY source)), c AS (SELECT count(*) AS n FROM i) SELECT 'duplicates_within_a_source' AS check, count(*)::BIGINT AS groups, coalesce(sum(n), 0)::BIGINT AS records, (SELECT count(*) FROM clean WHERE reason = 'EXACT_DUPLICATE') AS excluded, NULL::DOUBLE AS bound, NULL::DOUBLE AS baseline FROM g WHERE n > 1 AND NOT across UNION ALL SELECT 'duplicates_across_sources', count(*), coalesce(sum(n), 0)::BIGINT, (SELECT count(*) FROM clean WHERE reason = 'LABEL_CONFLICT_GROUP'), NULL, NULL FROM g WHERE across UNION ALL SELECT 'same_specimen', count(*), coalesce(sum(n), 0)::BIGINT, 0, NULL, NULL FROM g WHERE specimens UNION ALL SELECT 'label_in_name', 0, count(*), 0, NULL, NULL FROM i WHERE source LIKE '%1' UNION ALL SELECT 'metadata', 0, count(*), 0, NULL, NULL FROM i WHERE n_chars % 2 = 0 UNION ALL SELECT 'size_shortcut', 0, c.n, 0, z.n::DOUBLE / c.n, t.n::DOUBLE / c.n FROM c, z, t UNION ALL SELECT 'source_shortcut', 0, c.n, 0, o.n::DOUBLE / c.n, t.n::DOUBLE / c.n FROM c, o, t")
+def leakage_findings(spark, d):
+    rows = dedup.curated(records(spark, d)).withColumns({"specimen": F.when(F.col("id") % 10 == 0, F.col("near")), "reveals": F.endswith("source", F.lit("1")), "metadata": F.col("n_chars") % 2 == 0, "size": F.expr("n_chars div 500")})
+    return reports.written_with_findings(rows.select("id", "sha", "near", "label", "source", "reason", "specimen", "reveals", "metadata", "size"), f"{shared_dir(spark).rstrip('/')}/siftlake-clean-{uuid.uuid4().hex}")
+
+
+@query("WITH r AS (SELECT doc_id AS path, lang AS label, source AS extension, (n_chars % 3)::VARCHAR AS mode, (n_chars // 1000)::VARCHAR AS size, sha256(text) AS sha, length(text) >= 20 AS readable FROM documents), f AS (SELECT 'class' AS measure, label AS value, count(*) AS n FROM r GROUP BY ALL UNION ALL SELECT 'extension', extension, count(*) FROM r GROUP BY ALL UNION ALL SELECT 'mode', mode, count(*) FROM r WHERE readable GROUP BY ALL UNION ALL SELECT 'size', size, count(*) FROM r WHERE readable GROUP BY ALL UNION ALL SELECT 'unreadable', path::VARCHAR, count(*) FROM r WHERE NOT readable GROUP BY ALL UNION ALL SELECT 'duplicate', sha || ' ' || min(path), count(*) FROM r GROUP BY sha HAVING count(*) > 1) SELECT * FROM f UNION ALL SELECT 'total', '', count(*) FROM r UNION ALL SELECT 'ok', '', (count(*) FILTER (measure IN ('duplicate', 'unreadable')) = 0)::BIGINT FROM f")
+def content_audit(spark, d):
+    docs = table(spark, d, "documents")
+    rows = docs.select(F.col("doc_id").alias("path"), F.col("lang").alias("label"), F.col("source").alias("extension"), (F.col("n_chars") % 3).alias("mode"), F.expr("n_chars div 1000").alias("size"), e.sha256_hex(F.col("text")).alias("sha"), (F.length("text") >= 20).alias("readable"))
+    return reports.content_audit(rows)
+
+
 @query(RECORDS + ", f AS (SELECT sha, min(id) AS a FROM records GROUP BY sha), s AS (SELECT near, count(*) AS m FROM records GROUP BY near) SELECT id, CASE WHEN conflict AND label IS NULL THEN 'REVIEW_LABEL_CONFLICT' WHEN conflict THEN 'EXCLUDE_LABEL_CONFLICT' WHEN id <> a THEN 'DROP_EXACT_DUPLICATE' WHEN m > 1 THEN 'KEEP_GROUPED' ELSE 'KEEP' END AS action FROM reasoned JOIN f USING (sha) JOIN s USING (near)")
 def dedup_action(spark, d):
     return dedup.dedup_actions(records(spark, d))
