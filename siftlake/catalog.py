@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import exprs as e
-from .operators import audit, dedup, guards, isolation, metrics, reports, runs, splits
+from .operators import audit, dedup, evaluation, guards, isolation, metrics, reports, runs, splits
 from .operators.checkpoints import checkpointed, shared_dir
 from .operators.components import connected_components
 from .sources import outputs, probes
@@ -495,6 +495,27 @@ def cross_entropy(spark, d):
     return metrics.cross_entropy(predictions(spark, d)).select(F.round("loss", 9).alias("loss"), "accuracy")
 
 
+_ONE = {
+    "accuracy": "sum(hits) / sum(support)", "macro_precision": "sum(precision) / 10", "macro_recall": "sum(recall) / 10", "macro_f1": "sum(f1) / 10", "weighted_f1": "sum(f1 * support) / sum(support)", "n": "sum(support)",
+}
+_ALL = {"mean_all": "avg(confidence)", "mean_right": "avg(confidence) FILTER (target = predicted)", "mean_wrong": "avg(confidence) FILTER (target <> predicted)", "loss": "avg(-ln(probs[target + 1]))"}
+REPORT = BINS + ", f AS (SELECT 'confusion' AS output, target AS class, 'p' || predicted AS name, n::DOUBLE AS value FROM cells UNION ALL SELECT 'confusion_normalised', target, 'p' || predicted, coalesce(n::DOUBLE / nullif(sum(n) OVER (PARTITION BY target), 0)::DOUBLE, 0) FROM cells"
+REPORT += "".join(f" UNION ALL SELECT 'classification_report', target, '{c}', {c}::DOUBLE FROM cm" for c in ("precision", "recall", "f1", "support"))
+REPORT += "".join(f" UNION ALL SELECT 'metrics', -1, '{n}', ({c})::DOUBLE FROM cm" for n, c in _ONE.items()) + "".join(f" UNION ALL SELECT 'metrics', -1, '{n}', ({c})::DOUBLE FROM p" for n, c in _ALL.items())
+REPORT += " UNION ALL SELECT 'metrics', -1, 'ece', (sum(n * abs(accuracy - mean_confidence)) / sum(n))::DOUBLE FROM bins UNION ALL SELECT 'predictions', target, CASE WHEN target = predicted THEN 'right' ELSE 'wrong' END, count(*)::DOUBLE FROM p GROUP BY ALL) SELECT output, class, name, round(value, 9) AS value FROM f"
+
+
+@query(REPORT)
+def evaluation_report(spark, d):
+    """All outputs of an exported report as one table: the class-sized ones, and counts of the right and wrong predictions."""
+    path, rows = f"{shared_dir(spark).rstrip('/')}/siftlake-report-{uuid.uuid4().hex}", evaluation.predictions_table(predictions(spark, d))
+    evaluation.export_report(rows, 10, path)
+    wrong = evaluation.misclassified(spark, path, rows).groupBy("target").agg(F.count("*").alias("n")).select("target", F.lit("wrong").alias("name"), "n")
+    right = evaluation.read_predictions(spark, path, rows).filter("correct").groupBy("target").agg(F.count("*").alias("n")).select("target", F.lit("right").alias("name"), "n")
+    counted = wrong.unionAll(right).select(F.lit("predictions").alias("output"), F.col("target").alias("class"), "name", F.col("n").cast("double").alias("value"))
+    return evaluation.read_report(spark, path, 10).unionAll(counted).withColumn("value", F.round("value", 9))
+
+
 @query(PREDICTIONS + ", u AS (SELECT id, unnest(range(10))::INT AS c, unnest(probs) AS p FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p DESC, c)::INT AS rank FROM u) SELECT id, rank, c, p FROM r WHERE rank <= 3")
 def ranked_topk(spark, d):
     return metrics.ranked(predictions(spark, d), 3)

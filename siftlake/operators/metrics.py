@@ -21,18 +21,29 @@ def confusion(rows: DataFrame, k: int) -> DataFrame:
 
 def confusion_wide(rows: DataFrame, k: int) -> DataFrame:
     """A row for each target with a column p0, p1, ... for each predicted class."""
-    return confusion(rows, k).groupBy("target").pivot("predicted", list(range(k))).agg(F.first("n")).withColumnsRenamed({str(i): f"p{i}" for i in range(k)})
+    return wide_of(confusion(rows, k), k)
+
+
+def wide_of(cells: DataFrame, k: int) -> DataFrame:
+    return cells.groupBy("target").pivot("predicted", list(range(k))).agg(F.first("n")).withColumnsRenamed({str(i): f"p{i}" for i in range(k)})
 
 
 def confusion_normalised(rows: DataFrame, k: int) -> DataFrame:
     """Cells as shares of their row; an empty row is zeros."""
+    return normalised_of(confusion(rows, k))
+
+
+def normalised_of(cells: DataFrame) -> DataFrame:
     total = F.sum("n").over(Window.partitionBy("target"))
-    return confusion(rows, k).select("target", "predicted", F.coalesce(F.try_divide("n", total), F.lit(0.0)).alias("share"))
+    return cells.select("target", "predicted", F.coalesce(F.try_divide("n", total), F.lit(0.0)).alias("share"))
 
 
 def class_metrics(rows: DataFrame, k: int) -> DataFrame:
     """Precision, recall, F1 and support of every class; 0 / 0 is 0."""
-    cells = confusion(rows, k)
+    return class_metrics_of(confusion(rows, k))
+
+
+def class_metrics_of(cells: DataFrame) -> DataFrame:
     hit = F.when(F.col("target") == F.col("predicted"), F.col("n")).otherwise(0)
     by_target = cells.groupBy(F.col("target").alias("c")).agg(F.sum("n").alias("support"), F.sum(hit).alias("hits"))
     by_guess = cells.groupBy(F.col("predicted").alias("c")).agg(F.sum("n").alias("guesses"))
@@ -45,8 +56,12 @@ def class_metrics(rows: DataFrame, k: int) -> DataFrame:
 
 def summary_metrics(rows: DataFrame, k: int) -> DataFrame:
     """One row: accuracy, macro averages over all k classes, weighted F1."""
+    return summary_of(class_metrics(rows, k), k)
+
+
+def summary_of(each: DataFrame, k: int) -> DataFrame:
     n = F.sum("support")
-    return class_metrics(rows, k).agg(
+    return each.agg(
         (F.sum("hits") / n).alias("accuracy"), *((F.sum(m) / k).alias(f"macro_{m}") for m in ("precision", "recall", "f1")), (F.sum(F.col("f1") * F.col("support")) / n).alias("weighted_f1"), n.alias("n"),
     )
 
