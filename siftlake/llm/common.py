@@ -84,6 +84,14 @@ def same_each_read(df: DataFrame, staged: Staged) -> DataFrame:
     return df if plain else staged.write(df, "input")
 
 
+def cut(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in batches of about `size` bytes."""
+    for whole in batches:
+        step = max(1, int(whole.num_rows * size / max(whole.nbytes, 1)))
+        for at in range(0, whole.num_rows, step):
+            yield whole.slice(at, step)
+
+
 def by_batch(df: DataFrame, schema: str, f: Callable[[dict[str, list]], dict[str, list] | None], binary: tuple[str, ...] = ()) -> DataFrame:
     """mapInArrow with plain Python lists: `f` gets the columns of a batch and returns those of `schema`. Columns in `binary` come as UTF-8 bytes.
 

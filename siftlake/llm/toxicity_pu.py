@@ -10,8 +10,8 @@ documents among the labelled ones that may be learned from. When the second term
 correction that keeps a flexible model from calling all unlabelled text harmless). Each step is a Spark job over the documents'
 selected features, grouped by equal sets of features; numpy sums in tasks, and one vector of the model's size a task is added up.
 
-What is bounded: the candidate features come from at most `positives` toxic documents (those of least hash), at most
-`candidates` of them are looked up in every document, and the model has at most `features` weights. Document frequencies, the
+What is bounded: the candidate features come from at most `positives` toxic and `others` other labelled documents (those of least
+hash), at most `candidates` of them are looked up in every document, and the model has at most `features` weights. Document frequencies, the
 unlabelled risk, the positives' risk and the scores cover all documents.
 
 Cases: a null text is empty; a text without selected features gets the score of the bias alone. Rows that repeat an id are each
@@ -32,9 +32,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged, by_batch
+from .common import Staged, by_batch, cut
 
 LETTERS = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")  # runs of A-Z, a-z and characters beyond ASCII
+SPACED = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))  # the same as a table for UTF-8 bytes: all others become spaces
 STEMS = range(4, 10)
 LEVELS = (1, 2, 4)
 LONGEST = 40  # letters of a word that is a feature itself; longer ones count by their stems
@@ -63,47 +64,76 @@ def marked(labels: DataFrame) -> DataFrame:
     return labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
 
 
-def candidate_features(docs: DataFrame, toxic: DataFrame, *, positives: int, candidates: int, least: int) -> list[tuple[str, int]]:
-    """(base, level) of at least `least` of the chosen toxic documents, the most frequent first."""
-    chosen = toxic.orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives)
-
-    def listed(batch: dict[str, list]) -> dict[str, list]:
-        rows = [(base, level) for text in batch["text"] for base, n in bases(text).items() for level in LEVELS if n >= level]
-        return {"base": [r[0] for r in rows], "level": [r[1] for r in rows]}
-
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text")  # `positives` ids at most
-    counted = by_batch(texts, "base string, level int", listed).groupBy("base", "level").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    return [(r["base"], r["level"]) for r in counted.orderBy(F.desc("n"), "base", "level").limit(candidates).collect()]
+def candidate_features(docs: DataFrame, known: DataFrame, *, positives: int, others: int, candidates: int, least: int, screen: float) -> list[tuple[str, int]]:
+    """(base, level) that at least `least` of the chosen toxic documents have, and by `screen` standard errors more often than the chosen labelled documents at large; the most frequent first."""
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = known.filter("toxic = 1").orderBy(*order).limit(positives).unionAll(known.filter("toxic = 0").orderBy(*order).limit(others))
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `positives` and `others` ids at most
+
+    def counted(batch: dict[str, list]) -> dict[str, list]:
+        found: dict[int, Counter[tuple[str, int]]] = {0: Counter(), 1: Counter()}
+        for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
+            found[toxic].update((base, level) for base, n in bases(text).items() for level in LEVELS if n >= level)
+            found[toxic]["", 0] += 1
+        keys = list(found[0] | found[1])
+        return {"base": [k[0] for k in keys], "level": [k[1] for k in keys], "p": [found[1][k] for k in keys], "o": [found[0][k] for k in keys]}
+
+    rows = by_batch(texts.select("text", "toxic"), "base string, level int, p long, o long", counted).groupBy("base", "level").agg(F.sum("p").alias("p"), F.sum("o").alias("o"))
+    rows = rows.filter((F.col("p") >= least) | (F.col("level") == 0)).persist()  # summed once for the totals and the list
+    total = rows.filter("level = 0").first()
+    share = F.lit(0.0)
+    if total and total["o"]:
+        prior = known.agg(F.avg("toxic")).first()[0]
+        share = prior * F.col("p") / total["p"] + (1 - prior) * F.col("o") / total["o"] if total["p"] else share
+    n = total["p"] if total else 0
+    z = (F.col("p") / n - share) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) / n)
+    found = [(r["base"], r["level"]) for r in rows.filter((F.col("level") > 0) & (z >= screen)).orderBy(F.desc("p"), "base", "level").limit(candidates).collect()] if n else []
+    rows.unpersist()
+    return found
 
 
 def looked_up(docs: DataFrame, known: list[tuple[str, int]]) -> DataFrame:
     """(doc_id, ids): the candidates that each document has, by their place in the list.
 
-    A word's stem is in every document that the word or a longer stem is in, so it is more frequent and a candidate if they are: the
-    search of a word ends at its first stem that isn't one.
+    Each word of a batch is searched once, most of them by their first letters alone; numpy counts what stands in which text.
     """
-    levels: dict[str, list[tuple[int, int]]] = {}
+    names = {base: k for k, base in enumerate(dict.fromkeys(base for base, _ in known))}
+    place = np.full((len(LEVELS), len(names)), -1)
     for k, (base, level) in enumerate(known):
-        levels.setdefault(base, []).append((level, k))
-    stems, words = {b[:-1]: x for b, x in levels.items() if b[-1] == "*"}, {b: x for b, x in levels.items() if b[-1] != "*"}
-
-    def ids(text: str | None) -> list[int]:
-        count: Counter[str] = Counter()
-        for word, n in Counter(LETTERS.findall((text or "").lower())).items():
-            for k in STEMS:
-                if k >= len(word):
-                    if word in words:
-                        count[word] += n
-                    break
-                if (stem := word[:k]) not in stems:
-                    break
-                count[stem + "*"] += n
-            else:
-                if word in words:
-                    count[word] += n
-        return sorted(k for base, n in count.items() for level, k in levels[base] if n >= level)
-
-    return by_batch(docs.select("doc_id", "text"), f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>", lambda b: {"doc_id": b["doc_id"], "ids": list(map(ids, b["text"]))})
+        place[LEVELS.index(level), names[base]] = k
+    stems, words = {b[:-1]: k for b, k in names.items() if b[-1] == "*"}, {b: k for b, k in names.items() if b[-1] != "*"}
+
+    short = STEMS[0]
+    heads = {base[:short] for base in (*stems, *words) if len(base) >= short}
+
+    def of_word(word: str) -> list[int]:
+        if len(word) >= short and word[:short] not in heads:
+            return []
+        out = [stems[word[:k]] for k in STEMS if k < len(word) and word[:k] in stems]
+        return [*out, words[word]] if word in words else out
+
+    def ids(texts: list[str | None]) -> pa.ListArray:
+        apart = pc.split_pattern(pa.array([(t or "").lower().encode().translate(SPACED).decode() for t in texts], pa.large_string()), " ")
+        row = np.repeat(np.arange(len(texts)), pc.list_value_length(apart).to_numpy(zero_copy_only=False))
+        coded = apart.flatten().dictionary_encode()
+        own = [of_word(w) for w in coded.dictionary.to_pylist()]
+        size, code = np.array([len(x) for x in own], np.int64), coded.indices.to_numpy(zero_copy_only=False)
+        start, many = np.cumsum(size) - size, size[code]
+        bases = np.array([k for x in own for k in x], np.int64)
+        entry = np.repeat(start[code], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)  # each token's bases in turn
+        pair, n = np.unique(np.repeat(row, many) * max(len(names), 1) + bases[entry], return_counts=True)
+        at, base = np.divmod(pair, max(len(names), 1))
+        found = [(at[use], place[k, base[use]]) for k, level in enumerate(LEVELS) for use in [(n >= level) & (place[k, base] >= 0)]]
+        at, found = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        order = np.lexsort((found, at))
+        ends = np.append(0, np.cumsum(np.bincount(at, minlength=len(texts))))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found[order], pa.int32()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in cut(batches):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids(b.column("text").to_pylist())], names=["doc_id", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
 
 
 def frequencies(features: DataFrame, n: int) -> np.ndarray:
@@ -192,7 +222,7 @@ def fitted(patterns: DataFrame, means: np.ndarray, prior: float, n_all: float, n
 
 
 def scored(
-    docs: DataFrame, labels: DataFrame, *, positives: int = 20_000, candidates: int = 32_768, features: int = 4_096, least: int = 3, evidence: float = 5.0,
+    docs: DataFrame, labels: DataFrame, *, positives: int = 20_000, others: int = 5_000, candidates: int = 32_768, features: int = 4_096, least: int = 3, screen: float = 2.0, evidence: float = 5.0,
     rounds: int = 40, rate: float = 0.1, ridge: float = 1e-3, threshold: float = 0.7,
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
@@ -200,7 +230,7 @@ def scored(
     known = staged.write(marked(labels), "labels")
     share = known.agg(F.avg("toxic")).first()[0]
     toxic = known.filter("toxic = 1").select("doc_id")
-    names = candidate_features(docs, toxic, positives=positives, candidates=candidates, least=least) if share else []
+    names = candidate_features(docs, known, positives=positives, others=others, candidates=candidates, least=least, screen=screen) if share else []
     found = staged.write(looked_up(docs, names), "features")
     confirmed = found.join(toxic, "doc_id")  # a row for each document of a toxic id
     n_all, n_positives = found.count(), confirmed.count() if share else 0

@@ -76,3 +76,12 @@ def test_labels_that_may_not_be_learned_change_nothing(spark):
     other = [(i, t if zlib.crc32(str(i).encode()) % 3 != 1 else 1 - t) for i, t in labels]
     one, two = (sorted(map(tuple, toxicity_pu.scored(docs, spark.createDataFrame(x, "doc_id long, toxic int")).collect())) for x in (labels, other))
     assert one == two
+
+
+def test_candidates_are_looked_up_as_they_are_counted(spark):
+    texts = ["Trash trash TRASHcan trashy", "loser, losers! lose los", None, "", "nothing here", "日本語文字列 日本語文字 İdiot", "trash\u00a0can x" * 3, "a" * 60 + " " + "loser " * 5]
+    wanted = {i: toxicity_pu.bases(t) for i, t in enumerate(texts)}
+    every = sorted({(base, level) for b in wanted.values() for base, n in b.items() for level in toxicity_pu.LEVELS if n >= level})
+    got = {r["doc_id"]: r["ids"] for r in toxicity_pu.looked_up(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2), every).collect()}
+    assert got == {i: [k for k, (base, level) in enumerate(every) if b[base] >= level] for i, b in wanted.items()}
+    assert {tuple(r["ids"]) for r in toxicity_pu.looked_up(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), []).collect()} == {()}
