@@ -11,34 +11,50 @@ their own. Extra columns are ignored, an empty table has no groups and no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Staged
-
-#: What stands between terms, which are maximal runs of letters A-Z, a-z and characters beyond ASCII.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+from .common import Staged, cut
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: For the bytes of UTF-8: A-Z become a-z, what is neither a letter A-Z, a-z nor beyond ASCII becomes a space.
+TERM_BYTES = bytes(b if b >= 128 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
 
 #: Rows of one language are dealt to so many tasks where its groups meet.
 DEALT = 16
 
 
-def terms(text: Column) -> Column:
-    """The terms of a text in order, A-Z lower-cased and no other letter."""
-    ascii_only = F.octet_length(text) == F.length(text)
-    found = F.split(F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower())), BETWEEN)
-    return F.array_remove(found, "")
+def term_counts(lang: list[str], source: list[str], texts: list[str]) -> pa.RecordBatch:
+    """(lang, source, term, n, docs) of the texts of a batch, whose terms are counted as numbers."""
+    apart = pc.split_pattern(pa.array([t.encode().translate(TERM_BYTES).decode() for t in texts], pa.large_string()), " ")
+    row = np.repeat(np.arange(len(texts)), pc.list_value_length(apart).to_numpy(zero_copy_only=False))
+    coded = apart.flatten().dictionary_encode()
+    code, size = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(len(coded.dictionary), 1)
+    groups = {g: k for k, g in enumerate(dict.fromkeys(zip(lang, source, strict=True)))}
+    group = np.array([groups[g] for g in zip(lang, source, strict=True)], np.int64)
+    each, times = np.unique(row * size + code, return_counts=True)  # terms of documents
+    pair, at = np.unique(group[each // size] * size + each % size, return_inverse=True)
+    n, docs = np.bincount(at, times, len(pair)).astype(np.int64), np.bincount(at, minlength=len(pair))
+    names = list(groups)
+    own, term = pair // size, coded.dictionary.take(pa.array(pair % size)).cast(pa.string())
+    out = pa.RecordBatch.from_arrays([pa.array([names[g][0] for g in own], pa.string()), pa.array([names[g][1] for g in own], pa.string()), term, pa.array(n), pa.array(docs)], names=["lang", "source", "term", "n", "docs"])
+    return out.filter(pc.not_equal(term, ""))
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents of each term in each group. Occurrences and the distinct terms of a document are counted in one grouping, partly before the shuffle."""
-    own = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")), terms(F.coalesce("text", F.lit(""))).alias("terms"))
-    row = lambda n, d: lambda t: F.struct(t.alias("term"), F.lit(n).alias("n"), F.lit(d).alias("docs"))
-    each = own.select("lang", "source", F.inline(F.concat(F.transform("terms", row(1, 0)), F.transform(F.array_distinct("terms"), row(0, 1)))))
-    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    """(lang, source, term, n, docs): occurrences and documents of each term in each group, counted by batch, then over all."""
+    own = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in cut(batches):
+            yield term_counts(*(b.column(c).to_pylist() for c in ("lang", "source", "text")))
+
+    return own.mapInArrow(run, "lang string, source string, term string, n long, docs long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def weight(n: Column, scale: Column) -> Column:
