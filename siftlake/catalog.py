@@ -12,7 +12,7 @@ from .functions import exprs as e
 from .operators import audit, dedup, evaluation, guards, isolation, metrics, reports, runs, splits
 from .operators.checkpoints import checkpointed, shared_dir
 from .operators.components import connected_components
-from .sources import outputs, probes
+from .sources import includes, outputs, probes
 from .streaming import run_states as states
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -659,6 +659,17 @@ def augmented_union(spark, d):
     return runs.augmented(real, table(spark, d, "pages").select(F.col("page_id").alias("id"), F.lit("page").alias("label")))
 
 
+@query("WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS file, 'n' || n_nationkey AS include FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'n' || n_nationkey, 'n' || (n_nationkey + 1) FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT 'n4', 'r0'), reached AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS file, 0 AS depth, ['r' || r_regionkey] AS path, false AS cycle FROM region UNION ALL SELECT c.root, e.include, c.depth + 1, list_append(c.path, e.include), list_contains(c.path, e.include) FROM reached c JOIN e ON c.file = e.file WHERE NOT c.cycle) SELECT root, file, min(depth)::INT AS depth, bool_or(cycle) AS cycle FROM reached GROUP BY root, file")
+def include_closure(spark, d):
+    """Regions that include nations, nations that include customers and some other nations, and a cycle."""
+    nation, customer = table(spark, d, "nation"), table(spark, d, "customer")
+    name = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    key = F.col("n_nationkey")
+    edges = nation.select(name("r", F.col("n_regionkey")).alias("file"), name("n", key).alias("include")).unionAll(customer.select(name("n", F.col("c_nationkey")), name("c", F.col("c_custkey"))))
+    edges = edges.unionAll(nation.filter(key % 3 == 0).select(name("n", key), name("n", key + 1))).unionAll(nation.filter(key == 4).select(F.lit("n4"), F.lit("r0")))
+    return includes.closure(edges, table(spark, d, "region").select(name("r", F.col("r_regionkey")).alias("file")))
+
+
 @query("SELECT page_id, 'web-' || left(sha256(url), 12) AS record_id FROM pages")
 def image_ids(spark, d):
     return table(spark, d, "pages").select("page_id", e.record_id(F.lit("web"), F.col("url")).alias("record_id"))
