@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import exprs as e
-from .operators import audit, dedup, evaluation, guards, isolation, metrics, reports, runs, splits
+from .operators import audit, dedup, evaluation, guards, isolation, metrics, reports, runs, splits, suites
 from .operators.checkpoints import checkpointed, shared_dir
 from .operators.components import connected_components
 from .sources import includes, outputs, probes
@@ -336,6 +336,95 @@ def group_flags(spark, d):
     return dedup.leakage_flags_of(records(spark, d))
 
 
+def _rules(**counts: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{rule}' AS rule, ({count})::BIGINT AS violations" for rule, count in counts.items())
+
+
+def _twice(table: str, key: str, where: str = "true") -> str:
+    return f"SELECT count(*) FROM (SELECT {key} FROM {table} WHERE {key} IS NOT NULL AND {where} GROUP BY {key} HAVING count(*) > 1)"
+
+
+def _several(table: str, key: str, value: str, where: str = "true", least: str = "> 1") -> str:
+    return f"SELECT count(*) FROM (SELECT {key} FROM {table} WHERE {key} IS NOT NULL AND {where} GROUP BY {key} HAVING count(DISTINCT {value}) {least})"
+
+
+def _where(table: str, test: str) -> str:
+    return f"SELECT count(*) FROM {table} WHERE {test}"
+
+
+_K = F.col("o_orderkey")
+
+
+@query("WITH r AS (SELECT o_orderkey - (o_orderkey % 97 = 0)::INT AS id, o_custkey || o_orderpriority AS sha, CASE WHEN o_orderkey % 31 > 0 THEN o_orderpriority END AS label, o_custkey AS grp, o_orderkey % 2 = 0 AS included, CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey % 26 = 0 THEN 'EXACT' ELSE '' END WHEN o_orderkey % 13 = 0 THEN '' WHEN o_orderkey % 17 = 0 THEN 'ODD' ELSE 'EXACT' END AS reason, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey - o_orderkey % 10 END AS representative FROM orders) " + _rules(
+    included_with_reason=_where("r", "included AND reason <> ''"), excluded_without_reason=_where("r", "NOT included AND reason = ''"), unknown_reason=_where("r", "NOT included AND reason NOT IN ('', 'EXACT')"), included_without_label=_where("r", "included AND label IS NULL"),
+    representative_of_itself=_where("r", "representative = id"), id_twice=_twice("r", "id"), representative_unknown="SELECT count(DISTINCT representative) FROM r WHERE representative IS NOT NULL AND representative NOT IN (SELECT id FROM r)",
+    included_content_twice=_twice("r", "sha", "included"), groups_of_several_labels=_several("r", "grp", "label", "included"),
+))
+def clean_rules(spark, d):
+    reason = F.when(_K % 2 == 0, F.when(_K % 26 == 0, "EXACT").otherwise("")).when(_K % 13 == 0, "").when(_K % 17 == 0, "ODD").otherwise("EXACT")
+    rows = table(spark, d, "orders").select((_K - (_K % 97 == 0).cast("int")).alias("id"), F.concat(F.col("o_custkey").cast("string"), "o_orderpriority").alias("sha"), F.when(_K % 31 > 0, F.col("o_orderpriority")).alias("label"), F.col("o_custkey").alias("group"), (_K % 2 == 0).alias("included"), reason.alias("reason"), F.when(_K % 5 == 0, _K - _K % 10).alias("representative"))
+    return suites.clean_rules(rows, ["EXACT"])
+
+
+CLASSES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+_LABELLED = "o_orderkey - (o_orderkey % 97 = 0)::INT AS id, o_orderpriority AS class, (left(o_orderpriority, 1)::INT - 1 + (o_orderkey % 101 = 0)::INT)::INT AS label"
+
+
+def _labelled(*more) -> list:
+    return [(_K - (_K % 97 == 0).cast("int")).alias("id"), F.col("o_orderpriority").alias("class"), (F.substring("o_orderpriority", 1, 1).cast("int") - 1 + (_K % 101 == 0).cast("int")).alias("label"), *more]
+
+
+_MISNAMED = "['" + "', '".join(CLASSES) + "'][label + 1] IS DISTINCT FROM class"
+
+
+@query(f"WITH s AS (SELECT {_LABELLED}, o_orderkey // 3 AS grp, CASE WHEN o_orderpriority = '5-LOW' OR o_orderkey % 10 < 8 THEN 'development' WHEN o_orderkey % 10 = 8 THEN 'final_test' ELSE 'train' END AS part FROM orders WHERE o_orderkey % 7 > 0), c AS (SELECT o_orderkey AS id, o_orderkey % 11 > 0 AS included FROM orders), p AS (SELECT * FROM s WHERE part <> 'train') " + _rules(
+    unknown_part=_where("s", "part = 'train'"), label_isnt_class=_where("s", _MISNAMED), id_twice=_twice("s", "id"), empty_parts="SELECT 2 - count(DISTINCT part) FROM p", classes_of_one_part=_several("p", "class", "part", least="= 1"), groups_in_both_parts=_several("s", "grp", "part"),
+    included_rows_left_out="SELECT count(*) FROM (SELECT id FROM c WHERE included EXCEPT SELECT id FROM s)", rows_not_included="SELECT count(*) FROM (SELECT id FROM s EXCEPT SELECT id FROM c WHERE included)", excluded_rows="SELECT count(*) FROM (SELECT id FROM s INTERSECT SELECT id FROM c WHERE NOT included)",
+))
+def split_rules(spark, d):
+    orders = table(spark, d, "orders")
+    part = F.when((F.col("o_orderpriority") == "5-LOW") | (_K % 10 < 8), "development").when(_K % 10 == 8, "final_test").otherwise("train")
+    rows = orders.filter(_K % 7 > 0).select(*_labelled(F.expr("o_orderkey div 3").alias("group"), part.alias("split")))
+    return suites.split_rules(rows, orders.select(_K.alias("id"), (_K % 11 > 0).alias("included")), CLASSES)
+
+
+@query(f"WITH r AS (SELECT {_LABELLED}, o_custkey AS grp, (o_custkey % 11 + (o_orderkey % 89 = 0)::INT)::INT AS fold FROM orders) " + _rules(
+    fold_out_of_range=_where("r", "fold NOT BETWEEN 1 AND 13"), label_isnt_class=_where("r", _MISNAMED), id_twice=_twice("r", "id"), empty_folds="SELECT 13 - count(DISTINCT fold) FROM r WHERE fold BETWEEN 1 AND 13", groups_in_several_folds=_several("r", "grp", "fold"),
+))
+def fold_rules(spark, d):
+    fold = (F.col("o_custkey") % 11 + (_K % 89 == 0).cast("int")).cast("int")
+    return suites.fold_rules(table(spark, d, "orders").select(*_labelled(F.col("o_custkey").alias("group"), fold.alias("fold"))), 13, CLASSES)
+
+
+@query("WITH x AS (SELECT n_name AS model, f.k::INT AS fold, a.arm, n_nationkey AS n FROM nation, range(1, 5) f(k), (VALUES ('without_gan'), ('with_gan')) a(arm) WHERE n_nationkey < 12 AND n_nationkey * 10 + f.k <> 33), r AS (SELECT model || fold || CASE WHEN n = 5 THEN '' ELSE arm END AS id, CASE WHEN n = 6 THEN 'other' ELSE model END AS model, CASE WHEN n = 7 AND fold = 4 THEN 3 ELSE fold END AS fold, arm, 'fold_0' || fold || CASE WHEN arm = 'with_gan' AND n <> 8 THEN '_train_gan.csv' ELSE '_train.csv' END AS train, CASE WHEN n = 9 THEN 'm/final_test.csv' ELSE 'm/fold_0' || fold || '_validation.csv' END AS val, CASE WHEN n = 10 THEN 'DONE' ELSE 'PENDING' END AS status FROM x), k AS (SELECT * FROM r WHERE model <> 'other') " + _rules(
+    off_the_axes=_where("r", "model = 'other'"), train_manifest_name=_where("r", "train <> 'fold_0' || fold || CASE WHEN arm = 'with_gan' THEN '_train_gan.csv' ELSE '_train.csv' END"), validation_manifest_name=_where("r", "val NOT LIKE '%/fold_0' || fold || '_validation.csv'"), final_test_as_manifest=_where("r", "val LIKE '%final_test%'"),
+    unknown_status=_where("r", "status = 'DONE'"), id_twice=_twice("r", "id"), combination_twice="SELECT count(*) FROM (SELECT 1 FROM k GROUP BY model, fold, arm HAVING count(*) > 1)", combination_missing="SELECT 96 - count(*) FROM (SELECT DISTINCT model, fold, arm FROM k)",
+    uneven_axis_values="SELECT (SELECT count(*) FROM (SELECT 1 FROM k GROUP BY model HAVING count(*) <> 8)) + (SELECT count(*) FROM (SELECT 1 FROM k GROUP BY fold HAVING count(*) <> 24)) + (SELECT count(*) FROM (SELECT 1 FROM k GROUP BY arm HAVING count(*) <> 48))",
+))
+def matrix_rules(spark, d):
+    n, fold, arm = F.col("n_nationkey"), F.col("fold"), F.col("arm")
+    nation = table(spark, d, "nation").filter(n < 12)
+    names = [r["n_name"] for r in nation.orderBy("n_nationkey").collect()]  # the matrix's models: twelve
+    x = nation.select("n_nationkey", "n_name", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("fold")).filter(n * 10 + fold != 33).select("*", F.explode(F.array(F.lit("without_gan"), F.lit("with_gan"))).alias("arm"))
+    file = lambda tail: F.concat(F.lit("fold_0"), fold.cast("string"), tail)
+    rows = x.select(
+        F.concat("n_name", fold.cast("string"), F.when(n == 5, "").otherwise(arm)).alias("experiment_id"), F.when(n == 6, "other").otherwise(F.col("n_name")).alias("model"), F.when((n == 7) & (fold == 4), 3).otherwise(fold).alias("fold"), "arm",
+        file(F.when((arm == "with_gan") & (n != 8), "_train_gan.csv").otherwise("_train.csv")).alias("train_manifest"), F.when(n == 9, "m/final_test.csv").otherwise(F.concat(F.lit("m/"), file(F.lit("_validation.csv")))).alias("validation_manifest"), F.when(n == 10, "DONE").otherwise("PENDING").alias("status"),
+    )
+    return suites.matrix_rules(rows, names, 4)
+
+
+@query("WITH r AS (SELECT page_id AS id, (page_id % 3 + 1)::INT AS fold, ['a', 'b', 'c', 'd'][page_id % 4 + 1] AS class, (page_id % 4 % 3)::INT AS label, 'gan/fold_0' || (page_id % 5 + 1) || CASE WHEN page_id % 9 = 0 THEN '/val/' ELSE '/train/' END || page_id AS path FROM pages), f AS (SELECT path FROM r WHERE id % 13 > 0) " + _rules(
+    of_another_fold=_where("r", "fold <> 2"), unknown_class=_where("r", "class = 'd'"), label_isnt_class=_where("r", "['a', 'b', 'c'][label + 1] IS DISTINCT FROM class"), path_not_of_train=_where("r", "path LIKE '%/val/%'"), path_outside_fold=_where("r", "path NOT LIKE '%/fold_02/%'"),
+    file_missing="SELECT count(*) FROM (SELECT path FROM r EXCEPT SELECT path FROM f)",
+))
+def synthetic_rules(spark, d):
+    p = F.col("page_id")
+    path = F.concat(F.lit("gan/fold_0"), (p % 5 + 1).cast("string"), F.when(p % 9 == 0, "/val/").otherwise("/train/"), p.cast("string"))
+    rows = table(spark, d, "pages").select(p.alias("id"), (p % 3 + 1).cast("int").alias("fold"), F.get(F.array(*map(F.lit, "abcd")), (p % 4).cast("int")).alias("class"), (p % 4 % 3).cast("int").alias("label"), path.alias("path"))
+    return suites.synthetic_rules(rows, rows.filter("id % 13 > 0").select("path"), 2, ["a", "b", "c"])
+
+
 SPLIT = "split AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 < 7 THEN 'development' WHEN o_orderkey % 10 < 9 THEN 'final_test' END AS split FROM orders WHERE o_orderkey % 10 < 9)"
 
 
