@@ -6,23 +6,22 @@ Every later holder of a run is paired with its earliest holder, and the pair's l
 that are unique in both, the longest increasing run of them, and so on between these, and the longest common run where no
 line is unique in both); the aligned blocks of `min_words` words or more are deleted from the later document.
 
-What runs with an earlier holder cover is all that any pair could delete, so a document whose covered lines are gone is
-done. Of the runs that still cover a line (lines that stand in another order than in the earliest holder), the rare ones,
-with `rare` holders at most, are paired with all their earlier holders, one of each sequence of lines; of the others the
-run itself is the aligned block with its earliest holder, so that a frequent line makes no pairs. An owner's line is never
-deleted through its own pairs, so each text stays once.
+Lines that stand in another order than in the earliest holder aren't aligned with it. So what is left of a shared run is counted:
+of its occurrences in a document as many go as some earlier document has, those that alignment deleted included, the first ones
+first. A passage that stands twice keeps one copy if every earlier document has it once, however many do; a moved passage goes. No
+further pairs are made, and the counts of a run come from a grouping by run and number. A run's earliest holder loses nothing to it.
 
 Documents are ordered by id, nulls last, then by a hash of the text.
 
 Defined cases: a null text has no lines and stays null; rows that repeat both id and text are one document and get one
-result each; lines within one document are never deduplicated against each other, and an
-alignment matches a line once, so of a rare passage that stands twice in the later document one copy goes for each alignment's match; texts of one line are aligned like any
+result each; lines within one document are never deduplicated against each other; texts of one line are aligned like any
 other; an empty table gives an empty result; extra columns are ignored. A line is compared without its surrounding white space.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -140,62 +139,66 @@ def runs_of(lines: list[int], words: list[int], least: int) -> tuple[np.ndarray,
     return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)).view(np.int64), start, end
 
 
-def open_runs(lines: list[int], words: list[int], held: list[dict], gone: list[int] | None, least: int) -> tuple[list[int], list[int]]:
-    """Of the runs `held` (run, often) that cover a line which isn't in `gone`: the rare ones, and the lines that the others cover."""
-    kept = np.ones(len(lines) + 1, np.int64)
+def counted_out(lines: list[int], words: list[int], held: list[dict], gone: list[int] | None, least: int) -> list[int]:
+    """Lines to delete besides `gone`: of each run in `held` (run, allowed) the first occurrences that are still there, until `allowed` of its occurrences are gone."""
+    kept = np.ones(len(lines), np.int64)
     kept[gone or []] = 0
-    kept = np.concatenate([[0], np.cumsum(kept)])
     h, start, end = runs_of(lines, words, least)
-    often = np.array([x["run"] for x in held if x["often"]], np.int64)
-    rare = np.array([x["run"] for x in held if not x["often"]], np.int64)
-    is_open = kept[end] > kept[start]
-    covered = is_open & np.isin(h, often)
-    return np.unique(h[is_open & np.isin(h, rare)]).tolist(), sorted({k for i, j in zip(start[covered].tolist(), end[covered].tolist(), strict=True) for k in range(i, j)})
+    left = np.concatenate([[0], np.cumsum(kept)])
+    is_open, is_held = left[end] > left[start], np.isin(h, np.array([x["run"] for x in held], np.int64))
+    if not (is_open & is_held).any():
+        return []
+    allowed, done, out = {x["run"]: x["allowed"] for x in held}, Counter(h[~is_open & is_held].tolist()), []
+    for k in np.flatnonzero(is_open & is_held):  # by start, then end
+        run, i, j = int(h[k]), start[k], end[k]
+        open_lines = i + np.flatnonzero(kept[i:j])
+        if len(open_lines) and done[run] >= allowed[run]:
+            continue
+        done[run] += 1
+        kept[i:j] = 0
+        out.extend(open_lines.tolist())
+    return sorted(out)
 
 
-def deletions(docs: DataFrame, min_words: int, rare: int) -> DataFrame:
+def deletions(docs: DataFrame, min_words: int) -> DataFrame:
     """(doc, gone[]): the places of the lines to delete from docs (doc, text)."""
     staged, kind = Staged(docs.sparkSession, "lines"), docs.schema["doc"].dataType.simpleString()
     own = staged.write(lines_of(docs.filter("text is not null")).dropDuplicates(["doc"]), "lines")
 
     def cut(x: dict) -> dict:
-        return {"doc": x["doc"], "runs": [np.unique(runs_of(a, w, min_words)[0]).tolist() for a, w in zip(x["lines"], x["words"], strict=True)]}
+        found = [np.unique(runs_of(a, w, min_words)[0], return_counts=True) for a, w in zip(x["lines"], x["words"], strict=True)]
+        return {"doc": x["doc"], "runs": [[{"run": r, "n": n} for r, n in zip(*map(np.ndarray.tolist, f), strict=True)] for f in found]}
 
-    each = staged.write(by_batch(own, f"doc {kind}, runs array<long>", cut).select("doc", F.explode("runs").alias("run")), "runs")
-    shared = each.groupBy("run").agg(F.min("doc").alias("owner"), F.count("*").alias("holders")).filter("holders > 1").withColumn("often", F.col("holders") > rare).drop("holders")
-    links = staged.write(each.join(shared, "run").filter("doc <> owner"), "links")
+    each = staged.write(by_batch(own, f"doc {kind}, runs array<struct<run:long,n:int>>", cut).select("doc", F.inline("runs")), "runs")
+    levels = each.groupBy("run", "n").agg(F.min("doc").alias("first"), F.count("*").alias("holders"))
+    shared = levels.groupBy("run").agg(F.min("first").alias("owner"), F.sum("holders").alias("holders"), F.collect_list(F.struct("n", "first")).alias("levels")).filter("holders > 1").drop("holders")
+    earlier = F.filter("levels", lambda x: x["first"] < F.col("doc"))
+    links = each.join(shared, "run").filter("doc <> owner").select("doc", "run", "owner", F.array_max(F.transform(earlier, lambda x: F.least(x["n"], F.col("n")))).alias("allowed"))
+    links = staged.write(links, "links")
 
     def align(x: dict) -> dict:
         return {"doc": x["doc"], "gone": [deleted_lines(a, b, w, min_words) for a, b, w in zip(x["first"], x["lines"], x["words"], strict=True)]}
 
-    def gone(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(own, "doc").join(own.select(F.col("doc").alias("owner"), F.col("lines").alias("first")), "owner").select("doc", "lines", "words", "first")
-        return by_batch(both, f"doc {kind}, gone array<int>", align).filter(F.size("gone") > 0)
-
     def merged(found: DataFrame) -> DataFrame:
         return found.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
 
     pairs = links.select("owner", "doc").distinct()
-    found = staged.write(merged(gone(pairs)), "found")
+    both = pairs.join(own, "doc").join(own.select(F.col("doc").alias("owner"), F.col("lines").alias("first")), "owner").select("doc", "lines", "words", "first")
+    found = staged.write(merged(by_batch(both, f"doc {kind}, gone array<int>", align).filter(F.size("gone") > 0)), "found")
 
     def rest(x: dict) -> dict:
-        found = [open_runs(*z, min_words) for z in zip(x["lines"], x["words"], x["held"], x["gone"], strict=True)]
-        return {"doc": x["doc"], "runs": [f[0] for f in found], "gone": [f[1] for f in found]}
+        return {"doc": x["doc"], "gone": [counted_out(*z, min_words) for z in zip(x["lines"], x["words"], x["held"], x["gone"], strict=True)]}
 
-    held = links.groupBy("doc").agg(F.collect_list(F.struct("run", "often")).alias("held")).join(own, "doc").join(found, "doc", "left")
-    left = staged.write(by_batch(held.select("doc", "lines", "words", "held", "gone"), f"doc {kind}, runs array<long>, gone array<int>", rest), "left")
-    asked = left.select("doc", F.explode("runs").alias("run"))
-    first = own.groupBy(F.xxhash64("lines").alias("c1"), F.xxhash64(F.lit("second"), "lines").alias("c2")).agg(F.min("doc").alias("doc")).select("doc")
-    holders = each.join(asked.select("run").distinct(), "run", "left_semi").join(first, "doc", "left_semi").select("run", F.col("doc").alias("owner"))
-    more = asked.join(holders, "run").filter("owner < doc").select("owner", "doc").distinct().join(pairs, ["owner", "doc"], "left_anti")
-    return merged(found.unionByName(left.select("doc", "gone").filter(F.size("gone") > 0)).unionByName(gone(staged.write(more, "more"))))
+    held = links.groupBy("doc").agg(F.collect_list(F.struct("run", "allowed")).alias("held")).join(own, "doc").join(found, "doc", "left")
+    left = by_batch(held.select("doc", "lines", "words", "held", "gone"), f"doc {kind}, gone array<int>", rest).filter(F.size("gone") > 0)
+    return merged(found.unionByName(left))
 
 
-def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, rare: int = 8) -> DataFrame:
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
     """Every row with all its columns, its text without the deleted lines, and the struct `line_dedup` (n_lines, n_deleted, gone[]), which takes the place of a column of that name."""
     doc = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"))
     keyed = docs.select(doc.alias("doc"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "line_dedup")).alias("row"))
-    found = deletions(keyed.select("doc", F.col(f"row.{text_col}").alias("text")), min_words, rare)
+    found = deletions(keyed.select("doc", F.col(f"row.{text_col}").alias("text")), min_words)
     joined = keyed.join(found, "doc", "left")
 
     def run(x: dict) -> dict:

@@ -278,16 +278,52 @@ def test_line_dedup_aligns_later_holders_and_blocks_of_short_lines(spark):
     assert line_rows(spark, [f"own one\n{verse}", f"{verse}\nown two"])[2] == "own two"
 
 
-def test_line_dedup_equals_all_pairs(spark):
+def brute_lines(texts, least):
+    """The rule by hand: runs by growing stretches, alignment with each run's first holder, then occurrences counted against earlier texts."""
+    split = [t.split("\n") for t in texts]
+    size = lambda part: sum(len(x.split()) for x in part)
+
+    def runs(b):
+        spans = set()
+        for i in range(len(b)):
+            ahead = [j for j in range(i + 1, len(b) + 1) if size(b[i:j]) >= least]
+            behind = [j for j in range(i + 1) if size(b[j : i + 1]) >= least]
+            spans |= {(i, min(ahead))} if ahead else set()
+            spans |= {(max(behind), i + 1)} if behind else set()
+        return sorted(spans)
+
+    held = [[(tuple(b[i:j]), i, j) for i, j in runs(b)] for b in split]
+    times = [Counter(r for r, _, _ in h) for h in held]
+    out = []
+    for k, b in enumerate(split):
+        shared = {r: [a for a in range(k) if r in times[a]] for r in times[k]}
+        gone = {y for a in {e[0] for e in shared.values() if e} for y in line_dedup.deleted_lines(split[a], b, [len(x.split()) for x in b], least)}
+        done = Counter(r for r, i, j in held[k] if gone >= set(range(i, j)))
+        for r, i, j in [(r, i, j) for r, i, j in held[k] if shared[r] and not gone >= set(range(i, j))]:
+            if gone >= set(range(i, j)) or done[r] < max(min(times[a][r], times[k][r]) for a in shared[r]):
+                done[r] += 1
+                gone |= set(range(i, j))
+        out.append("\n".join(x for y, x in enumerate(b) if y not in gone))
+    return out
+
+
+def test_line_dedup_equals_brute_force(spark):
+    """Passages that stand twice and in every order, with up to 60 holders of a line."""
     rng = random.Random(5)
     lines = ["", "a", "b c", "d e f", "one line of five words", "other line of six whole words", "g h"]
     texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 9))) for _ in range(60)]
-    ids = [[lines.index(x) for x in t.split("\n")] for t in texts]
-    got = line_rows(spark, texts)
-    for k, b in enumerate(ids):
-        words = [len(lines[x].split()) for x in b]
-        gone = {y for a in ids[:k] for y in line_dedup.deleted_lines(a, b, words, 5)}
-        assert got[k + 1] == "\n".join(lines[x] for y, x in enumerate(b) if y not in gone)
+    texts += ["\n".join(rng.sample(lines[4:6] * 2 + [f"own {k}", "d e f"], 6)) for k in range(30)]
+    assert [t for _, t in sorted(line_rows(spark, texts).items())] == brute_lines(texts, 5)
+
+
+@pytest.mark.parametrize("holders", [2, 8, 9, 100])
+def test_copies_of_a_passage_go_alike_for_any_number_of_holders(spark, holders):
+    """A later text that has a passage twice keeps one copy where earlier ones have it once, and none where one of them has it twice."""
+    passage = "the passage of some seven words here"
+    texts = [f"own {k}\n{passage}\nmore {k}" for k in range(holders)]
+    got = line_rows(spark, [*texts, f"{passage}\nmid\n{passage}", f"{passage}\n{passage}\nend"])
+    assert got[1] == texts[0] and all(got[k + 1] == f"own {k}\nmore {k}" for k in range(1, holders))
+    assert got[holders + 1] == f"mid\n{passage}" and got[holders + 2] == "end"
 
 
 # 6 ---------------------------------------------------------------------------------------------------------------
@@ -439,16 +475,15 @@ def test_columns_of_the_results_names_are_replaced(spark, docs, labels):
     assert scores.columns.count("quality") == 1 and scores.filter("quality.p_good between 0 and 1").count() == docs.count()
 
 
-def test_rare_and_frequent_runs_delete_the_same_lines(spark):
+def test_moved_passages_go_for_any_number_of_holders(spark):
     a, b = "one two three four five six", "seven eight nine ten eleven twelve"
     rows = [(1, f"{b}\n{a}")] + [(k, f"{a}\nown line {k}\n{b}") for k in range(2, 40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for rare in (2, 8, 100):
-        got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(docs, rare=rare).select("doc_id", "text").collect()}
-        assert got[1] == rows[0][1] and all(got[k] == f"own line {k}" for k in range(3, 40)), rare
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(docs).select("doc_id", "text").collect()}
+    assert got[1] == rows[0][1] and all(got[k] == f"own line {k}" for k in range(2, 40))
 
 
-def test_rare_limit_at_100_pairs_every_holder(spark):
+def test_runs_of_several_earlier_holders_go(spark):
     docs = spark.createDataFrame([(1, "p q r s t u"), (2, "v w x y z a"), (3, "v w x y z a\nmid\np q r s t u"), (4, "v w x y z a\nmid\np q r s t u")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(docs).select("doc_id", "text").collect()}
     assert got[1] == "p q r s t u" and got[2] == "v w x y z a" and got[3] == "mid"
