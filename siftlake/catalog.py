@@ -263,7 +263,23 @@ def hash_sample(spark, d):
     return splits.hash_sample(table(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_custkey", 50)
 
 
-@query()
+def _dealt(ratios: list[float]) -> str:
+    """The groups in their order, each stratum dealt one group a step, then the groups of a size by the numbers that each part got."""
+    k, quota = len(ratios), ", ".join(f"({i}, {r}::DOUBLE)" for i, r in enumerate(ratios))
+    best = f"list_transform(range(1, {k + 1}), lambda i: (quota[i] - filled[i])::DOUBLE / greatest(quota[i], 1))"
+    return STRATA + f""", sized AS (SELECT near AS g, count(*) AS n FROM records GROUP BY near),
+o AS (SELECT stratum, g, n, row_number() OVER (PARTITION BY stratum ORDER BY n DESC, sha256('42:' || g)) AS k, row_number() OVER (PARTITION BY stratum, n ORDER BY sha256('42:' || g)) AS r FROM sized JOIN strata ON "group" = g),
+t AS (SELECT stratum, sum(n)::BIGINT AS n FROM o GROUP BY stratum), p AS (SELECT stratum, part, n, n * ratio AS x FROM t, (VALUES {quota}) v(part, ratio)),
+q AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY x - floor(x) DESC, part) AS k, n - sum(floor(x)) OVER (PARTITION BY stratum) AS spare FROM p),
+quotas AS (SELECT stratum, list((floor(x) + CASE WHEN k <= spare THEN 1 ELSE 0 END)::BIGINT ORDER BY part) AS quota FROM q GROUP BY stratum),
+steps(stratum, k, n, filled, best) AS (SELECT stratum, 0::BIGINT, 0::BIGINT, list_transform(range({k}), lambda i: 0::BIGINT), -1 FROM quotas UNION ALL
+ SELECT stratum, k, n, list_transform(range(1, {k + 1}), lambda i: filled[i] + CASE WHEN i = best + 1 THEN n ELSE 0 END), best FROM (
+  SELECT s.stratum, o.k, o.n, s.filled, (list_position({best}, list_max({best})) - 1)::INT AS best FROM steps s JOIN o ON o.stratum = s.stratum AND o.k = s.k + 1 JOIN quotas z ON z.stratum = s.stratum)),
+got AS (SELECT stratum, n, best AS part, count(*) AS c FROM steps WHERE best >= 0 GROUP BY ALL), ends AS (SELECT *, sum(c) OVER (PARTITION BY stratum, n ORDER BY part) AS e FROM got),
+dealt AS (SELECT g, min(part)::INT AS part FROM o JOIN ends USING (stratum, n) WHERE r <= e GROUP BY g)"""
+
+
+@query(_dealt([0.8, 0.2]) + ' SELECT g AS "group", part FROM dealt')
 def greedy_group_assignment(spark, d):
     return splits.assigned_groups(near_groups(spark, d), [0.8, 0.2])
 
@@ -273,7 +289,7 @@ def _folds(spark, d) -> DataFrame:
     return rows.join(splits.assigned_groups(rows, [0.2] * 5), "group").withColumn("fold", F.col("part") + 1)
 
 
-@query()
+@query(_dealt([0.2] * 5) + ", f AS (SELECT part + 1 AS fold, coalesce(label, '') AS label, count(*) AS n FROM records JOIN dealt ON near = g GROUP BY ALL), v AS (SELECT fold, sum(n)::BIGINT AS validation, string_agg(label || '=' || n, '; ' ORDER BY label || '=' || n) AS labels FROM f GROUP BY fold) SELECT fold, validation, (sum(validation) OVER () - validation)::BIGINT AS train, labels FROM v")
 def fold_report(spark, d):
     return splits.fold_report(_folds(spark, d))
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+from itertools import accumulate
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .dedup import ranked_keys
+
 
 def strata(rows: DataFrame) -> DataFrame:
     """(group, stratum): `label|majority source` of each group, ties to the smaller source."""
@@ -44,28 +50,67 @@ def hash_split(rows: DataFrame, key: str, by: str, ratios: tuple[float, float] =
     return rows.select(key, by, F.when(rank <= train, "train").when(rank <= train + val, "val").otherwise("test").alias("split"))
 
 
+def level_counts(quota: list[int], filled: list[int], size: int, n: int) -> list[int]:
+    """How many of `n` groups of one size each part gets, when each group goes to the part with the largest share of its quota open, ties to the lower part.
+
+    A part's open share falls by the same step with each group, so the picks are the n largest values of a few arithmetic sequences:
+    all but the last ones follow from a common level, the last ones are picked one by one in exact fractions.
+    """
+    step = [Fraction(size, max(q, 1)) for q in quota]
+    top = [Fraction(q - f, max(q, 1)) for q, f in zip(quota, filled, strict=True)]
+    above = lambda level: [max(0, math.ceil((t - level) / d)) for t, d in zip(top, step, strict=True)]  # noqa: E731  # picks of more than a level
+    low, high = min(top) - n * max(step) - 1, max(top)
+    for _ in range(60):
+        mid = (low + high) / 2
+        mid = Fraction(math.floor(mid * (1 << 40)), 1 << 40)
+        low, high = (mid, high) if sum(above(mid)) > n else (low, mid)
+    got = above(high)
+    while sum(got) < n:
+        best = max(range(len(quota)), key=lambda k: (top[k] - got[k] * step[k], -k))
+        got[best] += 1
+    return got
+
+
 def assigned_groups(rows: DataFrame, ratios: list[float], seed: int = 42) -> DataFrame:
-    """(group, part): whole groups to parts, stratum by stratum, each to the part with the largest share of its quota open.
+    """(group, part): whole groups to parts, stratum by stratum, largest groups first, each to the part with the largest share of its quota open.
 
-    Rows (group, source, label). Groups go largest first, equal ones in hash order; only (group, size) rows are grouped
-    by stratum, so what a task holds is a stratum's groups, not its rows.
+    Rows (group, source, label). Of the groups of one size in a stratum only how many a part gets matters, so a stratum is worked off
+    by sizes, of which it has at most about the square root of twice its rows: a task holds these, never groups. The groups of a size, in
+    hash order, are then dealt to the parts in blocks of these numbers, by ranks from a range partitioning. A null group isn't assigned.
     """
-    sized = rows.groupBy("group").agg(F.count("*").alias("n")).join(strata(rows), "group")
-    totals = sized.groupBy("stratum").agg(F.sum("n").alias("n"))
-    quotas = largest_remainder(totals, "stratum", ratios).groupBy("stratum").agg(F.array_sort(F.collect_list(F.struct("part", "quota"))).alias("quotas"))
-    ordered = sized.join(quotas, "stratum").withColumn("turn", hash_order(seed, F.col("group")))
-
-    def greedy(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["n", "turn"], ascending=[False, True], kind="stable")
-        quota = [max(int(q["quota"]), 1) for q in own["quotas"].iloc[0]]
-        open_, parts = [int(q["quota"]) for q in own["quotas"].iloc[0]], []
-        for n in own["n"]:
-            best = max(range(len(quota)), key=lambda k: (open_[k] / quota[k], -k))
-            open_[best] -= int(n)
-            parts.append(best)
-        return pd.DataFrame({"group": own["group"], "part": parts})
-
-    return ordered.groupBy("stratum").applyInPandas(greedy, f"group {dict(rows.dtypes)['group']}, part int")
+    if abs(sum(ratios) - 1) > 1e-9 or min(ratios) < 0:
+        raise ValueError("ratios must be non-negative and sum to 1")
+    known = rows.filter("`group` is not null")
+    sized = known.groupBy("group").agg(F.count("*").alias("n")).join(strata(known), "group").select("stratum", "n", hash_order(seed, F.col("group")).alias("turn"), "group")
+    levels = sized.groupBy("stratum", "n").agg(F.count("*").alias("groups"))
+    quotas = largest_remainder(levels.groupBy("stratum").agg(F.sum(F.col("n") * F.col("groups")).alias("n")), "stratum", ratios).groupBy("stratum").agg(F.array_sort(F.collect_list(F.struct("part", "quota"))).alias("quotas"))
+
+    def work_off(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("n", ascending=False)
+        quota = [int(q["quota"]) for q in own["quotas"].iloc[0]]
+        filled, ends = [0] * len(quota), []
+        for n, groups in zip(own["n"].tolist(), own["groups"].tolist(), strict=True):
+            got = level_counts(quota, filled, n, groups)
+            filled = [f + n * g for f, g in zip(filled, got, strict=True)]
+            ends.append(list(accumulate(got)))
+        return pd.DataFrame({"stratum": own["stratum"], "n": own["n"], "ends": ends})
+
+    dealt = levels.join(quotas, "stratum").groupBy("stratum").applyInPandas(work_off, "stratum string, n long, ends array<long>")
+    ranked = _ranked(sized)
+    first = ranked.groupBy("stratum", "n").agg(F.min("rank").alias("first"))
+    part = F.size(F.filter("ends", lambda e: e <= F.col("rank") - F.col("first")))
+    return ranked.join(first.join(dealt, ["stratum", "n"]), ["stratum", "n"]).select("group", part.alias("part"))
+
+
+def _ranked(sized: DataFrame) -> DataFrame:
+    """`sized` with the rank of each group over all of them, by stratum, size and turn."""
+    out = ranked_keys(sized.select(F.struct("stratum", "n", "turn", F.col("group").alias("id")).alias("key")), "key", "")
+    return out.select("key.stratum", "key.n", F.col("key.id").alias("group"), out["group"].cast("long").alias("rank"))
+
+
+def one_stratum_each(rows: DataFrame) -> DataFrame:
+    """(rule, violations): groups that rows (group, stratum) put into two strata; such groups can't be dealt."""
+    return straddling(rows, "stratum").agg(F.lit("groups_in_two_strata").alias("rule"), F.count("*").alias("violations"))
 
 
 def fold_report(folds: DataFrame) -> DataFrame:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -208,3 +211,49 @@ def test_near_classes_are_the_components_at_two_bits(spark):
     got = {r["fingerprint"]: r["near"] for r in dedup.near_classes(spark.createDataFrame([(p,) for p in prints] * 3, "fingerprint long").repartition(3)).collect()}
     assert {p: got.get(p, p) for p in prints} == group and 1 < len(set(group.values())) < len(prints)
     assert dedup.near_classes(spark.createDataFrame([], "fingerprint long")).count() == 0
+
+
+def greedy_counts(quota, filled, size, n):
+    filled, got = list(filled), [0] * len(quota)
+    for _ in range(n):
+        best = max(range(len(quota)), key=lambda k: (Fraction(quota[k] - filled[k], max(quota[k], 1)), -k))
+        filled[best] += size
+        got[best] += 1
+    return got
+
+
+def test_level_counts_are_the_greedy_ones():
+    rng = random.Random(4)
+    for _ in range(300):
+        quota = [rng.choice([0, 1, 3, rng.randrange(60), 100]) for _ in range(rng.randrange(1, 6))]
+        filled = [rng.randrange(0, 70) for _ in quota]
+        size, n = rng.randrange(1, 9), rng.randrange(0, 90)
+        assert splits.level_counts(quota, filled, size, n) == greedy_counts(quota, filled, size, n), (quota, filled, size, n)
+    assert sum(splits.level_counts([8 * 10**11, 2 * 10**11], [0, 0], 1, 10**12)) == 10**12
+
+
+def test_groups_are_dealt_as_one_by_one(spark):
+    """Sizes of each part in each stratum equal those of the rule applied group by group."""
+    rng = random.Random(9)
+    rows = [(f"g{g}", rng.choice("st"), "ab"[g % 2]) for g in range(120) for _ in range(rng.choice([1, 1, 1, 2, 3, 9]))]
+    rows += [(None, "s", "a"), ("lone", "s", None)]
+    frame = spark.createDataFrame(rows, "group string, source string, label string")
+    parts = dict(map(tuple, splits.assigned_groups(frame, [0.6, 0.3, 0.1]).collect()))
+    stratum = dict(map(tuple, splits.strata(frame.filter("`group` is not null")).collect()))
+    size = Counter(g for g, _, _ in rows if g)
+    assert set(parts) == set(size)
+    for s in set(stratum.values()):
+        own = sorted((size[g] for g in size if stratum[g] == s), reverse=True)
+        counts = spark.createDataFrame([("k", sum(own))], "k string, n long")
+        quota = [r["quota"] for r in splits.largest_remainder(counts, "k", [0.6, 0.3, 0.1]).orderBy("part").collect()]
+        filled, want = [0, 0, 0], Counter()
+        for n in own:
+            got = greedy_counts(quota, filled, n, 1).index(1)
+            filled[got] += n
+            want[got, n] += 1
+        assert Counter((parts[g], size[g]) for g in size if stratum[g] == s) == want
+    with pytest.raises(ValueError, match="ratios"):
+        splits.assigned_groups(frame, [0.6, 0.3])
+    two = spark.createDataFrame([("g", "x"), ("g", "y"), ("h", "x")], "group string, stratum string")
+    with pytest.raises(guards.Violation, match="groups_in_two_strata"):
+        guards.enforce(splits.one_stratum_each(two))
