@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -136,12 +136,28 @@ def looked_up(docs: DataFrame, known: list[tuple[str, int]]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
 
 
+def added(rows: DataFrame, width: int, own: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """The sum of `own`'s vectors over all batches: one vector a task, added up by eight tasks, then on the driver."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for b in batches:
+            total += own(b)
+        yield pa.RecordBatch.from_pydict({"total": [total.tolist()]})
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for b in batches:
+            total += b.column("total").flatten().to_numpy().reshape(-1, width).sum(0)
+        yield pa.RecordBatch.from_pydict({"total": [total.tolist()]})
+
+    parts = rows.mapInArrow(first, "total array<double>").repartition(8).mapInArrow(second, "total array<double>")
+    return np.sum([np.zeros(width), *(r["total"] for r in parts.collect())], axis=0)
+
+
 def frequencies(features: DataFrame, n: int) -> np.ndarray:
-    """Documents of each candidate; the rows collected are as many as candidates at most."""
-    out = np.zeros(n)
-    for r in features.select(F.explode("ids").alias("k")).groupBy("k").agg(F.count("*").alias("n")).collect():
-        out[r["k"]] = r["n"]
-    return out
+    """Documents of each of n candidates."""
+    return added(features.select("ids"), n, lambda b: np.bincount(flat(b.column("ids"))[1], minlength=n)) if n else np.zeros(0)
 
 
 def chosen_features(in_positives: np.ndarray, in_all: np.ndarray, n_positives: float, n_all: float, *, features: int, evidence: float) -> np.ndarray:
@@ -182,25 +198,16 @@ def sums(patterns: DataFrame, theta: np.ndarray) -> np.ndarray:
     """Over all patterns (ids, n, p): rows for weights n and p, each the sum of sigmoid times features, then of the sigmoid, then of the loss as 0."""
     width = len(theta) + 1
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, width))
-        for b in batches:
-            z, row, ids = margins(theta, b.column("ids"))
-            s, loss = 1 / (1 + np.exp(-np.clip(z, -500, 500))), np.logaddexp(0, z)
-            for k, c in enumerate(("n", "p")):
-                weight = b.column(c).to_numpy(zero_copy_only=False).astype(float)
-                total[k, : width - 2] += np.bincount(ids, (weight * s)[row], minlength=width - 2)
-                total[k, -2:] += (weight * s).sum(), (weight * loss).sum()
-        yield pa.RecordBatch.from_pydict({"total": [total.ravel().tolist()]})
-
-    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * width)
-        for b in batches:
-            total += b.column("total").flatten().to_numpy().reshape(-1, 2 * width).sum(0)
-        yield pa.RecordBatch.from_pydict({"total": [total.tolist()]})
+    def own(b: pa.RecordBatch) -> np.ndarray:
+        z, row, ids = margins(theta, b.column("ids"))
+        s, loss, out = 1 / (1 + np.exp(-np.clip(z, -500, 500))), np.logaddexp(0, z), np.zeros((2, width))
+        for k, c in enumerate(("n", "p")):
+            weight = b.column(c).to_numpy(zero_copy_only=False).astype(float)
+            out[k, : width - 2] = np.bincount(ids, (weight * s)[row], minlength=width - 2)
+            out[k, -2:] = (weight * s).sum(), (weight * loss).sum()
+        return out.ravel()
 
-    parts = patterns.mapInArrow(own, "total array<double>").repartition(8).mapInArrow(together, "total array<double>")
-    return np.sum([np.zeros(2 * width), *(r["total"] for r in parts.collect())], axis=0).reshape(2, width)
+    return added(patterns, 2 * width, own).reshape(2, width)
 
 
 def gradient(total: np.ndarray, means: np.ndarray, prior: float, n_all: float, n_positives: float) -> np.ndarray:
