@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import exprs as e
@@ -368,7 +368,8 @@ def _where(table: str, test: str) -> str:
     return f"SELECT count(*) FROM {table} WHERE {test}"
 
 
-_K = F.col("o_orderkey")
+def _k() -> Column:
+    return F.col("o_orderkey")
 
 
 @query("WITH r AS (SELECT o_orderkey - (o_orderkey % 97 = 0)::INT AS id, o_custkey || o_orderpriority AS sha, CASE WHEN o_orderkey % 31 > 0 THEN o_orderpriority END AS label, o_custkey AS grp, o_orderkey % 2 = 0 AS included, CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey % 26 = 0 THEN 'EXACT' ELSE '' END WHEN o_orderkey % 13 = 0 THEN '' WHEN o_orderkey % 17 = 0 THEN 'ODD' ELSE 'EXACT' END AS reason, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey - o_orderkey % 10 END AS representative FROM orders) " + _rules(
@@ -377,8 +378,8 @@ _K = F.col("o_orderkey")
     included_content_twice=_twice("r", "sha", "included"), groups_of_several_labels=_several("r", "grp", "label", "included"),
 ))
 def clean_rules(spark, d):
-    reason = F.when(_K % 2 == 0, F.when(_K % 26 == 0, "EXACT").otherwise("")).when(_K % 13 == 0, "").when(_K % 17 == 0, "ODD").otherwise("EXACT")
-    rows = table(spark, d, "orders").select((_K - (_K % 97 == 0).cast("int")).alias("id"), F.concat(F.col("o_custkey").cast("string"), "o_orderpriority").alias("sha"), F.when(_K % 31 > 0, F.col("o_orderpriority")).alias("label"), F.col("o_custkey").alias("group"), (_K % 2 == 0).alias("included"), reason.alias("reason"), F.when(_K % 5 == 0, _K - _K % 10).alias("representative"))
+    reason = F.when(_k() % 2 == 0, F.when(_k() % 26 == 0, "EXACT").otherwise("")).when(_k() % 13 == 0, "").when(_k() % 17 == 0, "ODD").otherwise("EXACT")
+    rows = table(spark, d, "orders").select((_k() - (_k() % 97 == 0).cast("int")).alias("id"), F.concat(F.col("o_custkey").cast("string"), "o_orderpriority").alias("sha"), F.when(_k() % 31 > 0, F.col("o_orderpriority")).alias("label"), F.col("o_custkey").alias("group"), (_k() % 2 == 0).alias("included"), reason.alias("reason"), F.when(_k() % 5 == 0, _k() - _k() % 10).alias("representative"))
     return suites.clean_rules(rows, ["EXACT"])
 
 
@@ -387,7 +388,7 @@ _LABELLED = "o_orderkey - (o_orderkey % 97 = 0)::INT AS id, o_orderpriority AS c
 
 
 def _labelled(*more) -> list:
-    return [(_K - (_K % 97 == 0).cast("int")).alias("id"), F.col("o_orderpriority").alias("class"), (F.substring("o_orderpriority", 1, 1).cast("int") - 1 + (_K % 101 == 0).cast("int")).alias("label"), *more]
+    return [(_k() - (_k() % 97 == 0).cast("int")).alias("id"), F.col("o_orderpriority").alias("class"), (F.substring("o_orderpriority", 1, 1).cast("int") - 1 + (_k() % 101 == 0).cast("int")).alias("label"), *more]
 
 
 _MISNAMED = "['" + "', '".join(CLASSES) + "'][label + 1] IS DISTINCT FROM class"
@@ -399,16 +400,16 @@ _MISNAMED = "['" + "', '".join(CLASSES) + "'][label + 1] IS DISTINCT FROM class"
 ))
 def split_rules(spark, d):
     orders = table(spark, d, "orders")
-    part = F.when((F.col("o_orderpriority") == "5-LOW") | (_K % 10 < 8), "development").when(_K % 10 == 8, "final_test").otherwise("train")
-    rows = orders.filter(_K % 7 > 0).select(*_labelled(F.expr("o_orderkey div 3").alias("group"), part.alias("split")))
-    return suites.split_rules(rows, orders.select(_K.alias("id"), (_K % 11 > 0).alias("included")), CLASSES)
+    part = F.when((F.col("o_orderpriority") == "5-LOW") | (_k() % 10 < 8), "development").when(_k() % 10 == 8, "final_test").otherwise("train")
+    rows = orders.filter(_k() % 7 > 0).select(*_labelled(F.expr("o_orderkey div 3").alias("group"), part.alias("split")))
+    return suites.split_rules(rows, orders.select(_k().alias("id"), (_k() % 11 > 0).alias("included")), CLASSES)
 
 
 @query(f"WITH r AS (SELECT {_LABELLED}, o_custkey AS grp, (o_custkey % 11 + (o_orderkey % 89 = 0)::INT)::INT AS fold FROM orders) " + _rules(
     fold_out_of_range=_where("r", "fold NOT BETWEEN 1 AND 13"), label_isnt_class=_where("r", _MISNAMED), id_twice=_twice("r", "id"), empty_folds="SELECT 13 - count(DISTINCT fold) FROM r WHERE fold BETWEEN 1 AND 13", groups_in_several_folds=_several("r", "grp", "fold"),
 ))
 def fold_rules(spark, d):
-    fold = (F.col("o_custkey") % 11 + (_K % 89 == 0).cast("int")).cast("int")
+    fold = (F.col("o_custkey") % 11 + (_k() % 89 == 0).cast("int")).cast("int")
     return suites.fold_rules(table(spark, d, "orders").select(*_labelled(F.col("o_custkey").alias("group"), fold.alias("fold"))), 13, CLASSES)
 
 
