@@ -184,6 +184,18 @@ def leakage_flags(spark, d):
     return audit.leakage_flags(records(spark, d))
 
 
+@query(RECORDS + ", a AS (SELECT sha, count(*) AS same FROM records GROUP BY sha), g AS (SELECT near, min(sha) < max(sha) AS c, min(source) < max(source) AS s FROM records GROUP BY near), n AS (SELECT *, replace(replace(lower(source || '_' || lang || CASE WHEN id % 7 = 0 THEN '-AUG' ELSE '' END), '_', ' '), '-', ' ') AS name FROM records) SELECT id, concat_ws(';', CASE WHEN same > 1 THEN 'exact_duplicate_group' END, CASE WHEN c THEN 'near_duplicate_group' END, CASE WHEN s THEN 'cross_dataset_group' END, CASE WHEN id % 10 = 0 THEN 'specimen_group' END, CASE WHEN contains(name, '1 de') OR contains(name, 'fr') THEN 'filename_reveals_label' END, CASE WHEN contains(name, 'aug') OR contains(name, 'flip') OR contains(name, 'rot') THEN 'pre_augmented_filename' END) AS flags FROM n JOIN a USING (sha) JOIN g USING (near)")
+def record_flags(spark, d):
+    name = F.concat_ws("_", "source", "lang")
+    rows = records(spark, d).withColumns({"specimen": F.when(F.col("id") % 10 == 0, F.col("near")), "name": F.concat(name, F.when(F.col("id") % 7 == 0, "-AUG").otherwise(""))})
+    return audit.record_flags(rows, ["1 de", "fr"])
+
+
+@query("SELECT doc_id AS id, (list_position(['en', 'de', 'fr', 'es'], lang) - 1)::INT AS label FROM documents")
+def declared_class_index(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), e.class_index(F.col("lang"), ["en", "de", "fr", "es"]).alias("label"))
+
+
 @query(RECORDS + "SELECT members, count(*) AS groups FROM (SELECT near, count(*) AS members FROM records GROUP BY near) GROUP BY members")
 def group_size_histogram(spark, d):
     return audit.group_sizes(records(spark, d), "near")

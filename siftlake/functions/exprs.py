@@ -119,6 +119,12 @@ def train_only(path: Column, forbidden: tuple[str, ...] = ("val", "valid", "vali
     return F.array_contains(parts, "train") & ~F.arrays_overlap(parts, F.array(*map(F.lit, forbidden)))
 
 
+def class_index(label: Column, classes: list[str]) -> Column:
+    """0-based place of a label among the declared classes; an undeclared or null one raises."""
+    place = F.array_position(F.array(*map(F.lit, classes)), label)
+    return F.when(F.coalesce(place, F.lit(0)) == 0, F.raise_error(F.concat(F.lit("undeclared class: "), F.coalesce(label, F.lit("null"))))).otherwise(place - 1).cast("int")
+
+
 def first_reason(*rules: tuple[Column, str]) -> Column:
     """The reason of the first rule that holds, '' if none: ordered exclusion."""
     return F.coalesce(reduce(lambda t, r: t.when(r[0], r[1]), rules[1:], F.when(rules[0][0], rules[0][1])), F.lit(""))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -64,3 +66,21 @@ def leakage_flags(rows: DataFrame, group: str = "near") -> DataFrame:
     per_group = rows.groupBy(group).agg(F.count_distinct("sha").alias("contents"), F.count_distinct("source").alias("sources"))
     full = rows.join(per_sha, "sha").join(per_group, group)
     return full.select("id", F.concat_ws(";", F.when(F.col("same") > 1, "exact_duplicate"), F.when(F.col("contents") > 1, "near_duplicate"), F.when(F.col("sources") > 1, "cross_dataset")).alias("flags"))
+
+
+def record_flags(rows: DataFrame, label_words: list[str], augmented_words: list[str] | tuple[str, ...] = ("aug", "flip", "rot")) -> DataFrame:
+    """(id, flags): all that a split must respect about a row (id, sha, near, source, specimen, name), `;`-joined in a fixed order.
+
+    Its content stands twice; its group has other contents; its group spans sources; it names a specimen; its file name holds a label's
+    word; its file name tells of augmentation. Words are sought in the lower-cased name with `_` and `-` as spaces. A null name holds none.
+    """
+    per_sha = rows.groupBy("sha").agg(F.count("*").alias("same"))
+    per_group = rows.groupBy("near").agg((F.min("sha") < F.max("sha")).alias("contents"), (F.min("source") < F.max("source")).alias("sources"))
+    name = F.translate(F.lower("name"), "_-", "  ")
+    holds = lambda words: reduce(Column.__or__, (F.contains(name, F.lit(w)) for w in words))
+    flags = {
+        "exact_duplicate_group": F.col("same") > 1, "near_duplicate_group": F.col("contents"), "cross_dataset_group": F.col("sources"), "specimen_group": F.coalesce("specimen", F.lit("")) != "",
+        "filename_reveals_label": holds(label_words), "pre_augmented_filename": holds(augmented_words),
+    }
+    full = rows.join(per_sha, "sha", "left").join(per_group, "near", "left")
+    return full.select("id", F.concat_ws(";", *(F.when(c, n) for n, c in flags.items())).alias("flags"))

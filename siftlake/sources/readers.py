@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import exprs as e
+from ..operators import guards
 
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "webp")
 IGNORED = (".DS_Store", "Thumbs.db", "desktop.ini")
@@ -52,23 +54,42 @@ def flat_test(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return split_class_folders(rows.withColumn("parts", F.transform("parts", lambda p: F.regexp_replace(p, "_split$", "")))).unionByName(flat)
 
 
+def specimen_folders(rows: DataFrame) -> DataFrame:
+    """`<condition>/<species>/<specimen>/<file>`, exactly four parts."""
+    part = lambda k: F.get("parts", F.lit(k))
+    return rows.filter(F.size("parts") == 4).withColumns({"original_class": part(0), "original_split": F.lit(""), "species": part(1), "specimen": part(2)})
+
+
 #: Layouts by name (U01): each takes the listing and gives records with original_class and original_split.
-LAYOUTS: dict[str, Callable[..., DataFrame]] = {"class_folders": class_folders, "split_class_folders": split_class_folders, "flat_test": flat_test}
+LAYOUTS: dict[str, Callable[..., DataFrame]] = {"class_folders": class_folders, "split_class_folders": split_class_folders, "flat_test": flat_test, "specimen_folders": specimen_folders}
 
 
 def metadata_conflicts(rows: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Records whose class by path differs from their metadata row's (S04); records without a row are fine."""
-    return rows.join(metadata.select("relative", F.col("original_class").alias("stated")), "relative").filter(F.col("original_class") != F.col("stated"))
+    """Records whose class, species or specimen by path differs from their metadata row's, of the columns that the metadata (relative, ...) states (S04); records without a row are fine, a stated null differs from anything."""
+    stated = [c for c in ("original_class", "species", "specimen") if c in metadata.columns and c in rows.columns]
+    told = metadata.select("relative", *(F.col(c).alias(f"stated_{c}") for c in stated))
+    return rows.join(told, "relative").filter(reduce(Column.__or__, (~F.col(c).eqNullSafe(F.col(f"stated_{c}")) for c in stated)))
+
+
+def agreeing(rows: DataFrame, metadata: DataFrame) -> DataFrame:
+    """The records, if none of them differs from its metadata row; raises Violation otherwise."""
+    guards.enforce(metadata_conflicts(rows, metadata).agg(F.lit("metadata_differs_from_path").alias("rule"), F.count("*").alias("violations")))
+    return rows
 
 
-def discovered(spark: SparkSession, sources: dict[str, tuple[str, str]]) -> DataFrame:
-    """Records of all sources {key: (root, layout)} with ids."""
+def discovered(spark: SparkSession, sources: dict[str, tuple[str, str]], metadata: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Records of all sources {key: (root, layout)} with ids (S07, P02). Raises Violation if two records get one id, or if one differs from its source's metadata."""
     out = None
     for key, (root, layout) in sorted(sources.items()):
-        listing = files(spark, root)
-        rows = LAYOUTS[layout](listing.filter(file_kind(F.element_at("parts", -1)) == "image")).select(F.lit(key).alias("source"), "relative", "original_class", "original_split", "length")
+        rows = LAYOUTS[layout](files(spark, root).filter(file_kind(F.element_at("parts", -1)) == "image"))
+        if metadata and key in metadata:
+            rows = agreeing(rows, metadata[key])
+        more = [(F.col(c) if c in rows.columns else F.lit("")).alias(c) for c in ("species", "specimen")]
+        rows = rows.select(F.lit(key).alias("source"), "relative", "original_class", "original_split", "length", *more)
         out = rows if out is None else out.unionByName(rows)
-    return out.withColumn("id", e.record_id(F.col("source"), F.col("relative")))
+    out = out.withColumn("id", e.record_id(F.col("source"), F.col("relative")))
+    guards.enforce(guards.key_rules(out, {"record_id_twice": ["id"]}))
+    return out
 
 
 def manifest(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

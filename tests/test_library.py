@@ -257,3 +257,36 @@ def test_groups_are_dealt_as_one_by_one(spark):
     two = spark.createDataFrame([("g", "x"), ("g", "y"), ("h", "x")], "group string, stratum string")
     with pytest.raises(guards.Violation, match="groups_in_two_strata"):
         guards.enforce(splits.one_stratum_each(two))
+
+
+def test_specimen_layout_metadata_and_ids(spark, tmp_path, monkeypatch):
+    for name in ("sick/carp/f1/1.png", "fine/carp/f2/2.png", "fine/stray.png"):
+        (tmp_path / "set" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "set" / name).write_bytes(b"x")
+    source = {"k": (str(tmp_path / "set"), "specimen_folders")}
+    rows = readers.discovered(spark, source).collect()
+    assert {(r["original_class"], r["species"], r["specimen"]) for r in rows} == {("sick", "carp", "f1"), ("fine", "carp", "f2")}
+    stated = "relative string, original_class string, species string, specimen string"
+    good = spark.createDataFrame([("sick/carp/f1/1.png", "sick", "carp", "f1"), ("other", "x", "y", "z")], stated)
+    assert readers.discovered(spark, source, {"k": good}).count() == 2
+    for wrong in (("sick/carp/f1/1.png", "sick", "carp", "f9"), ("sick/carp/f1/1.png", "sick", None, "f1")):
+        with pytest.raises(guards.Violation, match="metadata_differs"):
+            readers.discovered(spark, source, {"k": spark.createDataFrame([wrong], stated)})
+    monkeypatch.setattr(readers.e, "record_id", lambda *_: F.lit("same"))
+    with pytest.raises(guards.Violation, match="record_id_twice"):
+        readers.discovered(spark, source)
+
+
+def test_undeclared_classes_raise(spark):
+    assert one(spark, e.class_index(F.lit("b"), ["a", "b"])) == 1
+    for bad in (F.lit("c"), F.lit(None).cast("string")):
+        with pytest.raises(PySparkException, match="undeclared class"):
+            one(spark, e.class_index(bad, ["a", "b"]))
+
+
+def test_record_flags(spark):
+    rows = [(1, "a", "n", "s", None, "Red_Spot.png"), (2, "a", "n", "s", "", None), (3, "b", "n", "t", "f", "x-FLIP.png"), (4, "c", "m", "s", None, "plain")]
+    frame = spark.createDataFrame(rows, "id long, sha string, near string, source string, specimen string, name string")
+    got = dict(map(tuple, audit.record_flags(frame, ["red spot"]).collect()))
+    group = "near_duplicate_group;cross_dataset_group"
+    assert got == {1: f"exact_duplicate_group;{group};filename_reveals_label", 2: f"exact_duplicate_group;{group}", 3: f"{group};specimen_group;pre_augmented_filename", 4: ""}
