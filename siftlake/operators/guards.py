@@ -38,12 +38,13 @@ def enforce(violations: DataFrame) -> dict[str, int]:
     return found
 
 
-def contaminated(docs: DataFrame, passages: DataFrame, words: int = 8) -> DataFrame:
+def contaminated(docs: DataFrame, passages: DataFrame, words: int = 8, block: int = 10_000) -> DataFrame:
     """(id, item): records that hold a whole held-out passage; both have (id, text).
 
     The first and the last word of a passage can be cut in the record, so its probe is the `words` words from the second on, or
     all words between the first and the last where these are fewer: records join on their shingles of each probe length, and what joins is
-    checked for the whole passage. Passages of one or two words have no probe; their distinct texts are sought in every record.
+    checked for the whole passage. Passages of one or two words have no probe; their distinct texts are sought in every record, in blocks
+    of about `block` texts that are sent to all tasks; where there are none, records aren't read for them.
     A passage without words is held by no record.
     """
     split = lambda c: F.filter(F.split(c, "[ \\t\\n\\r]+"), lambda x: x != "")
@@ -60,9 +61,13 @@ def contaminated(docs: DataFrame, passages: DataFrame, words: int = 8) -> DataFr
         hits = grams.join(probe.select("item", "probe"), "probe").select("id", "item").distinct()
         found.append(hits.join(docs.select("id", "text"), "id").join(own.select("item", "passage"), "item").filter(F.contains("text", "passage")).select("id", "item"))
     brief = own.filter(F.size("w") <= 2).select("item", "passage")
-    held = docs.select("id", "text").join(F.broadcast(brief.select("passage").distinct()), F.contains("text", "passage")).select("id", "passage")
-    found.append(held.join(brief, "passage").select("id", "item").distinct())
-    return reduce(DataFrame.unionAll, found)
+    each = brief.select("passage").distinct()
+    blocks = -(-each.count() // block)
+    for k in range(blocks):
+        asked = each.filter(F.pmod(F.xxhash64("passage"), F.lit(blocks)) == k)
+        held = docs.select("id", "text").join(F.broadcast(asked), F.contains("text", "passage")).select("id", "passage")
+        found.append(held.join(brief, "passage").select("id", "item").distinct())
+    return reduce(DataFrame.unionAll, found) if found else docs.select("id", F.lit(None).cast(dict(own.dtypes)["item"]).alias("item")).limit(0)
 
 
 def mapped(rows: DataFrame, mapping: DataFrame, keys: list[str], most: int = 1_000_000) -> DataFrame:

@@ -105,6 +105,10 @@ def test_passages_of_any_length_are_found(spark):
     want = sorted((d, i) for d, t in texts.items() for i, p in items.items() if t and p and p in t)
     assert sorted(map(tuple, guards.contaminated(docs, passages).collect())) == want and (2, 3) in want and (1, 9) in want
     assert sorted(map(tuple, guards.contaminated(docs, passages, 3).collect())) == want
+    assert sorted(map(tuple, guards.contaminated(docs, passages, block=1).collect())) == want
+    long = guards.contaminated(docs, passages.filter("id between 3 and 13"))
+    assert "NestedLoop" not in long._jdf.queryExecution().toString() and sorted(map(tuple, long.collect())) == [w for w in want if 3 <= w[1] <= 13]
+    assert guards.contaminated(docs, passages.filter("id in (20, 21)")).collect() == []
 
 
 def test_early_stop(spark):
