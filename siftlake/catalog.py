@@ -354,6 +354,12 @@ def missing_files(spark, d):
     return guards.absent(rows, table(spark, d, "orders").select(F.col("o_custkey").alias("id")), "id").select("id", "label")
 
 
+@query("SELECT doc_id AS id, lang AS label FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def missing_labels(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))
+    return guards.absent(rows, table(spark, d, "labels").select(F.col("doc_id").alias("id")), "id").select("id", "label")
+
+
 @query(RECORDS + "SELECT 'label:' || label AS name, min(id) AS id FROM records WHERE label IS NOT NULL GROUP BY label UNION ALL SELECT 'source:' || source, min(id) FROM records WHERE source IS NOT NULL GROUP BY source")
 def representative_samples(spark, d):
     return dedup.representative_samples(records(spark, d))
