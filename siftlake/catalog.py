@@ -251,6 +251,12 @@ def token_leakage(spark, d):
     return audit.token_leakage(pages, "secure", e.name_tokens(F.col("url"), ["blog", "wiki"])).withColumn("percent", F.col("percent").cast("double"))
 
 
+@query(r"WITH t AS (SELECT starts_with(url, 'https') AS secure, url, contains(url, 'http') AS told, len(list_filter(['blog', 'wiki'], lambda t: contains(regexp_replace(lower(url), '[_\-.]+', ' ', 'g'), t))) > 0 AS hit FROM pages) SELECT secure, count(*) AS records, count(*) FILTER (hit) AS with_token, round(100.0 * count(*) FILTER (hit) / count(*), 1)::DOUBLE AS percent, bool_and(told) AS label_in_path, coalesce(array_to_string(list(url ORDER BY url) FILTER (hit)[1:3], '; '), '') AS examples FROM t GROUP BY secure")
+def target_leakage(spark, d):
+    pages = table(spark, d, "pages").withColumns({"secure": F.startswith("url", F.lit("https")), "label": F.lit("http")})
+    return audit.target_leakage(pages, "secure", e.name_tokens(F.col("url"), ["blog", "wiki"]), "label", "url")
+
+
 STRATA = RECORDS + ", c AS (SELECT near, source, count(*) AS n FROM records GROUP BY near, source), l AS (SELECT near, min(label) AS label FROM records GROUP BY near), w AS (SELECT near, source, row_number() OVER (PARTITION BY near ORDER BY n DESC, source) AS k FROM c), strata AS (SELECT near AS \"group\", coalesce(label, '') || '|' || source AS stratum FROM w JOIN l USING (near) WHERE k = 1)"
 
 
@@ -501,6 +507,11 @@ def split_summary(spark, d):
     return splits.split_summary(_split(spark, d), ["label", "source"])
 
 
+@query("WITH " + SPLIT + ", r AS (SELECT o_custkey AS g, o_orderpriority AS label, split = 'final_test' AS held, o_orderkey % 20 = 18 AS specimen FROM orders JOIN split ON o_orderkey = id), g AS (SELECT g, count(*) FILTER (held) AS held, count(*) AS n, bool_or(held AND specimen) AS specimen FROM r GROUP BY g) SELECT 'share_of_label' AS measure, label AS part, round(count(*) FILTER (held)::DOUBLE / count(*), 3) AS value FROM r GROUP BY label UNION ALL SELECT 'share', '', round(count(*) FILTER (held)::DOUBLE / count(*), 4) FROM r UNION ALL SELECT 'groups_straddling', '', (count(*) FILTER (held > 0 AND held < n))::DOUBLE FROM g UNION ALL SELECT 'largest_group_in_test', '', max(held)::DOUBLE FROM g UNION ALL SELECT 'specimen_groups_in_test', '', (count(*) FILTER (specimen))::DOUBLE FROM g")
+def split_measures(spark, d):
+    return splits.split_measures(_split(spark, d).withColumn("specimen", F.when(F.col("id") % 20 == 18, F.col("id").cast("string"))))
+
+
 @query("WITH " + SPLIT + ", r AS (SELECT o_orderkey AS id, o_orderpriority AS label, coalesce(split, '') AS split FROM orders LEFT JOIN split ON o_orderkey = id), l AS (SELECT DISTINCT o_orderpriority AS label FROM orders WHERE o_orderpriority >= '2') SELECT 'empty' AS rule, CASE WHEN count(*) = 0 THEN 1 ELSE 0 END::BIGINT AS violations FROM r UNION ALL SELECT 'unknown_split', count(*) FILTER (split NOT IN ('development', 'final_test')) FROM r UNION ALL SELECT 'unknown_label', count(*) FROM r WHERE label NOT IN (SELECT label FROM l) UNION ALL SELECT 'id_twice', count(*) FROM (SELECT id FROM r GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'label_missing_in_split', count(*) FROM (SELECT label, s FROM l, (VALUES ('development'), ('final_test')) t(s) EXCEPT SELECT label, split FROM r)")
 def manifest_rules(spark, d):
     rows = _split(spark, d)

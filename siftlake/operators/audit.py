@@ -21,6 +21,16 @@ def token_leakage(rows: DataFrame, by: str, tokens: Column) -> DataFrame:
     return rows.groupBy(by).agg(F.count("*").alias("records"), F.count_if(hit).alias("with_token"), F.round(100.0 * F.count_if(hit) / F.count("*"), 1).alias("percent"))
 
 
+def target_leakage(rows: DataFrame, by: str, tokens: Column, label: str, path: str, k: int = 3) -> DataFrame:
+    """(by, records, with_token, percent, label_in_path, examples): as `token_leakage`, whether every row's path holds its label, and the first k paths with a token, by path."""
+    own = rows.select(by, F.col(path).alias("path"), (F.size(tokens) > 0).alias("hit"), F.contains(F.col(path), F.col(label)).alias("told"))
+    hit = F.col("hit")
+    each = own.groupBy(by).agg(F.count("*").alias("records"), F.count_if(hit).alias("with_token"), F.round(100.0 * F.count_if(hit) / F.count("*"), 1).cast("double").alias("percent"), F.bool_and(F.coalesce("told", F.lit(False))).alias("label_in_path"))
+    first = own.filter(hit).withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy("path"))).filter(F.col("k") <= k)  # k rows a group leave each task
+    shown = first.groupBy(F.col(by).alias("of")).agg(F.array_join(F.array_sort(F.collect_list("path")), "; ").alias("examples"))
+    return each.join(shown, each[by].eqNullSafe(shown["of"]), "left").drop("of").withColumn("examples", F.coalesce("examples", F.lit("")))
+
+
 def group_summary(rows: DataFrame, group: str, dataset: str, label: str) -> DataFrame:
     """One row: groups, those of several rows, those that span datasets, the largest, and those of mixed labels."""
     each = rows.groupBy(group).agg(F.count("*").alias("n"), F.count_distinct(dataset).alias("datasets"), F.count_distinct(label).alias("labels"))

@@ -138,6 +138,18 @@ def split_summary(rows: DataFrame, by: list[str]) -> DataFrame:
     return each.groupBy("m.measure", "m.value", "split").agg(F.count("*").alias("rows"), F.count_distinct("group").alias("groups"))
 
 
+def split_measures(rows: DataFrame, test: str = "final_test") -> DataFrame:
+    """(measure, part, value) of a split (label, group, split, specimen) beside its counts: the test part's share of all and of each label, groups that straddle, the test part's largest group and its groups with a specimen (A10). Rows without a split are left out."""
+    own = rows.filter("split is not null and split <> ''").withColumn("held", F.col("split") == test)
+    share = lambda n: F.round(F.count_if("held") / F.count("*"), n)
+    labels = own.groupBy(F.coalesce("label", F.lit("")).alias("part")).agg(share(3).alias("value")).select(F.lit("share_of_label").alias("measure"), "part", "value")
+    whole = own.agg(F.lit("share").alias("measure"), F.lit("").alias("part"), share(4).alias("value"))
+    groups = own.filter("`group` is not null").groupBy("group").agg(F.count_if("held").alias("held"), F.count("*").alias("n"), F.max(F.col("held") & (F.coalesce("specimen", F.lit("")) != "")).alias("specimen"))
+    one = groups.agg(F.count_if((F.col("held") > 0) & (F.col("held") < F.col("n"))).alias("groups_straddling"), F.coalesce(F.max("held"), F.lit(0)).alias("largest_group_in_test"), F.count_if("specimen").alias("specimen_groups_in_test"))
+    told = one.select(F.inline(F.array(*(F.struct(F.lit(c).alias("measure"), F.lit("").alias("part"), F.col(c).cast("double").alias("value")) for c in one.columns))))
+    return labels.unionAll(whole.filter("value is not null")).unionAll(told)
+
+
 def manifest_rules(rows: DataFrame, splits: list[str], labels: DataFrame) -> DataFrame:
     """(rule, violations) of a split manifest (id, label, split): not empty, splits known, labels declared, ids unique, every label in every split."""
     whole = rows.agg((F.count("*") == 0).cast("long").alias("empty"), F.count_if(~F.coalesce(F.col("split").isin(splits), F.lit(False))).alias("unknown_split"))

@@ -294,3 +294,13 @@ def test_record_flags(spark):
     got = dict(map(tuple, audit.record_flags(frame, ["red spot"]).collect()))
     group = "near_duplicate_group;cross_dataset_group"
     assert got == {1: f"exact_duplicate_group;{group};filename_reveals_label", 2: f"exact_duplicate_group;{group}", 3: f"{group};specimen_group;pre_augmented_filename", 4: ""}
+
+
+def test_split_measures_and_target_leakage(spark):
+    rows = [("a", "g", "final_test", "f"), ("a", "g", "development", None), ("b", "h", "final_test", ""), ("b", "h", "final_test", None), ("b", None, "development", None), ("a", "k", "", "f")]
+    got = {(r["measure"], r["part"]): r["value"] for r in splits.split_measures(spark.createDataFrame(rows, "label string, group string, split string, specimen string")).collect()}
+    assert got == {("share", ""): 0.6, ("share_of_label", "a"): 0.5, ("share_of_label", "b"): 0.667, ("groups_straddling", ""): 1, ("largest_group_in_test", ""): 2, ("specimen_groups_in_test", ""): 1}
+    paths = [("s", "a", f"a/gill_{k}.png") for k in (3, 1, 2, 0)] + [("s", "b", "a/x.png"), ("t", "t", "t/y.png"), (None, "u", None)]
+    frame = spark.createDataFrame(paths, "source string, label string, path string")
+    found = {r["source"]: tuple(r)[1:] for r in audit.target_leakage(frame, "source", e.name_tokens(F.coalesce("path", F.lit("")), ["gill"]), "label", "path").collect()}
+    assert found == {"s": (5, 4, 80.0, False, "a/gill_0.png; a/gill_1.png; a/gill_2.png"), "t": (1, 0, 0.0, True, ""), None: (1, 0, 0.0, False, "")}
