@@ -154,6 +154,9 @@ def linked_classes(docs: DataFrame, *, id_col: str, text_col: str, n: int, num:
         tokens = short.select(*held)
     shared = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
     met = staged.write(tokens.join(shared, "token"), "met")
+    classes = staged.write(classes.select("cid", "key", "size", "row"), "slim")
+    for name in ("classes", "changed"):  # what they hold of prefixes and signatures is in `met`
+        staged.drop(name)
     sets = staged.write(shingle_sets(classes.select("cid", "row").join(met.select("cid").distinct(), "cid", "left_semi"), docs, n), "sets")
 
     row = ["cid", "size", "component", "place", *(f"sign{k}" for k in range(WORDS))]
