@@ -12,7 +12,11 @@
 4. The meeting itself lets a pair through only if two upper bounds on the overlap allow a link: from the shingle's places
    in the two prefixes (what stands before it can't be shared where it is the first that is), and from bitmap
    signatures of 64 * WORDS bits (a set bit of one that the other lacks is a shingle less).
-5. What passes is intersected exactly on the sorted arrays, and links become components.
+5. Only classes of a pair that passed get their whole set read from their text, with a wider signature that is tried
+   first; what passes that too is intersected exactly on the sorted arrays, and links become components.
+
+What is written grows with the prefixes: signatures join the shingles that two classes share at least, not all, and whole
+sets exist only for classes that met.
 
 A group of n unlinked classes with common shingles and a size in common is compared in n * n bit counts in step 3, though
 none of these pairs leaves it.
@@ -40,8 +44,10 @@ from .hashing import shingles
 
 #: So many prefix lengths of each set are counted to find the frequent shingles.
 COUNTED = 3
-#: Longs of a signature.
-WORDS = 8
+#: Longs of a signature that goes with each shared shingle, and of the one that is tried once for a pair.
+WORDS, WIDE = 8, 32
+#: So many wanted rows are sent to the tasks that read the texts; more are joined by a shuffle.
+SENT = 1 << 18
 
 
 def key_of(found: np.ndarray) -> bytes | None:
@@ -52,15 +58,20 @@ def prefix_length(size: int, num: int, den: int) -> int:
     return size - -(-num * size // den) + 1
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    """A bitmap of 64 * WORDS bits, as longs."""
-    out = np.zeros(64 * WORDS, np.uint8)
-    out[(found >> np.uint64(40)) % np.uint64(64 * WORDS)] = 1
+def signature(found: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """A bitmap of 64 * words bits, as longs."""
+    out = np.zeros(64 * words, np.uint8)
+    out[(found >> np.uint64(40)) % np.uint64(64 * words)] = 1
     return np.packbits(out, bitorder="little").view(np.int64)
 
 
+def upper(found: np.ndarray) -> np.ndarray:
+    """The upper halves of hashes, as ints: what frequent shingles are told by."""
+    return (found >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def sketches(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(id, row, key, size, prefix, more, sign) of every row (id, row, text); more: the shingles after the prefix that are counted too."""
+    """(id, row, key, size, prefix, more, sign) of every row (id, row, text); more: the upper halves of the shingles after the prefix that are counted too."""
 
     def run(x: dict) -> dict:
         out = {"id": x["id"], "row": x["row"], "key": [], "size": [], "prefix": [], "more": [], "sign": []}
@@ -70,25 +81,26 @@ def sketches(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             out["size"].append(len(s))
             p = prefix_length(len(s), num, den) if len(s) else 0
             out["prefix"].append(s[:p].view(np.int64))
-            out["more"].append(s[p : COUNTED * p].view(np.int64))
+            out["more"].append(upper(s[p : COUNTED * p]))
             out["sign"].append(signature(s))
         return out
 
     kind = dict(docs.dtypes)["id"]
-    return by_batch(docs.select("id", "row", "text"), f"id {kind}, row long, key binary, size long, prefix array<long>, more array<long>, sign array<long>", run, binary=("text",))
+    return by_batch(docs.select("id", "row", "text"), f"id {kind}, row long, key binary, size long, prefix array<long>, more array<int>, sign array<long>", run, binary=("text",))
 
 
 def reordered(docs: DataFrame, heavy, n: int, num: int, den: int) -> DataFrame:
-    """(key, prefix) of the rows whose prefix changes when heavy shingles come last. heavy: a broadcast of their sorted hashes."""
+    """(key, prefix) of the rows whose prefix changes when heavy shingles come last. heavy: a broadcast of the sorted upper halves of their hashes."""
 
     def run(x: dict) -> dict:
         out: dict = {"key": [], "prefix": []}
         for text in x["text"]:
             s = shingles(text, n)
             p = prefix_length(len(s), num, den)
-            at = np.searchsorted(heavy.value, s)
+            half = upper(s)
+            at = np.searchsorted(heavy.value, half)
             at[at == len(heavy.value)] = 0
-            late = heavy.value[at] == s
+            late = heavy.value[at] == half
             if len(s) and late[:p].any():
                 out["key"].append(key_of(s))
                 out["prefix"].append(np.concatenate([s[~late], s[late]])[:p].view(np.int64))
@@ -97,26 +109,41 @@ def reordered(docs: DataFrame, heavy, n: int, num: int, den: int) -> DataFrame:
     return by_batch(docs.select("text"), "key binary, prefix array<long>", run, binary=("text",))
 
 
+def lacking(x: list[Column], y: list[Column]) -> Column:
+    """How many set bits of signature x signature y lacks: shingles that its set lacks at least."""
+    return sum((F.bit_count(p.bitwiseAND(F.bitwise_not(q))) for p, q in zip(x, y, strict=True)), F.lit(0))
+
+
 def fits(a: str, b: str, num: int, den: int) -> Column:
     """Whether rows a and b of one shingle (size, place, sign0, sign1, ...) may be linked, by their sizes, the places in their prefixes and their signatures."""
     size = [F.col(f"{x}size") for x in (a, b)]
     left = F.least(*(F.col(f"{x}size") - F.col(f"{x}place") for x in (a, b)))
-    lacks = lambda x, y: sum((F.bit_count(F.col(f"{x}sign{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}sign{k}")))) for k in range(WORDS)), F.lit(0))
+    lacks = lambda x, y: lacking(*([F.col(f"{z}sign{k}") for k in range(WORDS)] for z in (x, y)))
     enough = lambda most: den * most >= num * (size[0] + size[1] - most)
     return (den * F.least(*size) >= num * F.greatest(*size)) & enough(left) & enough(size[0] - lacks(a, b)) & enough(size[1] - lacks(b, a))
 
 
 def shingle_sets(wanted: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """(cid, found): the sorted shingle set of each class of wanted (cid, row), from the whole text of one row of it."""
+    """(cid, size, wide, found): size, wide signature and sorted shingle set of each class of wanted (cid, row), from the whole text of one row of it."""
 
     def run(x: dict) -> dict:
-        return {"cid": x["cid"], "found": [np.sort(shingles(t, n).view(np.int64)).tobytes() for t in x["text"]]}
+        sets = [shingles(t, n) for t in x["text"]]
+        return {"cid": x["cid"], "size": [len(s) for s in sets], "wide": [signature(s, WIDE) for s in sets], "found": [np.sort(s.view(np.int64)).tobytes() for s in sets]}
+
+    return by_batch(docs.select("row", "text").join(wanted, "row").select("cid", "text"), "cid long, size long, wide array<long>, found binary", run, binary=("text",))
 
-    return by_batch(docs.select("row", "text").join(wanted, "row").select("cid", "text"), "cid long, found binary", run, binary=("text",))
+
+def fitting(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that their wide signatures allow to be linked."""
+    for x in "ab":
+        pairs = pairs.join(sets.select(F.col("cid").alias(x), F.col("size").alias(f"size_{x}"), F.col("wide").alias(f"wide_{x}")), x)
+    wide = {x: [F.get(f"wide_{x}", F.lit(k)) for k in range(WIDE)] for x in "ab"}
+    most = F.least(F.col("size_a") - lacking(wide["a"], wide["b"]), F.col("size_b") - lacking(wide["b"], wide["a"]))
+    return pairs.filter(den * most >= num * (F.col("size_a") + F.col("size_b") - most)).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, linked) of pairs (a, b) by their sorted shingle sets."""
+    """(a, b) of the pairs (a, b) that their sorted shingle sets link."""
     both = pairs.join(sets.select(F.col("cid").alias("b"), F.col("found").alias("y")), "b").join(sets.select(F.col("cid").alias("a"), F.col("found").alias("x")), "a")
 
     def check(x: dict) -> dict:
@@ -127,9 +154,9 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             at[at == len(q)] = 0
             same = int((q[at] == p).sum())
             linked.append(den * same >= num * (len(p) + len(q) - same))
-        return {"a": x["a"], "b": x["b"], "linked": linked}
+        return {k: [v for v, is_linked in zip(x[k], linked, strict=True) if is_linked] for k in "ab"}
 
-    return by_batch(both.select("a", "b", "x", "y"), "a long, b long, linked boolean", check)
+    return by_batch(both.select("a", "b", "x", "y"), "a long, b long", check)
 
 
 def linked_classes(docs: DataFrame, *, id_col: str, text_col: str, n: int, num: int, den: int, heavy: int, stars: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -142,26 +169,27 @@ def linked_classes(docs: DataFrame, *, id_col: str, text_col: str, n: int, num:
     classes = staged.write(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     staged.drop("sketches")
     total = classes.agg(F.sum(F.size("prefix") + F.size("more"))).first()[0] or 0
-    counts = classes.select(F.explode(F.concat("prefix", "more")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    half = classes.select(F.explode("prefix").alias("token")).select(F.shiftright("token", 32).cast("int").alias("token"))
+    counts = half.unionAll(classes.select(F.explode("more").alias("token"))).groupBy("token").agg(F.count("*").alias("n"))
     often = counts.filter(F.col("n") > max(heavy, total >> 20)).select("token").toArrow().column(0).to_numpy()  # 2 ** 20 at most
-    held = ["cid", "size", *(F.get("sign", F.lit(k)).alias(f"sign{k}") for k in range(WORDS)), F.posexplode("prefix").alias("place", "token")]
-    short = classes.select("cid", "key", "size", "sign", "prefix")
+    held = ["cid", F.posexplode("prefix").alias("place", "token")]
+    short = classes.select("cid", "key", "prefix")
     if len(often):
-        sent = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
+        sent = spark.sparkContext.broadcast(np.sort(often))
         changed = staged.write(reordered(docs, sent, n, num, den).groupBy("key").agg(F.first("prefix").alias("prefix")), "changed")
         tokens = short.join(changed, "key", "left_anti").select(*held).unionAll(short.drop("prefix").join(changed, "key").select(*held))
     else:
         tokens = short.select(*held)
     shared = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
-    met = staged.write(tokens.join(shared, "token"), "met")
+    facts = classes.select("cid", "size", *(F.get("sign", F.lit(k)).alias(f"sign{k}") for k in range(WORDS)))
+    met = staged.write(tokens.join(shared, "token").join(facts, "cid"), "met")
     classes = staged.write(classes.select("cid", "key", "size", "row"), "slim")
     for name in ("classes", "changed"):  # what they hold of prefixes and signatures is in `met`
         staged.drop(name)
-    sets = staged.write(shingle_sets(classes.select("cid", "row").join(met.select("cid").distinct(), "cid", "left_semi"), docs, n), "sets")
 
     row = ["cid", "size", "component", "place", *(f"sign{k}" for k in range(WORDS))]
-    none = "a long, b long, linked boolean"
-    tested, found = spark.createDataFrame([], none), spark.createDataFrame([], "node long, component long")
+    linked, found = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, component long")
+    tested, sets = linked, spark.createDataFrame([], "cid long, size long, wide array<long>, found binary")
     for turn in range(stars + 1):  # the last one is pairwise
         placed = met.join(found, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid")).select("token", *row)
         groups = placed.groupBy("token").agg(
@@ -175,12 +203,19 @@ def linked_classes(docs: DataFrame, *, id_col: str, text_col: str, n: int, num:
         else:
             pairs = tiles(placed.join(groups.select("token", "main"), "token"), row, num, den)
         if turn:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = staged.write(pairs, f"pairs-{turn}")
         if pairs.isEmpty():
             continue
-        tested = tested.unionAll(staged.write(verified(pairs, sets, num, den), f"tested-{turn}"))
-        found = connected_components(tested.filter("linked"), "a", "b", checkpointed)
+        tested = tested.unionAll(pairs)
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(sets.select("cid"), "cid", "left_anti")
+        wanted = staged.write(classes.select("cid", "row").join(wanted, "cid"), f"wanted-{turn}")
+        sets = sets.unionAll(staged.write(shingle_sets(F.broadcast(wanted) if wanted.count() <= SENT else wanted, docs, n), f"sets-{turn}"))
+        near = staged.write(fitting(pairs, sets, num, den), f"near-{turn}")
+        linked = linked.unionAll(staged.write(verified(near, sets, num, den), f"linked-{turn}"))
+        found = connected_components(linked, "a", "b", checkpointed)
+    for name in ("met", *(f"{x}-{k}" for k in range(stars + 1) for x in ("pairs", "wanted", "sets", "near", "linked"))):
+        staged.drop(name)
     return members, classes.select("cid", "key", "size"), found
 
 

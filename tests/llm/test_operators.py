@@ -467,6 +467,23 @@ def test_ngram_join_equals_brute_force(spark, n, num):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, n, num, 100)
 
 
+def test_ngram_join_writes_whole_sets_only_of_classes_that_meet(spark, monkeypatch):
+    words = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    rows = [(2 * k + h, f"{words(f'shared{k}x')} {words(f'own{k}y{h}z')}") for k in range(30) for h in (0, 1)]  # a third of the shingles in common
+    rows += [(100, words("a")), (101, words("a") + " b")]
+    kept, write = {}, ngram_join.Staged.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        if "found" in out.columns:
+            kept[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join.Staged, "write", counted)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 100 if i == 101 else i for i, _ in rows} and 2 <= sum(kept.values()) < 20
+
+
 def test_columns_of_the_results_names_are_replaced(spark, docs, labels):
     some = docs.withColumns({"doc": F.lit("own"), "row": F.lit(1), "quality": F.lit(7), "line_dedup": F.lit("x")})
     lines = line_dedup.deduplicated(some)
