@@ -76,6 +76,20 @@ def test_hamming_bands_find_all_pairs(spark):
     assert [r["pairs"] for r in got] == want
 
 
+def test_hamming_classes_meet_few_others(spark):
+    rng = np.random.default_rng(4)
+    hashes = [(int(h) << 7) % 2**63 | 5 for h in rng.integers(0, 2**56, 3000)]  # seven bits in common
+    met = dedup.named_values(spark.createDataFrame([(h, 1) for h in hashes], "hash long, n long")).groupBy("named").count().agg(F.sum(F.col("count") * (F.col("count") - 1))).first()[0]
+    assert met < 3000 * 3000 / 9
+    got = dedup.hamming_histogram(spark.createDataFrame(list(enumerate(hashes)), "id long, hash long")).collect()
+    want = [0] * 9
+    for i, a in enumerate(hashes):
+        for b in hashes[:i]:
+            if (d := (a ^ b).bit_count()) <= 8:
+                want[d] += 1
+    assert [r["pairs"] for r in sorted(got)] == want
+
+
 def test_quota_and_groups(spark):
     counts = spark.createDataFrame([("a", 10), ("b", 1), ("c", 0)], "k string, n long")
     got = {}
