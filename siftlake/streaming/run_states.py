@@ -27,7 +27,7 @@ STATUS = {"start": "RUNNING", "resume": "RUNNING", "complete": "COMPLETED", "fai
 
 EVENT = "run string, seq long, kind string, config string, artifact string"
 STATE = "run string, status string, config string, last_seq long, artifacts int, refused int"
-_KEPT = "first_start long, last_seq long, last_kind string, artifacts array<string>"
+_KEPT = "configs array<struct<config string, first_start long, last_seq long, last_kind string, artifacts array<string>>>"
 
 
 def batch_states(events: DataFrame, required: tuple[str, ...] = ARTIFACTS) -> DataFrame:
@@ -56,29 +56,28 @@ def _judged(f, n: int) -> list:
 
 
 class Runs(StatefulProcessor):
-    """The state of one run: a map from config to what is kept of its events."""
+    """The state of one run: what is kept of the events of each config, one value that is read and written once a batch."""
 
     def __init__(self, required: tuple[str, ...]):
         self.required = required
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "config string", _KEPT)
+        self.seen = handle.getValueState("seen", _KEPT)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         fresh: dict[str, list[Row]] = {}
         for r in rows:
             fresh.setdefault(r["config"] or "", []).append(r)
+        held = self.seen.get()
+        seen = {} if held is None else {c[0]: tuple(c[1:]) for c in held[0]}
         for config, events in fresh.items():
-            start, last, files = None, None, []
-            if self.seen.containsKey((config,)):
-                start, seq, kind, files = self.seen.getValue((config,))
-                last = None if seq is None else (seq, kind)
+            start, seq, kind, files = seen.get(config, (None, None, None, []))
             starts = [e["seq"] for e in events if e["kind"] == "start"] + ([] if start is None else [start])
-            acts = [(e["seq"], e["kind"]) for e in events if e["kind"] != "artifact"] + ([] if last is None else [last])
-            last = max(acts, default=(None, None))
+            acts = [(e["seq"], e["kind"]) for e in events if e["kind"] != "artifact"] + ([] if seq is None else [(seq, kind)])
             files = sorted({*files, *(e["artifact"] for e in events if e["kind"] == "artifact" and e["artifact"] in self.required)})
-            self.seen.updateValue((config,), (min(starts, default=None), *last, files))
-        kept = [((c[0]), v) for c, v in self.seen.iterator()]
+            seen[config] = (min(starts, default=None), *max(acts, default=(None, None)), files)
+        self.seen.update(([(config, *kept) for config, kept in seen.items()],))
+        kept = list(seen.items())
         config, (start, seq, kind, files) = min(kept, key=lambda x: (x[1][0] is None, x[1][0] or 0, x[0]))
         if start is None:
             yield Row(run=key[0], status="PENDING", config=None, last_seq=None, artifacts=0, refused=len(kept))

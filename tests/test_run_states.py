@@ -64,3 +64,26 @@ def test_stream_equals_batch_after_restarts(spark, tmp_path, events):
 
 def test_empty(spark):
     assert rs.batch_states(spark.createDataFrame([], rs.EVENT)).count() == 0
+
+
+def test_a_batch_reads_and_writes_a_runs_state_once():
+    class Value:
+        held, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, new):
+            self.calls += 1
+            self.held = new
+
+    class Handle:
+        def getValueState(self, name, schema):  # noqa: N802
+            return state
+
+    state, runs = Value(), rs.Runs(rs.ARTIFACTS)
+    runs.init(Handle())
+    events = lambda first: [{"seq": k, "kind": "start" if k % 5 == 0 else "resume", "config": f"c{k % 4}", "artifact": None} for k in range(first, first + 40)]
+    out = [list(runs.handleInputRows(("r",), iter(events(first)), None)) for first in (40, 0)]
+    assert state.calls == 4 and [(o[0]["status"], o[0]["config"], o[0]["last_seq"], o[0]["refused"]) for o in out] == [("RUNNING", "c0", 76, 3), ("RUNNING", "c0", 76, 3)]
