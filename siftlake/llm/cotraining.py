@@ -165,11 +165,21 @@ def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, na
         views = [(text_view(t).astype(np.float16).tobytes(), meta_view(t, *n).astype(np.float16).tobytes()) for t, *n in zip(x["text"], *names, strict=True)]
         return {"id": x["id"], "t": [v[0] for v in views], "m": [v[1] for v in views]}
 
-    got = sorted(by_batch(rows, f"id {dict(docs.dtypes)[id_col]}, t binary, m binary", run, binary=("text",)).collect(), key=lambda r: str(r["id"]))
-    y = np.array([np.nan if y_of[r["id"]] is None else y_of[r["id"]] for r in got])
-    xt, xm = (np.stack([np.frombuffer(r[c], np.float16) for r in got]).astype(np.float32) for c in ("t", "m"))
-    has = ~np.isnan(y)
-    return cotrain(xt[has], xm[has], y[has], xt[~has], xm[~has])
+    got = by_batch(rows, f"id {dict(docs.dtypes)[id_col]}, t binary, m binary", run, binary=("text",)).toArrow()
+    ids = got["id"].to_pylist()
+    order = sorted(range(len(ids)), key=lambda k: (y_of[ids[k]] is None, str(ids[k])))  # labelled rows first: both kinds are slices of one array
+    xt, xm = (in_order(got[c], order, width) for c, width in (("t", WORDS), ("m", META)))
+    del got
+    y = np.array([y_of[ids[k]] for k in order if y_of[ids[k]] is not None])
+    return cotrain(xt[: len(y)], xm[: len(y)], y, xt[len(y) :], xm[len(y) :])
+
+
+def in_order(vectors, order: list[int], width: int) -> np.ndarray:
+    """Half-precision vectors of an Arrow column as the rows of one array, filled row by row so that no second copy is held."""
+    out = np.empty((len(order), width), np.float32)
+    for at, k in enumerate(order):
+        out[at] = np.frombuffer(vectors[k].as_buffer(), np.float16)
+    return out
 
 
 def scored(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", name_cols: tuple[str, ...] = ("source", "lang"), label_id: str = "doc_id", label_col: str = "quality", labelled: int = 6000, unlabelled: int = 6000, keep_from: float = 0.5) -> DataFrame:

@@ -484,6 +484,15 @@ def test_ngram_join_writes_whole_sets_only_of_classes_that_meet(spark, monkeypat
     assert got == {i: 100 if i == 101 else i for i, _ in rows} and 2 <= sum(kept.values()) < 20
 
 
+def test_training_vectors_are_slices_of_one_array(spark, docs, labels, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(cotraining, "cotrain", lambda xt, xm, y, ut, um: seen.update(xt=xt, xm=xm, y=y, ut=ut, um=um))
+    cotraining.fitted(docs, labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("y")), id_col="doc_id", text_col="text", name_cols=("source", "lang"), labelled=30, unlabelled=20)
+    assert len(seen["xt"]) == len(seen["xm"]) == len(seen["y"]) == 30 and set(seen["y"]) == {0.0, 1.0}
+    for known, other in (("xt", "ut"), ("xm", "um")):
+        assert seen[known].base is not None and seen[known].base is seen[other].base and seen[known].dtype == "float32"
+
+
 def test_columns_of_the_results_names_are_replaced(spark, docs, labels):
     some = docs.withColumns({"doc": F.lit("own"), "row": F.lit(1), "quality": F.lit(7), "line_dedup": F.lit("x")})
     lines = line_dedup.deduplicated(some)
