@@ -5,15 +5,16 @@
    are similar enough share a shingle of their prefixes. Frequent shingles are those that over `heavy` sets hold among
    the first of their hash order; a set of at most 2 ** 20 of them is sent to the tasks (the bound rises with the data
    to keep that). Which shingles count as frequent changes the work, never the result.
-3. Classes that share a prefix shingle meet. First, `stars` times, each class meets one other of the shingle's classes,
-   which gathers groups of near copies into components in linear work. Then those still in different components meet
+3. Classes that share a prefix shingle meet, except those that have no partner of a size that allows a link there. First,
+   `stars` times, each class meets one other of the shingle's classes, which gathers groups of near copies into
+   components in linear work, and shingles of two classes are done. Then those still in different components meet
    pairwise, in tiles of one shingle and one band of sizes (a band spans the size ratio that the threshold allows, so
-   partners lie in one band or the next).
+   partners lie in one band or the next), each pair at the first shingle that it shares there.
 4. The meeting itself lets a pair through only if two upper bounds on the overlap allow a link: from the shingle's places
    in the two prefixes (what stands before it can't be shared where it is the first that is), and from bitmap
-   signatures of 64 * WORDS bits (a set bit of one that the other lacks is a shingle less).
-5. Only classes of a pair that passed get their whole set read from their text, with a wider signature that is tried
-   first; what passes that too is intersected exactly on the sorted arrays, and links become components.
+   signatures of 64 * WORDS bits, pairwise of 64 * WIDE (a set bit of one that the other lacks is a shingle less).
+5. Only classes of a pair that passed get their whole set read from their text; what passes the wide signature too is
+   intersected exactly on the sorted arrays, and links become components.
 
 What is written grows with the prefixes: signatures join the shingles that two classes share at least, not all, and whole
 sets exist only for classes that met.
@@ -32,10 +33,12 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.components import connected_components
 from .common import Staged, by_batch, checkpointed, same_each_read
@@ -44,7 +47,7 @@ from .hashing import shingles
 
 #: So many prefix lengths of each set are counted to find the frequent shingles.
 COUNTED = 3
-#: Longs of a signature that goes with each shared shingle, and of the one that is tried once for a pair.
+#: Longs of a signature that goes with each shared shingle, and of the one that goes with those left for the pairwise turn; the first is the second, folded.
 WORDS, WIDE = 8, 32
 #: So many wanted rows are sent to the tasks that read the texts; more are joined by a shuffle.
 SENT = 1 << 18
@@ -58,23 +61,31 @@ def prefix_length(size: int, num: int, den: int) -> int:
     return size - -(-num * size // den) + 1
 
 
-def signature(found: np.ndarray, words: int = WORDS) -> np.ndarray:
+def signature(found: np.ndarray, words: int = WIDE) -> np.ndarray:
     """A bitmap of 64 * words bits, as longs."""
     out = np.zeros(64 * words, np.uint8)
     out[(found >> np.uint64(40)) % np.uint64(64 * words)] = 1
     return np.packbits(out, bitorder="little").view(np.int64)
 
 
+def folded(wide: str, k: int) -> Column:
+    """Long k of the signature of WORDS longs, from the one of WIDE."""
+    out = F.get(wide, F.lit(k))
+    for j in range(k + WORDS, WIDE, WORDS):
+        out = out.bitwiseOR(F.get(wide, F.lit(j)))
+    return out
+
+
 def upper(found: np.ndarray) -> np.ndarray:
     """The upper halves of hashes, as ints: what frequent shingles are told by."""
     return (found >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def sketches(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(id, row, key, size, prefix, more, sign) of every row (id, row, text); more: the upper halves of the shingles after the prefix that are counted too."""
+    """(id, row, key, size, prefix, more, wide, hidden, hidden_wide) of every row (id, row, text); more: the upper halves of the shingles after the prefix that are counted too; hidden: how many shingles the signatures of WORDS and WIDE longs don't show."""
 
     def run(x: dict) -> dict:
-        out = {"id": x["id"], "row": x["row"], "key": [], "size": [], "prefix": [], "more": [], "sign": []}
+        out = {"id": x["id"], "row": x["row"], "key": [], "size": [], "prefix": [], "more": [], "wide": [], "hidden": [], "hidden_wide": []}
         for text in x["text"]:
             s = shingles(text, n)
             out["key"].append(key_of(s))
@@ -82,11 +93,14 @@ def sketches(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             p = prefix_length(len(s), num, den) if len(s) else 0
             out["prefix"].append(s[:p].view(np.int64))
             out["more"].append(upper(s[p : COUNTED * p]))
-            out["sign"].append(signature(s))
+            wide = signature(s)
+            out["wide"].append(wide)
+            for name, words in (("hidden", np.bitwise_or.reduce(wide.reshape(-1, WORDS))), ("hidden_wide", wide)):
+                out[name].append(len(s) - int(np.bitwise_count(words.view(np.uint64)).sum()))
         return out
 
     kind = dict(docs.dtypes)["id"]
-    return by_batch(docs.select("id", "row", "text"), f"id {kind}, row long, key binary, size long, prefix array<long>, more array<int>, sign array<long>", run, binary=("text",))
+    return by_batch(docs.select("id", "row", "text"), f"id {kind}, row long, key binary, size long, prefix array<long>, more array<int>, wide array<long>, hidden long, hidden_wide long", run, binary=("text",))
 
 
 def reordered(docs: DataFrame, heavy, n: int, num: int, den: int) -> DataFrame:
@@ -114,13 +128,16 @@ def lacking(x: list[Column], y: list[Column]) -> Column:
     return sum((F.bit_count(p.bitwiseAND(F.bitwise_not(q))) for p, q in zip(x, y, strict=True)), F.lit(0))
 
 
-def fits(a: str, b: str, num: int, den: int) -> Column:
-    """Whether rows a and b of one shingle (size, place, sign0, sign1, ...) may be linked, by their sizes, the places in their prefixes and their signatures."""
+def fits(a: str, b: str, num: int, den: int, words: int = WORDS) -> Column:
+    """Whether rows a and b of one shingle (size, place, hidden, sign0, sign1, ...) may be linked, by their sizes, the places in their prefixes and their signatures.
+
+    hidden: the shingles that the set's signature doesn't show, size less the bits set. Each bound stands once in a comparison, so that it is computed once a pair.
+    """
     size = [F.col(f"{x}size") for x in (a, b)]
     left = F.least(*(F.col(f"{x}size") - F.col(f"{x}place") for x in (a, b)))
-    lacks = lambda x, y: lacking(*([F.col(f"{z}sign{k}") for k in range(WORDS)] for z in (x, y)))
-    enough = lambda most: den * most >= num * (size[0] + size[1] - most)
-    return (den * F.least(*size) >= num * F.greatest(*size)) & enough(left) & enough(size[0] - lacks(a, b)) & enough(size[1] - lacks(b, a))
+    both = reduce(Column.__add__, (F.bit_count(F.col(f"{a}sign{k}").bitwiseAND(F.col(f"{b}sign{k}"))) for k in range(words)))
+    enough = lambda most: (num + den) * most >= num * (size[0] + size[1])
+    return (den * F.least(*size) >= num * F.greatest(*size)) & enough(left) & enough(F.least(f"{a}hidden", f"{b}hidden") + both)
 
 
 def shingle_sets(wanted: DataFrame, docs: DataFrame, n: int) -> DataFrame:
@@ -128,7 +145,7 @@ def shingle_sets(wanted: DataFrame, docs: DataFrame, n: int) -> DataFrame:
 
     def run(x: dict) -> dict:
         sets = [shingles(t, n) for t in x["text"]]
-        return {"cid": x["cid"], "size": [len(s) for s in sets], "wide": [signature(s, WIDE) for s in sets], "found": [np.sort(s.view(np.int64)).tobytes() for s in sets]}
+        return {"cid": x["cid"], "size": [len(s) for s in sets], "wide": [signature(s) for s in sets], "found": [np.sort(s.view(np.int64)).tobytes() for s in sets]}
 
     return by_batch(docs.select("row", "text").join(wanted, "row").select("cid", "text"), "cid long, size long, wide array<long>, found binary", run, binary=("text",))
 
@@ -165,29 +182,29 @@ def linked_classes(docs: DataFrame, *, id_col: str, text_col: str, n: int, num:
     docs = same_each_read(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), staged).withColumn("row", F.monotonically_increasing_id())
     rows = staged.write(sketches(docs, n, num, den), "sketches")
     members = staged.write(rows.select("id", "key", "size"), "members")
-    classes = rows.filter("size > 0").groupBy("key").agg(*(F.min_by(c, "row").alias(c) for c in ("size", "prefix", "more", "sign")), F.min("row").alias("row"))
+    classes = rows.filter("size > 0").groupBy("key").agg(*(F.min_by(c, "row").alias(c) for c in ("size", "prefix", "more", "wide", "hidden", "hidden_wide")), F.min("row").alias("row"))
     classes = staged.write(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     staged.drop("sketches")
     total = classes.agg(F.sum(F.size("prefix") + F.size("more"))).first()[0] or 0
     half = classes.select(F.explode("prefix").alias("token")).select(F.shiftright("token", 32).cast("int").alias("token"))
     counts = half.unionAll(classes.select(F.explode("more").alias("token"))).groupBy("token").agg(F.count("*").alias("n"))
     often = counts.filter(F.col("n") > max(heavy, total >> 20)).select("token").toArrow().column(0).to_numpy()  # 2 ** 20 at most
-    held = ["cid", F.posexplode("prefix").alias("place", "token")]
-    short = classes.select("cid", "key", "prefix")
+    held = ["cid", "size", F.posexplode("prefix").alias("place", "token")]
+    short = classes.select("cid", "key", "size", "prefix")
     if len(often):
         sent = spark.sparkContext.broadcast(np.sort(often))
         changed = staged.write(reordered(docs, sent, n, num, den).groupBy("key").agg(F.first("prefix").alias("prefix")), "changed")
         tokens = short.join(changed, "key", "left_anti").select(*held).unionAll(short.drop("prefix").join(changed, "key").select(*held))
     else:
         tokens = short.select(*held)
-    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
-    facts = classes.select("cid", "size", *(F.get("sign", F.lit(k)).alias(f"sign{k}") for k in range(WORDS)))
-    met = staged.write(tokens.join(shared, "token").join(facts, "cid"), "met")
+    facts = classes.select("cid", "hidden", *(folded("wide", k).alias(f"sign{k}") for k in range(WORDS)))
+    met = staged.write(meeting(tokens, num, den).join(facts, "cid"), "met")
+    wides = staged.write(classes.select("cid", "wide", F.col("hidden_wide").alias("hidden")).join(met.select("cid").distinct(), "cid", "left_semi"), "wides")
     classes = staged.write(classes.select("cid", "key", "size", "row"), "slim")
-    for name in ("classes", "changed"):  # what they hold of prefixes and signatures is in `met`
+    for name in ("classes", "changed"):  # what they hold of prefixes and signatures is in `met` and `wides`
         staged.drop(name)
 
-    row = ["cid", "size", "component", "place", *(f"sign{k}" for k in range(WORDS))]
+    row = ["cid", "size", "component", "place", "hidden", *(f"sign{k}" for k in range(WORDS))]
     linked, found = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, component long")
     tested, sets = linked, spark.createDataFrame([], "cid long, size long, wide array<long>, found binary")
     for turn in range(stars + 1):  # the last one is pairwise
@@ -201,33 +218,56 @@ def linked_classes(docs: DataFrame, *, id_col: str, text_col: str, n: int, num:
             pairs = left.join(pivots, (left["token"] == pivots["token"]) & (F.col("a_component") != F.col("b_component")) & fits("a_", "b_", num, den))
             pairs = pairs.select(F.least("a_cid", "b_cid").alias("a"), F.greatest("a_cid", "b_cid").alias("b")).distinct()
         else:
-            pairs = tiles(placed.join(groups.select("token", "main"), "token"), row, num, den)
+            pairs = tiles(placed.join(groups.select("token", "main"), "token"), wides, num, den)
         if turn:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = staged.write(pairs, f"pairs-{turn}")
+        if not turn:  # where two classes share a shingle, that was their only pair
+            met = staged.write(met.join(met.groupBy("token").agg(F.count("*").alias("n")).filter("n > 2").select("token"), "token", "left_semi"), "rest")
+            staged.drop("met")
         if pairs.isEmpty():
             continue
         tested = tested.unionAll(pairs)
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(sets.select("cid"), "cid", "left_anti")
         wanted = staged.write(classes.select("cid", "row").join(wanted, "cid"), f"wanted-{turn}")
         sets = sets.unionAll(staged.write(shingle_sets(F.broadcast(wanted) if wanted.count() <= SENT else wanted, docs, n), f"sets-{turn}"))
-        near = staged.write(fitting(pairs, sets, num, den), f"near-{turn}")
+        near = staged.write(fitting(pairs, sets, num, den), f"near-{turn}") if turn < stars else pairs
         linked = linked.unionAll(staged.write(verified(near, sets, num, den), f"linked-{turn}"))
         found = connected_components(linked, "a", "b", checkpointed)
-    for name in ("met", *(f"{x}-{k}" for k in range(stars + 1) for x in ("pairs", "wanted", "sets", "near", "linked"))):
+    for name in ("rest", "wides", *(f"{x}-{k}" for k in range(stars + 1) for x in ("pairs", "wanted", "sets", "near", "linked"))):
         staged.drop(name)
     return members, classes.select("cid", "key", "size"), found
 
 
-def tiles(rows: DataFrame, row: list[str], num: int, den: int) -> DataFrame:
-    """Pairs (a, b) in different components that meet in a tile of one shingle and one band of sizes; rows (token, main, *row).
+def meeting(tokens: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows (token, cid, size, place) that share their shingle with one whose size allows a link; of the others of a shingle the nearest sizes decide.
+
+    A larger partner must also make up for what stands before the shingle, which can't be shared if this is the first shared one.
+    """
+    left = F.col("size") - F.col("place")
+    shared = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("size").alias("lo"), F.max("size").alias("hi"), F.min(left).alias("left"))
+    shared = shared.filter((F.col("n") > 2) | ((F.col("n") == 2) & (den * F.col("left") >= num * (F.col("lo") + F.col("hi") - F.col("left")))))
+    by_size = Window.partitionBy("token").orderBy("size")
+    near = tokens.join(shared.select("token"), "token").withColumns({"below": F.lag("size").over(by_size), "above": F.lead("size").over(by_size)})
+    return near.filter((den * F.col("below") >= num * F.col("size")) | (den * left >= num * (F.col("above") + F.col("place")))).select("token", "cid", "size", "place")
+
+
+def tiles(rows: DataFrame, wides: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) in different components that meet in a tile of one shingle and one band of sizes; rows (token, main, cid, size, component, place); wides (cid, wide, hidden).
 
-    Of any such pair one at least is outside the shingle's main component, so the other members of that meet only these.
+    Of any such pair one at least is outside the shingle's main component, so the other members of that meet only these. A pair passes only
+    at the first of its shared shingles: its bound by places is the loosest there.
     """
+    before = F.collect_list("token").over(Window.partitionBy("cid").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.select("token", "main", "cid", "size", "component", "place", before.alias("before")).join(wides, "cid")
+    row = ["cid", "size", "component", "place", "hidden", "before", "main", *(f"sign{k}" for k in range(WIDE))]
+    rows = rows.select("token", *row[:7], *(F.get("wide", F.lit(k)).alias(f"sign{k}") for k in range(WIDE)))
     band = F.floor(F.log(F.col("size").cast("double")) / math.log(den / num) + 1e-9)
     left = rows.filter("component <> main").select("token", F.explode(F.array(band - 1, band, band + 1)).alias("band"), *(F.col(c).alias(f"a_{c}") for c in row))
     right = rows.select("token", band.alias("band"), *(F.col(c).alias(f"b_{c}") for c in row))
-    met = left.join(right, (left["token"] == right["token"]) & (left["band"] == right["band"]) & (F.col("a_component") != F.col("b_component")) & fits("a_", "b_", num, den))
+    once = (F.col("b_component") == F.col("b_main")) | (F.col("a_cid") < F.col("b_cid"))
+    apart = (F.col("a_component") != F.col("b_component")) & once & fits("a_", "b_", num, den, WIDE) & ~F.arrays_overlap("a_before", "b_before")
+    met = left.join(right, (left["token"] == right["token"]) & (left["band"] == right["band"]) & apart)
     return met.select(F.least("a_cid", "b_cid").alias("a"), F.greatest("a_cid", "b_cid").alias("b")).distinct()
 
 

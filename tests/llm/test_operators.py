@@ -484,6 +484,28 @@ def test_ngram_join_writes_whole_sets_only_of_classes_that_meet(spark, monkeypat
     assert got == {i: 100 if i == 101 else i for i, _ in rows} and 2 <= sum(kept.values()) < 20
 
 
+def test_unlinked_copies_of_one_text_leave_the_pairwise_turn_once_at_most(spark, monkeypatch):
+    """Copies with 7 of 400 words exchanged share most shingles and pass bounds of 512 bits, though two of them are similar by 0.75 only."""
+    rng, source, rows = random.Random(5), [f"w{i}" for i in range(400)], []
+    for i in range(60):
+        words = list(source)
+        for at in rng.sample(range(400), 7):
+            words[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(words)))
+    pairs, write = {}, ngram_join.Staged.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        if name.startswith("pairs"):
+            pairs[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join.Staged, "write", counted)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(rows, 4, 85, 100).items()}
+    assert pairs["pairs-2"] <= 60  # of 1770
+
+
 def test_training_vectors_are_slices_of_one_array(spark, docs, labels, monkeypatch):
     seen = {}
     monkeypatch.setattr(cotraining, "cotrain", lambda xt, xm, y, ut, um: seen.update(xt=xt, xm=xm, y=y, ut=ut, um=um))
