@@ -318,3 +318,14 @@ def test_split_measures_and_target_leakage(spark):
     frame = spark.createDataFrame(paths, "source string, label string, path string")
     found = {r["source"]: tuple(r)[1:] for r in audit.target_leakage(frame, "source", e.name_tokens(F.coalesce("path", F.lit("")), ["gill"]), "label", "path").collect()}
     assert found == {"s": (5, 4, 80.0, False, "a/gill_0.png; a/gill_1.png; a/gill_2.png"), "t": (1, 0, 0.0, True, ""), None: (1, 0, 0.0, False, "")}
+
+
+def test_only_fingerprints_that_may_be_near_another_name_their_neighbours(spark):
+    rng = random.Random(5)
+    lone = [rng.getrandbits(60) for _ in range(300)]
+    near = [x ^ (1 << a) ^ (1 << b) for x in lone[:40] for a, b in [rng.sample(range(60), 2)]]
+    prints = spark.createDataFrame([(x,) for x in [*lone, *near, *lone[:5]]], "fingerprint long")
+    held = {r[0] for r in dedup.paired(prints.distinct()).collect()}
+    assert held >= {*lone[:40], *near} and len(held) < 100  # 80 and few that hold half of their bits in common by chance
+    got = {r["fingerprint"]: r["near"] for r in dedup.near_classes(prints).collect()}
+    assert got == {x: min(pair) for pair in zip(lone[:40], near, strict=True) for x in pair}
