@@ -16,9 +16,11 @@ labels of both kinds nothing can be fitted and every row scores 1; an empty tabl
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -162,7 +164,7 @@ def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, na
 
     def run(x: dict) -> dict:
         names = [x[k] for k in x if k.startswith("name_")]
-        views = [(text_view(t).astype(np.float16).tobytes(), meta_view(t, *n).astype(np.float16).tobytes()) for t, *n in zip(x["text"], *names, strict=True)]
+        views = [tuple(zlib.compress(v.astype(np.float16).tobytes(), 1) for v in (text_view(t), meta_view(t, *n))) for t, *n in zip(x["text"], *names, strict=True)]
         return {"id": x["id"], "t": [v[0] for v in views], "m": [v[1] for v in views]}
 
     got = by_batch(rows, f"id {dict(docs.dtypes)[id_col]}, t binary, m binary", run, binary=("text",)).toArrow()
@@ -170,15 +172,16 @@ def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, na
     order = sorted(range(len(ids)), key=lambda k: (y_of[ids[k]] is None, str(ids[k])))  # labelled rows first: both kinds are slices of one array
     xt, xm = (in_order(got[c], order, width) for c, width in (("t", WORDS), ("m", META)))
     del got
+    pa.default_memory_pool().release_unused()
     y = np.array([y_of[ids[k]] for k in order if y_of[ids[k]] is not None])
     return cotrain(xt[: len(y)], xm[: len(y)], y, xt[len(y) :], xm[len(y) :])
 
 
 def in_order(vectors, order: list[int], width: int) -> np.ndarray:
-    """Half-precision vectors of an Arrow column as the rows of one array, filled row by row so that no second copy is held."""
+    """Compressed half-precision vectors of an Arrow column as the rows of one array, filled row by row so that no second copy is held."""
     out = np.empty((len(order), width), np.float32)
     for at, k in enumerate(order):
-        out[at] = np.frombuffer(vectors[k].as_buffer(), np.float16)
+        out[at] = np.frombuffer(zlib.decompress(vectors[k].as_buffer()), np.float16)
     return out
 
 

@@ -535,3 +535,10 @@ def test_runs_of_several_earlier_holders_go(spark):
     docs = spark.createDataFrame([(1, "p q r s t u"), (2, "v w x y z a"), (3, "v w x y z a\nmid\np q r s t u"), (4, "v w x y z a\nmid\np q r s t u")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(docs).select("doc_id", "text").collect()}
     assert got[1] == "p q r s t u" and got[2] == "v w x y z a" and got[3] == "mid"
+
+
+def test_training_vectors_reach_the_driver_compressed(spark, docs, labels, monkeypatch):
+    sizes, plain = [], cotraining.in_order
+    monkeypatch.setattr(cotraining, "in_order", lambda vectors, order, width: (sizes.append((vectors.nbytes, 2 * width * len(order))), plain(vectors, order, width))[1])
+    cotraining.fitted(docs, labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("y")), id_col="doc_id", text_col="text", name_cols=("source", "lang"), labelled=100, unlabelled=100)
+    assert len(sizes) == 2 and all(3 * got < whole for got, whole in sizes)
