@@ -8,14 +8,14 @@ score, its source and its piece for every position (Viterbi). How far back an en
 better score replaces one, so ties go to the earliest start, as in the tokenizer; scores are summed in single precision, as
 there, but within a word. A character that is no piece gets an edge 10 below the least piece, and becomes its bytes.
 
-Words are dealt by a 128-bit key and keep their partition to the fold, so edges are never shuffled, and carry the key in the
-place of the word. Words over `LONG` characters are cut
+Words are dealt by a 128-bit key and keep their partition to the fold and on to the join with the chunks' words, so edges and
+paths are never shuffled, and carry the key in the place of the word. Words over `LONG` characters are cut
 into overlapping parts first, so that no row holds all substrings of one, and fold with links back in pages.
 
-Documents get their ids in chunks of about CHUNK bytes of text along each partition of the input: a chunk gives its
-distinct words once, and then its documents as numbers of words, which meet the encoded words in a co-group. The `HOT`
-words of the most chunks are sent to every task instead, which halves that meeting; their number is fixed. A chunk must
-hold the same rows in both reads: a scan of files does; anything else is written to the shared folder first.
+Documents get their ids in chunks of about CHUNK bytes of text along each partition of the input, which is read once: a
+chunk is written as its distinct words and its documents as numbers of these, some PIECE bytes of text to a row. The words'
+ids are sorted by chunk within each task before they are shuffled, a row for each chunk, and meet the documents in a
+co-group. Whatever waits on disk for that is compressed.
 
 Defined cases: a null text has null ids, an empty one none; each row is encoded by itself; an empty table gives an empty
 result; extra columns are ignored. A space travels as U+2581, as in the tokenizer, so a literal U+2581 in a text is decoded
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocabulary as v
-from .common import Staged, by_batch, configured, pa_schema, same_each_read
+from .common import Staged, by_batch, configured, pa_schema
 
-CHUNK = 4 << 20
-HOT = 1 << 15
+CHUNK = 16 << 20
+PIECE = 1 << 20
+#: So many bytes of answers are sorted by chunk at a time.
+SORTED = 64 << 20
 TAIL = 3
 LONG = 64
 PAGE = 256
@@ -154,17 +157,17 @@ def keyed(words: DataFrame) -> DataFrame:
     return words.withColumns({"w1": F.xxhash64("word"), "w2": F.xxhash64(F.lit("second"), "word")})
 
 
-def short_words(words: DataFrame, vocab: v.Vocabulary) -> DataFrame:
-    """(word, n, ids) of distinct words (word, n) of LONG characters at most."""
+def short_paths(words: DataFrame, vocab: v.Vocabulary) -> DataFrame:
+    """(w1, w2, ids) of distinct words (word) of LONG characters at most."""
     key = ["w1", "w2"]
     parts = keyed(words).repartition(*key).sortWithinPartitions(*key).select(*key, F.col("word").alias("part"), F.lit(0).alias("skip"))
     edge = F.struct(F.col("last").alias("end"), (F.col("last") - F.col("long")).alias("start"), "score", F.col("id").alias("piece"))
     path = matches(parts, vocab, *key).groupBy(*key).agg(F.collect_list(edge).alias("edges")).select(*key, viterbi(F.col("edges")).alias("path"))
-    return keyed(words).hint("merge").join(path, key).select("word", "n", spelt(F.col("path"), vocab).alias("ids"))
+    return path.select(*key, spelt(F.col("path"), vocab).alias("ids"))
 
 
-def long_words(words: DataFrame, vocab: v.Vocabulary) -> DataFrame:
-    """(word, n, ids) of distinct words (word, n) over LONG characters."""
+def long_paths(words: DataFrame, vocab: v.Vocabulary) -> DataFrame:
+    """(w1, w2, ids) of distinct words (word) over LONG characters."""
     key, back = ["w1", "w2"], vocab.longest - 1
     begins = keyed(words).select("*", F.explode(F.sequence(F.lit(0), F.length("word") - 1, F.lit(PAGE))).alias("at"))
     skip = F.least(F.col("at"), F.lit(back))
@@ -173,7 +176,7 @@ def long_words(words: DataFrame, vocab: v.Vocabulary) -> DataFrame:
     end = F.col("base") + F.col("last")
     edge = F.struct(end.alias("end"), (end - F.col("long")).alias("start"), F.col("id").alias("piece"), "score")
     path = rows.groupBy(*key).agg(F.collect_list(edge).alias("edges")).select(*key, paged_viterbi(F.col("edges"), vocab.longest).alias("path"))
-    return keyed(words).hint("merge").join(path, key).select("word", "n", spelt(F.col("path"), vocab).alias("ids"))
+    return path.select(*key, spelt(F.col("path"), vocab).alias("ids"))
 
 
 def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -190,13 +193,24 @@ def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
                     number, size = number + 1, 0
 
 
-def chunk_runs(parts: list[pa.Array], cutter: v.Cutter) -> list[str]:
-    """The distinct runs of a chunk's texts, sorted."""
-    found: set[str] = set()
-    for part in parts:
-        for text in part:
-            found.update(cutter.runs(text.as_py()))
-    return sorted(found)
+class Numbers(dict):
+    """Numbers from 0 up, in the order of first use."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Integers of 32 bits, their bytes apart by significance, compressed."""
+    planes = np.ascontiguousarray(x.astype(np.int32, copy=False).view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    """The `n` integers of `packed`."""
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd"), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.int32).ravel()
 
 
 def words_of(runs: list[str], cutter: v.Cutter) -> tuple[dict[str, int], list[int], list[int]]:
@@ -222,46 +236,79 @@ def by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.R
         yield last, parts
 
 
-def chunk_words(rows: DataFrame, vocab: v.Vocabulary) -> DataFrame:
-    """(chunk, words): the distinct words of each chunk of rows (id, text), in the order of `words_of`."""
+def chunk_table(rows: DataFrame, vocab: v.Vocabulary, digests: bool) -> DataFrame:
+    """Rows (id, text) by chunk: a row (chunk, words) of its distinct words, then rows (chunk, id[], sizes, n, numbers, digests) of its documents, some PIECE bytes each.
+
+    sizes: words of each document, -1 for a null text; numbers: places of these n words in the chunk's; digests: the SHA-256 of the texts that aren't null, if `digests`.
+    """
     sent = rows.sparkSession.sparkContext.broadcast(vocab)
+    schema = f"chunk long, words array<string>, id array<{dict(rows.dtypes)['id']}>, sizes binary, n int, numbers binary, digests binary"
+    target = pa_schema(rows.sparkSession, schema)
+
+    def row(*values) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, target, strict=True)], schema=target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = v.Cutter(sent.value)
         for chunk, parts in by_chunk(batches):
-            words = list(words_of(chunk_runs([p.column(1) for p in parts], cutter), cutter)[0])
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([words], pa.list_(pa.string()))], names=["chunk", "words"])
+            runs, held = Numbers(), []
+            for part in parts:
+                step = max(1, int(part.num_rows * PIECE / max(part.nbytes, 1)))
+                for at in range(0, part.num_rows, step):
+                    some = part.slice(at, step)
+                    texts = some.column(1).to_pylist()
+                    own = [cutter.runs(t) for t in texts]
+                    ends = np.cumsum([0, *map(len, own)])
+                    used = np.fromiter(map(runs.__getitem__, chain.from_iterable(own)), np.int64, int(ends[-1]))
+                    digest = b"".join(hashlib.sha256(t.encode()).digest() for t in texts if t is not None) if digests else None
+                    held.append((some.column(0), np.array([t is None for t in texts]), ends, used, digest))
+            words, flat, sizes = words_of(list(runs), cutter)
+            flat, spans = np.array(flat, np.int32), spans_of(np.array(sizes, np.int64))
+            uses = sum((np.bincount(gathered(flat, spans, used)[0], minlength=len(words)) for _, _, _, used, _ in held), np.zeros(len(words), np.int64))
+            order, place = np.argsort(-uses, kind="stable"), np.zeros(len(words), np.int32)  # frequent words get small numbers, which compress
+            place[order] = np.arange(len(words))
+            flat, words = place[flat], list(words)
+            yield row(chunk, [words[k] for k in order.tolist()], None, None, None, None, None)
+            for ids, null, ends, used, digest in held:
+                numbers, size = gathered(flat, spans, used)
+                each = np.diff(np.concatenate([[0], np.cumsum(size)])[ends])
+                yield row(chunk, None, ids.to_pylist(), packed(np.where(null, -1, each)), len(numbers), packed(numbers), digest)
 
-    return rows.mapInArrow(run, "chunk long, words array<string>")
+    return rows.mapInArrow(run, schema)
 
 
-def numbered(rows: DataFrame, vocab: v.Vocabulary, hot: list[str], digests: bool) -> DataFrame:
-    """(chunk, id, words, digest) of each row: its words as int32 bytes, numbers of hot words from 0 up, of the chunk's words from -1 down; the text's SHA-256 if `digests`."""
-    sent = rows.sparkSession.sparkContext.broadcast((vocab, hot))
-    kind = dict(rows.dtypes)["id"]
-    schema = f"chunk long, id {kind}, words binary, digest binary"
-    target = pa_schema(rows.sparkSession, schema)
+def by_its_chunk(answers: DataFrame) -> DataFrame:
+    """(chunk, rows, k, sizes, n, ids): rows (chunk, k, ids) of a task, those of a chunk in one row; k as steps."""
+    schema = "chunk long, rows int, k binary, sizes binary, n int, ids binary"
+    target = pa_schema(answers.sparkSession, schema)
+
+    def told(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(batches)
+        chunk, k = table.column("chunk").to_numpy(), table.column("k").to_numpy()
+        ids = pa.concat_arrays(table.column("ids").chunks)
+        order = np.lexsort((k, chunk))
+        chunk, k = chunk[order], k[order]
+        flat, size = gathered(np.asarray(ids.flatten(), np.int32), spans_of(np.asarray(ids.value_lengths(), np.int64)), order)
+        edges = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+        at = np.concatenate([[0], np.cumsum(size)])
+        out: dict[str, list] = {name: [] for name in target.names}
+        for a, b in zip(edges, edges[1:], strict=False):
+            own = flat[at[a] : at[b]]
+            for name, x in zip(target.names, (int(chunk[a]), b - a, packed(np.diff(k[a:b], prepend=0)), packed(size[a:b]), len(own), packed(own)), strict=True):
+                out[name].append(x)
+        return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, hot = sent.value
-        cutter, hot = v.Cutter(vocab), {w: k for k, w in enumerate(hot)}
-        for chunk, parts in by_chunk(batches):
-            runs = chunk_runs([p.column(1) for p in parts], cutter)
-            numbers, flat, sizes = words_of(runs, cutter)
-            told = np.array([hot.get(w, -n - 1) for w, n in numbers.items()], np.int32)[np.array(flat, np.int64)] if flat else np.zeros(0, np.int32)
-            spans, number = spans_of(np.array(sizes, np.int64)), {x: k for k, x in enumerate(runs)}
-            for part in parts:
-                step = max(1, int(part.num_rows * (1 << 20) / max(part.nbytes, 1)))
-                for at in range(0, part.num_rows, step):
-                    some, out, digest = part.slice(at, step), [], []
-                    for text in some.column(1).to_pylist():
-                        own = cutter.runs(text)
-                        out.append(None if text is None else gathered(told, spans, np.fromiter(map(number.__getitem__, own), np.int64, len(own)))[0].tobytes())
-                        digest.append(hashlib.sha256(text.encode()).digest() if digests and text is not None else None)
-                    columns = [pa.array([chunk] * some.num_rows, pa.int64()), some.column(0).cast(target.field("id").type), pa.array(out, target.field("words").type), pa.array(digest, target.field("digest").type)]
-                    yield pa.RecordBatch.from_arrays(columns, schema=target)
+        own, size = [], 0
+        for batch in batches:
+            own, size = [*own, batch], size + batch.nbytes
+            if size >= SORTED:
+                yield told(own)
+                own, size = [], 0
+        if any(batch.num_rows for batch in own):
+            yield told(own)
 
-    return rows.mapInArrow(run, schema)
+    return answers.select("chunk", "k", "ids").mapInArrow(run, schema)
 
 
 def gathered(flat: np.ndarray, spans: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -284,56 +331,53 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, vocab: v.Vocabulary, *
     """(id, ids), and if `check` (id, ids, decoded_sha256, same_text): the ids decoded again where they are made."""
     spark = docs.sparkSession
     staged = Staged(spark, "pieces")
-    rows = same_each_read(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), staged)
-    held = staged.write(chunk_words(rows, vocab), "held")
-    each = held.select(F.explode("words").alias("word"))
-    counted = staged.write(each.groupBy("word").agg(F.count("*").alias("n")), "words")
+    rows = chunk_table(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), vocab, check)
+    with configured(spark, {"spark.sql.maxConcurrentOutputFileWriters": "2"}):  # else the rows would be sorted by `kind`
+        chunks = staged.write(rows.withColumn("kind", F.when(F.col("words").isNull(), "texts").otherwise("words")), "chunks", by="kind")
+    held = chunks.filter("kind = 'words'")
+    counted = staged.write(held.select(F.explode("words").alias("word")).distinct(), "words")
+    wanted, is_short = keyed(held.select("chunk", F.posexplode("words").alias("k", "word"))), F.length("word") <= LONG
+    met = [wanted.filter(some).select("chunk", "k", "w1", "w2").hint("merge").join(paths(counted.filter(some), vocab), ["w1", "w2"]) for some, paths in ((is_short, short_paths), (~is_short, long_paths))]
     # A word's edges come together, so they are grouped as they come; and a partition of words grows some hundredfold when it is cut, which its size doesn't tell.
     with configured(spark, {"spark.sql.execution.useObjectHashAggregateExec": "false", "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
-        short = staged.write(short_words(counted.filter(F.length("word") <= LONG), vocab), "short")
-        long = staged.write(long_words(counted.filter(F.length("word") > LONG), vocab), "long")
-    words = short.unionByName(long)
-    top = short.filter("n > 1").orderBy(F.desc("n"), "word").limit(HOT).select("word", "ids").toArrow()  # HOT words of LONG characters at most
-    hot_ids, top = pa.concat_arrays(top.column("ids").chunks or [pa.array([], pa.list_(pa.int32()))]), top.column("word").to_pylist()
-    hot = spark.createDataFrame([(w,) for w in top], "word string")
-    wanted = held.select("chunk", F.posexplode("words").alias("k", "word")).join(F.broadcast(hot), "word", "left_anti")
-    answers = staged.write(wanted.join(words.join(F.broadcast(hot), "word", "left_anti").select("word", "ids"), "word").select("chunk", "k", "ids"), "answers")
-    for name in ("held", "words", "short", "long"):
+        answers = staged.write(by_its_chunk(met[0].unionAll(met[1])), "answers")
+    for name in ("words", "chunks/kind=words"):
         staged.drop(name)
-    sent = spark.sparkContext.broadcast((np.asarray(hot_ids.flatten(), np.int32), spans_of(np.asarray(hot_ids.value_lengths(), np.int64)), Decoder(vocab) if check else None))
+    sent = spark.sparkContext.broadcast(Decoder(vocab) if check else None)
     kind = dict(docs.dtypes)[id_col]
     schema = f"id {kind}, ids array<int>" + (", decoded_sha256 string, same_text boolean" if check else "")
     target = pa_schema(spark, schema)
 
     def meet(key, texts: pa.Table, own: pa.Table) -> pa.Table:
-        flat, spans, decode = sent.value
-        ids = own.column("ids").combine_chunks() if own.num_rows else pa.array([], pa.list_(pa.int32()))
-        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-        k, rare = own.column("k").to_numpy(), np.asarray(ids.flatten(), np.int32)
-        own_spans = np.zeros((int(k.max()) + 1 if len(k) else 0, 2), np.int64)
-        own_spans[k] = spans_of(np.asarray(ids.value_lengths(), np.int64)) + [[len(flat), 0]]
-        both, base = np.concatenate([flat, rare]), len(spans)
-        table = np.concatenate([spans, own_spans])
-        out: dict[str, list] = {name: [] for name in target.names[1:]}
-        for words, digest in zip(texts.column("words"), texts.column("digest"), strict=True):
-            words = words.as_py()
-            if words is None:
-                for name, x in out.items():
-                    x.append(True if name == "same_text" else None)
-                continue
-            n = np.frombuffer(words, np.int32).astype(np.int64)
-            got, size = gathered(both, table, np.where(n >= 0, n, base - n - 1))
+        decode, flat, spans, base = sent.value, [], [], 0
+        for rows, k, sizes, n, ids in zip(*(own.column(c).to_pylist() for c in ("rows", "k", "sizes", "n", "ids")), strict=True):
+            span = spans_of(unpacked(sizes, rows).astype(np.int64)) + [[base, 0]]
+            spans.append((np.cumsum(unpacked(k, rows).astype(np.int64)), span))
+            flat.append(unpacked(ids, n))
+            base += n
+        flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+        table = np.zeros((1 + max((int(k[-1]) for k, _ in spans), default=-1), 2), np.int64)
+        for k, span in spans:
+            table[k] = span
+        out: list[pa.Table] = []
+        for ids, sizes, n, numbers, digests in zip(*(texts.column(c) for c in ("id", "sizes", "n", "numbers", "digests")), strict=True):
+            ids = ids.values
+            words = unpacked(sizes.as_py(), len(ids))
+            null = words < 0
+            got, size = gathered(flat, table, unpacked(numbers.as_py(), n.as_py()))
             if len(size) and not size.min():
-                raise ValueError("a chunk's words differ between two reads of the input")
-            out["ids"].append(got)
+                raise ValueError("a word of a chunk has no ids")
+            ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(np.maximum(words, 0))])]
+            columns = [ids.cast(target.field("id").type), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(got, pa.int32()), mask=pa.array(null)).cast(target.field("ids").type)]
             if decode:
-                text = decode.text(got).encode()
-                sha = hashlib.sha256(text)
-                out["decoded_sha256"].append(sha.hexdigest())
-                out["same_text"].append(sha.digest() == digest.as_py())
-        return pa.Table.from_arrays([texts.column("id").cast(target.field("id").type), *(pa.array(x, target.field(name).type) for name, x in out.items())], schema=target)
-
-    told = numbered(rows, vocab, top, check)
+                shas, digests = [None if x else hashlib.sha256(t) for x, t in zip(null, decode.each(got, ends), strict=True)], digests.as_py()
+                was = (np.cumsum(~null) - 1) * 32
+                columns.append(pa.array([x and x.hexdigest() for x in shas], pa.string()))
+                columns.append(pa.array([x is None or x.digest() == digests[at : at + 32] for x, at in zip(shas, was.tolist(), strict=True)], pa.bool_()))
+            out.append(pa.Table.from_arrays(columns, schema=target))
+        return pa.concat_tables(out) if out else target.empty_table()
+
+    told = chunks.filter("kind = 'texts'").select("chunk", "id", "sizes", "n", "numbers", "digests")
     return told.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(meet, schema).withColumnRenamed("id", id_col)
 
 
@@ -346,10 +390,17 @@ class Decoder:
         self.pool, self.spans, self.prefix = np.frombuffer(b"".join(pieces), np.uint8), spans_of(np.array([len(p) for p in pieces], np.int64)), vocab.dummy_prefix
 
     def text(self, ids: np.ndarray) -> str:
+        return next(self.each(ids, np.array([0, len(ids)]))).decode()
+
+    def each(self, ids: np.ndarray, ends: np.ndarray) -> Iterator[bytes]:
+        """The texts, as UTF-8, of the stretches of ids between `ends`."""
         if len(ids) and ids.min() < 0:
             raise IndexError("a piece id below 0")
-        t = gathered(self.pool, self.spans, ids)[0].tobytes().decode("utf-8", "replace")
-        return t[1:] if self.prefix and t[:1] == " " else t
+        whole, size = gathered(self.pool, self.spans, ids)
+        whole, at = whole.tobytes(), np.concatenate([[0], np.cumsum(size)])[ends].tolist()
+        for a, b in zip(at, at[1:], strict=False):
+            t = whole[a:b].decode("utf-8", "replace").encode()
+            yield t[1:] if self.prefix and t[:1] == b" " else t
 
 
 def decoded(rows: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", model: str = v.MODEL) -> DataFrame:

@@ -542,3 +542,21 @@ def test_training_vectors_reach_the_driver_compressed(spark, docs, labels, monke
     monkeypatch.setattr(cotraining, "in_order", lambda vectors, order, width: (sizes.append((vectors.nbytes, 2 * width * len(order))), plain(vectors, order, width))[1])
     cotraining.fitted(docs, labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("y")), id_col="doc_id", text_col="text", name_cols=("source", "lang"), labelled=100, unlabelled=100)
     assert len(sizes) == 2 and all(3 * got < whole for got, whole in sizes)
+
+
+def test_encoding_reads_its_input_once_and_waits_compressed(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    texts = [None, "", *(" ".join(f"w{(7 * i * j) % 97}" for j in range(300)) for i in range(48))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).mapInArrow(counted, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in sentencepiece_lattice.round_trip(rows).collect()}
+    assert reads.value == len(texts) == len(got) and got[0]["ids"] is None and got[1]["ids"] == []
+    assert all(got[i]["same_text"] and got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts) if t)
+    numbers = np.array([3, 1, 2] * 5000, np.int32)
+    packed = sentencepiece_lattice.packed(numbers)
+    assert len(packed) * 8 < numbers.nbytes and (sentencepiece_lattice.unpacked(packed, len(numbers)) == numbers).all()
