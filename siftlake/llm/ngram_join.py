@@ -9,7 +9,7 @@
    `stars` times, each class meets one other of the shingle's classes, which gathers groups of near copies into
    components in linear work, and shingles of two classes are done. Then those still in different components meet
    pairwise, in tiles of one shingle and one band of sizes (a band spans the size ratio that the threshold allows, so
-   partners lie in one band or the next), each pair at the first shingle that it shares there.
+   partners lie in one band or the next), each pair at the first shingle that it shares there, if that is an early one.
 4. The meeting itself lets a pair through only if two upper bounds on the overlap allow a link: from the shingle's places
    in the two prefixes (what stands before it can't be shared where it is the first that is), and from bitmap
    signatures of 64 * WORDS bits, pairwise of 64 * WIDE (a set bit of one that the other lacks is a shingle less).
@@ -17,7 +17,7 @@
    intersected exactly on the sorted arrays, and links become components.
 
 What is written grows with the prefixes: signatures join the shingles that two classes share at least, not all, and whole
-sets exist only for classes that met.
+sets exist only for classes of a turn's pairs, until these are verified.
 
 A group of n unlinked classes with common shingles and a size in common is compared in n * n bit counts in step 3, though
 none of these pairs leaves it.
@@ -51,6 +51,10 @@ COUNTED = 3
 WORDS, WIDE = 8, 32
 #: So many wanted rows are sent to the tasks that read the texts; more are joined by a shuffle.
 SENT = 1 << 18
+#: Classes are gathered in so many rounds by key, and their shingles meet in so many by shingle: what a round shuffles is gone before the next.
+GATHERED, ROUNDS = 2, 4
+#: So many of a class's first shared shingles keep a pair from leaving the pairwise turn again at a later one.
+FIRST = 8
 
 
 def key_of(found: np.ndarray) -> bytes | None:
@@ -182,89 +186,109 @@ def linked_classes(docs: DataFrame, *, id_col: str, text_col: str, n: int, num:
     docs = same_each_read(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), staged).withColumn("row", F.monotonically_increasing_id())
     rows = staged.write(sketches(docs, n, num, den), "sketches")
     members = staged.write(rows.select("id", "key", "size"), "members")
-    classes = rows.filter("size > 0").groupBy("key").agg(*(F.min_by(c, "row").alias(c) for c in ("size", "prefix", "more", "wide", "hidden", "hidden_wide")), F.min("row").alias("row"))
-    classes = staged.write(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    parts = []
+    for k in range(GATHERED):
+        part = rows.filter((F.col("size") > 0) & (F.pmod(F.xxhash64("key"), F.lit(GATHERED)) == k)).groupBy("key")
+        part = part.agg(*(F.min_by(c, "row").alias(c) for c in ("size", "prefix", "more", "wide", "hidden", "hidden_wide")), F.min("row").alias("row"))
+        parts.append(staged.write(part.withColumn("cid", F.monotonically_increasing_id() * GATHERED + k), f"classes-{k}"))
+    classes = reduce(DataFrame.unionAll, parts)
     staged.drop("sketches")
     total = classes.agg(F.sum(F.size("prefix") + F.size("more"))).first()[0] or 0
     half = classes.select(F.explode("prefix").alias("token")).select(F.shiftright("token", 32).cast("int").alias("token"))
     counts = half.unionAll(classes.select(F.explode("more").alias("token"))).groupBy("token").agg(F.count("*").alias("n"))
     often = counts.filter(F.col("n") > max(heavy, total >> 20)).select("token").toArrow().column(0).to_numpy()  # 2 ** 20 at most
-    held = ["cid", "size", F.posexplode("prefix").alias("place", "token")]
-    short = classes.select("cid", "key", "size", "prefix")
+    short, lists = classes.select("cid", "key", "size", "prefix"), classes.select("cid", "size", "prefix")
     if len(often):
         sent = spark.sparkContext.broadcast(np.sort(often))
         changed = staged.write(reordered(docs, sent, n, num, den).groupBy("key").agg(F.first("prefix").alias("prefix")), "changed")
-        tokens = short.join(changed, "key", "left_anti").select(*held).unionAll(short.drop("prefix").join(changed, "key").select(*held))
-    else:
-        tokens = short.select(*held)
+        lists = short.join(changed.withColumnRenamed("prefix", "other"), "key", "left").select("cid", "size", F.coalesce("other", "prefix").alias("prefix"))
+        lists = staged.write(lists, "lists")
+        staged.drop("changed")
+    tokens = lists.select("cid", "size", F.posexplode("prefix").alias("place", "token"))
+    parts = [staged.write(meeting(tokens.filter(F.pmod("token", F.lit(ROUNDS)) == k), num, den), f"met-{k}") for k in range(ROUNDS)]
+    staged.drop("lists")
     facts = classes.select("cid", "hidden", *(folded("wide", k).alias(f"sign{k}") for k in range(WORDS)))
-    met = staged.write(meeting(tokens, num, den).join(facts, "cid"), "met")
+    met = staged.write(reduce(DataFrame.unionAll, parts).join(facts, "cid"), "met")
     wides = staged.write(classes.select("cid", "wide", F.col("hidden_wide").alias("hidden")).join(met.select("cid").distinct(), "cid", "left_semi"), "wides")
     classes = staged.write(classes.select("cid", "key", "size", "row"), "slim")
-    for name in ("classes", "changed"):  # what they hold of prefixes and signatures is in `met` and `wides`
+    for name in (*(f"classes-{k}" for k in range(GATHERED)), *(f"met-{k}" for k in range(ROUNDS))):  # what they hold of prefixes and signatures is in `met` and `wides`
         staged.drop(name)
 
     row = ["cid", "size", "component", "place", "hidden", *(f"sign{k}" for k in range(WORDS))]
     linked, found = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, component long")
-    tested, sets = linked, spark.createDataFrame([], "cid long, size long, wide array<long>, found binary")
+    tested = linked
     for turn in range(stars + 1):  # the last one is pairwise
         placed = met.join(found, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid")).select("token", *row)
-        groups = placed.groupBy("token").agg(
-            F.min("component").alias("lo"), F.max("component").alias("hi"), F.mode("component").alias("main"), F.min_by(F.struct(*row), F.xxhash64("cid", F.lit(turn))).alias("pivot"),
-        ).filter("lo <> hi")
-        if turn < stars:
-            pivots = groups.select("token", *(F.col(f"pivot.{c}").alias(f"b_{c}") for c in row))
-            left = placed.select("token", *(F.col(c).alias(f"a_{c}") for c in row))
-            pairs = left.join(pivots, (left["token"] == pivots["token"]) & (F.col("a_component") != F.col("b_component")) & fits("a_", "b_", num, den))
-            pairs = pairs.select(F.least("a_cid", "b_cid").alias("a"), F.greatest("a_cid", "b_cid").alias("b")).distinct()
-        else:
-            pairs = tiles(placed.join(groups.select("token", "main"), "token"), wides, num, den)
+        pairs = pivoted(placed, row, turn, num, den) if turn < stars else tiles(placed, wides, num, den)
         if turn:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = staged.write(pairs, f"pairs-{turn}")
         if not turn:  # where two classes share a shingle, that was their only pair
-            met = staged.write(met.join(met.groupBy("token").agg(F.count("*").alias("n")).filter("n > 2").select("token"), "token", "left_semi"), "rest")
-            staged.drop("met")
+            met = met.filter("n > 2")
         if pairs.isEmpty():
             continue
         tested = tested.unionAll(pairs)
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(sets.select("cid"), "cid", "left_anti")
-        wanted = staged.write(classes.select("cid", "row").join(wanted, "cid"), f"wanted-{turn}")
-        sets = sets.unionAll(staged.write(shingle_sets(F.broadcast(wanted) if wanted.count() <= SENT else wanted, docs, n), f"sets-{turn}"))
-        near = staged.write(fitting(pairs, sets, num, den), f"near-{turn}") if turn < stars else pairs
-        linked = linked.unionAll(staged.write(verified(near, sets, num, den), f"linked-{turn}"))
+        wanted = staged.write(classes.select("cid", "row").join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi"), f"wanted-{turn}")
+        sets = staged.write(shingle_sets(F.broadcast(wanted) if wanted.count() <= SENT else wanted, docs, n), f"sets-{turn}")
+        if turn < stars:
+            near = staged.write(fitting(pairs, sets, num, den), f"near-{turn}")
+        else:
+            near = pairs
+        for k in range(ROUNDS):  # a set goes with each of its pairs
+            some = near.filter(F.pmod(F.xxhash64("a"), F.lit(ROUNDS)) == k)
+            used = some.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+            held = sets.join(F.broadcast(used), "cid", "left_semi") if used.count() <= SENT else sets
+            linked = linked.unionAll(staged.write(verified(some, held, num, den), f"linked-{turn}-{k}"))
+        staged.drop(f"sets-{turn}")
         found = connected_components(linked, "a", "b", checkpointed)
-    for name in ("rest", "wides", *(f"{x}-{k}" for k in range(stars + 1) for x in ("pairs", "wanted", "sets", "near", "linked"))):
+    for name in ("met", "wides", *(f"{x}-{k}" for k in range(stars + 1) for x in ("pairs", "wanted", "near")), *(f"linked-{x}-{k}" for x in range(stars + 1) for k in range(ROUNDS))):
         staged.drop(name)
     return members, classes.select("cid", "key", "size"), found
 
 
 def meeting(tokens: DataFrame, num: int, den: int) -> DataFrame:
-    """The rows (token, cid, size, place) that share their shingle with one whose size allows a link; of the others of a shingle the nearest sizes decide.
+    """The rows (token, cid, size, place, n) that share their shingle with one whose size allows a link, n such rows in all; of the others of a shingle the nearest sizes decide.
 
     A larger partner must also make up for what stands before the shingle, which can't be shared if this is the first shared one.
+    The shingles are dealt out once, for the facts of each and for its rows: both sides of the join take the same columns.
     """
-    left = F.col("size") - F.col("place")
-    shared = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("size").alias("lo"), F.max("size").alias("hi"), F.min(left).alias("left"))
+    left, dealt = F.col("size") - F.col("place"), tokens.repartition("token")
+    shared = dealt.groupBy("token").agg(F.count("cid").alias("n"), F.min("size").alias("lo"), F.max("size").alias("hi"), F.min(left).alias("left"))
     shared = shared.filter((F.col("n") > 2) | ((F.col("n") == 2) & (den * F.col("left") >= num * (F.col("lo") + F.col("hi") - F.col("left")))))
     by_size = Window.partitionBy("token").orderBy("size")
-    near = tokens.join(shared.select("token"), "token").withColumns({"below": F.lag("size").over(by_size), "above": F.lead("size").over(by_size)})
-    return near.filter((den * F.col("below") >= num * F.col("size")) | (den * left >= num * (F.col("above") + F.col("place")))).select("token", "cid", "size", "place")
+    near = dealt.join(shared.select("token"), "token").withColumns({"below": F.lag("size").over(by_size), "above": F.lead("size").over(by_size)})
+    near = near.filter((den * F.col("below") >= num * F.col("size")) | (den * left >= num * (F.col("above") + F.col("place"))))
+    return near.withColumn("n", F.count("*").over(Window.partitionBy("token"))).filter("n > 1").select("token", "cid", "size", "place", "n")
+
+
+def pivoted(rows: DataFrame, row: list[str], turn: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of each class and one other of its shingle's classes, another one each turn; rows (token, *row)."""
+    pivot = F.min_by(F.struct(*row), F.xxhash64("cid", F.lit(turn))).over(Window.partitionBy("token"))
+    both = rows.withColumn("pivot", pivot).filter(F.col("component") != F.col("pivot.component"))
+    both = both.select(*(F.col(c).alias(f"a_{c}") for c in row), *(F.col(f"pivot.{c}").alias(f"b_{c}") for c in row)).filter(fits("a_", "b_", num, den))
+    return both.select(F.least("a_cid", "b_cid").alias("a"), F.greatest("a_cid", "b_cid").alias("b")).distinct()
 
 
 def tiles(rows: DataFrame, wides: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) in different components that meet in a tile of one shingle and one band of sizes; rows (token, main, cid, size, component, place); wides (cid, wide, hidden).
+    """Pairs (a, b) in different components that meet in a tile of one shingle and one band of sizes; rows (token, cid, size, component, place); wides (cid, wide, hidden).
 
-    Of any such pair one at least is outside the shingle's main component, so the other members of that meet only these. A pair passes only
-    at the first of its shared shingles: its bound by places is the loosest there.
+    Of any such pair one at least is outside the shingle's main component, so the other members of that meet only these. A row goes only to
+    bands that the shingle's rows are in. A pair that shares one of the FIRST of both passes only at the first of these: its bound by
+    places is the loosest there. The few others may pass at several shingles.
     """
-    before = F.collect_list("token").over(Window.partitionBy("cid").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.select("token", "main", "cid", "size", "component", "place", before.alias("before")).join(wides, "cid")
-    row = ["cid", "size", "component", "place", "hidden", "before", "main", *(f"sign{k}" for k in range(WIDE))]
-    rows = rows.select("token", *row[:7], *(F.get("wide", F.lit(k)).alias(f"sign{k}") for k in range(WIDE)))
+    by_token, by_place = Window.partitionBy("token"), Window.partitionBy("cid").orderBy("place")
+    row = ["cid", "size", "component", "place", "main", "before", "hidden", *(f"sign{k}" for k in range(WIDE))]
     band = F.floor(F.log(F.col("size").cast("double")) / math.log(den / num) + 1e-9)
-    left = rows.filter("component <> main").select("token", F.explode(F.array(band - 1, band, band + 1)).alias("band"), *(F.col(c).alias(f"a_{c}") for c in row))
-    right = rows.select("token", band.alias("band"), *(F.col(c).alias(f"b_{c}") for c in row))
+    rows = rows.select("token", "cid", "size", "component", "place", band.alias("band"))
+    rows = rows.withColumns({
+        "lo": F.min("component").over(by_token), "hi": F.max("component").over(by_token), "main": F.mode("component").over(by_token), "bands": F.collect_set("band").over(by_token),
+    }).filter("lo <> hi").drop("lo", "hi")
+    rows = rows.withColumn("early", F.when(F.row_number().over(by_place) <= FIRST, F.col("token")))
+    rows = rows.withColumn("before", F.collect_list("early").over(by_place.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.join(wides, "cid").select("token", "band", "bands", *row[:7], *(F.get("wide", F.lit(k)).alias(f"sign{k}") for k in range(WIDE)))
+    near = F.array_intersect(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1), "bands")
+    left = rows.filter("component <> main").select("token", F.explode(near).alias("band"), *(F.col(c).alias(f"a_{c}") for c in row))
+    right = rows.select("token", "band", *(F.col(c).alias(f"b_{c}") for c in row))
     once = (F.col("b_component") == F.col("b_main")) | (F.col("a_cid") < F.col("b_cid"))
     apart = (F.col("a_component") != F.col("b_component")) & once & fits("a_", "b_", num, den, WIDE) & ~F.arrays_overlap("a_before", "b_before")
     met = left.join(right, (left["token"] == right["token"]) & (left["band"] == right["band"]) & apart)

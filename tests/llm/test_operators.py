@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftlake.llm import cotraining, line_dedup, mih, mix_cube, ngram_join, quality_rules, queries, secret_scan, sentencepiece_lattice, suffix_dedup, token_count, vocabulary
+from siftlake.llm.common import configured
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, label string, key string"
@@ -506,6 +507,38 @@ def test_unlinked_copies_of_one_text_leave_the_pairwise_turn_once_at_most(spark,
     assert pairs["pairs-2"] <= 60  # of 1770
 
 
+def test_shingles_are_dealt_out_once_to_meet(spark):
+    rows = [(c, 10 + c % 3, p, t) for c in range(20) for p, t in enumerate((c % 4, 100 + c % 7, 200 + c))]
+    tokens = spark.createDataFrame(rows, "cid long, size long, place int, token long")
+    with configured(spark, {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        met = ngram_join.meeting(tokens, 85, 100)
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        got = {(r["token"], r["cid"]) for r in met.collect()}
+    assert sum("Exchange hashpartitioning(token" in line and "Reused" not in line for line in plan.splitlines()) == 1
+    left = lambda x: x[1] - x[2]
+    fit = {(x[3], x[0]) for x in rows for y in rows if x[0] != y[0] and x[3] == y[3] and 185 * min(left(x), left(y)) >= 85 * (x[1] + y[1])}
+    assert fit <= got and not any(t >= 200 for t, _ in got)
+
+
+def test_each_turn_sends_only_the_shingle_sets_of_its_pairs(spark, monkeypatch):
+    rng, source, rows = random.Random(7), [f"w{i}" for i in range(200)], []
+    for i in range(40):
+        words = list(source)
+        for at in rng.sample(range(200), 3):
+            words[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(words)))
+    seen, verified = [], ngram_join.verified
+
+    def counted(pairs, sets, num, den):
+        seen.append((sets.count(), pairs.select(F.explode(F.array("a", "b"))).distinct().count()))
+        return verified(pairs, sets, num, den)
+
+    monkeypatch.setattr(ngram_join, "verified", counted)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(rows, 4, 85, 100).items()}
+    assert len(seen) > 1 and all(x == y for x, y in seen)
+
+
 def test_training_vectors_are_slices_of_one_array(spark, docs, labels, monkeypatch):
     seen = {}
     monkeypatch.setattr(cotraining, "cotrain", lambda xt, xm, y, ut, um: seen.update(xt=xt, xm=xm, y=y, ut=ut, um=um))
