@@ -507,6 +507,59 @@ def test_unlinked_copies_of_one_text_leave_the_pairwise_turn_once_at_most(spark,
     assert pairs["pairs-2"] <= 60  # of 1770
 
 
+def scattered(n, size=160, changed=2):
+    """Copies of one text with words exchanged at random places: about one pair in fourteen is linked, and the links hold the group together."""
+    rng, source, rows = random.Random(11), [f"w{i}" for i in range(size)], []
+    for i in range(n):
+        words = list(source)
+        for at in rng.sample(range(size), changed):
+            words[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_pairs_of_a_sparsely_linked_group_are_linear_in_its_size(spark, monkeypatch):
+    rows, pairs, write = scattered(200), {}, ngram_join.Staged.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        if name.startswith("pairs"):
+            pairs[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join.Staged, "write", counted)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(rows, 4, 85, 100).items()}
+    assert sum(pairs.values()) <= 10 * len(rows), pairs  # of 19900
+
+
+@pytest.mark.parametrize("stars", [0, 1, 3])
+def test_shingles_of_many_classes_meet_in_blocks(spark, monkeypatch, stars):
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    rows = scattered(60, changed=1) + [(100 + i, t + " " + " ".join(f"y{k}" for k in range(30 + i % 9))) for i, t in scattered(40)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string"), heavy=1000, stars=stars).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(rows, 4, 85, 100).items()}
+
+
+def test_frequent_shingles_fill_their_room(spark, monkeypatch):
+    counts = spark.createDataFrame([(t, n) for t, n in enumerate((5, 9, 9, 20, 70, 70, 300))], "token int, n long")
+    for room, most in ((7, 7), (6, 6), (5, 4), (3, 3), (2, 1)):
+        monkeypatch.setattr(ngram_join, "FREQUENT", room)
+        assert sorted(r[0] for r in ngram_join.frequent(counts).collect()) == list(range(7))[7 - most :]
+
+
+def test_shared_bits_of_a_signature_count(spark):
+    """Sets of 400 shingles with a similarity of 0.84 pass a plain bitmap of 2048 bits, which hides some 40 of each."""
+    rng = np.random.default_rng(3)
+    new = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    for _ in range(20):
+        both = new(365)
+        x, y = (np.concatenate([both, new(35)]) for _ in "xy")
+        p, q = (ngram_join.signature(s).view(np.uint64) for s in (x, y))
+        hidden = min(400 - int(np.bitwise_count(s).sum()) for s in (p, q))
+        assert 365 <= hidden + int(np.bitwise_count(p & q).sum()) <= 377
+
+
 def test_shingles_are_dealt_out_once_to_meet(spark):
     rows = [(c, 10 + c % 3, p, t) for c in range(20) for p, t in enumerate((c % 4, 100 + c % 7, 200 + c))]
     tokens = spark.createDataFrame(rows, "cid long, size long, place int, token long")
